@@ -19,7 +19,6 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+from . import language, licenses, mixing, pii, quality, sharding
 
 QUERIES = {
+    "op1_bayes_language": language.query,
+    "op3_license_scan": licenses.query,
     "op4_permutation_sharding": sharding.query,
+    "op5_pii_spans": pii.query,
     "op9_flow_mixing": mixing.query,
     "op10_line_quality": quality.query,
 }
