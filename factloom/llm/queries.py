@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language, licenses, mixing, pii, quality, sharding
+from . import language, licenses, mixing, pii, quality, sharding, toxicity
 
 QUERIES = {
     "op1_bayes_language": language.query,
+    "op2_recurrent_toxicity": toxicity.query,
     "op3_license_scan": licenses.query,
     "op4_permutation_sharding": sharding.query,
     "op5_pii_spans": pii.query,
