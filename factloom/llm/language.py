@@ -116,6 +116,28 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
     return names, model.astype(np.float32)
 
 
+class Scorer:
+    """Scores batches with a shipped matrix."""
+
+    def __init__(self, names: list[str], matrix: np.ndarray):
+        self.names, self.prior, self.logs = names, matrix[:, -1].astype(float), matrix.copy()
+        self.logs[:, -1] = 0  # the column that n-grams outside a text fall on
+
+    def __call__(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        buckets, at, has = grams(texts)
+        if not self.names:
+            return ["und"] * len(at), np.zeros(len(at))
+        total = np.zeros((len(self.names), len(at)))
+        for k, logs in enumerate(self.logs):
+            own = logs[buckets[0]]
+            for row in buckets[1:]:
+                own += logs[row]
+            total[k] = np.add.reduceat(own, at, dtype=np.float64) + self.prior[k]
+        best = total.argmax(axis=0)
+        share = 1 / np.exp(total - total.max(axis=0)).sum(axis=0)
+        return [self.names[b] if h else "und" for b, h in zip(best, has, strict=True)], np.where(has, share, 0.0)
+
+
 def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text") -> DataFrame:
     """df without `text`, with lang_pred and score (the posterior of the predicted language)."""
     names, matrix = model
@@ -124,29 +146,28 @@ def predict(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "tex
     shipped = df.sparkSession.sparkContext.broadcast(matrix)  # languages times buckets, whatever the data
 
     def run(batches):
-        logs = shipped.value.copy()
-        prior, zero = logs[:, -1].astype(float), logs
-        zero[:, -1] = 0  # the column that n-grams outside a text fall on
+        scorer = Scorer(names, shipped.value)
         for part in shared.chunks(batches, "__text"):
-            buckets, at, has = grams(part.column("__text").to_pylist())
-            total = np.zeros((len(names), len(at)))
-            for k in range(len(names)):
-                own = zero[k][buckets[0]]
-                for row in buckets[1:]:
-                    own += zero[k][row]
-                total[k] = np.add.reduceat(own, at, dtype=np.float64) + prior[k]
-            if names:
-                best = total.argmax(axis=0)
-                share = 1 / np.exp(total - total.max(axis=0)).sum(axis=0)
-                pred = [names[b] if h else "und" for b, h in zip(best, has, strict=True)]
-                score = np.where(has, share, 0.0)
-            else:
-                pred, score = ["und"] * len(at), np.zeros(len(at))
+            pred, score = scorer(part.column("__text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
 
     return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{kinds}lang_pred string, score double")
 
 
+def accepted(df: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", min_score: float = 0.5) -> DataFrame:
+    """Rows of df whose language is known with a score of min_score at least."""
+    names, matrix = model
+    shipped = df.sparkSession.sparkContext.broadcast(matrix)
+
+    def run(batches):
+        scorer = Scorer(names, shipped.value)
+        for part in shared.chunks(batches, text):
+            pred, score = scorer(part.column(text).to_pylist())
+            yield part.filter(pa.array([p != "und" and s >= min_score for p, s in zip(pred, score, strict=True)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def remainder(key: str, n: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % n, F.lit(-1))
 

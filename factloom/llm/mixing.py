@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,19 +118,25 @@ def min_cost_flow(supply: dict, quotas: dict, costs=COSTS) -> dict:
     return {(p, s): graph[("source", s)][("pattern", p)][0] for p in supply for s in p}
 
 
-def mix(df: DataFrame, key: str = "doc_id", size: str = "size", sources: str = "sources", quotas=None, seed: str = SEED, bucket_digits: int = BUCKET_DIGITS, max_patterns: int = 100_000) -> DataFrame:
-    """df with `pattern` (sources, sorted, joined), `pattern_size`, `flow` (words the pattern should give),
-    `copies` (times the row is taken) and `taken` (words). `sources` is an array column; `quotas` maps source
-    to words, or is None for shares by weight. df is read several times and should be a written table."""
-    spark = df.sparkSession
+def keyed(df: DataFrame, key: str, sources: str, seed: str) -> DataFrame:
+    """df with its membership pattern and the seeded digest that orders its rows."""
+    name = F.transform(F.array_sort(F.array_distinct(F.col(sources))), lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("null")))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    pattern = F.array_join(F.transform(F.array_sort(F.array_distinct(F.col(sources))), lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("null"))), "\x1f")
-    rows = df.withColumns({"pattern": pattern, "__h": digest, "__b": F.substring(digest, 1, bucket_digits)})
+    return df.withColumns({"pattern": F.array_join(name, "\x1f"), "__h": digest})
+
+
+def decide(df: DataFrame, key: str = "doc_id", size: str = "size", sources: str = "sources", quotas=None, seed: str = SEED, bucket_digits: int = BUCKET_DIGITS, max_patterns: int = 100_000) -> DataFrame:
+    """For each pattern: pattern_size, flow (the words it should give), whole (how often all of its rows are taken),
+    and which rows are taken once more: those whose digest is up to `cut`, and the one at `fill`. `sources` is
+    an array column; `quotas` maps source to words, or is None for shares by weight. df is read several times
+    and should be a written table."""
+    spark = df.sparkSession
+    rows = keyed(df, key, sources, seed).withColumn("__b", F.substring("__h", 1, bucket_digits))
     sums = rows.groupBy("pattern", "__b").agg(F.sum(size).alias("__s"), F.first(sources).alias("__of"))
     total = sums.groupBy("pattern").agg(F.sum("__s").alias("pattern_size"), F.first("__of").alias("of")).limit(max_patterns + 1).collect()
     if len(total) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
-    known = {r["pattern"]: (tuple(dict.fromkeys(r["of"])), r["pattern_size"]) for r in total}
+    known = {r["pattern"]: (tuple(sorted(set(r["of"]), key=lambda s: (s is None, s or ""))), r["pattern_size"]) for r in total}
     if quotas is None:
         of_source: dict = defaultdict(int)
         for of, n in known.values():
@@ -159,10 +166,22 @@ def mix(df: DataFrame, key: str = "doc_id", size: str = "size", sources: str = "
     off = F.abs(F.col(size) - F.col("gap"))
     fill = taken.join(F.broadcast(gap), "pattern").where((F.col("__h") > F.col("cut")) & (off < F.col("gap")))
     fill = fill.groupBy("pattern").agg(F.min(F.struct(off.alias("off"), F.col("__h").alias("h"))).alias("fill")).select("pattern", F.col("fill.h").alias("fill"))
-    decided = cut.join(fill, "pattern", "left").select("pattern", "pattern_size", "flow", "whole", "cut", "fill")
+    return cut.join(fill, "pattern", "left").select("pattern", "pattern_size", "flow", "whole", "cut", "fill")
+
+
+def draw(df: DataFrame, decided: DataFrame, key: str = "doc_id", sources: str = "sources", seed: str = SEED) -> DataFrame:
+    """df with `pattern`, `pattern_size`, `flow` and `copies` (how often the row is taken). decided has a row for each pattern, so
+    it is broadcast, and rows stay where they are."""
     extra = (F.col("__h") <= F.col("cut")) | F.coalesce(F.col("__h") == F.col("fill"), F.lit(False))
-    out = rows.join(F.broadcast(decided), "pattern").withColumn("copies", F.least(F.col("whole") + F.when(extra, 1).otherwise(0), F.lit(len(COSTS))).cast("long"))
-    return out.withColumn("taken", F.col("copies") * F.col(size)).drop("__h", "__b", "whole", "cut", "fill")
+    copies = F.least(F.col("whole") + F.when(extra, 1).otherwise(0), F.lit(len(COSTS))).cast("long")
+    out = keyed(df, key, sources, seed).join(F.broadcast(decided), "pattern").withColumn("copies", copies)
+    return out.select(*[c for c in df.columns if c not in ("pattern", "pattern_size", "flow", "copies")], "pattern", "pattern_size", "flow", "copies")
+
+
+def mix(df: DataFrame, key: str = "doc_id", size: str = "size", sources: str = "sources", quotas=None, seed: str = SEED, **how) -> DataFrame:
+    """df with `pattern`, `pattern_size`, `flow`, `copies` and `taken` (words)."""
+    out = draw(df, decide(df, key, size, sources, quotas, seed, **how), key, sources, seed)
+    return out.withColumn("taken", F.col("copies") * F.col(size))
 
 
 def sized(df: DataFrame) -> DataFrame:

@@ -239,6 +239,13 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     return out.select(key, F.coalesce("label", "node").alias("class_id"), (F.col(key) != F.col("node")).alias("copy"))
 
 
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """df with one row of each class: the one that names it. Rows without a key stay."""
+    names = classes(df, key, text).where(F.col(key) == F.col("class_id")).select(key).distinct()
+    out = df.join(names, key, "left_semi").dropDuplicates([key])
+    return out.unionByName(df.where(F.col(key).isNull())).select(df.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = classes(shared.documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "class_id", "copy", (F.col("doc_id") == F.col("class_id")).alias("kept"))
