@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, licenses, mixing, neardup, pii, quality, sharding, toxicity
+from . import decontamination, language, licenses, mixing, neardup, pii, quality, sharding, suffixes, toxicity
 
 QUERIES = {
     "op1_bayes_language": language.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_license_scan": licenses.query,
     "op4_permutation_sharding": sharding.query,
     "op5_pii_spans": pii.query,
+    "op6_suffix_dedup": suffixes.query,
     "op7_bagminhash_neardup": neardup.query,
     "op8_spaced_seed_decontamination": decontamination.query,
     "op9_flow_mixing": mixing.query,
