@@ -8,12 +8,13 @@ one position of the signature. The first point of each position is kept. Since l
 two documents keep the same point with a probability equal to their weighted Jaccard similarity, and processes
 are only followed up to the time by which all positions are likely to be filled.
 
-Signatures are cut into bands; documents that agree on a band meet in a bucket. No bucket emits its pairs: in
-rounds, each bucket's pivots (1, then 4, then 16 ...) are compared with its other members, verified links are joined into
-classes, and a bucket stays open while it has members of different classes and members that haven't been pivots, so
-no pair that could still join two classes is left out. Pairs whose sizes or signatures rule out `SIMILARITY`
-are dropped before texts are compared; the rest are verified on their whole bags. Exact copies are represented by
-one of them from the start.
+Signatures are cut into bands; documents that agree on a band meet in a bucket. First each bucket's members are compared
+with one of them, and the links found are joined into classes, which leaves most buckets with one class. In the
+others, members outside the largest class are compared with all members in blocks of bounded size: a task gets the bags
+of two blocks, intersects all of them at once as a matrix product, and returns a spanning forest of the links that it
+finds. So no pair that could still join two classes is left out, and pairs are never emitted. In the first step,
+pairs whose sizes or signatures rule out `SIMILARITY` are dropped before bags are compared; in both, links are
+verified on whole bags. Exact copies are represented by one of them from the start.
 
 Defined results: a class is named by its smallest key; null texts and texts without words are classes of their own, unless
 their text is the same; a row with a null key has no class; rows that share a key are one document; an empty table gives an
@@ -38,6 +39,8 @@ SIZE = BANDS * ROWS
 #: A pair is compared in full if this share of its signatures' bytes agree; at a similarity of 0.8 fewer do so about once in 10**8.
 MIN_AGREE = 0.6
 CHUNK = 1 << 20
+#: Documents, and shingles of them all, in a block.
+BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 
 
 def bags(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -187,6 +190,63 @@ def components(links: DataFrame, labels: DataFrame | None) -> DataFrame:
             return label
 
 
+def forest(nodes: list, bags: list[np.ndarray]) -> list[tuple]:
+    """Links (a, b) that join what verified similarities join, among the documents of two blocks."""
+    size = np.array([len(x) for x in bags], np.float32)
+    shingle, column = np.unique(np.concatenate(bags), return_inverse=True)
+    row = np.repeat(np.arange(len(bags)), size.astype(np.int64))
+    often = np.bincount(column, minlength=len(shingle)) > 1
+    new = np.cumsum(often) - 1
+    row, column = row[often[column]], new[column[often[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(bags), len(bags)), np.float32)
+    for lo in range(0, int(often.sum()), 4096):
+        at = slice(*np.searchsorted(column, [lo, lo + 4096]))
+        has = np.zeros((len(bags), 4096), np.float32)
+        has[row[at], column[at] - lo] = 1
+        both += has @ has.T
+    linked = both >= SIMILARITY * (size[:, None] + size[None, :] - both) - 1e-4
+    left, out = np.ones(len(bags), bool), []
+    for i in range(len(bags)):
+        if not left[i]:
+            continue
+        left[i], edge = False, [i]
+        while edge:
+            k = edge.pop()
+            found = np.flatnonzero(linked[k] & left)
+            left[found] = False
+            edge += found.tolist()
+            out += [(nodes[k], nodes[j]) for j in found]
+    return out
+
+
+def block_links(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links among members (bucket, node, label, n) of buckets with several classes."""
+    kind = open_.schema["node"].dataType.simpleString()
+    per_class = open_.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("h"))
+    per_bucket = per_class.groupBy("bucket").agg(F.max_by("label", F.struct("size", "label")).alias("main"), F.sum("size").alias("size"), F.sum("n").alias("n"), F.sum("h").alias("h"), F.max("size").alias("most"))
+    once = per_bucket.groupBy("size", "h").agg(F.min("bucket").alias("bucket")).select("bucket")  # many bands have the same members
+    b = per_bucket.join(once, "bucket", "left_semi")
+    fit = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")  # blocks for all members
+    b = b.select("bucket", "main", fit.alias("fit"), F.ceil(fit * (F.col("size") - F.col("most")) / F.col("size")).cast("int").alias("few"))
+    rows = open_.join(b, "bucket").withColumn("out", F.col("label") != F.col("main"))
+    # blocks 0 .. few-1 hold members outside the main class, the next `fit` ones those inside it
+    own = F.when(F.col("out"), F.pmod(F.xxhash64("node"), F.col("few").cast("long"))).otherwise(F.col("few") + F.pmod(F.xxhash64("node"), F.col("fit").cast("long"))).cast("int")
+    rows = rows.withColumn("own", own)
+    meets = F.when(F.col("out"), F.sequence(F.lit(0), F.col("few") + F.col("fit") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") - 1))
+    rows = rows.withColumn("other", F.explode(meets)).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
+    rows = rows.join(sets, "node")
+
+    def links(table: pa.Table) -> pa.Table:
+        bag = table.column("bag").combine_chunks()
+        values, ends = bag.flatten().to_numpy(), np.concatenate([[0], np.cumsum(bag.value_lengths().to_numpy())])
+        found = forest(table.column("node").to_pylist(), [values[x:y] for x, y in zip(ends, ends[1:], strict=False)])
+        return pa.table({"a": pa.array([x for x, _ in found], table.schema.field("node").type), "b": pa.array([y for _, y in found], table.schema.field("node").type)})
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(links, f"a {kind}, b {kind}")
+
+
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and class_id of each row, with copy (the text equals that of another row with a smaller key)."""
     sigs = shared.written(signed(df, key, text), "signatures")
@@ -194,45 +254,21 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     members = shared.written(sigs.select("key", "digest").join(first, "digest").select("key", "node"), "members")
     own = sigs.join(members.where("key = node").select("key").distinct(), "key", "left_semi")
     own = shared.written(own.groupBy("key").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
-    bands = own.select(F.col("key").alias("node"), F.explode("bands").alias("bucket"))
-    shared_buckets = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
-    open_ = shared.written(bands.join(shared_buckets, "bucket").withColumn("turn", F.xxhash64("node", "bucket")), "buckets")
-    sigs = own.select("key", "n", "sig")
-    nodes = open_.select("node").distinct()
-    texts = df.select(F.col(key).alias("node"), F.col(text).alias("text")).join(nodes, "node")
-    sets, label, pivots = None, None, 1
-    while not open_.isEmpty():
-        # each bucket's next pivots, by turn: the smallest one, then quantile cuts that count on average as many as wanted
-        if pivots == 1:
-            chosen = open_.groupBy("bucket").agg(F.min(F.struct("turn", "node")).alias("p")).select("bucket", F.col("p.node").alias("pivot"))
-        else:
-            sizes = open_.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
-            draw = F.pmod("turn", F.lit(1 << 20)) * F.col("size") < F.lit(pivots << 20)
-            chosen = open_.join(sizes, "bucket").where(draw).select("bucket", F.col("node").alias("pivot"))
-        chosen = shared.written(chosen, "pivots")
-        pairs = open_.join(chosen, "bucket").where("node <> pivot")
-        if label is not None:
-            lab = lambda x: label.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
-            pairs = pairs.join(lab("node"), "node", "left").join(lab("pivot"), "pivot", "left")
-            pairs = pairs.where(F.coalesce("label_node", "node") != F.coalesce("label_pivot", "pivot"))
-        pairs = pairs.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-        pairs = shared.written(agreeing(pairs, sigs), "pairs")
-        if not pairs.isEmpty():
-            if sets is None:
-                sets = shared.written(shingle_sets(texts.dropDuplicates(["node"])), "bags")
-            label = components(verified(pairs, sets), label)
-        # a bucket stays open while it has two classes, and members that have not been pivots
-        rest = open_
-        if label is not None:
-            rest = rest.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        else:
-            rest = rest.withColumn("label", F.col("node"))
-        live = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        left = open_.join(live, "bucket", "left_semi").join(chosen.select("bucket", F.col("pivot").alias("node")), ["bucket", "node"], "left_anti")
-        sized = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
-        open_ = shared.written(left.join(sized, "bucket", "left_semi"), "buckets")
-        pivots *= 4
-    out = members.withColumnRenamed("key", key)
+    bands = own.select(F.col("key").alias("node"), "n", F.explode("bands").alias("bucket"))
+    pivots = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1")
+    buckets = shared.written(bands.join(pivots.select("bucket", "pivot"), "bucket"), "buckets")
+    out, label = members.withColumnRenamed("key", key), None
+    pairs = buckets.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    pairs = shared.written(agreeing(pairs, own.select("key", "n", "sig")), "pairs")
+    if not buckets.isEmpty():
+        texts = df.select(F.col(key).alias("node"), F.col(text).alias("text")).join(buckets.select("node").distinct(), "node")
+        sets = shared.written(shingle_sets(texts.dropDuplicates(["node"])), "bags")
+        label = components(verified(pairs, sets), None)
+        labelled = buckets.select("bucket", "node", "n").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+        open_ = shared.written(labelled.join(several, "bucket", "left_semi"), "open")
+        if not open_.isEmpty():
+            label = components(shared.written(block_links(open_, sets), "links"), label)
     if label is None:
         return out.select(key, F.col("node").alias("class_id"), (F.col(key) != F.col("node")).alias("copy"))
     out = out.join(label, "node", "left")
