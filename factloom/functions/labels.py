@@ -70,23 +70,3 @@ def infer_table_context(classification: Column, path: Column) -> Column:
     for word, context in reversed(SECTION_KEYWORDS):
         found = F.when(F.contains(F.lower(path), F.lit(word)), context).otherwise(found)
     return F.coalesce(out, found)
-
-
-def parse_amount(c: Column) -> Column:
-    """Dashes are 0, n/a is null, parentheses and a leading minus are negative; the last of point and comma is the
-    decimal sign; a single comma is one before at most two digits; several points, or a comma before three digits, part thousands."""
-    t = F.regexp_replace(F.trim(F.translate(c, " %", "  ")), r"\s", "")
-    negative = t.rlike(r"^\(.*\)$") | t.rlike("^[-−]")
-    d = F.regexp_replace(t, r"^[(−-]+|\)+$", "")
-    points, commas = F.length(F.regexp_replace(d, "[^.]", "")), F.length(F.regexp_replace(d, "[^,]", ""))
-    last_comma = F.instr(F.reverse(d), ",") < F.instr(F.reverse(d), ".")
-    plain = (
-        F.when((points > 0) & (commas > 0) & last_comma, F.replace(F.replace(d, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when((points > 0) & (commas > 0), F.replace(d, F.lit(","), F.lit("")))
-        .when((commas == 1) & d.rlike(",[0-9]{1,2}$"), F.replace(d, F.lit(","), F.lit(".")))
-        .when(commas > 0, F.replace(d, F.lit(","), F.lit("")))
-        .when(points > 1, F.replace(d, F.lit("."), F.lit("")))
-        .otherwise(d)
-    )
-    value = F.when(plain.rlike(r"^[0-9]+([.][0-9]*)?$|^[.][0-9]+$"), plain.try_cast("double"))
-    return F.when(t.rlike("^[-–—−]$"), 0.0).otherwise(F.when(negative, -value).otherwise(value))

@@ -12,7 +12,21 @@ KEY = ["doc_id", "context", "concept_id", "period_key"]
 def unit_scale(unit: Column) -> Column:
     """Factor of a unit or header text. Longer units are tested first."""
     u = F.lower(F.coalesce(unit, F.lit("")))
-    return F.when(u.rlike("mrd|billion"), 1e9).when(u.rlike("mio|million"), 1e6).when(u.rlike("teur|tsd|thousand|000"), 1e3).otherwise(1.0)
+    return F.when(u.rlike("mrd|billion"), 1e9).when(u.rlike("mio|million"), 1e6).when(u.rlike("teur|tsd|thousand|(?:^|[^0-9])000"), 1e3).otherwise(1.0)
+
+
+def parse_amounts(cells: DataFrame, text: str = "text", out: str = "parsed") -> DataFrame:
+    """Amounts from texts. Dashes are 0, n/a is null, parentheses and a leading minus are negative; the last of point and comma is the
+    decimal sign; a single comma is one before at most two digits; several points, or a comma before three digits, part thousands.
+    The steps are columns of their own, so that none is evaluated more than once."""
+    d = cells.withColumn("__t", F.regexp_replace(F.translate(text, "\u00a0%", "  "), r"\s", ""))
+    d = d.withColumn("__d", F.regexp_replace("__t", r"^[(−-]+|\)+$", ""))
+    d = d.withColumns({"__points": F.regexp_count("__d", F.lit("[.]")), "__commas": F.regexp_count("__d", F.lit(",")), "__comma_last": F.col("__d").rlike(",[^.]*$"), "__cents": F.col("__d").rlike("^[^,]*,[0-9]{1,2}$")})
+    as_comma = (F.col("__commas") > 0) & F.when(F.col("__points") > 0, F.col("__comma_last")).otherwise(F.col("__cents"))
+    d = d.withColumn("__n", F.when(as_comma, F.translate("__d", ",.", ".")).when((F.col("__commas") > 0) | (F.col("__points") == 1), F.translate("__d", ",", "")).otherwise(F.translate("__d", ".", "")))
+    value = F.when(F.col("__n").rlike(r"^[0-9]+([.][0-9]*)?$|^[.][0-9]+$"), F.col("__n").try_cast("double"))
+    signed = F.when(F.col("__t").rlike(r"^\(.*\)$|^[-−]"), -value).otherwise(value)
+    return d.withColumn(out, F.when(F.col("__t").rlike("^[-–—−]$"), 0.0).otherwise(signed)).drop("__t", "__d", "__points", "__commas", "__comma_last", "__cents", "__n")
 
 
 def period_keys(columns: DataFrame) -> DataFrame:

@@ -77,7 +77,9 @@ def normalize_sign(t):
 SELECT row_id, col_idx, text, CASE (row_id + col_idx) % 9 WHEN 0 THEN -(floor(value) + 0.5) WHEN 1 THEN 0 WHEN 2 THEN NULL WHEN 3 THEN 1234567 WHEN 4 THEN floor(value)::BIGINT % 100 + 0.25 WHEN 5 THEN 1234
        WHEN 6 THEN floor(value)::BIGINT % 90 WHEN 7 THEN -(1000 + floor(value)::BIGINT % 900 + 100 + 0.75) ELSE NULL END::DOUBLE AS parsed FROM l_amounts""")
 def parse_amounts(t):
-    return t.l_amounts.select("row_id", "col_idx", "text", L.parse_amount(F.col("text")).alias("parsed"))
+    from ..operators.facts import parse_amounts as parse
+
+    return parse(t.l_amounts.select("row_id", "col_idx", "text"))
 
 
 @query("b13_scale_amounts", """
