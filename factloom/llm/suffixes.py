@@ -39,8 +39,9 @@ BLOCK = 10
 RUN = (LENGTH - BLOCK + 1) // BLOCK
 MANY = 20_000
 #: Anchors that a task combines at once, and bytes of contexts whose suffixes are sorted at once.
-COMBINE = 1_500_000
+COMBINE = 400_000
 SORT_BYTES = 1 << 20
+CHUNK = 1 << 20
 OTHER_BASE = np.uint64(0xD1342543DE82EF95)
 
 
@@ -185,7 +186,7 @@ def anchors(df: DataFrame) -> DataFrame:
 
     def run(batches):
         held, n = [], 0
-        for part in shared.chunks(batches):
+        for part in shared.chunks(batches, limit=CHUNK):
             row, *rest = contexts(*words.flat(part.column("text")))
             held.append((part.column("doc").to_numpy()[row], *rest))
             n += len(row)
