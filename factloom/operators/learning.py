@@ -43,12 +43,11 @@ def tfidf_pipeline(vocab: int = 2000, min_df: int = 2) -> list:
 def balance_classes(df: DataFrame, label: str, cap: int = 500) -> DataFrame:
     """Rows of each class repeated up to the size of the largest one, or cap: whole repeats, and one more for a digest's share."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    goal = F.least(F.max("n"), F.lit(cap)).alias("goal")
-    sizes = sizes.crossJoin(F.broadcast(sizes.agg(goal)))  # a row for each class, and one
-    rate = F.greatest(F.col("goal") / F.col("n"), F.lit(1.0))
+    goal = min(sizes.agg(F.max("n")).first()[0] or 0, cap)  # one number
+    rate = F.greatest(F.lit(goal) / F.col("n"), F.lit(1.0))
     chance = F.pmod(F.xxhash64(*[c for c in df.columns if c != label]), F.lit(1 << 20)) / F.lit(1 << 20)
     times = (F.floor(rate) + (chance < rate - F.floor(rate)).cast("int")).cast("int")
-    return df.join(F.broadcast(sizes), label).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop("n", "goal")
+    return df.join(F.broadcast(sizes), label).withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop("n")
 
 
 def train_page_classifier(train: DataFrame, features: list[str], label: str, hidden: tuple[int, ...] = (16,), seed: int = 42):
