@@ -111,10 +111,9 @@ SELECT t.doc_id, table_id, col_idx, CASE WHEN x BETWEEN 990 AND 1010 THEN 1000.0
        WHEN x BETWEEN 0.00000099 AND 0.00000101 THEN 0.000001 END::DOUBLE AS factor
 FROM f JOIN r_tables t USING (table_id) WHERE factor IS NOT NULL""")
 def scale_mismatch(t):
-    from ..operators.structure import parent_child
+    from ..operators.structure import parent_sums
 
-    sums = parent_child(t.r_rows, t.r_cells).groupBy("doc_id", "table_id", "parent_id", "col_idx").agg(F.first("parent_value").alias("p"), F.sum("value").alias("s"))
-    return sums.select("doc_id", "table_id", "col_idx", C.scale_mismatch(F.col("p"), F.col("s")).alias("factor")).where("factor is not null")
+    return parent_sums(t.r_rows, t.r_cells).select("doc_id", "table_id", "col_idx", C.scale_mismatch(F.col("p"), F.col("s")).alias("factor")).where("factor is not null")
 
 
 MISMATCH = """mm AS (SELECT doc_id, concept_id, period_key, count(DISTINCT table_id) AS n_tables, count(DISTINCT amount) AS n_amounts, min(amount) AS low, max(amount) AS high
