@@ -38,7 +38,7 @@ BANDS, ROWS = 25, 5
 SIZE = BANDS * ROWS
 #: A pair is compared in full if this share of its signatures' bytes agree; at a similarity of 0.8 fewer do so about once in 10**8.
 MIN_AGREE = 0.6
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Documents, and shingles of them all, in a block.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1 << 20
 
