@@ -7,8 +7,8 @@ overlap by half and cover the whole text; a document's score is its highest wind
 the number of windows.
 
 Training reads at most about `FIT_TOXIC` toxic and `FIT_CLEAN` other labelled rows (drawn by a digest of the
-key) on the driver, in whole texts. Toxic rows are labelled as wholes, so each lends its highest window, chosen anew between
-epochs; other rows lend their highest and some random windows. Scoring runs over all rows with the trained
+key) in one task, in whole texts. Toxic rows are labelled as wholes, so each lends its highest window, chosen anew between
+epochs; other rows lend their highest and some random windows. Scores are calibrated on drawn rows that training hasn't seen. Scoring runs over all rows with the trained
 weights broadcast, whose size is fixed.
 
 Defined results: a null text, or one without words, has score 0; without both kinds of labels every score is 0; where a key
@@ -18,6 +18,7 @@ extra columns are kept by `score`, except those named as its outputs.
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +33,9 @@ WIDTH, STRIDE = 32, 16
 EMBED, HIDDEN = 8, 8
 GRAM_BITS, MIN_DOCS = 12, 4
 MAX_WORDS = 50_000  # the vocabulary keeps its most frequent words
-FIT_TOXIC, FIT_CLEAN = 1500, 1500
+FIT_TOXIC, FIT_CLEAN = 1500, 2500
+#: Of the drawn rows, every third is kept out of training to calibrate scores, if that leaves this many toxic ones.
+CALIBRATE_FROM = 100
 EPOCHS, BATCH, RATE = 6, 256, 0.02
 CHUNK = 1 << 20
 
@@ -63,7 +66,7 @@ def tokens(data: np.ndarray, at: np.ndarray) -> Tokens:
     left, mid, right = wide[place], wide[place + 1], wide[place + 2]
     gram = (left * np.uint32(0x9E3779B1) + mid * np.uint32(0x85EBCA77) + right * np.uint32(0xC2B2AE3D)) ^ np.uint32(0x27D4EB2F)
     gram = (gram * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - GRAM_BITS)
-    return Tokens(ids, before, distinct, gram.astype(np.int64), gram_at)
+    return Tokens(ids, before, distinct, gram.astype(np.int32), gram_at)
 
 
 def windows(before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +209,7 @@ def train_step(net: dict, state: dict, t: Tokens, ids: np.ndarray, label: np.nda
     return float(-np.mean(np.log(np.where(label > 0, p, 1 - p) + 1e-7)))
 
 
-def window_logits(net: dict, t: Tokens, start: np.ndarray, row: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+def window_logits(net: dict, t: Tokens, start: np.ndarray, row: np.ndarray, block: int = 1 << 13) -> np.ndarray:
     x, none = inputs(net, t), len(t.word)
     parts = [forward(net, x, take(t.ids, start[i : i + block], t.before[row[i : i + block] + 1], none), none) for i in range(0, len(start), block)]
     return np.concatenate(parts) if parts else np.zeros(0, np.float32)
@@ -216,7 +219,67 @@ def train(texts: list[str], label: np.ndarray, weight: np.ndarray, seed: int = 7
     """Weights and calibration ("cal"), or None without both kinds of labels. weight: rows that each stands for."""
     if not 0 < label.sum() < len(label):
         return None
-    t = tokens(*words.flat(pa.array(texts, pa.string())))
+    toxic = np.flatnonzero(label == 1)
+    if len(toxic) >= 3 * CALIBRATE_FROM:
+        apart = np.zeros(len(label), bool)
+        apart[toxic[2::3]] = True
+        apart[np.flatnonzero(label == 0)[2::3]] = True
+        rest = np.flatnonzero(~apart)
+        net = learn([texts[i] for i in rest], label[rest], seed)
+    else:
+        apart, net = np.ones(len(label), bool), learn(texts, label, seed)
+    if net is None:
+        return None
+    top, count = top_windows(net, [texts[i] for i in np.flatnonzero(apart)])
+    has = count > 0
+    features = np.stack([top[has], np.log(count[has]), np.ones(has.sum())], axis=1).astype(float)
+    net["cal"] = logistic(features, label[apart][has], weight[apart][has])
+    return net
+
+
+def top_windows(net: dict, texts: list[str], chunk: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """The highest logit of each text's windows, and their number."""
+    top, count = [], []
+    for i in range(0, len(texts), chunk):
+        t = tokens(*words.flat(pa.array(texts[i : i + chunk], pa.string())))
+        start, row = windows(t.before)
+        logit, n = window_logits(net, t, start, row), np.bincount(row, minlength=len(t.before) - 1)
+        best = np.zeros(len(n))
+        has = np.flatnonzero(n)
+        if len(has):
+            best[has] = np.maximum.reduceat(logit, (np.cumsum(n) - n)[has])
+        top.append(best)
+        count.append(n)
+    return np.concatenate(top), np.concatenate(count)
+
+
+def all_tokens(texts: list[str], chunk: int = 100) -> Tokens:
+    """tokens() of many texts, some at a time, so that arrays over bytes stay small."""
+    parts = [tokens(*words.flat(pa.array(texts[i : i + chunk], pa.string()))) for i in range(0, len(texts), chunk)]
+    at = np.cumsum([0, *(len(p.word) for p in parts)])
+    word, first, new = np.unique(np.concatenate([p.word for p in parts]), return_index=True, return_inverse=True)
+    ids = np.concatenate([new[a:b][p.ids] for p, a, b in zip(parts, at, at[1:], strict=False)]).astype(np.int32)
+    before = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.before) for p in parts]))])
+    size = np.concatenate([np.diff(p.gram_at) for p in parts])
+    grams, begin = np.concatenate([p.gram for p in parts]), np.concatenate([[0], np.cumsum(size)])[:-1]
+    gram_at = np.concatenate([[0], np.cumsum(size[first])])
+    return Tokens(ids, before, word, grams[np.repeat(begin[first] - gram_at[:-1], size[first]) + np.arange(gram_at[-1])], gram_at)
+
+
+def block_logits(net: dict, t: Tokens, start: np.ndarray, row: np.ndarray, block: int = 1 << 12) -> np.ndarray:
+    """window_logits() with inputs of only the words that some windows at a time have."""
+    out, none = [np.zeros(0, np.float32)], len(t.word)
+    for i in range(0, len(start), block):
+        ids = take(t.ids, start[i : i + block], t.before[row[i : i + block] + 1], none)
+        used, local = np.unique(ids, return_inverse=True)
+        used = used[:-1] if len(used) and used[-1] == none else used
+        out.append(forward(net, inputs(net, sub_tokens(t, used)), local.reshape(ids.shape), len(used)))
+    return np.concatenate(out)
+
+
+def learn(texts: list[str], label: np.ndarray, seed: int) -> dict[str, np.ndarray] | None:
+    """Trained weights without calibration."""
+    t = all_tokens(texts)
     start, row = windows(t.before)
     if not len(start):
         return None
@@ -239,7 +302,7 @@ def train(texts: list[str], label: np.ndarray, weight: np.ndarray, seed: int = 7
     has = np.flatnonzero(np.diff([*at, len(row)]) > 0)
     for epoch in range(EPOCHS):
         if epoch in (2, 4):
-            rank = window_logits(net, t, start, row)
+            rank = block_logits(net, t, start, row)
         order = np.lexsort((-rank, row))
         best = order[at[has]]
         toxic, clean = best[label[has] == 1], best[label[has] == 0]
@@ -250,9 +313,6 @@ def train(texts: list[str], label: np.ndarray, weight: np.ndarray, seed: int = 7
         for i in range(0, len(pick), size):
             b = pick[i : i + size]
             train_step(net, state, t, take(t.ids, start[b], t.before[row[b] + 1], len(t.word)), label[row[b]], RATE * (0.5 if epoch >= EPOCHS - 2 else 1))
-    top = np.maximum.reduceat(window_logits(net, t, start, row), at[has])
-    features = np.stack([top, np.log(np.diff([*at, len(row)])[has]), np.ones(len(has))], axis=1).astype(float)
-    net["cal"] = logistic(features, label[has], weight[has])
     return net
 
 
@@ -290,9 +350,23 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     share = {y: min(1.0, most / max(1, count.get(y, 0))) for y, most in ((1, fit_toxic), (0, fit_clean))}
     chance = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30))
     drawn = marks.where(F.when(F.col("__y") == 1, chance < int(share[1] * (1 << 30))).otherwise(chance < int(share[0] * (1 << 30))))
-    rows = docs.select(key, text).join(F.broadcast(drawn), key).dropDuplicates([key]).toPandas().sort_values(key)
-    y = rows["__y"].to_numpy(np.float32)
-    return train(["" if x is None else x for x in rows[text]], y, np.where(y == 1, 1 / share[1], 1 / share[0]))
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(drawn.withColumnRenamed(key, "key")), "key").dropDuplicates(["key"])
+    weight = {1: 1 / share[1], 0: 1 / share[0]}
+
+    def run(batches):
+        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+        if table is None:
+            return
+        table = table.sort_by("key")
+        y = table.column("__y").to_numpy().astype(np.float32)
+        net = train([x or "" for x in table.column("text").to_pylist()], y, np.where(y == 1, weight[1], weight[0]))
+        if net is not None:
+            np.savez(out := io.BytesIO(), **net)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["net"])
+
+    # the drawn rows meet in one task, so the driver holds only the weights
+    found = rows.select("key", "text", "__y").repartition(1).mapInArrow(run, "net binary").collect()
+    return dict(np.load(io.BytesIO(found[0]["net"]))) if found else None
 
 
 def score(df: DataFrame, net: dict | None, text: str = "text") -> DataFrame:
