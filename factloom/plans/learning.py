@@ -109,8 +109,17 @@ c AS (SELECT page_id, kind, least(greatest(floor(x0 * 48)::INT, 0), 47) AS xa, l
 r AS (SELECT page_id, kind, xa, greatest(xa, xb) AS xb, unnest(range(ya, greatest(ya, yb) + 1))::INT AS gy FROM c)
 SELECT DISTINCT page_id, kind, gy, unnest(range(xa, xb + 1))::INT AS gx FROM r""")
 def layout_grid(t):
-    b = t.lineitem.where("l_orderkey % 20 = 0").select(F.col("l_orderkey").alias("page_id"), F.col("l_returnflag").alias("kind"), (F.col("l_discount") * 5).alias("x0"), (F.col("l_tax") * 5).alias("y0"), F.least(F.col("l_discount") * 5 + 0.25, F.lit(1.0)).alias("x1"), F.least(F.col("l_tax") * 5 + 0.125, F.lit(1.0)).alias("y1"))
-    return M.layout_grid(b)
+    return M.layout_grid(boxes(t.lineitem.where("l_orderkey % 20 = 0")))
+
+
+@query("j10b_layout_grid_all")
+def layout_grid_all(t):
+    """J10 over every page; the twin of j10 is bound to one page in twenty."""
+    return M.layout_grid(boxes(t.lineitem))
+
+
+def boxes(lines):
+    return lines.select(F.col("l_orderkey").alias("page_id"), F.col("l_returnflag").alias("kind"), (F.col("l_discount") * 5).alias("x0"), (F.col("l_tax") * 5).alias("y0"), F.least(F.col("l_discount") * 5 + 0.25, F.lit(1.0)).alias("x1"), F.least(F.col("l_tax") * 5 + 0.125, F.lit(1.0)).alias("y1"))
 
 
 @query("j11_feature_separation", """
