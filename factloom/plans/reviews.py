@@ -43,6 +43,12 @@ def tag_top_down(t):
     return A.tag_top_down(t.r_rows.join(small, "table_id"), t.r_cells, tree(t))
 
 
+@query("i2b_tag_top_down_all")
+def tag_top_down_all(t):
+    """I2 over tables of any size; the twin of i2 is bound to tables of up to 4 rows."""
+    return A.tag_top_down(t.r_rows, t.r_cells, tree(t))
+
+
 @query("i3_tag_bottom_up", f"""
 WITH {TREE_SQL}, k AS (SELECT doc_id, table_id, parent_id, list_sort(list(DISTINCT tag) FILTER (tag IS NOT NULL)) AS have FROM r_rows WHERE parent_id IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) FILTER (tag IS NULL) = 0),
 m AS (SELECT concept_id, list_sort(list(DISTINCT member)) AS members FROM tree GROUP BY 1),

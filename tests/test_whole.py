@@ -23,3 +23,33 @@ def test_every_page_gets_its_grid(spark):
         want |= {(r["l_orderkey"], r["l_returnflag"], y, x) for y in range(ya, max(ya, yb) + 1) for x in range(xa, max(xa, xb) + 1)}
     rows = [(r["page_id"], r["kind"], r["gy"], r["gx"]) for r in registry.QUERIES["j10b_layout_grid_all"](spark, DIR).collect()]
     assert len(rows) == len(want) and set(rows) == want
+
+
+@driver_tables
+def test_top_down_reads_tables_of_any_size(spark):
+    from collections import defaultdict
+
+    from factloom.plans.reviews import TREE
+
+    t = shapes.Inputs(spark, DIR)
+    cells, kids, rows = defaultdict(dict), defaultdict(list), {r["row_id"]: r for r in t.r_rows.collect()}
+    for c in t.r_cells.collect():
+        cells[c["row_id"]][c["col_idx"]] = c["value"]
+    for r in sorted(rows.values(), key=lambda r: r["row_idx"]):
+        if r["parent_id"] is not None:
+            kids[r["parent_id"]].append(r)
+    want, sizes = set(), set()
+    for parent, under in kids.items():
+        have = {r["tag"] for r in under}
+        missing = [m for c, m, _ in TREE if c == rows[parent]["tag"] and m not in have]
+        free = [r["row_id"] for r in under if r["tag"] is None]
+        checked = []
+        for col, value in cells[parent].items():
+            parts = [cells[r["row_id"]][col] for r in under if col in cells[r["row_id"]]]
+            if parts and value is not None and None not in parts:
+                checked.append(abs(sum(parts) - value) <= 1000)
+        if len(free) == len(missing) and 1 <= len(free) <= 5 and checked and all(checked):
+            want |= {(i, m, 0.85 if len(free) == 1 else 0.75) for i, m in zip(free, missing, strict=True)}
+            sizes.add(len(under) + 1)
+    got = {(r["row_id"], r["concept_id"], r["confidence"]) for r in registry.QUERIES["i2b_tag_top_down_all"](spark, DIR).collect()}
+    assert got == want and max(sizes) > 4
