@@ -37,22 +37,31 @@ def tag_top_down(rows: DataFrame, cells: DataFrame, tree: DataFrame, tol: float
     return pairs.select("doc_id", "table_id", F.col("pair.row").alias("row_id"), F.col("pair.concept").alias("concept_id"), conf.alias("confidence"), F.lit("top_down").alias("rule"))
 
 
-def tag_bottom_up(rows: DataFrame, cells: DataFrame, tree: DataFrame, tol: float = 1000.0) -> DataFrame:
-    """An untagged parent all of whose children are tagged with exactly a concept's members (or a part of them)."""
+def tag_bottom_up(rows: DataFrame, cells: DataFrame, tree: DataFrame, tol: float = 1000.0, check_sums: bool = False) -> DataFrame:
+    """An untagged parent all of whose children are tagged with exactly a concept's members (or a part of them).
+    With check_sums, a parent that has values gets 0.95 (part: 0.75) if its children add up to it and 0.70 if they don't."""
     kids = rows.where("parent_id is not null").groupBy("doc_id", "table_id", "parent_id").agg(F.array_sort(F.collect_set("tag")).alias("have"), F.count_if(F.col("tag").isNull()).alias("open")).where("open = 0")
     parents = rows.where("tag is null").select(F.col("row_id").alias("parent_id"))
     members = tree.groupBy("concept_id").agg(F.array_sort(F.collect_set("member")).alias("members"))
     p = kids.join(parents, "parent_id").withColumn("one", F.explode("have")).join(tree.select("concept_id", F.col("member").alias("one")), "one").drop("one").distinct().join(members, "concept_id")
     p = p.where(F.size(F.array_except("have", "members")) == 0).withColumn("exact", F.size("have") == F.size("members"))
-    return p.groupBy("doc_id", "table_id", "parent_id").agg(F.max_by(F.struct("concept_id", "exact"), F.struct("exact", "concept_id")).alias("hit")).select(
-        "doc_id", "table_id", F.col("parent_id").alias("row_id"), F.col("hit.concept_id").alias("concept_id"), F.when(F.col("hit.exact"), 0.90).otherwise(0.70).alias("confidence"), F.lit("bottom_up").alias("rule")
-    )
+    best = p.groupBy("doc_id", "table_id", "parent_id").agg(F.max_by(F.struct("concept_id", "exact"), F.struct("exact", "concept_id")).alias("hit"))
+    conf = F.when(F.col("hit.exact"), 0.90).otherwise(0.70)
+    if check_sums:
+        sums = cells.join(rows.where("parent_id is not null").select("row_id", "parent_id"), "row_id").groupBy("parent_id", "col_idx").agg(F.sum("value").alias("s"), F.count("value").alias("n"), F.count(F.lit(1)).alias("k"))
+        own = cells.where("value is not null").select(F.col("row_id").alias("parent_id"), "col_idx", F.col("value").alias("v"))
+        sums = own.join(sums, ["parent_id", "col_idx"], "left").groupBy("parent_id").agg(F.coalesce(F.bool_and(F.when(F.col("n") == F.col("k"), F.abs(F.col("s") - F.col("v")) <= tol)), F.lit(False)).alias("adds_up"))
+        best = best.join(sums, "parent_id", "left")
+        conf = F.when(F.col("adds_up"), F.when(F.col("hit.exact"), 0.95).otherwise(0.75)).when(~F.col("adds_up"), 0.70).otherwise(conf)
+    return best.select("doc_id", "table_id", F.col("parent_id").alias("row_id"), F.col("hit.concept_id").alias("concept_id"), conf.alias("confidence"), F.lit("bottom_up").alias("rule"))
 
 
 def tag_cross_table(rows: DataFrame, cells: DataFrame, face: DataFrame, concept_tol: float = 1000.0) -> DataFrame:
-    """I4: untagged totals whose values equal a face concept's in all columns that both have. face: doc_id, concept_id, col_idx, amount."""
-    r = rows.where("tag is null and row_type = 'TOTAL_EXPLICIT'").select("doc_id", "table_id", "row_id").join(cells.where("value is not null").select("row_id", "col_idx", "value"), "row_id")
-    j = r.join(face, ["doc_id", "col_idx"]).groupBy("doc_id", "table_id", "row_id", "concept_id").agg(F.bool_and(F.abs(F.col("value") - F.col("amount")) <= concept_tol).alias("ok")).where("ok")
+    """I4: untagged totals whose values equal a face concept's in all columns that both have. face: doc_id, concept_id, col_idx, amount,
+    and context where a concept is only looked for in tables of one; rows then have context too."""
+    by = [c for c in ("context",) if c in face.columns]
+    r = rows.where("tag is null and row_type = 'TOTAL_EXPLICIT'").select("doc_id", "table_id", "row_id", *by).join(cells.where("value is not null").select("row_id", "col_idx", "value"), "row_id")
+    j = r.join(face, ["doc_id", "col_idx", *by]).groupBy("doc_id", "table_id", "row_id", "concept_id").agg(F.bool_and(F.abs(F.col("value") - F.col("amount")) <= concept_tol).alias("ok")).where("ok")
     return j.groupBy("doc_id", "table_id", "row_id").agg(F.min("concept_id").alias("concept_id")).select("doc_id", "table_id", "row_id", "concept_id", F.lit(0.70).alias("confidence"), F.lit("cross_table").alias("rule"))
 
 
@@ -77,11 +86,34 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cascade(rows: DataFrame, cells: DataFrame, tables: DataFrame, index: DataFrame, tree: DataFrame, max_rounds: int = 10) -> DataFrame:
-    """Label matches, then rounds of I2 and I3 until no row gets a new tag. A tag is never overwritten. Returns the new tags with their round."""
+PRIMARY = ["PNL", "SFP", "OCI", "CFS", "SOCIE"]
+
+
+def tied_totals(rows: DataFrame, cells: DataFrame, tables: DataFrame, ties: DataFrame) -> DataFrame:
+    """I4 over ties of notes to primary statements. ties: face_concept, note_concept, context (of the note)."""
+    face = rows.where("tag is not null").join(tables.where(F.col("context").isin(PRIMARY)).select("table_id"), "table_id", "left_semi").join(cells.where("value is not null").select("row_id", "col_idx", "value"), "row_id")
+    face = face.groupBy("doc_id", F.col("tag").alias("face_concept"), "col_idx").agg(F.max_by("value", "row_id").alias("amount"))  # the last one counts
+    face = face.join(F.broadcast(ties), "face_concept").select("doc_id", F.col("note_concept").alias("concept_id"), "context", "col_idx", "amount")
+    return tag_cross_table(rows.join(tables.select("table_id", "context"), "table_id"), cells, face)
+
+
+def cascade(rows: DataFrame, cells: DataFrame, tables: DataFrame, index: DataFrame, tree: DataFrame, max_rounds: int = 10, ties: DataFrame | None = None, rules: DataFrame | None = None) -> DataFrame:
+    """Label matches, then rounds of I2 to I5 until no row gets a new tag. A tag is never overwritten. Returns the new tags with their round.
+    I4 needs ties (see tied_totals) and I5 rules (result, numerator, denominator)."""
+    from .classify import tag_ratio
+
+    def candidates(state: DataFrame) -> DataFrame:
+        out = tag_top_down(state, cells, tree).unionByName(tag_bottom_up(state, cells, tree, check_sums=True))
+        if ties is not None:
+            out = out.unionByName(tied_totals(state, cells, tables, ties))
+        if rules is not None:
+            tags = state.where("tag is not null").select("table_id", "row_id", F.col("tag").alias("concept_id"))
+            out = out.unionByName(tag_ratio(state.where("row_type <> 'SEPARATOR'"), cells, tags, rules))
+        return out
+
     state, found, k = rows, None, 0
     while k < max_rounds:
-        one = tag_label_match(state, tables, index) if k == 0 else tag_top_down(state, cells, tree).unionByName(tag_bottom_up(state, cells, tree))
+        one = tag_label_match(state, tables, index) if k == 0 else candidates(state)
         new = shared_table(best_tag_per_row(one).withColumn("round", F.lit(k)), "cascade")
         if k and new.isEmpty():
             break

@@ -73,7 +73,9 @@ def tag_cross_table(t):
 
 @query("i6_cascade")
 def cascade(t):
-    return A.cascade(t.r_rows, t.r_cells, t.r_tables, index(t), tree(t))
+    ties = t.r_edges.where("edge_type = 'NOTE_TO_FACE'").select(F.col("concept_id").alias("face_concept"), F.col("concept_id").alias("note_concept"), F.col("other_context").alias("context"))
+    rules = t.spark.createDataFrame([("RATIO", "LARGE", "SMALL")], "result string, numerator string, denominator string")
+    return A.cascade(t.r_rows, t.r_cells, t.r_tables, index(t), tree(t), ties=ties, rules=rules)
 
 
 @query("e12_best_tag_per_row", f"""

@@ -53,3 +53,31 @@ def test_top_down_reads_tables_of_any_size(spark):
             sizes.add(len(under) + 1)
     got = {(r["row_id"], r["concept_id"], r["confidence"]) for r in registry.QUERIES["i2b_tag_top_down_all"](spark, DIR).collect()}
     assert got == want and max(sizes) > 4
+
+
+def test_cascade_runs_every_rule_in_each_round(spark):
+    from factloom.operators import tagging
+
+    row = "doc_id long, table_id long, row_id long, row_idx int, label string, row_type string, parent_id long, tag string"
+    made = [
+        (1, 1, 10, 0, "Sales", "DATA", None, "S"), (1, 1, 11, 1, "Per share", "DATA", None, "P"), (1, 1, 12, 2, "Shares", "DATA", None, None), (1, 1, 13, 3, "Other", "DATA", None, None),
+        (1, 2, 20, 0, "Total", "TOTAL_EXPLICIT", None, None), (1, 2, 21, 1, "North", "DATA", 20, "N"), (1, 2, 22, 2, "South", "DATA", 20, None),
+        (1, 3, 30, 0, "Total", "TOTAL_EXPLICIT", None, None),
+        (1, 4, 40, 0, "Sum", "TOTAL_EXPLICIT", None, None), (1, 4, 41, 1, "x", "DATA", 40, "X"), (1, 4, 42, 2, "y", "DATA", 40, "Y"),
+        (1, 5, 50, 0, "Sum", "TOTAL_EXPLICIT", None, None), (1, 5, 51, 1, "x", "DATA", 50, "X"), (1, 5, 52, 2, "y", "DATA", 50, "Y"),
+        (1, 6, 60, 0, "Sum", "TOTAL_EXPLICIT", None, None), (1, 6, 61, 1, "x", "DATA", 60, "X"), (1, 6, 62, 2, "y", "DATA", 60, "Y"),
+    ]
+    rows = spark.createDataFrame(made, row)
+    values = {10: (90000.0, 80000.0), 11: (3.0, 2.0), 12: (30000.0, 40000.0), 13: (30000.0, 7.0), 20: (90400.0, 80000.0), 21: (50000.0, 30000.0), 22: (40000.0, 50000.0), 30: (90400.0, 80000.0)}
+    values |= {40: (9000.0, None), 41: (4000.0, 1.0), 42: (5000.0, 1.0), 50: (99000.0, None), 51: (4000.0, 1.0), 52: (5000.0, 1.0)}
+    cells = spark.createDataFrame([(r // 10, r, c, v) for r, pair in values.items() for c, v in enumerate(pair, 1)], "table_id long, row_id long, col_idx int, value double")
+    tables = spark.createDataFrame([(1, 1, "PNL"), (1, 2, "NOTE"), (1, 3, "ELSE"), (1, 4, "ELSE"), (1, 5, "ELSE"), (1, 6, "ELSE")], "doc_id long, table_id long, context string")
+    index = spark.createDataFrame([], "norm string, concept_id string")
+    tree = spark.createDataFrame([("S.NOTE", "N", 1), ("S.NOTE", "M", 2), ("XY", "X", 1), ("XY", "Y", 2)], "concept_id string, member string, ord int")
+    ties = spark.createDataFrame([("S", "S.NOTE", "NOTE")], "face_concept string, note_concept string, context string")
+    rules = spark.createDataFrame([("SHARES", "S", "P")], "result string, numerator string, denominator string")
+    got = sorted((r["row_id"], r["concept_id"], r["rule"], r["confidence"], r["round"]) for r in tagging.cascade(rows, cells, tables, index, tree, ties=ties, rules=rules).collect())
+    assert got == [
+        (12, "SHARES", "ratio", 0.6, 1), (20, "S.NOTE", "cross_table", 0.7, 1), (22, "M", "top_down", 0.85, 2),
+        (40, "XY", "bottom_up", 0.95, 1), (50, "XY", "bottom_up", 0.7, 1), (60, "XY", "bottom_up", 0.9, 1),
+    ]
