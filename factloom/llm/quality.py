@@ -100,17 +100,41 @@ def measure(df: DataFrame, text: str = "text", host: str = "source") -> DataFram
     return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def rules(df: DataFrame, text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+def without_lines(df: DataFrame) -> DataFrame:
+    """df with `clean_text`: `__text_in` without the lines whose hashes are in `__gone`; blank lines stay."""
+    keep = [c for c in df.columns if c not in ("__text_in", "__gone")]
+
+    def run(batches):
+        for part in shared.chunks(batches, "__text_in"):
+            out = []
+            for text, gone in zip(part.column("__text_in").to_pylist(), part.column("__gone").to_pylist(), strict=True):
+                if gone:
+                    lines = text.encode().split(b"\n")
+                    norm = [b" ".join(x.translate(LOWER).split()) for x in lines]
+                    ends = np.array([0, *map(len, norm)], np.int64).cumsum()
+                    hashes = words.span_hash(words.prefix(np.frombuffer(b"".join(norm), np.uint8)), ends[:-1], ends[1:]).view(np.int64)
+                    drop = set(gone)
+                    text = b"\n".join(x for x, n, h in zip(lines, norm, hashes.tolist(), strict=True) if not n or h not in drop).decode()
+                out.append(text)
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(out, pa.string())], names=[*keep, "clean_text"])
+
+    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+    return df.mapInArrow(run, f"{kinds}clean_text string")
+
+
+def rules(df: DataFrame, text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE, cleaned: bool = False) -> DataFrame:
     """df without `text`, with counts, `removed_words` (words of lines that too many documents of the host have),
-    `base_failed` and `kept`."""
-    table = shared.written(measure(df, text, host).withColumn("__row", F.monotonically_increasing_id()), "quality")
+    `base_failed` and `kept`; if `cleaned`, also `clean_text`, the text without those lines."""
+    table = shared.written(measure(df.withColumn("__text_in", F.col(text)) if cleaned else df, text, host).withColumn("__row", F.monotonically_increasing_id()), "quality")
     lines = table.select("__row", F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("null")).alias("host"), F.explode("__lines").alias("l")).select("__row", "host", "l.h", "l.w")
     common = lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_docs).select("host", "h")
-    removed = lines.join(common, ["host", "h"]).groupBy("__row").agg(F.sum("w").alias("removed_words"))
+    gone = [F.collect_list("h").alias("__gone")] if cleaned else []
+    removed = lines.join(common, ["host", "h"]).groupBy("__row").agg(F.sum("w").alias("removed_words"), *gone)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     out = table.drop("__lines").join(removed, "__row", "left").drop("__row").fillna(0, ["removed_words"])
     out = out.withColumn("base_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= F.lit(min_share) * F.col("n_words")))
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= F.lit(min_share) * F.col("n_words")))
+    return without_lines(out) if cleaned else out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -368,9 +368,9 @@ def repeated(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return spans.groupBy("doc").agg(F.collect_list(F.struct("lo", "len")).alias("spans"))
 
 
-def cut(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df without `text`, with n_bytes, n_removed, n_spans and kept_sha256, and the kept bytes' text if `text` is asked for."""
-    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
+def cut(df: DataFrame, key: str = "doc_id", text: str = "text", kept: bool = False) -> DataFrame:
+    """df without `text`, with n_bytes, n_removed, n_spans and kept_sha256; if `kept`, also kept_bytes (a cut may part a character)."""
+    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_bytes"] * kept
     keep = [c for c in df.columns if c not in (text, *made)]
     kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
     spans = repeated(df, key, text)
@@ -383,7 +383,7 @@ def cut(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             for i, spans in enumerate(lists):
                 own = data[at[i] : at[i + 1]]
                 if not spans:
-                    rows.append((len(own), 0, 0, hashlib.sha256(own.tobytes()).hexdigest()))
+                    rows.append((len(own), 0, 0, hashlib.sha256(own.tobytes()).hexdigest(), *[own.tobytes()] * kept))
                     continue
                 cover = np.zeros(len(own) + 1, np.int32)
                 lo = np.array([s["lo"] for s in spans])
@@ -391,11 +391,12 @@ def cut(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 np.add.at(cover, np.minimum(lo + np.array([s["len"] for s in spans]), len(own)), -1)
                 gone = np.cumsum(cover)[:-1] > 0
                 runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                rows.append((len(own), int(gone.sum()), runs, hashlib.sha256(own[~gone].tobytes()).hexdigest()))
-            types = [pa.int64()] * 3 + [pa.string()]
+                left = own[~gone].tobytes()
+                rows.append((len(own), int(gone.sum()), runs, hashlib.sha256(left).hexdigest(), *[left] * kept))
+            types = [pa.int64()] * 3 + [pa.string()] + [pa.binary()] * kept
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), types, strict=True))], names=[*keep, *made])
 
-    return both.mapInArrow(run, f"{kinds}n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return both.mapInArrow(run, f"{kinds}n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept_bytes binary' * kept}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

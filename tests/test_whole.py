@@ -96,3 +96,25 @@ def test_drained_streams_are_kept_in_files(spark, tmp_path):
         assert sorted(map(tuple, out.collect())) == [(1, "a", 2), (2, "a", 0), (3, "b", 1)] and out.inputFiles()
     assert result("none").collect() == []
     assert not [x.name for x in spark.catalog.listTables() if x.name.startswith("drained_")]
+
+
+def test_quality_gives_the_text_without_common_lines(spark):
+    from factloom.llm import quality
+
+    made = [(i, f"own line {'abcdefg'[i]}\n\nThis  LINE 7 is\tshared\nEnd ü {'abcdefg'[i]}", "h") for i in range(4)] + [(9, "This line 1 is shared\nx", "other"), (10, None, "h"), (11, "", None)]
+    table = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(3)
+    got = {r["doc_id"]: (r["clean_text"], r["removed_words"]) for r in quality.rules(table, max_docs=3, cleaned=True).collect()}
+    assert got == {i: (f"own line {'abcdefg'[i]}\n\nEnd ü {'abcdefg'[i]}", 5) for i in range(4)} | {9: (made[4][1], 0), 10: (None, 0), 11: ("", 0)}
+    assert "clean_text" not in quality.rules(table).columns
+
+
+def test_suffix_dedup_gives_the_kept_bytes(spark):
+    import hashlib
+
+    from factloom.llm import suffixes
+
+    passage = " ".join(f"word{i}" for i in range(40))
+    table = spark.createDataFrame([(1, passage), (2, "before it " + passage + " and after"), (3, "ü"), (4, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffixes.cut(table, kept=True).collect()}
+    assert {k: bytes(r["kept_bytes"]) for k, r in got.items()} == {1: passage.encode(), 2: b"before it  and after", 3: "ü".encode(), 4: b""}
+    assert all(hashlib.sha256(r["kept_bytes"]).hexdigest() == r["kept_sha256"] for r in got.values())
