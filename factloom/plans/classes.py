@@ -176,6 +176,24 @@ def tag_ratio(t):
     return C.tag_ratio(t.r_rows, t.r_cells.where("col_idx = 1"), t.r_rows.where("tag is not null").select("table_id", "row_id", F.col("tag").alias("concept_id")), rules, 0.9)
 
 
+def ratio_inputs(t):
+    """Rows and cells, and for each table with the tags LARGE and SMALL a row of their quotients (row_id + 98) and one that is off in column 2 (+ 99)."""
+    side = lambda tag, name: t.r_rows.where(F.col("tag") == tag).select("doc_id", "table_id", "row_id").join(t.r_cells.where("value is not null").select("row_id", "col_idx", "value"), "row_id").groupBy("doc_id", "table_id", "col_idx").agg(F.min("value").alias(name))
+    q = side("LARGE", "n").join(side("SMALL", "d"), ["doc_id", "table_id", "col_idx"]).where("d <> 0").select("doc_id", "table_id", "col_idx", (F.col("n") / F.col("d")).alias("q"), F.explode(F.array(F.lit(98), F.lit(99))).alias("row_idx"))
+    q = q.withColumn("row_id", F.col("table_id") * 100 + F.col("row_idx"))
+    rows = q.select("doc_id", "table_id", "row_idx", "row_id", F.lit("Ratio").alias("label"), F.lit("DATA").alias("row_type"), F.lit(None).cast("long").alias("parent_id"), F.lit(None).cast("string").alias("tag")).distinct()
+    cells = q.select("table_id", "row_id", "row_idx", "col_idx", F.when((F.col("row_idx") == 99) & (F.col("col_idx") == 2), F.col("q") * 1.01).otherwise(F.col("q")).alias("value"))
+    return t.r_rows.unionByName(rows), t.r_cells.unionByName(cells)
+
+
+@query("i5b_tag_ratio_all")
+def tag_ratio_all(t):
+    """I5 over all columns at the operator's own tolerance; the twin of i5 is bound to column 1 and 90 %."""
+    rules = t.spark.createDataFrame([("RATIO", "LARGE", "SMALL")], "result string, numerator string, denominator string")
+    rows, cells = ratio_inputs(t)
+    return C.tag_ratio(rows, cells, rows.where("tag is not null").select("table_id", "row_id", F.col("tag").alias("concept_id")), rules)
+
+
 @query("i7_pretag", """
 WITH ix AS (SELECT lower(p_name) AS norm, min(p_type) AS concept_id FROM part WHERE p_partkey % 2 = 0 GROUP BY 1)
 SELECT r.row_id, concept_id, t.context FROM (SELECT table_id, row_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(raw), '\\(?(see )?note [0-9]{1,3}\\)?', '', 'g'), '^\\s*[a-z]\\)\\s*', ''), ':\\s*$', ''), '\\s+', ' ', 'g')) AS norm FROM l_labels) r

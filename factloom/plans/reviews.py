@@ -66,9 +66,18 @@ WITH face AS ({FACE}), j AS (SELECT r.doc_id, r.table_id, r.row_id, f.concept_id
   WHERE r.tag IS NULL AND r.row_type = 'TOTAL_EXPLICIT' AND c.value IS NOT NULL GROUP BY 1, 2, 3, 4)
 SELECT doc_id, table_id, row_id, min(concept_id) AS concept_id, 0.7::DOUBLE AS confidence, 'cross_table' AS rule FROM j WHERE ok GROUP BY 1, 2, 3""")
 def tag_cross_table(t):
+    return A.tag_cross_table(t.r_rows, t.r_cells, face_amounts(t), 20_000)
+
+
+@query("i4b_tag_cross_table_exact")
+def tag_cross_table_exact(t):
+    """I4 at the operator's own tolerance; the twin of i4 is bound to 20,000."""
+    return A.tag_cross_table(t.r_rows, t.r_cells, face_amounts(t))
+
+
+def face_amounts(t):
     face = t.r_rows.where("tag is not null").join(t.r_tables.where("context = 'PNL'").select("table_id"), "table_id").join(t.r_cells.where("value is not null").select("row_id", "col_idx", "value"), "row_id")
-    face = face.groupBy("doc_id", F.col("tag").alias("concept_id"), "col_idx").agg(F.min_by("value", "row_id").alias("amount"))
-    return A.tag_cross_table(t.r_rows, t.r_cells, face, 20_000)
+    return face.groupBy("doc_id", F.col("tag").alias("concept_id"), "col_idx").agg(F.min_by("value", "row_id").alias("amount"))
 
 
 @query("i6_cascade")

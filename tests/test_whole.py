@@ -118,3 +118,39 @@ def test_suffix_dedup_gives_the_kept_bytes(spark):
     got = {r["doc_id"]: r for r in suffixes.cut(table, kept=True).collect()}
     assert {k: bytes(r["kept_bytes"]) for k, r in got.items()} == {1: passage.encode(), 2: b"before it  and after", 3: "ü".encode(), 4: b""}
     assert all(hashlib.sha256(r["kept_bytes"]).hexdigest() == r["kept_sha256"] for r in got.values())
+
+
+@driver_tables
+def test_ties_and_ratios_agree_in_every_column(spark):
+    from collections import defaultdict
+
+    from factloom.plans.classes import ratio_inputs
+    from factloom.plans.reviews import face_amounts
+
+    t = shapes.Inputs(spark, DIR)
+    rows, cells = ([r.asDict() for r in x.collect()] for x in ratio_inputs(t))
+    value, sides = defaultdict(dict), defaultdict(list)
+    for c in cells:
+        if c["value"] is not None:
+            value[c["row_id"]][c["col_idx"]] = c["value"]
+    for r in rows:
+        for col, v in value[r["row_id"]].items():
+            sides[r["table_id"], r["tag"], col].append(v)
+    ratio = set()
+    for r in (r for r in rows if r["tag"] is None):
+        q = {c: min(sides[r["table_id"], "LARGE", c]) / min(sides[r["table_id"], "SMALL", c]) for c in value[r["row_id"]] if sides[r["table_id"], "LARGE", c] and sides[r["table_id"], "SMALL", c] and min(sides[r["table_id"], "SMALL", c])}
+        if q and all(abs(value[r["row_id"]][c] - x) <= 0.001 * abs(x) for c, x in q.items()):
+            ratio.add(r["row_id"])
+    got = {r["row_id"] for r in registry.QUERIES["i5b_tag_ratio_all"](spark, DIR).collect()}
+    assert got == ratio and any(r % 100 == 98 for r in got) and not any(r % 100 == 99 and 2 in value[r] for r in got)
+
+    face = defaultdict(dict)
+    for f in face_amounts(t).collect():
+        face[f["doc_id"], f["concept_id"]][f["col_idx"]] = f["amount"]
+    ties = defaultdict(set)
+    for r in (r for r in rows if r["tag"] is None and r["row_type"] == "TOTAL_EXPLICIT"):
+        for (doc, concept), amounts in face.items():
+            both = amounts.keys() & value[r["row_id"]].keys()
+            if doc == r["doc_id"] and both and all(abs(value[r["row_id"]][c] - amounts[c]) <= 1000 for c in both):
+                ties[r["row_id"]].add(concept)
+    assert {(r["row_id"], r["concept_id"]) for r in registry.QUERIES["i4b_tag_cross_table_exact"](spark, DIR).collect()} == {(k, min(v)) for k, v in ties.items()}
