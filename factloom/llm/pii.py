@@ -4,13 +4,15 @@ A regular expression of each kind proposes spans; validators confirm them (Luhn
 account numbers, value ranges for addresses, digit counts for phones); words nearby raise the score. Spans
 of the four base kinds stay whatever their score; the other kinds stay from `MIN_SCORE` on.
 
-How spans are located: matches are set between marker characters, the text is split at these, and a fold
-over the pieces adds up their lengths. Markers that the text itself has are replaced by another
+How spans are located: matches are set between marker characters, the text is split at these, and running sums
+of the pieces' lengths, taken in blocks, are the places. The words nearby are cut from the neighbouring pieces, so the work
+grows with the text and not with its square. Markers that the text itself has are replaced by another
 control character first, which no pattern distinguishes from them. Patterns use possessive quantifiers, so
 long runs of digits or letters take linear time.
 
-Defined results: a null or empty text has no spans; positions count code points from 0, ends exclusive;
-repeated rows give the same spans; an empty table gives an empty result; extra columns are kept by `detect`.
+Defined results: a null or empty text has no spans; positions count code points from 0, ends exclusive; of spans that start
+together the kind listed first comes first; repeated rows give the same spans; an empty table gives an empty result;
+extra columns are kept by `detect`, except that one named as its output is replaced.
 """
 
 from __future__ import annotations
@@ -22,17 +24,19 @@ from . import shared
 
 MIN_SCORE = 0.5
 NEAR = 40
+#: A fold copies at most so many entries; matches have five characters or more, so so many pieces beside one hold NEAR characters.
+BLOCK, BESIDE = 64, 18
 SPANS = "array<struct<start:int,ord:int,end:int,kind:string,score:double>>"
 
 LOCAL = r"[A-Za-z0-9._%+-]"
 #: Kind: pattern, cheap necessary test (a substring, or a pattern after "~"), score when confirmed, context words. Fixed values.
 KINDS = {
     "email": (rf"(?:\G|(?<!{LOCAL})){LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", 0.9, "mail|contact|kontakt|correo|courriel"),
-    "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"~[0-9]\.[0-9]", 0.7, r"\bip\b|host|server|address|adresse"),
+    "ip": (r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", r"~[0-9]\.[0-9]", 0.7, "(^|[^a-z0-9_])ip([^a-z0-9_]|$)|host|server|address|adresse"),
     "card": (r"[0-9](?:[\x20-]?[0-9])++", "~(?:[0-9][ -]?){13}[0-9]", 0.8, "card|visa|master|karte|tarjeta|carte"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.6, "phone|call|tel|mobile|fax"),
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "~[A-Z]{2}[0-9]{2}", 0.8, "iban|bank|account|konto|cuenta|compte"),
-    "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "~[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.3, r"\bssn\b|social security|tax id"),
+    "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "~[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.3, "(^|[^a-z0-9_])ssn([^a-z0-9_]|$)|social security|tax id"),
 }
 BASE = ("email", "ip", "card", "phone")
 CONTEXT_BONUS = 0.3
@@ -69,37 +73,63 @@ def confirmed(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(sizes: Column, levels: int = 3) -> Column:
+    """The sum of the entries before each one. A fold copies what it has gathered at every step, so it only runs over
+    blocks of BLOCK entries; the blocks' sums are summed up in the same way."""
+
+    def fold(block: Column) -> Column:
+        start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(block, start, lambda acc, n: F.struct((acc["sum"] + n).alias("sum"), F.concat(acc["out"], F.array(acc["sum"])).alias("out")))
+
+    if levels == 1:
+        return fold(sizes)["out"]
+
+    def shifted(blocks: Column) -> Column:
+        before = running(F.transform(blocks, lambda b: b["sum"]), levels - 1)
+        return let(before, lambda at: F.flatten(F.transform(blocks, lambda b, i: F.transform(b["out"], lambda n: n + F.get(at, i)))))
+
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda k: fold(F.slice(x, k * BLOCK + 1, BLOCK)))
+    return let(sizes, lambda x: let(cut(x), shifted))
+
+
 def spans_of(text: Column, kind: str) -> Column:
     """Confirmed spans of one kind: array<struct<start, ord, end, kind, score>>."""
     pattern, need, score, near = KINDS[kind]
     clean = F.translate(text, "\x01", "\x02")
     pieces = F.split(F.regexp_replace(clean, pattern, "\x01$0\x01"), "\x01", -1)
-    start = F.struct(F.lit(0).alias("pos"), F.lit(False).alias("hit"), F.array().cast("array<struct<s:int,m:string>>").alias("out"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        one = F.array(F.struct(acc["pos"].alias("s"), piece.alias("m")))
-        return F.struct(
-            (acc["pos"] + F.char_length(piece)).alias("pos"),
-            (~acc["hit"]).alias("hit"),
-            F.when(acc["hit"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"),
-        )
+    def located(p: Column) -> Column:
+        """Matches (every second piece) with their places and the characters around them, cut from the pieces nearby."""
+        sizes, ends, heads = F.transform(p, lambda x: F.char_length(x)), F.transform(p, lambda x: F.right(x, F.lit(NEAR))), F.transform(p, lambda x: F.left(x, F.lit(NEAR)))
+
+        def one(i: Column, at: Column, ends: Column, heads: Column) -> Column:
+            before = F.array_join(F.slice(ends, F.greatest(i - BESIDE, F.lit(0)) + 1, F.least(i, F.lit(BESIDE))), "")
+            after = F.array_join(F.slice(heads, i + 2, BESIDE), "")
+            return F.struct(F.get(at, i).alias("s"), F.get(p, i).alias("m"), F.right(before, F.lit(NEAR)).alias("before"), F.left(after, F.lit(NEAR)).alias("after"))
 
-    found = F.aggregate(pieces, start, step, lambda acc: acc["out"])
-    found = F.filter(found, lambda x: confirmed(kind, x["m"]))
+        places = F.sequence(F.lit(1), F.size(p) - 1, F.lit(2))
+        return let(running(sizes), lambda at: let(ends, lambda e: let(heads, lambda h: F.transform(places, lambda i: one(i, at, e, h)))))
 
     def scored(x: Column) -> Column:
-        around = F.lower(F.substr(text, F.greatest(x["s"] - NEAR + 1, F.lit(1)), F.char_length(x["m"]) + 2 * NEAR))
+        around = F.lower(F.concat(x["before"], x["m"], x["after"]))
         bonus = F.when(around.rlike(near), F.lit(CONTEXT_BONUS)).otherwise(F.lit(0.0))
         return F.struct(
             x["s"].alias("start"), F.lit(list(KINDS).index(kind)).alias("ord"), (x["s"] + F.char_length(x["m"])).alias("end"),
             F.lit(kind).alias("kind"), F.least(F.lit(score) + bonus, F.lit(1.0)).alias("score"),
         )
 
-    found = F.transform(found, scored)
+    none = F.array().cast(SPANS)
+    found = lambda p: F.transform(F.filter(located(p), lambda x: confirmed(kind, x["m"])), scored).cast(SPANS)
+    out = let(pieces, lambda p: F.when(F.size(p) > 1, found(p)).otherwise(none))
     if kind not in BASE:
-        found = F.filter(found, lambda x: x["score"] >= MIN_SCORE)
+        out = F.filter(out, lambda x: x["score"] >= MIN_SCORE)
     test = text.rlike(need[1:]) if need[0] == "~" else F.contains(text, F.lit(need))
-    return F.when(test, found).otherwise(F.array()).cast(SPANS)
+    return F.when(test, out).otherwise(none)
 
 
 def joined(spans: Column) -> Column:
@@ -108,8 +138,8 @@ def joined(spans: Column) -> Column:
 
 def detect(df: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     """df with `out`: all spans of a row, sorted by start and kind."""
-    made = {f"__{k}": spans_of(F.coalesce(F.col(text), F.lit("")), k) for k in KINDS}
-    return df.withColumns(made).withColumn(out, F.array_sort(F.concat(*made))).drop(*made)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return df.withColumn(out, F.array_sort(F.concat(*(spans_of(whole, k) for k in KINDS))))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,3 +147,50 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("pii", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("pii", lambda x: x["kind"].isin(*BASE))
     return found.select("doc_id", *map(count, BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"), F.round(F.array_max(F.transform("pii", lambda x: x["score"])), 3).alias("top_score"))
+
+
+def oracle() -> str:
+    """The same in DuckDB, whose patterns have neither look-around nor possessive quantifiers: runs of letters and digits are set
+    between marks (\\x03, \\x04) for account numbers, and a social security number is a whole run of digits and hyphens."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]", "iban": r"\x03[A-Z]{2}[0-9]{2}(?:(?:\x04 \x03)?[A-Z0-9]){11,30}\x04", "ssn": r"[0-9-]+",
+    }
+    kinds = ", ".join(f"({i}, '{k}', {KINDS[k][2]}, '{KINDS[k][3]}', {k in BASE})" for i, k in enumerate(KINDS))
+    source = {"iban": r"regexp_replace(text, '([A-Za-z0-9]+)', chr(3) || '\1' || chr(4), 'g')"}
+    pieces = " UNION ALL ".join(f"SELECT r, {i} AS ord, string_split(regexp_replace({source.get(k, 'text')}, '{plain[k]}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS ps FROM d" for i, k in enumerate(KINDS))
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), chr(1) || chr(3) || chr(4), chr(2) || chr(2) || chr(2)) AS text FROM documents
+), kinds(ord, kind, score, near, base) AS (VALUES {kinds}
+), pieces AS ({pieces}
+), one AS (
+  SELECT r, ord, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM pieces WHERE len(ps) > 1
+), plain AS (
+  SELECT r, ord, i, translate(p, chr(3) || chr(4), '') AS p FROM one
+), placed AS (
+  SELECT r, ord, i, p AS m, (sum(length(p)) OVER (PARTITION BY r, ord ORDER BY i) - length(p))::BIGINT AS s FROM plain
+), match AS (
+  SELECT *, regexp_replace(m, '[^0-9]', '', 'g') AS dg, replace(m, ' ', '') AS acc FROM placed WHERE i % 2 = 0
+), valid AS (
+  SELECT m.*, k.kind, k.score, k.near, k.base, s + length(m) AS e, d.doc_id, d.text FROM match m JOIN kinds k USING (ord) JOIN d USING (r)
+  WHERE CASE k.kind
+    WHEN 'ip' THEN len(list_filter(string_split(m, '.'), lambda p: coalesce(try_cast(p AS INT), 256) > 255)) = 0
+    WHEN 'card' THEN length(dg) BETWEEN 14 AND 19 AND list_sum(list_transform(range(length(dg)), lambda j:
+         CASE WHEN j % 2 = 0 THEN substr(dg, length(dg) - j, 1)::INT ELSE substr('0246813579', substr(dg, length(dg) - j, 1)::INT + 1, 1)::INT END)) % 10 = 0
+    WHEN 'phone' THEN length(dg) BETWEEN 10 AND 15
+    WHEN 'iban' THEN list_reduce(list_transform(range(length(acc)), lambda j: ord(substr(acc, (j + 4) % length(acc) + 1, 1))),
+         lambda a, c: CASE WHEN c BETWEEN 48 AND 57 THEN (a * 10 + c - 48) % 97 ELSE (a * 100 + c - 55) % 97 END, 0) = 1
+    WHEN 'ssn' THEN regexp_full_match(m, '[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}')
+    ELSE true END
+), scored AS (
+  SELECT r, ord, kind, base, s, e, least(1.0, score + CASE WHEN regexp_matches(lower(substr(text, greatest(s - {NEAR}, 0) + 1, least(s, {NEAR})) || m || substr(text, e + 1, {NEAR})), near)
+         THEN {CONTEXT_BONUS} ELSE 0 END)::DOUBLE AS score FROM valid
+), kept AS (
+  SELECT *, kind || ':' || s || ':' || e AS span FROM scored WHERE base OR score >= {MIN_SCORE}
+)
+SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}')::BIGINT AS n_{k}" for k in BASE)},
+       sha256(coalesce(string_agg(span, ',' ORDER BY s, ord) FILTER (base), '')) AS base_sha256,
+       coalesce(string_agg(span, ',' ORDER BY s, ord), '') AS spans, round(max(score), 3) AS top_score
+FROM d LEFT JOIN kept USING (r) GROUP BY r, doc_id
+"""

@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op4_permutation_sharding": sharding.oracle(),
+    "op5_pii_spans": pii.oracle(),
     "op9_flow_mixing": mixing.ORACLE,
     "op10_line_quality": quality.ORACLE,
 }

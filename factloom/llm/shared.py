@@ -8,7 +8,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel takes at once; keeps its arrays inside the CPU caches and memory bounded.
 CHUNK_BYTES = 1 << 21
@@ -30,14 +31,42 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet under the shared folder and reads it again, which cuts its lineage."""
+def written(df: DataFrame, name: str, scratch: list[str] | None = None) -> DataFrame:
+    """Writes df as Parquet under the shared folder and reads it again, which cuts its lineage. The table lies in a folder
+    of the application; its path is added to `scratch`, for drop()."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/factloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, scratch: list[str]) -> None:
+    """Removes tables that written() made and that nothing will read any more."""
+    while scratch:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def ddl(df: DataFrame, keep: list[str]) -> str:
+    """The columns of a schema string, each followed by a comma."""
+    return "".join(f"`{c.replace('`', '``')}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+
+
+def columns(names: list[str]) -> list[Column]:
+    """Columns by name, whatever characters the names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in names]
+
+
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices batches so that each holds about `limit` bytes of `text`, one row at least."""
     for batch in batches:
@@ -45,7 +74,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
         if not n:
             continue
         col = batch.column(text)
-        if pa.types.is_large_string(col.type) or pa.types.is_string(col.type):
+        if pa.types.is_large_string(col.type) or pa.types.is_string(col.type) or pa.types.is_binary(col.type):
             kind = np.int64 if pa.types.is_large_string(col.type) else np.int32
             at = np.frombuffer(col.buffers()[1], kind, n + 1, col.offset * np.dtype(kind).itemsize).astype(np.int64)
         else:

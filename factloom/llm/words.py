@@ -44,7 +44,7 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     if col.null_count:
-        col = col.fill_null("")
+        col = col.fill_null(b"" if pa.types.is_binary(col.type) else "")
     kind = np.int64 if pa.types.is_large_string(col.type) else np.int32
     n = len(col)
     if not n:
