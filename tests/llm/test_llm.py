@@ -185,20 +185,72 @@ def cut_by_hand(pairs):
     return out
 
 
-@pytest.mark.parametrize("many", [1, 20_000])
-def test_suffix_dedup(spark, empty, many, monkeypatch):
+@pytest.mark.parametrize(("many", "hot"), [(1, 1), (3, 2), (2_000, 64), (1, 64)])
+def test_suffix_dedup(spark, empty, many, hot, monkeypatch):
     monkeypatch.setattr(suffixes, "MANY", many)
+    monkeypatch.setattr(suffixes, "HOT", hot)
     r = random.Random(9)
-    passage, short = prose(EN, 60, r), "a line of under a hundred bytes that many have"
+    passage, short = prose(EN, 60, r), "a line of under a hundred bytes that many documents have around it"
     made = [(i, " ".join([prose(EN, 30, r), passage if i % 3 else passage[:150], short, prose(DE, 30, r)])) for i in range(30)]
     made += [(50, made[3][1]), (51, made[3][1][:200] + "X" + made[3][1][201:]), (52, "ab" * 300), (53, "x" * 99), (54, "x" * 250), (55, None), (56, ""), (57, "ü" * 120 + "é" * 3), (58, "ü" * 120)]
-    table = spark.createDataFrame([(*x, "e") for x in made] + [(None, passage, "e")], "doc_id long, text string, n_bytes string").repartition(5)
-    got = {x["doc_id"]: tuple(x[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for x in suffixes.cut(table).collect()}
+    made += [(60 + i, f"{i % 5}" * 20 + short + f"{i % 3}" * 25) for i in range(40)]
+    table = spark.createDataFrame([(*x, "e", "f", "g") for x in made] + [(None, passage, "e", "f", "g")], "doc_id long, text string, n_bytes string, doc string, spans string").repartition(5)
+    cut = suffixes.cut(table)
+    assert cut.columns == ["doc_id", "doc", "spans", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    got = {x["doc_id"]: tuple(x[c] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for x in cut.collect()}
     assert got.pop(None)[1] == 0
     assert got == cut_by_hand(made)
     assert suffixes.cut(empty.select("doc_id", "text")).count() == 0
 
 
+def test_suffix_dedup_keys(spark):
+    r = random.Random(11)
+    long, again = prose(EN, 20_000, r), prose(DE, 40, r)
+    rows = [("k2", again), ("k1", f"{again} tail"), ("k1", f"{again} tail"), ("k3", f"head {again}"), ("k3", long), ("k4", long[5_000:40_000])]
+    got = {(x["k"], x["n_bytes"], x["n_removed"]) for x in suffixes.cut(spark.createDataFrame(rows, "k string, text string"), "k").collect()}
+    order = sorted({k: None for k in rows}, key=lambda x: (x[0], hashlib.sha256(x[1].encode()).hexdigest()))
+    want = cut_by_hand([(i, t) for i, (_, t) in enumerate(order)])
+    assert got == {(k, *want[i][:2]) for i, (k, _) in enumerate(order)}
+
+
+def test_context_rows_in_small_batches():
+    """grouped() gives the same rows however its input is cut into batches."""
+    r = random.Random(12)
+    rows = []
+    for a in range(12):
+        if a % 4 == 0:
+            rows.append((a, suffixes.LOWEST, suffixes.LOWEST, 0, 0, suffixes.MARK, False))
+        for c in range(r.randint(1, 3)):
+            rows += [(a, c, d, d, 5, 0, a % 5 == 1) for d in range(r.randint(1, 3))]
+    rows.append((99, 0, 7, 1, 2, suffixes.WHOLE, False))
+    names = ["akey", "ckey", "doc", "lo", "len", "rel", "hot"]
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            self.run = run
+            return self
+
+    def found(sizes):
+        batches, at = [], 0
+        while at < len(rows):
+            n = sizes()
+            part = rows[at : at + n]
+            at += n
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
+            batches.append(pa.RecordBatch.from_arrays([pa.array([x[k] for x in part], kind) for k, kind in enumerate(kinds)], names=names))
+        return sorted(tuple(x.values()) for b in suffixes.grouped(Frame()).run(iter(batches)) for x in b.to_pylist())
+
+    want = found(lambda: len(rows))
+    anchors = {a: {x[1] for x in rows if x[0] == a and x[5] >= 0} for a in range(12)}
+    assert {x[0] for x in want if not x[5]} == {a for a, c in anchors.items() if len(c) > 1 or a % 4 == 0 or a % 5 == 1}
+    assert {x[0] for x in want if not x[5] and x[6]} == {a for a in anchors if a % 4 == 0 or a % 5 == 1}
+    for _ in range(30):
+        assert found(lambda: r.randint(1, 4)) == want
+
+
 def bag(t):
     w = (t or "").encode().split()
     return Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
