@@ -3,11 +3,13 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import decontamination, language, licenses, mixing, neardup, pii, quality, shared, sharding, suffixes, toxicity, words
 
@@ -337,6 +339,76 @@ def test_flow_prefers_unused_words():
     assert mixing.min_cost_flow({("a",): 10}, {"a": 99})[("a",), "a"] == 30
 
 
+def slow_flow(supply, quotas, costs=mixing.COSTS):
+    """Largest flow at the least cost by single shortest augmenting paths; returns (words, cost)."""
+    arcs = {}
+    for p, n in supply.items():
+        for k, c in enumerate(costs):
+            arcs["from", (p, k)], arcs[(p, k), p] = [n, c], [n, 0]
+            arcs[(p, k), "from"], arcs[p, (p, k)] = [0, -c], [0, 0]
+        for s in p:
+            arcs[p, ("s", s)], arcs[("s", s), p] = [float("inf"), 0], [0, 0]
+    for s, q in quotas.items():
+        arcs[("s", s), "to"], arcs["to", ("s", s)] = [q, 0], [0, 0]
+    words_, cost = 0, 0
+    while True:
+        best, back = {"from": 0}, {}
+        for _ in range(len(arcs)):
+            for (a, b), (cap, c) in arcs.items():
+                if cap > 1e-9 and a in best and best[a] + c < best.get(b, float("inf")) - 1e-9:
+                    best[b], back[b] = best[a] + c, a
+        if "to" not in best:
+            return words_, cost
+        path, b = [], "to"
+        while b != "from":
+            path.append((back[b], b))
+            b = back[b]
+        push = min(arcs[e][0] for e in path)
+        for a, b in path:
+            arcs[a, b][0] -= push
+            arcs[b, a][0] += push
+        words_, cost = words_ + push, cost + push * best["to"]
+
+
+def test_flow_against_single_paths():
+    r = random.Random(6)
+    for _ in range(60):
+        names = "abcde"[: r.randint(1, 5)]
+        supply = {tuple(sorted(r.sample(names, r.randint(1, len(names))))): r.randint(0, 20) for _ in range(r.randint(1, 8))}
+        quotas = {s: r.randint(0, 60) for s in names}
+        got = mixing.min_cost_flow(supply, quotas)
+        of = {p: sum(x for (q, _), x in got.items() if q == p) for p in supply}
+        assert all(x >= -1e-9 for x in got.values())
+        assert all(sum(x for (_, t), x in got.items() if t == s) <= q + 1e-6 for s, q in quotas.items())
+        cost = sum(sum(c * min(max(x - k * supply[p], 0), supply[p]) for k, c in enumerate(mixing.COSTS)) for p, x in of.items())
+        assert (round(sum(of.values()), 4), round(cost, 4)) == tuple(round(v, 4) for v in slow_flow(supply, quotas))
+
+
+def test_flow_of_many_patterns():
+    r = random.Random(7)
+    names = [f"s{i}" for i in range(300)]
+    supply = {tuple(sorted(r.sample(names, r.randint(1, 4)))): r.randint(1, 1000) for _ in range(100_000)}
+    quotas = {s: r.randint(1, 600_000) for s in names}
+    began = time.time()
+    got = mixing.min_cost_flow(supply, quotas)
+    assert time.time() - began < 60
+    total, of = defaultdict(float), defaultdict(float)
+    for (p, s), x in got.items():
+        total[s] += x
+        of[p] += x
+    assert all(total[s] <= quotas[s] + 1e-3 for s in names) and all(of[p] <= 3 * n + 1e-3 for p, n in supply.items())
+
+
+def test_mixing_keeps_clashing_columns(spark):
+    names = ["pattern", "copies", "pattern_size", "flow", "__h", "__pattern", "whole", "cut"]
+    made = [(i, "one two three", f"s{i % 2}", *["mine"] * len(names)) for i in range(40)] + [(7, None, None, *["mine"] * len(names))] * 2
+    table = spark.createDataFrame(made, f"doc_id long, text string, source string, {', '.join(f'{c} string' for c in names)}")
+    out = mixing.repeat(table, mixing.decide(mixing.sized(table)))
+    assert out.columns == table.columns and all(r[c] == "mine" for r in out.collect() for c in names)
+    whole = mixing.mix(table.withColumns({"sources": F.array("source"), "size": F.lit(3)}))
+    assert whole.count() == 42 and all(r["cut"] == "mine" and r["pattern"] != "mine" and r["taken"] == 3 * r["copies"] for r in whole.collect())
+
+
 def test_mixing(docs, empty):
     table = mixing.sized(docs)
     got = mixing.mix(table).collect()
