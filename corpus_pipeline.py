@@ -2,12 +2,16 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's result as Parquet in the
 shared folder and reads it again for the next. All but the last return the columns of documents.
+
+Defined results: a null, empty or letterless text goes at language_id (`und`); a null key is kept by near_dedup and placed as
+"null key"; rows that repeat a key and text, or are near copies of a smaller key, leave one row; a null source is a source
+of its own in the mix; empty tables give empty results; further columns of documents pass through unchanged, except that shard
+replaces columns named slot and shard.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from factloom.llm import decontamination, language, mixing, neardup, shared, sharding
 
@@ -29,9 +33,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it."""
-    decided = mixing.decide(mixing.sized(docs))
-    out = mixing.draw(docs.withColumn("__sources", F.array("source")), decided, sources="__sources")
-    return out.where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    return mixing.repeat(docs, mixing.decide(mixing.sized(docs)))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
