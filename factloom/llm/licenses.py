@@ -1,12 +1,14 @@
 """Licence scans with a positional index over rare words.
 
-Licence templates are short word sequences; each word's inverse document frequency is measured over all documents.
-In every file the scan looks up, for each template, the template's word of highest IDF; each place of it in
-the file proposes an alignment (place in the file minus place in the template). The postings of the
-template's other words are intersected at that relative position, and the mandatory key phrase must
-stand there word for word. The index is small and fixed in size: it holds the templates, not the corpus.
-
-Defined results: a null or empty text has no words and no labels; repeated rows give the same result; an empty table gives
+Licence templates are word sequences; each word's inverse document frequency is measured over all documents.
+The index has the postings of every licence word: the templates and the places in them where it stands. In a file the licence
+words are looked up from the highest IDF on; a word that is the rarest of a template's mandatory key phrase proposes alignments (place
+in the file minus place in the template). These are intersected with those of the phrase's other words, rarest first, so
+an alignment that is left has the whole phrase word for word. For it, the template's words that stand at their relative positions are
+added up by IDF; a template counts from `MIN_SHARE` on. The index is small and fixed in size: it holds the templates, not the corpus.
+
+Defined results: a null or empty text has no words and no labels; a template's best alignment counts; of words with the same IDF the
+first in the phrase proposes; repeated rows give the same result; an empty table gives
 an empty result; extra columns are kept by `scan`, except those named as its outputs.
 """
 
@@ -23,7 +25,7 @@ from . import shared
 
 #: Base phrases and their labels. Fixed values.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Templates beyond these: label, words, mandatory key phrase. Fixed values.
+#: Templates beyond these: label, words, mandatory key phrase. The wording of public licences.
 TEMPLATES = [
     ("gpl-3.0", "gnu general public license version 3", "gnu general public license version 3"),
     ("gpl-2.0", "gnu general public license version 2", "gnu general public license version 2"),
@@ -39,7 +41,17 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee", "permission to use copy modify and or distribute"),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
-]
+    ("mit-notice", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "to deal in the software without restriction"),
+    ("bsd-2-clause", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", "redistributions in binary form must reproduce"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "to endorse or promote products derived from this software"),
+    ("apache-2.0-notice", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "you may not use this file except in compliance with the license"),
+    ("gpl-notice", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose", "free software you can redistribute it and or modify it under the terms of the gnu"),
+    ("isc-notice", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software", "for any purpose with or without fee is hereby granted"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "to alter it and redistribute it freely"),
+    ("boost-1.0", "boost software license version 1 0 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "boost software license"),
+    ("mpl-2.0-notice", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file"),
+    ("unlicense-notice", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "anyone is free to copy modify publish use compile sell or distribute this software"),
+]
 #: A template counts if this share of its words, by IDF, stands at the proposed relative position.
 MIN_SHARE = 0.6
 
@@ -58,8 +70,8 @@ class Entry:
     key: int  # where the mandatory phrase begins in words
     key_len: int
     base: bool
-    lead: int = 0  # place of the word of highest IDF inside the mandatory phrase
     weights: list[float] = field(default_factory=list)
+    phrase: list[int] = field(default_factory=list)  # places of the mandatory phrase, from the highest IDF on
 
 
 def entries() -> list[Entry]:
@@ -70,6 +82,12 @@ def entries() -> list[Entry]:
     return found
 
 
+@dataclass
+class Index:
+    idf: dict[bytes, float]
+    leads: dict[bytes, list[Entry]]  # templates by the rarest word of their mandatory phrase
+
+
 def vocabulary() -> set[bytes]:
     return {w for e in entries() for w in e.words}
 
@@ -91,64 +109,98 @@ def document_frequency(df: DataFrame, text: str = "text") -> tuple[int, dict[byt
     return found.pop(b"", 0), found
 
 
-def index(n: int, frequency: dict[bytes, int]) -> dict[bytes, list[Entry]]:
-    """Entries by their leading word, that of the highest IDF in the mandatory phrase."""
-    idf = lambda w: math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1
-    found: dict[bytes, list[Entry]] = {}
+def index(n: int, frequency: dict[bytes, int]) -> Index:
+    idf = {w: math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1 for w in vocabulary()}
+    leads: dict[bytes, list[Entry]] = {}
     for e in entries():
-        e.weights = [idf(w) for w in e.words]
-        e.lead = max(range(e.key, e.key + e.key_len), key=lambda i: (e.weights[i], -i))
-        found.setdefault(e.words[e.lead], []).append(e)
-    return found
+        e.weights = [idf[w] for w in e.words]
+        e.phrase = sorted(range(e.key, e.key + e.key_len), key=lambda i: (-e.weights[i], i))
+        leads.setdefault(e.words[e.phrase[0]], []).append(e)
+    return Index(idf, leads)
 
 
-def scan_words(words: list[bytes], leads: dict[bytes, list[Entry]]) -> tuple[list[tuple[int, str]], dict[str, float]]:
+def scan_words(words: list[bytes], found: Index) -> tuple[list[tuple[int, str]], dict[str, float]]:
     """Places of base phrases (start, label), and the share of each further label's best template."""
     base, more = [], {}
-    here = leads.keys() & set(words)
-    for lead in here:
-        i = -1
-        while True:
-            try:
-                i = words.index(lead, i + 1)
-            except ValueError:
-                break
-            for e in leads[lead]:
-                start = i - e.lead
-                a = start + e.key
-                if a < 0 or words[a : a + e.key_len] != e.words[e.key : e.key + e.key_len]:
-                    continue
-                if e.base:
-                    base.append((start, e.label))
-                    continue
-                got = sum(w for k, w in enumerate(e.weights) if 0 <= start + k < len(words) and words[start + k] == e.words[k])
-                share = got / sum(e.weights)
+    rare = found.leads.keys() & set(words)
+    if not rare:
+        return base, more
+    places: dict[bytes, list[int]] = {}  # the file's postings: where each licence word stands
+    for i, w in enumerate(words):
+        if w in found.idf:
+            places.setdefault(w, []).append(i)
+    sets = {w: set(p) for w, p in places.items()}
+    for lead in sorted(rare, key=lambda w: (-found.idf[w], w)):
+        for e in found.leads[lead]:
+            starts = [i - e.phrase[0] for i in places[lead]]
+            for k in e.phrase[1:]:  # intersect with the postings of the phrase's other words
+                at = sets.get(e.words[k], ())
+                starts = [s for s in starts if s + k in at]
+                if not starts:
+                    break
+            if e.base:
+                base += [(s, e.label) for s in starts]
+                continue
+            for s in starts:
+                share = sum(w for k, w in enumerate(e.weights) if s + k in sets.get(e.words[k], ())) / sum(e.weights)
                 if share >= MIN_SHARE:
                     more[e.label] = max(share, more.get(e.label, 0.0))
     return sorted(base), more
 
 
-def scan(df: DataFrame, leads: dict[bytes, list[Entry]], text: str = "text") -> DataFrame:
+def scan(df: DataFrame, found: Index, text: str = "text") -> DataFrame:
     """df without `text`, with the words counted, the places of base phrases, labels and a score."""
     made = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     keep = [c for c in df.columns if c not in (text, *made)]
-    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+    body = shared.fresh(df, "__text")
 
     def run(batches):
-        for part in shared.chunks(batches, "__text"):
+        for part in shared.chunks(batches, body):
             rows = []
-            for t in part.column("__text").to_pylist():
+            for t in part.column(body).to_pylist():
                 words = words_of(t)
-                base, more = scan_words(words, leads)
+                base, more = scan_words(words, found)
                 labels = {x for _, x in base}
                 score = max([1.0] * bool(base) + list(more.values()), default=0.0)
-                rows.append((len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(labels)), ",".join(sorted(labels | more.keys())), min(score, 1.0)))
+                rows.append((len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, ",".join(sorted(labels)), ",".join(sorted(labels | more.keys())), round(min(score, 1.0), 6)))
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(types))], names=[*keep, *made])
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{kinds}n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return df.select(*shared.columns(keep), F.col(text).alias(body)).mapInArrow(run, f"{shared.ddl(df, keep)}n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.documents(spark, sf_dir).select("doc_id", "text")
     return scan(docs, index(*document_frequency(docs)))
+
+
+def oracle() -> str:
+    """The same in DuckDB: every place of a licence word joined with every template that has it, by relative position."""
+    rows = ", ".join(f"({i}, '{e.label}', {e.base}, {e.key}, {e.key_len}, '{b' '.join(e.words).decode()}')" for i, e in enumerate(entries()))
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), entry(e, label, base, key, key_len, words) AS (VALUES {rows}
+), part AS (
+  SELECT e, unnest(string_split(words, ' ')) AS word, generate_subscripts(string_split(words, ' '), 1) - 1 AS k FROM entry
+), token AS (
+  SELECT r, i, word FROM (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM d) WHERE word IN (SELECT word FROM part)
+), idf AS (
+  SELECT p.word, ln(((SELECT count(*) FROM d) + 1) / (count(DISTINCT t.r) + 1)) + 1 AS w FROM (SELECT DISTINCT word FROM part) p LEFT JOIN token t USING (word) GROUP BY p.word
+), weight AS (
+  SELECT e, k, word, w FROM part JOIN idf USING (word)
+), total AS (
+  SELECT e, sum(w) AS w FROM weight GROUP BY e
+), aligned AS (
+  SELECT t.r, y.e, t.i - y.k AS s, sum(y.w) AS w, count(*) FILTER (y.k >= x.key AND y.k < x.key + x.key_len) AS hit
+  FROM token t JOIN weight y USING (word) JOIN entry x USING (e) GROUP BY t.r, y.e, t.i - y.k
+), found AS (
+  SELECT a.r, x.label, x.base, a.s, a.w / t.w AS share FROM aligned a JOIN entry x USING (e) JOIN total t USING (e) WHERE a.hit = x.key_len AND (x.base OR a.w / t.w >= {MIN_SHARE})
+), by_row AS (
+  SELECT r, count(*) FILTER (base) AS n, min(s) FILTER (base) AS lo, max(s) FILTER (base) AS hi, max(CASE WHEN base THEN 1 ELSE share END) AS score,
+         coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ','), '') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM found GROUP BY r
+)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, round(least(coalesce(score, 0), 1), 6)::DOUBLE AS score
+FROM d LEFT JOIN by_row USING (r)
+"""

@@ -18,8 +18,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_license_scan": licenses.oracle(),
     "op4_permutation_sharding": sharding.oracle(),
     "op5_pii_spans": pii.oracle(),
+    "op7_bagminhash_neardup": neardup.ORACLE,
     "op9_flow_mixing": mixing.ORACLE,
     "op10_line_quality": quality.ORACLE,
 }
