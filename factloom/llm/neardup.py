@@ -1,7 +1,8 @@
 """Near-duplicate detection with BagMinHash signatures over bags of word shingles.
 
 A document is the bag of its shingles of `SHINGLE` words (one shingle of all its words, if it has fewer), a shingle's weight being its count.
-Each shingle's weight axis is cut into the intervals [0,1), [1,2), [2,4), [4,8) and so on. In each interval that the
+Each shingle's weight axis is cut into the intervals [0,1), [1,2), [2,4), [4,8) and so on, a hierarchy in which every
+weight up to 2**k needs k + 1 processes. In each interval that the
 weight reaches runs a Poisson process over time, seeded by shingle and interval, with a rate equal to the
 interval's width; a point counts if its place on the weight axis lies below the weight, and each point belongs to
 one position of the signature. The first point of each position is kept. Since low intervals are shared by all weights,
@@ -16,9 +17,13 @@ finds. So no pair that could still join two classes is left out, and pairs are n
 pairs whose sizes or signatures rule out `SIMILARITY` are dropped before bags are compared; in both, links are
 verified on whole bags. Exact copies are represented by one of them from the start.
 
-Defined results: a class is named by its smallest key; null texts and texts without words are classes of their own, unless
-their text is the same; a row with a null key has no class; rows that share a key are one document; an empty table gives an
-empty result; extra columns are kept.
+Hot groups: a bucket's members meet their pivot, and nodes their hub, in joins of two written tables, which Spark splits where
+they are skewed; counts and minima are combined before they are shuffled.
+
+Defined results: a class is named by its smallest key; texts without words (null ones count as empty) are classes of their own, unless
+their text is the same; a row with a null key has no class (null) and links nothing; rows that share a key are one document, whose
+text is the one with the smallest digest; an empty table gives an empty result. `classes` returns only key, class_id and copy, a row for each
+input row; `one_of_each` keeps all columns.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import shared, words
 
@@ -175,18 +181,23 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """node, label: the smallest node that it is linked with, directly or not. labels: of links found before."""
+    """node, label: the smallest node that it is linked with, directly or not. labels: of links found before. A round's tables are
+    removed once the next one is written."""
+    spark, old, new_, kept = links.sparkSession, [], [], []
     edges = links if labels is None else links.unionByName(labels.select(F.col("label").alias("a"), F.col("node").alias("b")))
-    edges = shared.written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges")
-    label = shared.written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+    edges = shared.written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges", kept)
+    label = shared.written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels", old)
     while True:
         near = edges.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         new = label.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
         # and on to what the label itself is labelled with
         new = new.join(label.select(F.col("node").alias("low"), F.col("label").alias("lower")), "low").select("node", F.least("low", "lower").alias("new"), "label")
-        new = shared.written(new, "labels")
+        new = shared.written(new, "labels", new_)
+        shared.drop(spark, old)
+        old, new_ = new_, []
         label = new.select("node", F.col("new").alias("label"))
         if new.where("new <> label").isEmpty():
+            shared.drop(spark, kept)
             return label
 
 
@@ -247,41 +258,90 @@ def block_links(open_: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.groupBy("bucket", "i", "j").applyInArrow(links, f"a {kind}, b {kind}")
 
 
+def repeats_keys(df: DataFrame, key: str) -> bool:
+    (k,) = shared.columns([key])
+    return not df.where(k.isNotNull()).groupBy(k).count().where("count > 1").isEmpty()
+
+
 def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and class_id of each row, with copy (the text equals that of another row with a smaller key)."""
-    sigs = shared.written(signed(df, key, text), "signatures")
-    first = sigs.groupBy("digest").agg(F.min("key").alias("node"))
-    members = shared.written(sigs.select("key", "digest").join(first, "digest").select("key", "node"), "members")
-    own = sigs.join(members.where("key = node").select("key").distinct(), "key", "left_semi")
-    own = shared.written(own.groupBy("key").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
+    spark, gone = df.sparkSession, []
+    k, t = shared.columns([key, text])
+    rows = df.where(k.isNotNull()).select(k.alias("key"), t.alias("text"))
+    if repeats_keys(df, key):
+        rows = shared.written(rows.groupBy("key").agg(F.min_by("text", F.sha2(F.coalesce("text", F.lit("")), 256)).alias("text")), "texts")
+    sigs = shared.written(signed(rows, "key", "text"), "signatures", gone)
+    twice = shared.written(sigs.groupBy("digest").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "node"), "copies", gone)
+    both = sigs.join(twice, "digest", "left").withColumn("node", F.coalesce("node", "key"))
+    members = shared.written(both.select("key", "node"), "members")
+    own = shared.written(both.where("key = node").select("key", "n", "sig", "bands"), "nodes")
+    shared.drop(spark, gone)
     bands = own.select(F.col("key").alias("node"), "n", F.explode("bands").alias("bucket"))
-    pivots = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1")
-    buckets = shared.written(bands.join(pivots.select("bucket", "pivot"), "bucket"), "buckets")
-    out, label = members.withColumnRenamed("key", key), None
-    pairs = buckets.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    pairs = shared.written(agreeing(pairs, own.select("key", "n", "sig")), "pairs")
+    pivots = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1").select("bucket", "pivot")
+    buckets = shared.written(bands.join(shared.written(pivots, "pivots", gone), "bucket"), "buckets")
+    shared.drop(spark, gone)
+    label = None
     if not buckets.isEmpty():
-        texts = df.select(F.col(key).alias("node"), F.col(text).alias("text")).join(buckets.select("node").distinct(), "node")
-        sets = shared.written(shingle_sets(texts.dropDuplicates(["node"])), "bags")
+        pairs = buckets.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        pairs = shared.written(agreeing(shared.written(pairs, "met", gone), own.select("key", "n", "sig")), "pairs", gone)
+        texts = rows.withColumnRenamed("key", "node").join(buckets.select("node").distinct(), "node")
+        sets = shared.written(shingle_sets(texts), "bags")
         label = components(verified(pairs, sets), None)
+        shared.drop(spark, gone)
         labelled = buckets.select("bucket", "node", "n").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labelled = shared.written(labelled, "labelled", gone)
         several = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        open_ = shared.written(labelled.join(several, "bucket", "left_semi"), "open")
+        open_ = shared.written(labelled.join(shared.written(several, "several", gone), "bucket", "left_semi"), "open")
+        shared.drop(spark, gone)
         if not open_.isEmpty():
             label = components(shared.written(block_links(open_, sets), "links"), label)
-    if label is None:
-        return out.select(key, F.col("node").alias("class_id"), (F.col(key) != F.col("node")).alias("copy"))
-    out = out.join(label, "node", "left")
-    return out.select(key, F.coalesce("label", "node").alias("class_id"), (F.col(key) != F.col("node")).alias("copy"))
+    out = members if label is None else members.join(label, "node", "left")
+    out = out.select("key", (F.col("node") if label is None else F.coalesce("label", "node")).alias("class_id"), (F.col("key") != F.col("node")).alias("copy"))
+    if repeats_keys(df, key) or not df.where(k.isNull()).isEmpty():
+        out = df.select(k.alias("key")).join(out, "key", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
+    return out.withColumnRenamed("key", key)
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with one row of each class: the one that names it. Rows without a key stay."""
-    names = classes(df, key, text).where(F.col(key) == F.col("class_id")).select(key).distinct()
-    out = df.join(names, key, "left_semi").dropDuplicates([key])
-    return out.unionByName(df.where(F.col(key).isNull())).select(df.columns)
+    """df with one row of each class: the one that names it. Rows without a key stay; of rows that share a key, the one with the
+    smallest digest of its text, then of all its columns, stays."""
+    (k,), name = shared.columns([key]), shared.fresh(df, "__class")
+    named = classes(df, key, text)
+    names = named.where(F.col(f"`{key}`") == F.col("class_id")).select(F.col(f"`{key}`").alias(name)).distinct()
+    out = df.join(names, k == F.col(name), "left_semi")
+    if repeats_keys(df, key):
+        nth = shared.fresh(df, "__nth")
+        order = Window.partitionBy(k).orderBy(F.sha2(F.coalesce(*shared.columns([text]), F.lit("")), 256), F.sha2(F.to_json(F.struct(*shared.columns(df.columns))), 256))
+        out = out.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1).drop(nth)
+    return out.unionByName(df.where(k.isNull())).select(*shared.columns(df.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = classes(shared.documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "class_id", "copy", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+
+
+#: All pairs that share a shingle, compared in full, and what they join.
+ORACLE = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents WHERE doc_id IS NOT NULL
+), shingle AS (
+  SELECT doc_id, unnest(list_transform(range(greatest(len(ws) - {SHINGLE - 1}, least(len(ws), 1))), lambda i: array_to_string(ws[i + 1:i + {SHINGLE}], ' '))) AS s FROM d
+), bag AS (
+  SELECT doc_id, s, count(*) AS c FROM shingle GROUP BY doc_id, s
+), total AS (
+  SELECT doc_id, sum(c) AS n FROM bag GROUP BY doc_id
+), alike AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.c, b.c)) AS i FROM bag a JOIN bag b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), link AS (
+  SELECT a, b FROM alike JOIN total x ON x.doc_id = a JOIN total y ON y.doc_id = b WHERE i >= {SIMILARITY}::DOUBLE * (x.n + y.n - i)
+  UNION SELECT min(doc_id) OVER (PARTITION BY text), doc_id FROM d
+), arc AS (
+  SELECT a, b FROM link UNION SELECT b, a FROM link
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.a, arc.b FROM reach r JOIN arc ON arc.a = r.b
+), class AS (
+  SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a
+)
+SELECT doc_id, class_id, doc_id <> min(doc_id) OVER (PARTITION BY text) AS copy, doc_id = class_id AS kept FROM d JOIN class USING (doc_id)
+"""

@@ -299,12 +299,27 @@ def test_near_duplicates(spark, docs, empty):
         if jaccard(bags[x], bags[y]) >= 0.8 or (not bags[x] and not bags[y]):
             x, y = root(x), root(y)
             parent[max(x, y)] = min(x, y)
-    assert {k: got[k] for k in bags} == {k: root(k) for k in bags}
+    assert {k: got[k] for k in bags} == {k: root(k) for k in bags} and got[None] is None
     assert neardup.classes(empty).count() == 0
     kept = neardup.one_of_each(table).collect()
     assert sorted(x["doc_id"] for x in kept if x["doc_id"] is not None) == sorted({root(k) for k in bags}) and neardup.one_of_each(docs).columns == docs.columns
 
 
+def test_near_duplicates_of_repeated_keys(spark):
+    r = random.Random(14)
+    vocab = [f"w{i}" for i in range(400)]
+    a, b, c = (prose(vocab, 60, r) for _ in range(3))
+    first, second = sorted((a, b), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    rows = [("k1", first, "x"), ("k1", second, "y"), ("k2", second, "z"), ("k3", f"{first} end", "u"), (None, first, "v"), ("k4", c, "w"), ("k4", c, "w2"), ("k4", c, "w")]
+    table = spark.createDataFrame(rows, "k string, text string, class_id string")
+    for n in (1, 7):
+        got = sorted((str(x["k"]), x["class_id"]) for x in neardup.classes(table.repartition(n), "k").collect())
+        assert got == [("None", None), ("k1", "k1"), ("k1", "k1"), ("k2", "k2"), ("k3", "k1")] + [("k4", "k4")] * 3
+        kept = neardup.one_of_each(table.repartition(n), "k").collect()
+        assert sorted((str(x["k"]), x["text"]) for x in kept) == [("None", first), ("k1", first), ("k2", second), ("k4", c)]
+    assert len({x["class_id"] for n in range(1, 6) for x in neardup.one_of_each(table.repartition(n), "k").where("k = 'k4'").collect()}) == 1
+
+
 def test_decontamination(spark, docs, empty):
     r = random.Random(8)
     vocab = [f"w{i}" for i in range(300)]
