@@ -41,7 +41,7 @@ GRAMS = (32, 64, 96, LENGTH)
 BLOCK = 10
 #: Full blocks in any string of LENGTH bytes, wherever the block grid lies.
 RUN = (LENGTH - BLOCK + 1) // BLOCK
-MANY, HOT = 2_000, 64
+MANY, HOT = 2_000, 16
 #: Anchors that a task combines at once, and bytes of contexts whose suffixes are sorted at once.
 COMBINE = 400_000
 SORT_BYTES = 1 << 20
