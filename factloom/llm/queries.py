@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_bayes_language": language.oracle(),
     "op3_license_scan": licenses.oracle(),
     "op4_permutation_sharding": sharding.oracle(),
     "op5_pii_spans": pii.oracle(),
