@@ -6,13 +6,15 @@ embedding of its hashed character trigrams, so rare, misspelt and inflected form
 overlap by half and cover the whole text; a document's score is its highest window's logit, calibrated with
 the number of windows.
 
-Training reads at most about `FIT_TOXIC` toxic and `FIT_CLEAN` other labelled rows (drawn by a digest of the
-key) in one task, in whole texts. Toxic rows are labelled as wholes, so each lends its highest window, chosen anew between
-epochs; other rows lend their highest and some random windows. Scores are calibrated on drawn rows that training hasn't seen. Scoring runs over all rows with the trained
-weights broadcast, whose size is fixed.
+Training reads at most about `FIT_TOXIC` toxic and `FIT_CLEAN` other labelled rows and `FIT_BYTES` bytes of each kind (drawn by a digest of the
+key; rows of over `FIT_TEXT` bytes aren't drawn), in whole texts. Toxic rows are labelled as wholes, so each lends its highest window, chosen anew between
+epochs; other rows lend their highest and some random windows. Scores are calibrated by cross-fitting, at every size: each of
+`FOLDS` networks scores the rows that it wasn't trained on, and the network that is kept is trained on all drawn rows; the networks are
+trained in tasks of their own. Scoring runs over all rows with the trained weights broadcast, whose size is fixed.
 
 Defined results: a null text, or one without words, has score 0; without both kinds of labels every score is 0; where a key
-has several labels it counts as toxic if one says so; repeated rows are scored each; an empty table gives an empty result;
+has several labels it counts as toxic if one says so, where it has several texts training takes the one with the smallest digest;
+repeated rows are scored each; an empty table gives an empty result;
 extra columns are kept by `score`, except those named as its outputs.
 """
 
@@ -34,8 +36,8 @@ EMBED, HIDDEN = 8, 8
 GRAM_BITS, MIN_DOCS = 12, 4
 MAX_WORDS = 50_000  # the vocabulary keeps its most frequent words
 FIT_TOXIC, FIT_CLEAN = 1500, 2500
-#: Of the drawn rows, every third is kept out of training to calibrate scores, if that leaves this many toxic ones.
-CALIBRATE_FROM = 100
+FIT_BYTES, FIT_TEXT = 1 << 25, 1 << 20
+FOLDS = 3
 EPOCHS, BATCH, RATE = 6, 256, 0.02
 CHUNK = 1 << 20
 
@@ -64,6 +66,7 @@ def tokens(data: np.ndarray, at: np.ndarray) -> Tokens:
     place = np.repeat(start[first] - gram_at[:-1], size) + np.arange(gram_at[-1])  # each byte of each distinct word
     wide = np.concatenate([[32], data, [32]]).astype(np.uint32)
     left, mid, right = wide[place], wide[place + 1], wide[place + 2]
+    left[gram_at[:-1]] = right[gram_at[1:] - 1] = 32  # also where one text meets another
     gram = (left * np.uint32(0x9E3779B1) + mid * np.uint32(0x85EBCA77) + right * np.uint32(0xC2B2AE3D)) ^ np.uint32(0x27D4EB2F)
     gram = (gram * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - GRAM_BITS)
     return Tokens(ids, before, distinct, gram.astype(np.int32), gram_at)
@@ -215,26 +218,22 @@ def window_logits(net: dict, t: Tokens, start: np.ndarray, row: np.ndarray, bloc
     return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
 
-def train(texts: list[str], label: np.ndarray, weight: np.ndarray, seed: int = 7) -> dict[str, np.ndarray] | None:
-    """Weights and calibration ("cal"), or None without both kinds of labels. weight: rows that each stands for."""
-    if not 0 < label.sum() < len(label):
-        return None
-    toxic = np.flatnonzero(label == 1)
-    if len(toxic) >= 3 * CALIBRATE_FROM:
-        apart = np.zeros(len(label), bool)
-        apart[toxic[2::3]] = True
-        apart[np.flatnonzero(label == 0)[2::3]] = True
-        rest = np.flatnonzero(~apart)
-        net = learn([texts[i] for i in rest], label[rest], seed)
-    else:
-        apart, net = np.ones(len(label), bool), learn(texts, label, seed)
-    if net is None:
-        return None
-    top, count = top_windows(net, [texts[i] for i in np.flatnonzero(apart)])
+def folds(label: np.ndarray) -> np.ndarray:
+    """The fold of each row; the rows of a label are dealt in turn."""
+    out = np.zeros(len(label), np.int64)
+    for v in (0, 1):
+        at = np.flatnonzero(label == v)
+        out[at] = np.arange(len(at)) % FOLDS
+    return out
+
+
+def calibration(top: np.ndarray, count: np.ndarray, label: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Coefficients of logit, log windows and one, from rows that their network hasn't seen."""
     has = count > 0
+    if not has.any():
+        return np.array([1.0, 0.0, 0.0])
     features = np.stack([top[has], np.log(count[has]), np.ones(has.sum())], axis=1).astype(float)
-    net["cal"] = logistic(features, label[apart][has], weight[apart][has])
-    return net
+    return logistic(features, label[has], weight[has])
 
 
 def top_windows(net: dict, texts: list[str], chunk: int = 100) -> tuple[np.ndarray, np.ndarray]:
@@ -344,43 +343,57 @@ def document_scores(net: dict | None, col: pa.Array) -> np.ndarray:
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", fit_toxic: int = FIT_TOXIC, fit_clean: int = FIT_CLEAN) -> dict[str, np.ndarray] | None:
     """docs: the rows that may be learned from. The drawn keys number about fit_toxic + fit_clean and are broadcast."""
-    marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("__y"))
-    marks = marks.join(docs.select(key).distinct(), key, "left_semi")
-    count = {r["__y"]: r["count"] for r in marks.groupBy("__y").count().collect()}  # a row for each label
-    share = {y: min(1.0, most / max(1, count.get(y, 0))) for y, most in ((1, fit_toxic), (0, fit_clean))}
-    chance = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30))
-    drawn = marks.where(F.when(F.col("__y") == 1, chance < int(share[1] * (1 << 30))).otherwise(chance < int(share[0] * (1 << 30))))
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(drawn.withColumnRenamed(key, "key")), "key").dropDuplicates(["key"])
+    k, t = shared.columns([key, text])
+    marks = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("y"))
+    sizes = docs.where(k.isNotNull()).select(k.alias("key"), F.coalesce(F.octet_length(t), F.lit(0)).alias("n")).where(F.col("n") <= FIT_TEXT)
+    marks = marks.join(sizes.groupBy("key").agg(F.max("n").alias("n")), "key")
+    total = {r["y"]: r for r in marks.groupBy("y").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).collect()}  # a row for each label
+    share = {y: min(1.0, most / total[y]["c"], FIT_BYTES / max(1, total[y]["n"])) if y in total else 1.0 for y, most in ((1, fit_toxic), (0, fit_clean))}
+    chance = F.pmod(F.xxhash64(F.col("key")), F.lit(1 << 30))
+    drawn = marks.where(F.when(F.col("y") == 1, chance < int(share[1] * (1 << 30))).otherwise(chance < int(share[0] * (1 << 30)))).select("key", "y")
+    rows = docs.select(k.alias("key"), t.alias("text")).join(F.broadcast(drawn), "key").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= FIT_TEXT)
+    rows = rows.groupBy("key", "y").agg(F.min_by("text", F.sha2(F.coalesce("text", F.lit("")), 256)).alias("text"))
     weight = {1: 1 / share[1], 0: 1 / share[0]}
 
-    def run(batches):
-        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if table is None:
-            return
+    def train(table: pa.Table) -> pa.Table:
+        """Of the part numbered FOLDS: the network trained on all rows. Of others: logits of the rows of the fold of that number."""
+        part = table.column("part")[0].as_py()
         table = table.sort_by("key")
-        y = table.column("__y").to_numpy().astype(np.float32)
-        net = train([x or "" for x in table.column("text").to_pylist()], y, np.where(y == 1, weight[1], weight[0]))
-        if net is not None:
+        y, texts = table.column("y").to_numpy().astype(np.float32), [x or "" for x in table.column("text").to_pylist()]
+        own = np.flatnonzero(folds(y) == part)
+        rest = np.setdiff1d(np.arange(len(y)), own)
+        net = learn([texts[i] for i in rest], y[rest], 7) if 0 < y[rest].sum() < len(rest) else None
+        blob, top, count = b"", np.zeros(0), np.zeros(0, np.int64)
+        if net is not None and part == FOLDS:
             np.savez(out := io.BytesIO(), **net)
-            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["net"])
-
-    # the drawn rows meet in one task, so the driver holds only the weights
-    found = rows.select("key", "text", "__y").repartition(1).mapInArrow(run, "net binary").collect()
-    return dict(np.load(io.BytesIO(found[0]["net"]))) if found else None
+            blob = out.getvalue()
+        elif net is not None and len(own):
+            top, count = top_windows(net, [texts[i] for i in own])
+        seen = y[own] if len(top) else np.zeros(0)
+        columns = [pa.array([part], pa.int32()), pa.array([blob], pa.binary()), *(pa.array([x.tolist()], pa.list_(pa.float64())) for x in (top, count, seen))]
+        return pa.Table.from_arrays(columns, names=["part", "net", "top", "windows", "y"])
+
+    parts = rows.withColumn("part", F.explode(F.array(*map(F.lit, range(FOLDS + 1))))).repartitionByRange(FOLDS + 1, "part")
+    found = {r["part"]: r for r in parts.groupBy("part").applyInArrow(train, "part int, net binary, top array<double>, windows array<double>, y array<double>").collect()}
+    if FOLDS not in found or not found[FOLDS]["net"]:
+        return None
+    net = dict(np.load(io.BytesIO(found[FOLDS]["net"])))
+    top, count, y = (np.concatenate([found[p][c] for p in sorted(found)]) for c in ("top", "windows", "y"))
+    net["cal"] = calibration(top, count, y, np.where(y == 1, weight[1], weight[0]))
+    return net
 
 
 def score(df: DataFrame, net: dict | None, text: str = "text") -> DataFrame:
     """df without `text`, with score (0 to 1) and predicted."""
-    keep = [c for c in df.columns if c not in (text, "score", "predicted")]
-    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+    keep, body = [c for c in df.columns if c not in (text, "score", "predicted")], shared.fresh(df, "__text")
     shipped = df.sparkSession.sparkContext.broadcast(net)  # fixed size
 
     def run(batches):
-        for part in shared.chunks(batches, "__text", CHUNK):
-            p = document_scores(shipped.value, part.column("__text"))
+        for part in shared.chunks(batches, body, CHUNK):
+            p = document_scores(shipped.value, part.column(body))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, f"{kinds}score double, predicted int")
+    return df.select(*shared.columns(keep), F.col(text).alias(body)).mapInArrow(run, f"{shared.ddl(df, keep)}score double, predicted int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

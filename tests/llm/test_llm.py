@@ -57,7 +57,7 @@ def test_word_kernels():
 def test_language(docs, empty):
     model = language.fit(docs.select("doc_id", "text", "lang"))
     got = {r["doc_id"]: r for r in language.predict(docs, model).collect()}
-    assert model[0] == ["de", "en"]
+    assert model.names == ["de", "en"]
     assert all(got[i]["lang_pred"] == ("en" if i % 2 else "de") for i in range(24))
     assert all((got[i]["lang_pred"], got[i]["score"]) == ("und", 0) for i in (200, 201, 202, 203))
     assert got[300]["lang_pred"] == "en" and got[300]["label"] == ""
@@ -70,6 +70,90 @@ def test_language(docs, empty):
     assert has.tolist() == [True, False] and (buckets[0] < language.BUCKETS).sum() == 2 and (buckets[1] < language.BUCKETS).sum() == 1
 
 
+def test_language_passes_over_many_languages(spark, docs, monkeypatch):
+    """Blocks of one or two languages give what a single matrix gives."""
+    table = docs.withColumn("lang", F.when(F.col("doc_id") % 4 == 1, "en2").otherwise(F.col("lang")))
+    model = language.fit(table.select("doc_id", "text", "lang"))
+    assert model.names == ["de", "en", "en2"]
+    rows = lambda: sorted((str(r["doc_id"]), r["lang_pred"], round(r["score"], 9)) for r in language.predict(table, model).collect())
+    want = rows()
+    for n in (1, 2):
+        monkeypatch.setattr(language, "LANGUAGES", n)
+        assert rows() == want
+        assert language.accepted(table, model).columns == table.columns
+
+
+def test_language_against_plain_counts():
+    """The matrix and scores against counters over strings."""
+    r = random.Random(21)
+    texts = [(prose(EN, 8, r), "en") for _ in range(6)] + [(prose(DE, 8, r), "de") for _ in range(5)] + [("Größe 12 a\n!b", "de"), ("\U0001d400é x", "en")]
+
+    def plain(t):
+        t = "".join(c if c.isalpha() else " " for c in t.lower())
+        out = Counter()
+        for n in language.LENGTHS:
+            for i in range(len(t) - n + 1):
+                if t[i : i + n].strip():
+                    h = (n * 0x27D4EB2F + sum(ord(c) * int(f) for c, f in zip(t[i : i + n], language.FACTORS, strict=False))) % 2**32
+                    h = (h ^ h >> 15) * 0x2C1B3C6D % 2**32
+                    out[h >> 16] += 1
+        return out
+
+    buckets, at, has = language.grams([t for t, _ in texts])
+    assert has.all()
+    for k, (t, _) in enumerate(texts):
+        got = Counter(buckets[:, at[k] : [*at, buckets.shape[1]][k + 1]].ravel().tolist())
+        got.pop(language.BUCKETS, None)
+        assert got == plain(t)
+
+
+def slow_toxicity(net, text):
+    """A document's score word by word and step by step."""
+    low = bytes(toxicity.FOLD[b] for b in (text or "").encode())
+    tokens = low.split()
+    vocab = {int(h): i for i, h in enumerate(net["vocab"])}
+
+    def one(w):
+        h = int(words.word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0])
+        wide, grams = b" " + w + b" ", []
+        for i in range(len(w)):
+            g = (wide[i] * 0x9E3779B1 + wide[i + 1] * 0x85EBCA77 + wide[i + 2] * 0xC2B2AE3D) % 2**32 ^ 0x27D4EB2F
+            grams.append(g * 0x2C1B3C6D % 2**32 >> 32 - toxicity.GRAM_BITS)
+        return np.concatenate([net["word"][vocab.get(h, len(vocab))], net["gram"][grams].mean(axis=0)])
+
+    def side(xs, s):
+        h, out, n = np.zeros(toxicity.HIDDEN), [], toxicity.HIDDEN
+        for x in xs:
+            a, g = net[f"in_{s}"] @ x + net[f"add_{s}"], net[f"rec_{s}"] @ h
+            z, r = (1 / (1 + np.exp(-(a[k * n : k * n + n] + g[k * n : k * n + n]))) for k in (0, 1))
+            new = np.tanh(a[2 * n :] + r * g[2 * n :])
+            h = (1 - z) * new + z * h
+            out.append(h)
+        return out
+
+    best, count, start = -np.inf, 0, 0
+    while tokens and (start == 0 or start + toxicity.WIDTH - toxicity.STRIDE < len(tokens)):
+        part = [one(w) for w in tokens[start : start + toxicity.WIDTH]]
+        pad = [np.zeros(2 * toxicity.EMBED)] * (toxicity.WIDTH - len(part))
+        f, b = side(part + pad, "f"), side((part + pad)[::-1], "b")[::-1]
+        states = [np.concatenate(x) for x in zip(f, b, strict=True)][: len(part)]
+        e = np.array([net["att"] @ x for x in states])
+        w = np.exp(e - e.max())
+        best = max(best, sum(w * [net["out"] @ x for x in states]) / w.sum() + net["bias"][0])
+        count, start = count + 1, start + toxicity.STRIDE
+    return 0.0 if not count else 1 / (1 + np.exp(-(net["cal"] @ [best, np.log(count), 1])))
+
+
+def test_toxicity_scores_against_plain_steps():
+    r = random.Random(8)
+    texts = [prose(EN, n, r) for n in (1, 5, 31, 32, 33, 48, 49, 100)] + ["Ü ber-Idiot! IDIOT 99", "", None]
+    vocab = np.sort(words.word_hashes(*words.flat(pa.array([" ".join(EN[:8])])))[0])
+    net = toxicity.new_network(np.unique(vocab), 3)
+    net["cal"] = np.array([1.5, -0.2, 0.1])
+    got = toxicity.document_scores(net, pa.array(texts))
+    assert np.allclose(got, [slow_toxicity(net, t) for t in texts], atol=1e-5)
+
+
 def test_toxicity_gradients():
     t = toxicity.tokens(*words.flat(pa.array(["a bb ccc dd e a bb you are", "z y x w a"])))
     net = {k: v.astype(float) if v.dtype != np.uint64 else v for k, v in toxicity.new_network(np.sort(t.word)[:4]).items()}
@@ -107,6 +191,11 @@ def test_toxicity(spark, docs, empty):
     assert odd[200]["score"] == odd[201]["score"] == odd[202]["score"] == 0 and 0 <= odd[300]["score"] <= 1
     assert toxicity.score(empty, net).count() == 0
     assert toxicity.fit(empty.select("doc_id", "text"), labels) is None
+    twice = table.where("doc_id < 60").unionByName(table.where("doc_id < 60").withColumn("text", F.lit("another text")))
+    a, b = (toxicity.fit(twice.repartition(n), labels) for n in (1, 5))
+    assert all(np.array_equal(a[k], b[k]) for k in a)
+    few = toxicity.fit(table.where("doc_id < 4"), labels)  # one toxic row: nothing to calibrate with, but a network
+    assert few is None or len(few["cal"]) == 3
     assert {r["score"] for r in toxicity.score(docs, None).collect()} == {0.0}
 
 
