@@ -7,12 +7,15 @@ match counts 1, a substitution -`PENALTY`) decides. A document holds an item if
 `MIN_SHARE` of the item's words, or `LONG_MATCH` words.
 
 The join sends the items' hashes to the documents, in blocks of bounded size: items are dealt into as many
-blocks as their characters need, and each block is broadcast and scanned over all documents. So the document
-side, which has hashes of every word and mask, is never shuffled, and a passage that many documents share costs nothing more.
+blocks as their characters need, and each block in turn is broadcast, scanned over all documents and dropped, so neither the driver
+nor an executor holds more than one. The document side, which has hashes of every word and mask, is never shuffled, and a passage
+that many documents share costs nothing more. One block holds about 700,000 words of items; a larger benchmark takes one more scan for each.
 
 Defined results: letters are compared without regard to case, punctuation is blank; items shorter than the longest mask
-must match as wholes, and items of under `MIN_WORDS` words identify nothing; null texts hold and identify nothing; several
-items with the same text are all reported; repeated rows are reported each; empty tables give an empty result.
+must match as wholes, and items of under `min_words` words identify nothing (with min_words=1 every item is matched); null texts hold
+and identify nothing; several items with the same text are all reported; of alignments that match as many words the first counts;
+repeated rows are reported each; empty tables give an empty result. `contained` drops the text and replaces columns named as its
+outputs; `without` keeps all columns.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import shared, words
 from .toxicity import FOLD
@@ -39,10 +43,10 @@ FILTER_BITS = 22
 FACTORS = words.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
-def masks_for(lengths: set[int]) -> list[tuple[int, ...]]:
+def masks_for(lengths: set[int], min_words: int) -> list[tuple[int, ...]]:
     """Positions of each mask; for items shorter than the longest mask, one that covers all of their words."""
     longest = max(map(len, MASKS))
-    short = [tuple(range(n)) for n in sorted(lengths) if MIN_WORDS <= n < longest]
+    short = [tuple(range(n)) for n in sorted(lengths) if min_words <= n < longest]
     return [tuple(i for i, c in enumerate(m) if c == "1") for m in MASKS] + short
 
 
@@ -73,18 +77,19 @@ class Index:
     item: np.ndarray
     place: np.ndarray
     bits: np.ndarray  # which low bits of a hash occur at all
+    min_words: int
 
 
-def build(ids: list, texts: list[str | None]) -> Index:
+def build(ids: list, texts: list[str | None], min_words: int = MIN_WORDS) -> Index:
     word, before = tokens(pa.array(texts, pa.string()))
     n = np.diff(before)
-    masks = masks_for(set(n.tolist()))
+    masks = masks_for(set(n.tolist()), min_words)
     keys, items, places = [], [], []
     for salt, mask in enumerate(masks):
         h = seeds(word, mask, salt)
         at = np.arange(len(h))
         item = np.searchsorted(before, at, side="right") - 1
-        ok = (at + mask[-1] < before[item + 1]) & (n[item] >= MIN_WORDS)
+        ok = (at + mask[-1] < before[item + 1]) & (n[item] >= min_words)
         if salt >= len(MASKS):
             ok &= n[item] == mask[-1] + 1
         keys.append(h[ok])
@@ -95,7 +100,7 @@ def build(ids: list, texts: list[str | None]) -> Index:
     key = key[order]
     bits = np.zeros(1 << FILTER_BITS, bool)
     bits[(key & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
-    return Index(ids, word, before, masks, key, item[order], place[order], bits)
+    return Index(ids, word, before, masks, key, item[order], place[order], bits, min_words)
 
 
 def best_segment(same: np.ndarray) -> tuple[int, int, int]:
@@ -126,54 +131,62 @@ def find(index: Index, col: pa.Array) -> dict[tuple[int, int], tuple[int, int, i
         a, b = int(index.before[item]), int(index.before[item + 1])
         lo, hi = max(first, int(before[r])), min(first + b - a, int(before[r + 1]))
         matched, s, e = best_segment(word[lo:hi] == index.word[a + lo - first : a + hi - first])
-        enough = matched >= MIN_WORDS and (matched >= MIN_SHARE * (b - a) or matched >= LONG_MATCH)
+        enough = matched >= min(index.min_words, b - a) and (matched >= MIN_SHARE * (b - a) or matched >= LONG_MATCH)
         if enough and matched > best.get((r, item), (0, 0, 0))[0]:
             best[r, item] = (matched, e - s, lo + s - int(before[r]))
     return best
 
 
-def blocks(items: DataFrame, key: str, text: str, block_chars: int = BLOCK_CHARS):
+def blocks(items: DataFrame, key: str, text: str, block_chars: int = BLOCK_CHARS, min_words: int = MIN_WORDS):
     """Indexes of the items, each of about block_chars characters, made one after the other."""
-    total = items.agg(F.sum(F.length(text))).first()[0] or 0
+    k, t = shared.columns([key, text])
+    total = items.agg(F.sum(F.length(t))).first()[0] or 0
     n = -(-total // block_chars)
-    for k in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64(key), F.lit(n)) == k)
-        rows = part.select(key, text).collect()
+    for i in range(n):
+        part = items if n == 1 else items.where(F.pmod(F.xxhash64(k), F.lit(n)) == i)
+        rows = part.select(k, t).collect()
         if rows:
-            yield build([r[0] for r in rows], [r[1] for r in rows])
+            yield build([r[0] for r in rows], [r[1] for r in rows], min_words), n
 
 
-def contained(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+MADE = "matched_words int, segment_words int, item_words int, first_word int"
+
+
+def contained(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each document and benchmark item that it holds: docs' columns but `text`, then item_key, matched_words,
     segment_words, item_words and first_word."""
-    keep = [c for c in docs.columns if c not in (text, item_key, "matched_words", "segment_words", "item_words", "first_word")]
-    kind = items.schema[item_key].dataType.simpleString()
-    schema = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep) + f"`{item_key}` {kind}, matched_words int, segment_words int, item_words int, first_word int"
-    source, out = docs.select(*keep, F.col(text).alias("__text")), None
-    for index in blocks(items, item_key, item_text, block_chars):
+    made = [x.split()[0] for x in MADE.split(", ")]
+    keep, body = [c for c in docs.columns if c not in (text, item_key, *made)], shared.fresh(docs, "__text")
+    schema = f"{shared.ddl(docs, keep)}{shared.ddl(items, [item_key])}{MADE}"
+    kind = to_arrow_type(items.schema[item_key].dataType)
+    source, out = docs.select(*shared.columns(keep), F.col(f"`{text}`").alias(body)), None
+    for index, n in blocks(items, item_key, item_text, block_chars, min_words):
         shipped = docs.sparkSession.sparkContext.broadcast(index)  # bounded by block_chars
 
         def run(batches, shipped=shipped):
-            for part in shared.chunks(batches, "__text"):
+            for part in shared.chunks(batches, body):
                 index = shipped.value
-                got = find(index, part.column("__text"))
+                got = find(index, part.column(body))
                 if not got:
                     continue
                 rows = pa.array([r for r, _ in got], pa.int64())
                 size = [int(index.before[i + 1] - index.before[i]) for _, i in got]
-                cols = [part.column(c).take(rows) for c in keep] + [pa.array([index.ids[i] for _, i in got], pa.int64() if kind == "bigint" else None)]
-                cols += [pa.array([v[0] for v in got.values()], pa.int32()), pa.array([v[1] for v in got.values()], pa.int32()), pa.array(size, pa.int32()), pa.array([v[2] for v in got.values()], pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*keep, item_key, "matched_words", "segment_words", "item_words", "first_word"])
+                cols = [part.column(c).take(rows) for c in keep] + [pa.array([index.ids[i] for _, i in got], kind)]
+                cols += [pa.array(x, pa.int32()) for x in ([v[0] for v in got.values()], [v[1] for v in got.values()], size, [v[2] for v in got.values()])]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keep, item_key, *made])
 
         one = source.mapInArrow(run, schema)
+        if n > 1:
+            one = shared.written(one, "hits")
+            shipped.destroy()
         out = one if out is None else out.unionByName(one)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def without(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def without(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
     """docs without those that hold an item; texts stay where they are."""
-    out = docs
-    for index in blocks(items, item_key, item_text, block_chars):
+    out, old = docs, []
+    for index, n in blocks(items, item_key, item_text, block_chars, min_words):
         shipped = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches, shipped=shipped):
@@ -183,8 +196,58 @@ def without(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str
                 yield part.filter(pa.array(clean))
 
         out = out.mapInArrow(run, docs.schema)
+        if n > 1:
+            out = shared.written(out, "clean", new := [])
+            shared.drop(docs.sparkSession, old)
+            old = new
+            shipped.destroy()
     return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contained(shared.documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def oracle() -> str:
+    """The same in DuckDB: seeds as strings of words, every hit's alignment compared word by word, its best segment by running sums."""
+    longest = max(map(len, MASKS))
+    word = "list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: true)"
+
+    def seed(table: str) -> str:
+        rows = []
+        for salt, mask in enumerate(MASKS):
+            at = [i for i, c in enumerate(mask) if c == "1"]
+            key = " || ' ' || ".join(f"ws[i + {k + 1}]" for k in at)
+            rows.append(f"SELECT r, i, {salt} AS salt, {key} AS key FROM (SELECT r, ws, unnest(range(len(ws) - {at[-1]})) AS i FROM {table} WHERE len(ws) >= {MIN_WORDS})")
+        return " UNION ALL ".join(rows)
+
+    return rf"""
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, {word} AS ws FROM documents
+), item AS (
+  SELECT row_number() OVER () AS r, item_id, {word} AS ws FROM benchmark
+), hit AS (
+  SELECT d.r AS d, m.r AS m, d.i - m.i AS first FROM ({seed("doc")}) d JOIN ({seed("item")}) m USING (salt, key)
+  UNION SELECT d.r, m.r, d.i FROM (SELECT r, unnest(range(len(ws))) AS i, ws FROM doc) d JOIN item m ON len(m.ws) BETWEEN {MIN_WORDS} AND {longest - 1} AND d.ws[d.i + 1] = m.ws[1] AND d.ws[d.i + 1:d.i + len(m.ws)] = m.ws
+), aligned AS (
+  SELECT h.*, greatest(first, 0) AS lo, least(first + len(item.ws), len(doc.ws)) AS hi, doc.ws AS a, item.ws AS b FROM hit h JOIN doc ON doc.r = d JOIN item ON item.r = m
+), step AS (
+  SELECT d, m, first, lo, 0 AS j, 0 AS v FROM aligned
+  UNION ALL SELECT d, m, first, lo, j + 1, CASE WHEN a[lo + j + 1] = b[lo - first + j + 1] THEN 1 ELSE -{PENALTY} END FROM (SELECT *, unnest(range(hi - lo)) AS j FROM aligned)
+), gain AS (
+  SELECT *, sum(v) OVER (PARTITION BY d, m, first ORDER BY j) AS g FROM step
+), low AS (
+  SELECT *, min(g) OVER (PARTITION BY d, m, first ORDER BY j) AS l FROM gain
+), last AS (
+  SELECT d, m, first, arg_max(j, {{'x': g - l, 'y': -j}}) AS e, arg_max(g, {{'x': g - l, 'y': -j}}) AS g_end, arg_max(l, {{'x': g - l, 'y': -j}}) AS g_start FROM low GROUP BY d, m, first
+), segment AS (
+  SELECT x.*, (SELECT min(j) FROM gain y WHERE y.d = x.d AND y.m = x.m AND y.first = x.first AND y.g = x.g_start) AS s FROM last x
+), matched AS (
+  SELECT d, m, first, s, e, ((g_end - g_start + {PENALTY} * (e - s)) / {1 + PENALTY})::INT AS n FROM segment
+), enough AS (
+  SELECT x.*, doc.doc_id, item.item_id, len(item.ws) AS item_words FROM matched x JOIN doc ON doc.r = d JOIN item ON item.r = m WHERE n >= {MIN_WORDS} AND (n >= {MIN_SHARE} * len(item.ws) OR n >= {LONG_MATCH})
+)
+SELECT any_value(doc_id) AS doc_id, any_value(item_id) AS item_id, max(n) AS matched_words, arg_max(e - s, {{'n': n, 'f': -first}})::INT AS segment_words,
+       any_value(item_words)::INT AS item_words, arg_max(greatest(first, 0) + s, {{'n': n, 'f': -first}})::INT AS first_word
+FROM enough GROUP BY d, m
+"""

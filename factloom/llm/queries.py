@@ -23,6 +23,7 @@ ORACLES = {
     "op4_permutation_sharding": sharding.oracle(),
     "op5_pii_spans": pii.oracle(),
     "op7_bagminhash_neardup": neardup.ORACLE,
+    "op8_spaced_seed_decontamination": decontamination.oracle(),
     "op9_flow_mixing": mixing.ORACLE,
     "op10_line_quality": quality.ORACLE,
 }
