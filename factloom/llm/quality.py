@@ -8,7 +8,8 @@ written, so that the counting join reads hashes instead of texts. Counts are com
 so a line or host that a third of all rows share costs one row a task.
 
 Defined results: a null text has no lines and fails the length rule; a null host is a host of its own; every
-row counts as one document, also when keys repeat; an empty table gives an empty result; extra columns are kept by `rules`.
+row counts as one document, also when keys repeat; a line in exactly `max_docs` documents stays; an empty table gives an empty
+result; extra columns are kept by `rules`, except those named as its outputs (the counts, removed_words, base_failed, kept and clean_text).
 """
 
 from __future__ import annotations
@@ -65,16 +66,15 @@ def line_stats(text: bytes) -> tuple[int, list[int], list[int]]:
     return len(lines) - len(set(lines)), list(norm), list(norm.values())
 
 
-def measure(df: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
-    """One row for each row of df: its columns but `text`, the counts, and `__lines` (hash, words)."""
+def measure(df: DataFrame, text: str, lines_out: str) -> DataFrame:
+    """One row for each row of df: its columns but `text`, the counts, and `lines_out` (hash, words)."""
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    keep = [c for c in df.columns if c not in (text, *made)]
-    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    keep, body = [c for c in df.columns if c not in (text, *made)], shared.fresh(df, "__text")
     line = pa.list_(pa.struct([("h", pa.int64()), ("w", pa.int64())]))
 
     def run(batches):
-        for part in shared.chunks(batches, "__text"):
-            data, at = words.flat(part.column("__text"))
+        for part in shared.chunks(batches, body):
+            data, at = words.flat(part.column(body))
             _, _, before = words.bounds(data, at)
             total = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[at])
             chars = total(~words.BLANK[data] & ((data & 0xC0) != 0x80))
@@ -94,20 +94,20 @@ def measure(df: DataFrame, text: str = "text", host: str = "source") -> DataFram
             pairs = pa.StructArray.from_arrays([pa.array(hashes.view(np.int64)), pa.array(count, pa.int64())], ["h", "w"])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs).cast(line)
             numbers = [np.diff(before), chars, symbols, np.array(dup), np.array(rep)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in numbers), lists], names=[*keep, *made, "__lines"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in numbers), lists], names=[*keep, *made, lines_out])
 
-    schema = ", ".join([*([kinds] if keep else []), *(f"{c} long" for c in made), "__lines array<struct<h: long, w: long>>"])
-    return df.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    schema = shared.ddl(df, keep) + ", ".join([*(f"{c} long" for c in made), f"`{lines_out}` array<struct<h: long, w: long>>"])
+    return df.select(*shared.columns(keep), F.col(f"`{text}`").alias(body)).mapInArrow(run, schema)
 
 
-def without_lines(df: DataFrame) -> DataFrame:
-    """df with `clean_text`: `__text_in` without the lines whose hashes are in `__gone`; blank lines stay."""
-    keep = [c for c in df.columns if c not in ("__text_in", "__gone")]
+def without_lines(df: DataFrame, body: str, lost: str) -> DataFrame:
+    """df with `clean_text`: column `body` without the lines whose hashes are in column `lost`; blank lines stay."""
+    keep = [c for c in df.columns if c not in (body, lost, "clean_text")]
 
     def run(batches):
-        for part in shared.chunks(batches, "__text_in"):
+        for part in shared.chunks(batches, body):
             out = []
-            for text, gone in zip(part.column("__text_in").to_pylist(), part.column("__gone").to_pylist(), strict=True):
+            for text, gone in zip(part.column(body).to_pylist(), part.column(lost).to_pylist(), strict=True):
                 if gone:
                     lines = text.encode().split(b"\n")
                     norm = [b" ".join(x.translate(LOWER).split()) for x in lines]
@@ -118,23 +118,24 @@ def without_lines(df: DataFrame) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(out, pa.string())], names=[*keep, "clean_text"])
 
-    kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
-    return df.mapInArrow(run, f"{kinds}clean_text string")
+    return df.mapInArrow(run, f"{shared.ddl(df, keep)}clean_text string")
 
 
 def rules(df: DataFrame, text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE, cleaned: bool = False) -> DataFrame:
     """df without `text`, with counts, `removed_words` (words of lines that too many documents of the host have),
     `base_failed` and `kept`; if `cleaned`, also `clean_text`, the text without those lines."""
-    table = shared.written(measure(df.withColumn("__text_in", F.col(text)) if cleaned else df, text, host).withColumn("__row", F.monotonically_increasing_id()), "quality")
-    lines = table.select("__row", F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit("null")).alias("host"), F.explode("__lines").alias("l")).select("__row", "host", "l.h", "l.w")
+    row, found, body, lost, own_host = (shared.fresh(df, f"__quality_{x}") for x in ("row", "lines", "text", "gone", "host"))
+    df = df.withColumn(own_host, F.coalesce(F.concat(F.lit("="), F.col(f"`{host}`").cast("string")), F.lit("null")))
+    df = df.withColumn(body, F.col(f"`{text}`")) if cleaned else df
+    table = shared.written(measure(df, text, found).withColumn(row, F.monotonically_increasing_id()), "quality")
+    lines = table.select(F.col(row).alias("row"), F.col(own_host).alias("host"), F.explode(found).alias("l")).select("row", "host", "l.h", "l.w")
     common = lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_docs).select("host", "h")
-    gone = [F.collect_list("h").alias("__gone")] if cleaned else []
-    removed = lines.join(common, ["host", "h"]).groupBy("__row").agg(F.sum("w").alias("removed_words"), *gone)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
-    out = table.drop("__lines").join(removed, "__row", "left").drop("__row").fillna(0, ["removed_words"])
-    out = out.withColumn("base_failed", failed)
+    gone = [F.collect_list("h").alias(lost)] if cleaned else []
+    removed = lines.join(common, ["host", "h"]).groupBy(F.col("row").alias(row)).agg(F.sum("w").alias("removed_words"), *gone)
+    out = table.drop(found, own_host, "removed_words", "base_failed", "kept").join(removed, row, "left").drop(row).fillna(0, ["removed_words"])
+    out = out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("removed_words") >= F.lit(min_share) * F.col("n_words")))
-    return without_lines(out) if cleaned else out
+    return without_lines(out, body, lost) if cleaned else out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
