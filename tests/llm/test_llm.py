@@ -254,6 +254,21 @@ def test_pii(spark, docs, empty):
         assert [x[:4] for x in got[i] if x[3] in pii.BASE] == want, t
     assert [x[3] for x in got[4]] == ["iban"] and [x[3] for x in got[5]] == ["ssn"]
     assert pii.detect(empty).count() == 0 and pii.detect(docs).count() == docs.count()
+    clash = pii.detect(table.withColumns({"pii": F.lit(1), "__email": F.lit(2)}))
+    assert clash.columns == ["doc_id", "text", "spans", "pii", "__email"] and [tuple(x) for x in clash.where("doc_id = 0").first()["pii"]] == got[0]
+
+
+def test_pii_in_long_dense_texts(spark):
+    """Places and scores over many blocks of pieces, and in a time that grows with the text."""
+    one = "contact a@b.c, server 10.0.0.1 x 123-45-6789 ssn "
+    texts = [one * 3000, "".join(f"u{i}@h.org" + " " * (i % 90) for i in range(2000)), "5@a.b " * 40_000]
+    began = time.time()
+    got = [[tuple(x) for x in r["pii"]] for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).orderBy("doc_id").collect()]
+    assert time.time() - began < 60
+    single = [(8, 0, 13, "email"), (22, 1, 30, "ip"), (33, 5, 44, "ssn")]
+    assert [x[:4] for x in got[0]] == [(s + k * len(one), o, e + k * len(one), kind) for k in range(3000) for s, o, e, kind in single]
+    assert [x[:4] for x in got[1]] == [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", texts[1])]
+    assert len(got[2]) == 40_000 and {x[4] for x in got[2]} == {0.9}
 
 
 def test_suffix_sorting():
@@ -426,6 +441,55 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.without(docs, bench).count() == docs.count()
 
 
+def slow_contained(texts, items, min_words):
+    """{(text, item): (matched, segment, first)} by laying each item at every place where a mask agrees."""
+    split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
+    out = {}
+    for i, t in enumerate(texts):
+        a = split(t)
+        for j, x in enumerate(items):
+            b = split(x)
+            if len(b) < min_words:
+                continue
+            masks = [[k for k, c in enumerate(m) if c == "1"] for m in decontamination.MASKS] + [list(range(len(b)))] * (len(b) < 10)
+            for first in range(-len(b) + 1, len(a)):
+                same = {k: a[first + k] == b[k] for k in range(len(b)) if 0 <= first + k < len(a)}
+                if not any(all(same.get(p + k, False) for k in m) for m in masks for p in range(len(b) - m[-1])):
+                    continue
+                places, best = sorted(same), (0, 0, 0, 0)
+                for s in range(len(places)):
+                    for e in range(s, len(places)):
+                        n = sum(same[k] for k in places[s : e + 1])
+                        score = n - decontamination.PENALTY * (e + 1 - s - n)
+                        if score > best[0] or (score == best[0] and best[0] and e + 1 == best[2] and s < best[1]):
+                            best = (score, s, e + 1, n)
+                n = best[3]
+                if n >= min(min_words, len(b)) and (2 * n >= len(b) or n >= decontamination.LONG_MATCH) and n > out.get((i, j), (0,))[0]:
+                    out[i, j] = (n, best[2] - best[1], max(first, 0) + best[1])
+    return out
+
+
+def test_decontamination_against_all_alignments(spark):
+    r = random.Random(17)
+    vocab = [f"w{i}" for i in range(40)]
+    items = [prose(vocab, n, r) for n in (3, 5, 8, 12, 25, 40)] + [None, "w1"]
+    texts = [prose(vocab, 60, r) for _ in range(4)] + [None, ""]
+    for x in items[:6]:
+        for share in (0.0, 0.1, 0.25, 0.4):
+            w = ["sub" if r.random() < share else v for v in x.split()]
+            texts.append(f"{prose(vocab, 10, r)} {' '.join(w)} {prose(vocab, 10, r)}")
+            texts.append(" ".join(w[len(w) // 3 :]).upper() + "! tail")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id int, text string")
+    table = spark.createDataFrame([(i, t, "c", 1) for i, t in enumerate(texts)], "doc_id long, text string, item_words string, extra int")
+    for min_words, chars in ((5, 10**6), (1, 10**6), (5, 200)):
+        found = decontamination.contained(table, bench, min_words=min_words, block_chars=chars)
+        assert found.columns == ["doc_id", "extra", "item_id", "matched_words", "segment_words", "item_words", "first_word"]
+        got = {(x["doc_id"], x["item_id"]): (x["matched_words"], x["segment_words"], x["first_word"]) for x in found.collect()}
+        assert got == slow_contained(texts, items, min_words)
+        clean = {x["doc_id"] for x in decontamination.without(table, bench, min_words=min_words, block_chars=chars).collect()}
+        assert clean == set(range(len(texts))) - {i for i, _ in got}
+
+
 def test_targets():
     for sizes in ({"a": 10, "b": 100, None: 5}, {"a": 1, "b": 1000, "c": 0}, {}, {"a": 7}, {f"s{i}": (i * 37) % 91 for i in range(40)}):
         got = mixing.targets(sizes)
@@ -551,6 +615,10 @@ def test_quality(docs, empty, spark):
     assert all(got[i]["kept"] and got[i]["removed_words"] == 5 for i in range(60))
     assert not any(got[i]["kept"] for i in (100, 101, 102, 200, 201, 202))
     assert quality.rules(empty).count() == 0 and quality.rules(docs).count() == docs.count()
+    clash = table.withColumns({c: F.lit("mine") for c in ("removed_words", "__lines", "__row", "base_failed", "host", "h", "clean_text", "__text_in", "__gone")})
+    both = {r["doc_id"]: r for r in quality.rules(clash, max_docs=20, cleaned=True).collect()}
+    assert all((both[i]["kept"], both[i]["removed_words"], both[i]["host"], both[i]["__lines"]) == (got[i]["kept"], got[i]["removed_words"], "mine", "mine") for i, _, _ in made)
+    assert both[0]["clean_text"] == made[0][1].split("\n")[1] and both[200]["clean_text"] is None
 
 
 def test_pipeline(spark, tmp_path):
