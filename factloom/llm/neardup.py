@@ -17,8 +17,8 @@ finds. So no pair that could still join two classes is left out, and pairs are n
 pairs whose sizes or signatures rule out `SIMILARITY` are dropped before bags are compared; in both, links are
 verified on whole bags. Exact copies are represented by one of them from the start.
 
-Hot groups: a bucket's members meet their pivot, and nodes their hub, in joins of two written tables, which Spark splits where
-they are skewed; counts and minima are combined before they are shuffled.
+Hot groups: a bucket's members meet their pivot, and nodes their hub, in merge joins of two written tables, which Spark splits where
+they are skewed, and whose plan is the same at every size; counts and minima are combined before they are shuffled.
 
 Defined results: a class is named by its smallest key; texts without words (null ones count as empty) are classes of their own, unless
 their text is the same; a row with a null key has no class (null) and links nothing; rows that share a key are one document, whose
@@ -272,13 +272,13 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         rows = shared.written(rows.groupBy("key").agg(F.min_by("text", F.sha2(F.coalesce("text", F.lit("")), 256)).alias("text")), "texts")
     sigs = shared.written(signed(rows, "key", "text"), "signatures", gone)
     twice = shared.written(sigs.groupBy("digest").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("c")).where("c > 1").select("digest", "node"), "copies", gone)
-    both = sigs.join(twice, "digest", "left").withColumn("node", F.coalesce("node", "key"))
+    both = sigs.join(twice.hint("merge"), "digest", "left").withColumn("node", F.coalesce("node", "key"))
     members = shared.written(both.select("key", "node"), "members")
     own = shared.written(both.where("key = node").select("key", "n", "sig", "bands"), "nodes")
     shared.drop(spark, gone)
     bands = own.select(F.col("key").alias("node"), "n", F.explode("bands").alias("bucket"))
     pivots = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("pivot")).where("size > 1").select("bucket", "pivot")
-    buckets = shared.written(bands.join(shared.written(pivots, "pivots", gone), "bucket"), "buckets")
+    buckets = shared.written(bands.join(shared.written(pivots, "pivots", gone).hint("merge"), "bucket"), "buckets")
     shared.drop(spark, gone)
     label = None
     if not buckets.isEmpty():
@@ -291,7 +291,7 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         labelled = buckets.select("bucket", "node", "n").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         labelled = shared.written(labelled, "labelled", gone)
         several = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        open_ = shared.written(labelled.join(shared.written(several, "several", gone), "bucket", "left_semi"), "open")
+        open_ = shared.written(labelled.join(shared.written(several, "several", gone).hint("merge"), "bucket", "left_semi"), "open")
         shared.drop(spark, gone)
         if not open_.isEmpty():
             label = components(shared.written(block_links(open_, sets), "links"), label)
