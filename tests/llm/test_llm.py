@@ -421,7 +421,7 @@ def test_near_duplicates_of_repeated_keys(spark):
         assert got == [("None", None), ("k1", "k1"), ("k1", "k1"), ("k2", "k2"), ("k3", "k1")] + [("k4", "k4")] * 3
         kept = neardup.one_of_each(table.repartition(n), "k").collect()
         assert sorted((str(x["k"]), x["text"]) for x in kept) == [("None", first), ("k1", first), ("k2", second), ("k4", c)]
-    assert len({x["class_id"] for n in range(1, 6) for x in neardup.one_of_each(table.repartition(n), "k").where("k = 'k4'").collect()}) == 1
+    assert len({x["class_id"] for n in (1, 4) for x in neardup.one_of_each(table.repartition(n), "k").where("k = 'k4'").collect()}) == 1
 
 
 def test_decontamination(spark, docs, empty):
