@@ -33,15 +33,23 @@ def norm_label_index(c: Column) -> Column:
     return squeeze(F.regexp_replace(F.regexp_replace(F.lower(c), r"^\s*[0-9]+[.]\s*", ""), r"\s*[0-9]+\)\s*$", ""))
 
 
-#: Blank, date, year, number, note reference, standard reference, unit header. Fixed values.
-UNTAGGABLE = r"^\s*$|^[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4}$|^(?:19|20)[0-9]{2}$|^[0-9.,()%–-]+$|^note [0-9]+$|^(?:ifrs|ias|ifric|sic) [0-9]+|^(?:in )?(?:teur|eur|€|%|mio)\b"
-#: B4. Fixed values.
-EXCLUDED_TOPICS = r"scope [123]|emission|ghg|co2|esrs|csrd|taxonom|biodivers|water consumption|waste|energy consumption|gender pay|sustainab|climate"
+#: Blank, date, year, number, note in brackets, note reference, standard reference, unit header. Fixed values.
+UNTAGGABLE = "|".join([
+    r"^$", r"^[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4}$", r"^[0-9]{4}$", r"^[0-9.,\s%()+-]+$", r"^[(\[]?[0-9]+[)\]]?$", r"^note\s+[0-9]", r"^(?:ias|ifrs)\s*[0-9]", r"^in\s+(?:eur|usd|teur|tusd|mio|t€)",
+])
+#: Emissions, energy, water, waste, nature, substances, staff, ages, countries, supply. Fixed values.
+EXCLUDED_TOPICS = "|".join([
+    r"ghg|greenhouse|co2|carbon|emission|scope\s*[123]", r"energy\s*consumption|fossil|renewable|nuclear|biomass", r"water\s*(?:consumption|withdrawal|discharge|recycl|stored|intensity)",
+    r"waste|hazardous|landfill|incineration|recycl", r"biodiversity|fauna|trees\s+planted|ambassadors", r"microplastic|nmvoc|sulphur|fluorine|chlorine",
+    r"training\s+hours|performance\s+review|apprentice|inclusion|diversity", r"visible\s+leadership|employee.*(?:age|gender|male|female)", r"permanent\s+employees|temporary\s+employees|non-guaranteed",
+    r"^(?:male|female|not reported|< 30|30 - 50|> 50)\s*(?:years)?\z", r"training\s+per\s+employee|performance.*career.*review", r"water\s+harvested|reduction.*specific.*water",
+    r"^(?:usa|france|germany|rest of the world)\z", r"purchased\s+goods\s+and\s+services|fuel\s+and\s+energy.related|downstream\s+transport",
+])
 AMBIGUOUS = ("total", "other", "sum", "balance", "thereof", "gesamt", "summe", "sonstige")
 
 
 def is_untaggable(c: Column) -> Column:
-    return F.coalesce(F.lower(c).rlike(UNTAGGABLE), F.lit(True))
+    return F.coalesce(F.regexp_replace(F.lower(c), r"^\s+|\s+$", "").rlike(UNTAGGABLE), F.lit(True))
 
 
 def is_excluded_topic(c: Column) -> Column:
@@ -70,3 +78,34 @@ def infer_table_context(classification: Column, path: Column) -> Column:
     for word, context in reversed(SECTION_KEYWORDS):
         found = F.when(F.contains(F.lower(path), F.lit(word)), context).otherwise(found)
     return F.coalesce(out, found)
+
+
+#: Keywords of a table of contents and the section that they stand for; the first that fits counts. Fixed values.
+TOC_LABELS = [
+    ("management report", "MANAGEMENT_REPORT"), ("directors' report", "MANAGEMENT_REPORT"), ("management review", "MANAGEMENT_REPORT"), ("management discussion", "MANAGEMENT_REPORT"), ("report of the management", "MANAGEMENT_REPORT"),
+    ("report of the executive", "MANAGEMENT_REPORT"), ("consolidated management", "MANAGEMENT_REPORT"), ("auditor's report", "AUDITOR_REPORT"), ("auditor’s report", "AUDITOR_REPORT"), ("auditor report", "AUDITOR_REPORT"),
+    ("independent auditor", "AUDITOR_REPORT"), ("audit report", "AUDITOR_REPORT"), ("assurance report", "AUDITOR_REPORT"), ("corporate governance", "CORPORATE_GOVERNANCE"), ("governance report", "CORPORATE_GOVERNANCE"),
+    ("sustainability", "ESG"), ("esg report", "ESG"), ("non-financial", "ESG"), ("supervisory board", "SUPERVISORY_BOARD"), ("aufsichtsrat", "SUPERVISORY_BOARD"), ("risk report", "RISK_REPORT"), ("risk management", "RISK_REPORT"),
+    ("remuneration", "REMUNERATION_REPORT"), ("vergütung", "REMUNERATION_REPORT"), ("responsibility statement", "RESPONSIBILITY_STATEMENT"), ("statement of all members", "RESPONSIBILITY_STATEMENT"),
+    ("erklärung aller mitglieder", "RESPONSIBILITY_STATEMENT"), ("contents", "TOC"), ("inhaltsverzeichnis", "TOC"), ("to our shareholders", "FRONT_MATTER"), ("an unsere aktionäre", "FRONT_MATTER"), ("further information", "APPENDIX"),
+    ("appendix", "APPENDIX"), ("contact", "APPENDIX"), ("imprint", "APPENDIX"), ("financial calendar", "FRONT_MATTER"), ("lagebericht", "MANAGEMENT_REPORT"), ("bestätigungsvermerk", "AUDITOR_REPORT"), ("wirtschaftsprüfer", "AUDITOR_REPORT"),
+    ("nachhaltigkeitsbericht", "ESG"), ("nichtfinanzielle", "ESG"), ("risikobericht", "RISK_REPORT"), ("corporate-governance", "CORPORATE_GOVERNANCE"), ("erklärung der gesetzlichen vertreter", "RESPONSIBILITY_STATEMENT"),
+    ("vollständigkeitserklärung", "RESPONSIBILITY_STATEMENT"),
+]
+#: Section types that are physical already, and words that make a disclosure an appendix. Fixed values.
+PHYSICAL = ("PNL", "SFP", "OCI", "CFS", "SOCIE", "TOC", "NOTES", "FRONT_MATTER", "MANAGEMENT_REPORT", "AUDITOR_REPORT", "CORPORATE_GOVERNANCE", "ESG", "RISK_REPORT", "REMUNERATION_REPORT", "SUPERVISORY_BOARD", "RESPONSIBILITY_STATEMENT", "APPENDIX", "OTHER")
+APPENDIX_WORDS = ("anlage", "beilage", "appendix", "schedule")
+
+
+def classify_toc_label(label: Column) -> Column:
+    """The section that a label of a table of contents names, by the first keyword that it contains."""
+    low, out = F.lower(label), F.lit(None).cast("string")
+    for word, section in reversed(TOC_LABELS):
+        out = F.when(F.contains(low, F.lit(word)), section).otherwise(out)
+    return out
+
+
+def physical_section(kind: Column, label: Column) -> Column:
+    """The physical section of a semantic type: physical types stay, disclosures are notes, or an appendix where the label says so."""
+    appendix = F.exists(F.array(*map(F.lit, APPENDIX_WORDS)), lambda w: F.contains(F.lower(F.coalesce(label, F.lit(""))), w))
+    return F.when(kind.isin(*PHYSICAL), kind).when(kind.startswith("DISC."), F.when(appendix, "APPENDIX").otherwise("NOTES")).otherwise("OTHER")

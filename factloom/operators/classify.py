@@ -15,14 +15,6 @@ def keyword_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
-def first_match_rule(text: Column, rules: list[tuple[str, str]]) -> Column:
-    """The number of that rule, from 0."""
-    out = F.lit(None).cast("int")
-    for k, (pattern, _) in reversed(list(enumerate(rules))):
-        out = F.when(text.rlike(pattern), k).otherwise(out)
-    return out
-
-
 def classify_tables(tables: DataFrame, toc: DataFrame, votes: DataFrame, paths: DataFrame, texts: DataFrame, rules: list[tuple[str, str]], reclassify: bool = False) -> DataFrame:
     """I8: a table's class from the first of: its present class, the section of its page, note votes, its section path, keyword rules.
     All inputs but tables have at most one row for each table_id. With reclassify, only human decisions (method 'human') stay."""
@@ -98,11 +90,6 @@ def has_note_column(columns: DataFrame) -> DataFrame:
     return columns.groupBy("table_id").agg(F.coalesce(F.bool_or(hit), F.lit(False)).alias("has_notes"))
 
 
-def physical_section(kind: Column) -> Column:
-    """The physical section of a semantic type."""
-    return F.when(kind.isin("PNL", "SFP", "OCI", "CFS", "SOCIE"), "PRIMARY_STATEMENTS").when(kind.startswith("DISC."), "NOTES").when(kind == "NOTES", "NOTES").when(kind == "TOC", "FRONT").otherwise("OTHER")
-
-
 def infer_dimensions(entity: Column, concept: Column, segment: Column) -> Column:
     """Dimensions of a row: its entity, a scope for results, a segment where the label names one."""
     return F.map_filter(F.create_map(F.lit("ENTITY"), entity, F.lit("SCOPE"), F.when(concept.startswith("PNL"), "CONTINUING"), F.lit("SEGMENT"), segment), lambda k, v: v.isNotNull())

@@ -42,6 +42,15 @@ def normalize_sign(amount: Column, convention: Column, context: Column, balance:
     return F.when(convention == "NATURAL_DRCR", amount).when(context.isin("PNL", "OCI"), -amount).otherwise(by_balance)
 
 
+def scale_amounts(cells: DataFrame, columns: DataFrame, tables: DataFrame) -> DataFrame:
+    """Amounts of value columns times the scale of the column's header, else of the table's unit; per cent and per-share columns stay."""
+    k = columns.where("role = 'VALUE'").select("table_id", "col_idx", "header")
+    c = cells.where("value is not null").join(k, ["table_id", "col_idx"]).join(tables.select("table_id", "unit"), "table_id")
+    header = unit_scale(F.col("header"))
+    factor = F.when(F.col("header").contains("%") | F.lower("header").contains("per share"), 1.0).otherwise(F.coalesce(F.when(header > 1, header), unit_scale(F.col("unit"))))
+    return c.select("row_id", "col_idx", F.round(F.col("value") * factor, 2).alias("scaled"))
+
+
 def index_facts(rows: DataFrame, cells: DataFrame, tables: DataFrame, columns: DataFrame, concepts: DataFrame) -> DataFrame:
     """Scaled and signed facts of tagged rows. Concepts are a small dimension; the rest joins on the table."""
     periods = period_keys(columns).drop("doc_id")

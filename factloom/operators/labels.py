@@ -53,7 +53,7 @@ def match_labels_fuzzy(labels: DataFrame, index: DataFrame, threshold: float = 0
     i = i.withColumn("start", F.floor(F.col("p") * F.col("n") / F.col("k")).cast("int")).withColumn("end", F.floor((F.col("p") + 1) * F.col("n") / F.col("k")).cast("int"))
     i = i.where("end > start").select("norm", "concept_id", "n", "d", "start", F.expr("substring(norm, start + 1, end - start)").alias("gram"))
     sizes = i.groupBy(F.length("gram").alias("g")).agg(F.max("d").alias("most"))
-    q = labels.select("label").distinct().withColumn("m", F.length("label")).join(F.broadcast(sizes), F.col("m") >= F.col("g"))
+    q = labels.select("label").distinct().withColumn("m", F.length("label")).join(F.broadcast(sizes), F.col("m") >= F.col("g"))  # a row for each piece length
     q = q.withColumn("at", F.explode(F.expr("sequence(0, m - g)"))).select("label", "m", "at", F.expr("substring(label, at + 1, g)").alias("gram"))
     near = q.join(i, "gram").where("abs(at - start) <= d and abs(m - n) <= d").select("label", "m", "norm", "concept_id", "n").distinct()
     near = near.withColumn("score", 1 - F.levenshtein("label", "norm") / F.greatest("m", "n")).where(F.col("score") >= threshold)
@@ -87,11 +87,25 @@ def search_concepts(concepts: DataFrame, q: str, limit: int = 20) -> DataFrame:
     return concepts.where(hit).orderBy("concept_id", "label").limit(limit)
 
 
-def gap_report(rows: DataFrame, index: DataFrame) -> DataFrame:
-    """Labels of rows that no concept matches, with their tables."""
+def search_documents(documents: DataFrame, q: str, allowed: DataFrame, status: DataFrame, limit: int = 20) -> DataFrame:
+    """Documents whose entity contains q, among those allowed (doc_id), with their annotation status; in order. status: doc_id, status."""
+    d = documents.where(F.contains(F.lower("entity"), F.lit(q.lower()))).select("doc_id", "entity").join(allowed.select("doc_id"), "doc_id", "left_semi")
+    return d.join(status.select("doc_id", "status"), "doc_id").orderBy("entity", "doc_id").limit(limit)
+
+
+def list_gaps(gaps: DataFrame, status: list[str], context: str | None = None) -> DataFrame:
+    """Gaps (or proposals) of the given states, and of one context if it is given."""
+    g = gaps.where(F.col("status").isin(*status))
+    return g if context is None else g.where(F.col("context") == context)
+
+
+def gap_report(rows: DataFrame, index: DataFrame, tables: DataFrame) -> DataFrame:
+    """Labels of rows that no concept matches, by family (the context of their table), with their tables and pages."""
     r = rows.where(~L.is_untaggable(F.col("raw")) & ~L.is_excluded_topic(F.col("raw"))).withColumn("norm", L.norm_label_index(F.col("raw")))
-    left = r.join(index.select("norm"), "norm", "left_anti")
-    return left.groupBy("norm").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("table_id").alias("n_tables"), F.min("table_id").alias("first_table"))
+    left = r.join(index.select("norm"), "norm", "left_anti").join(tables.select("table_id", F.coalesce("context", F.lit("none")).alias("family"), "page_no"), "table_id")
+    return left.groupBy("family", "norm").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("table_id").alias("n_tables"), F.min("table_id").alias("first_table"), F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), F.count_distinct("page_no").alias("n_pages"),
+    )
 
 
 def first_seen_members(labels: DataFrame, prefix: str, skip: tuple[str, ...] = ()) -> DataFrame:

@@ -102,12 +102,6 @@ def infer_dimensions(t):
     return r.select("row_id", F.array_join(F.transform(F.map_entries(dims), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ";").alias("dimensions"))
 
 
-@query("b17_physical_section", "SELECT coalesce(context, 'none') AS context, CASE WHEN context IN ('PNL', 'SFP', 'OCI') THEN 'PRIMARY_STATEMENTS' WHEN context LIKE 'DISC.%' THEN 'NOTES' ELSE 'OTHER' END AS section, count(*) AS n FROM r_tables GROUP BY 1, 2")
-def physical_section(t):
-    kind = F.coalesce("context", F.lit("none"))
-    return t.r_tables.groupBy(kind.alias("context"), C.physical_section(kind).alias("section")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("b18_has_note_column", "SELECT table_id, bool_or(role = 'NOTES') AS has_notes FROM r_columns GROUP BY 1")
 def has_note_column(t):
     return C.has_note_column(t.r_columns)

@@ -9,6 +9,8 @@ from ..operators import labels as O
 from .registry import query
 
 NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '^\s*[0-9]+[.]\s*', ''), '\s*[0-9]+\)\s*$', ''), '\s+', ' ', 'g'))"
+UNTAG = r"regexp_matches(regexp_replace(lower({0}), '^\s+|\s+$', '', 'g'), '" + L.UNTAGGABLE.replace("{", "{{").replace("}", "}}") + "')"
+TOPIC = "regexp_matches(lower({0}), '" + L.EXCLUDED_TOPICS + "')"
 AMBIG = "('total', 'other', 'sum', 'balance', 'thereof', 'gesamt', 'summe', 'sonstige')"
 INDEX = f"""idx AS (SELECT norm, arg_min(concept_id, (precedence, concept_id)) AS concept_id FROM (SELECT {NORM.format('label')} AS norm, concept_id, precedence FROM l_index)
   WHERE length(norm) >= 4 AND norm NOT IN {AMBIG} GROUP BY norm)"""
@@ -30,18 +32,21 @@ def norm_labels(t):
     return t.l_labels.select("row_id", L.norm_label_pretag(F.col("raw")).alias("pretag"), L.norm_label_index(F.col("raw")).alias("norm"))
 
 
-@query("b3_untaggable", r"""
-SELECT doc_id, count(*) FILTER (regexp_matches(lower(raw), '^\s*$|^[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{2,4}$|^(19|20)[0-9]{2}$|^[0-9.,()%–-]+$|^note [0-9]+$|^(ifrs|ias|ifric|sic) [0-9]+|^(in )?(teur|eur|€|%|mio)\b')) AS n_untaggable,
-       count(*) FILTER (length(trim(raw)) >= 4 AND lower(trim(raw)) NOT IN ('total', 'other', 'sum', 'balance', 'thereof', 'gesamt', 'summe', 'sonstige')) AS n_indexable FROM l_labels GROUP BY doc_id""")
+@query("b3_untaggable", f"""
+SELECT doc_id, count(*) FILTER ({UNTAG.format('raw')}) AS n_untaggable,
+       count(*) FILTER (length(trim(raw)) >= 4 AND lower(trim(raw)) NOT IN {AMBIG}) AS n_indexable FROM (SELECT doc_id, raw FROM l_labels UNION ALL SELECT doc_id, CASE row_id % 9 WHEN 0 THEN '[3]' WHEN 1 THEN ' 1 234 + 5 ' WHEN 2 THEN '1850' WHEN 3 THEN 'IFRS 16 leases' WHEN 4 THEN 'in TEUR' WHEN 5 THEN 'Note  12.1' WHEN 6 THEN '' WHEN 7 THEN '(12)' ELSE 'note on leases' END FROM r_rows) GROUP BY doc_id""")
 def untaggable(t):
-    return t.l_labels.groupBy("doc_id").agg(F.count_if(L.is_untaggable(F.col("raw"))).alias("n_untaggable"), F.count_if(L.indexable_label(F.col("raw"))).alias("n_indexable"))
+    k = F.col("row_id") % 9
+    odd = F.when(k == 0, "[3]").when(k == 1, " 1 234 + 5 ").when(k == 2, "1850").when(k == 3, "IFRS 16 leases").when(k == 4, "in TEUR").when(k == 5, "Note  12.1").when(k == 6, "").when(k == 7, "(12)").otherwise("note on leases")
+    both = t.l_labels.select("doc_id", "raw").unionByName(t.r_rows.select("doc_id", odd.alias("raw")))
+    return both.groupBy("doc_id").agg(F.count_if(L.is_untaggable(F.col("raw"))).alias("n_untaggable"), F.count_if(L.indexable_label(F.col("raw"))).alias("n_indexable"))
 
 
-@query("b4_excluded_topics", """
-SELECT doc_id, regexp_matches(lower(text), 'scope [123]|emission|ghg|co2|esrs|csrd|taxonom|biodivers|water consumption|waste|energy consumption|gender pay|sustainab|climate') AS excluded
-FROM (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 5 = 0 THEN ' Scope 2 emissions' ELSE '' END AS text FROM documents)""")
+@query("b4_excluded_topics", f"""
+SELECT doc_id, {TOPIC.format('text')} AS excluded FROM (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN coalesce(text, '') || ' Scope 2' WHEN 1 THEN 'Male years' WHEN 2 THEN 'Germany' WHEN 3 THEN 'Training hours per head' WHEN 4 THEN 'female staff' ELSE coalesce(text, '') END AS text FROM documents)""")
 def excluded_topics(t):
-    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 5 == 0, " Scope 2 emissions").otherwise(""))
+    k, own = F.col("doc_id") % 7, F.coalesce("text", F.lit(""))
+    text = F.when(k == 0, F.concat(own, F.lit(" Scope 2"))).when(k == 1, "Male years").when(k == 2, "Germany").when(k == 3, "Training hours per head").when(k == 4, "female staff").otherwise(own)
     return t.documents.select("doc_id", L.is_excluded_topic(text).alias("excluded"))
 
 
@@ -64,11 +69,11 @@ def unit_scale(t):
 
 @query("b11_normalize_sign", """
 SELECT t.table_id, c.row_id, c.col_idx, round(CASE WHEN sign_convention = 'NATURAL_DRCR' THEN value WHEN context IN ('PNL', 'OCI') THEN -value WHEN k.balance_type = 'credit' THEN -abs(value) WHEN k.balance_type = 'debit' THEN abs(value) ELSE value END, 2) AS amount
-FROM r_cells c JOIN r_rows r ON r.row_id = c.row_id JOIN r_tables t ON t.table_id = c.table_id LEFT JOIN r_concepts k ON k.concept_id = r.tag WHERE c.value IS NOT NULL AND c.col_idx = 2""")
+FROM r_cells c JOIN r_rows r ON r.row_id = c.row_id JOIN r_tables t ON t.table_id = c.table_id LEFT JOIN r_concepts k ON k.concept_id = r.tag WHERE c.value IS NOT NULL""")
 def normalize_sign(t):
     from ..operators.facts import normalize_sign as sign
 
-    c = t.r_cells.where("value is not null and col_idx = 2").join(t.r_rows.select("row_id", "tag"), "row_id").join(t.r_tables.select("table_id", "sign_convention", "context"), "table_id")
+    c = t.r_cells.where("value is not null").join(t.r_rows.select("row_id", "tag"), "row_id").join(t.r_tables.select("table_id", "sign_convention", "context"), "table_id")
     c = c.join(t.r_concepts.select(F.col("concept_id").alias("tag"), "balance_type"), "tag", "left")
     return c.select("table_id", "row_id", "col_idx", F.round(sign(F.col("value"), F.col("sign_convention"), F.col("context"), F.col("balance_type")), 2).alias("amount"))
 
@@ -86,13 +91,9 @@ def parse_amounts(t):
 SELECT c.row_id, c.col_idx, round(c.value * CASE WHEN k.header LIKE '%\\%%' ESCAPE '\\' THEN 1 WHEN t.unit = 'TEUR' THEN 1000 WHEN t.unit = 'EUR Mio' THEN 1000000 ELSE 1 END, 2) AS scaled
 FROM r_cells c JOIN r_columns k ON k.table_id = c.table_id AND k.col_idx = c.col_idx AND k.role = 'VALUE' JOIN r_tables t ON t.table_id = c.table_id WHERE c.value IS NOT NULL""")
 def scale_amounts(t):
-    from ..operators.facts import unit_scale as scale
+    from ..operators.facts import scale_amounts as scaled
 
-    k = t.r_columns.where("role = 'VALUE'").select("table_id", "col_idx", "header")
-    c = t.r_cells.where("value is not null").join(k, ["table_id", "col_idx"]).join(t.r_tables.select("table_id", "unit"), "table_id")
-    by_header = F.when(scale(F.col("header")) > 1, scale(F.col("header")))
-    factor = F.when(F.col("header").contains("%") | F.lower("header").contains("per share"), 1.0).otherwise(F.coalesce(by_header, scale(F.col("unit"))))
-    return c.select("row_id", "col_idx", F.round(F.col("value") * factor, 2).alias("scaled"))
+    return scaled(t.r_cells, t.r_columns, t.r_tables)
 
 
 @query("b14_infer_table_context", """
@@ -174,9 +175,51 @@ def axis_members(t):
 
 
 @query("d49_gap_report", rf"""
-WITH {INDEX}, r AS (SELECT table_id, {NORM.format('raw')} AS norm, lower(raw) AS l FROM l_labels)
-SELECT norm, count(*) AS n_rows, count(DISTINCT table_id) AS n_tables, min(table_id) AS first_table FROM r WHERE norm NOT IN (SELECT norm FROM idx)
-  AND NOT regexp_matches(l, '^\s*$|^[0-9]{{1,2}}[./][0-9]{{1,2}}[./][0-9]{{2,4}}$|^(19|20)[0-9]{{2}}$|^[0-9.,()%–-]+$|^note [0-9]+$|^(ifrs|ias|ifric|sic) [0-9]+|^(in )?(teur|eur|€|%|mio)\b')
-  AND NOT regexp_matches(l, 'scope [123]|emission|ghg|co2|esrs|csrd|taxonom|biodivers|water consumption|waste|energy consumption|gender pay|sustainab|climate') GROUP BY norm""")
+WITH {INDEX}, r AS (SELECT l.table_id, {NORM.format('raw')} AS norm, raw, coalesce(t.context, 'none') AS family, t.page_no FROM l_labels l JOIN r_tables t USING (table_id))
+SELECT family, norm, count(*) AS n_rows, count(DISTINCT table_id) AS n_tables, min(table_id) AS first_table, min(page_no) AS first_page, max(page_no) AS last_page, count(DISTINCT page_no) AS n_pages FROM r WHERE norm NOT IN (SELECT norm FROM idx)
+  AND NOT {UNTAG.format('raw')} AND NOT {TOPIC.format('raw')} GROUP BY family, norm""")
 def gap_report(t):
-    return O.gap_report(t.l_labels, O.label_index(t.l_index))
+    return O.gap_report(t.l_labels, O.label_index(t.l_index), t.r_tables)
+
+
+@query("d49_list_gaps", """
+WITH g AS (SELECT user_id AS gap_id, min(event_type) AS context, CASE WHEN count(*) % 3 = 0 THEN 'open' WHEN count(*) % 3 = 1 THEN 'proposed' ELSE 'accepted' END AS status, max(ts) AS updated_at FROM events GROUP BY 1)
+SELECT * FROM g WHERE status IN ('open', 'proposed') AND context = 'click'""")
+def list_gaps(t):
+    g = t.events.groupBy(F.col("user_id").alias("gap_id")).agg(F.min("event_type").alias("context"), F.count(F.lit(1)).alias("n"), F.max("ts").alias("updated_at"))
+    status = F.when(F.col("n") % 3 == 0, "open").when(F.col("n") % 3 == 1, "proposed").otherwise("accepted")
+    return O.list_gaps(g.withColumn("status", status).drop("n"), ["open", "proposed"], "click")
+
+
+@query("b15_search_documents", """
+WITH s AS (SELECT user_id AS doc_id, count(*) AS n, bool_or(value > 20) AS ok FROM events GROUP BY 1), d AS (SELECT d.doc_id, d.entity, CASE WHEN n IS NULL THEN 'not_started' WHEN ok THEN 'complete' ELSE 'in_progress' END AS status FROM r_documents d LEFT JOIN s USING (doc_id))
+SELECT doc_id, entity, status FROM d WHERE contains(lower(entity), '#1') AND doc_id IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AND status <> 'complete' ORDER BY entity, doc_id LIMIT 20""")
+def search_documents(t):
+    from ..operators.reviews import annotation_status
+
+    status = annotation_status(t.r_documents, t.events.select(F.col("user_id").alias("doc_id"), (F.col("value") > 20).alias("validated"), "ts"))
+    allowed = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("doc_id"))
+    return O.search_documents(t.r_documents, "#1", allowed, status.where("status <> 'complete'"))
+
+
+TOC_SQL = "CASE " + " ".join("WHEN contains(lower(label), '" + w.replace("'", "''") + f"') THEN '{s}'" for w, s in L.TOC_LABELS) + " END"
+
+
+@query("b17_classify_toc_label", f"""
+WITH l AS (SELECT row_id, CASE row_id % 8 WHEN 0 THEN 'Group Management Report ' WHEN 1 THEN 'Bestätigungsvermerk' WHEN 2 THEN 'Table of Contents' WHEN 3 THEN 'Directors'' report' WHEN 4 THEN 'Vergütungsbericht' WHEN 5 THEN 'Risk report and contact' ELSE label END AS label FROM r_rows)
+SELECT row_id, {TOC_SQL} AS section FROM l""")
+def toc_label(t):
+    k = F.col("row_id") % 8
+    label = F.when(k == 0, "Group Management Report ").when(k == 1, "Bestätigungsvermerk").when(k == 2, "Table of Contents").when(k == 3, "Directors' report").when(k == 4, "Vergütungsbericht").when(k == 5, "Risk report and contact").otherwise(F.col("label"))
+    return t.r_rows.select("row_id", L.classify_toc_label(label).alias("section"))
+
+
+@query("b17_physical_section", f"""
+WITH f AS (SELECT table_id, arg_min(label, row_idx) AS label FROM r_rows WHERE row_idx > 0 GROUP BY 1), k AS (SELECT table_id, CASE table_id % 6 WHEN 0 THEN 'TOC' WHEN 1 THEN 'ESG' WHEN 2 THEN 'X' ELSE coalesce(context, 'none') END AS kind, CASE WHEN table_id % 5 = 0 THEN 'Anlage ' ELSE '' END || coalesce(label, '') AS label FROM r_tables LEFT JOIN f USING (table_id))
+SELECT table_id, kind, CASE WHEN kind IN {L.PHYSICAL} THEN kind WHEN kind LIKE 'DISC.%' THEN CASE WHEN regexp_matches(lower(label), '{"|".join(L.APPENDIX_WORDS)}') THEN 'APPENDIX' ELSE 'NOTES' END ELSE 'OTHER' END AS section FROM k""")
+def physical_section(t):
+    first = t.r_rows.where("row_idx > 0").groupBy("table_id").agg(F.min_by("label", "row_idx").alias("label"))
+    k = F.col("table_id") % 6
+    kind = F.when(k == 0, "TOC").when(k == 1, "ESG").when(k == 2, "X").otherwise(F.coalesce("context", F.lit("none")))
+    label = F.concat(F.when(F.col("table_id") % 5 == 0, "Anlage ").otherwise(""), F.coalesce("label", F.lit("")))
+    return t.r_tables.join(first, "table_id", "left").select("table_id", kind.alias("kind"), L.physical_section(kind, label).alias("section"))
