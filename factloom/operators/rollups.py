@@ -32,14 +32,25 @@ def document_stats(tables: DataFrame, rows: DataFrame, approx: bool = False) ->
     return tables.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tables")).join(r, "doc_id", "left").fillna(0)
 
 
-def tag_coverage(tables: DataFrame, rows: DataFrame) -> DataFrame:
-    """Tagged rows among the rows of classified tables."""
-    r = rows.where("row_type <> 'HEADER'").join(tables.where("context is not null").select("table_id", "context"), "table_id")
+def tag_coverage(tables: DataFrame, rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """Tagged rows among the rows of classified tables that have a value."""
+    valued = cells.where("value is not null").select("row_id").distinct()
+    r = rows.where("row_type <> 'HEADER'").join(tables.where("context is not null").select("table_id", "context"), "table_id").join(valued, "row_id", "left_semi")
     return r.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count("tag").alias("n_tagged"), F.round(F.count("tag") / F.count(F.lit(1)), 4).alias("coverage"))
 
 
-def document_profile(tables: DataFrame, rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """Counts of rows, tags and facts of each document, and its concepts."""
+def document_profile(tables: DataFrame, rows: DataFrame, facts: DataFrame, findings: DataFrame | None = None, scores: DataFrame | None = None, inferred: DataFrame | None = None) -> DataFrame:
+    """Counts of rows, tags and facts of each document, and its concepts; with findings (doc_id, category, edge_name), scores (doc_id,
+    concept_id, status) and inferred tags (doc_id, rule) also their counts by category, edge, status and rule as sorted "name=n" lists."""
+    if findings is not None:
+        base = document_profile(tables, rows, facts)
+        for df, key, name in ((findings, "category", "findings"), (findings, "edge_name", "edges"), (scores, "status", "statuses"), (inferred, "rule", "inferred")):
+            n = df.where(F.col(key).isNotNull()).groupBy("doc_id", key).agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", key, F.col("n").cast("string")))), ",").alias(name))
+            base = base.join(n, "doc_id", "left").fillna("", [name])
+        for status in ("CONFIRMED", "CONTRADICTED"):
+            c = scores.where(F.col("status") == status).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("concept_id")), ",").alias(status.lower()))
+            base = base.join(c, "doc_id", "left").fillna("", [status.lower()])
+        return base
     r = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("row_type") == "DATA").alias("n_data"), F.count("tag").alias("n_tagged"), F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("concepts"))
     f = facts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_facts"), F.count_if("is_primary").alias("n_primary"))
     t = tables.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_tables"), F.count_if(F.col("context").isNull()).alias("n_unclassified"))
@@ -51,10 +62,36 @@ def corpus_summary(profile: DataFrame, group: str) -> DataFrame:
     return profile.rollup(group).agg(F.grouping(group).cast("int").alias("is_total"), F.count(F.lit(1)).alias("n_documents"), F.sum("n_tables").alias("n_tables"), F.sum("n_rows").alias("n_rows"), F.sum("n_tagged").alias("n_tagged"), F.sum("n_facts").alias("n_facts"))
 
 
-def corpus_comparison(facts: DataFrame, documents: list[int]) -> DataFrame:
-    """A metric by document matrix for the named documents."""
-    f = facts.where(F.col("doc_id").isin(*documents)).groupBy(F.col("concept_id").alias("metric")).pivot("doc_id", documents).agg(F.count(F.lit(1)))
-    return f.select("metric", *[F.coalesce(F.col(str(d)), F.lit(0)).alias(f"doc_{d}") for d in documents])
+def corpus_status(results: DataFrame) -> DataFrame:
+    """Documents by status and, where they halted, by stage; with the first of each. results: doc_id, status, halted_at."""
+    return results.groupBy("status", "halted_at").agg(F.count(F.lit(1)).alias("n_documents"), F.min("doc_id").alias("first_document"))
+
+
+METRICS = ("n_tables", "n_unclassified", "n_rows", "n_data", "n_tagged", "n_facts", "n_primary")
+
+
+def corpus_comparison(profile: DataFrame) -> DataFrame:
+    """A fixed set of metrics of every document against the corpus: the cells of the metric by document matrix, one a row, with
+    the metric's mean over documents. A million documents make rows, not columns."""
+    long = profile.unpivot("doc_id", list(METRICS), "metric", "value")
+    mean = profile.agg(*[F.round(F.avg(m), 4).alias(m) for m in METRICS]).unpivot([], list(METRICS), "metric", "mean")
+    return long.select("doc_id", "metric", F.col("value").cast("long").alias("value")).join(F.broadcast(mean), "metric")  # mean has a row for each metric
+
+
+def comparison_matrix(profile: DataFrame, documents: list[int]) -> DataFrame:
+    """D20 with a column for each of some named documents."""
+    return corpus_comparison(profile.where(F.col("doc_id").isin(*documents))).groupBy("metric").pivot("doc_id", documents).agg(F.first("value"))
+
+
+def top_edges(findings: DataFrame, k: int = 10) -> DataFrame:
+    """The k edges with most findings of each category. findings: doc_id, category, edge_name."""
+    c = findings.groupBy("category", "edge_name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
+    return c.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("n"), "edge_name"))).where(F.col("rank") <= k)
+
+
+def never_confirmed(scores: DataFrame) -> DataFrame:
+    """Concepts whose facts are unconfirmed in every document that has them."""
+    return scores.groupBy("concept_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.bool_and(F.col("status") == "UNCONFIRMED").alias("never")).where("never").drop("never")
 
 
 def cross_document_patterns(scores: DataFrame, min_docs: int = 2, k: int = 10) -> DataFrame:
@@ -85,12 +122,19 @@ def period_dim(columns: DataFrame) -> DataFrame:
     return c.withColumn("year", F.nullif(F.regexp_extract("label", "(20[0-9]{2})", 1), F.lit("")).try_cast("int"))
 
 
-def review_dashboard(tables: DataFrame) -> DataFrame:
-    """Page range and counts of table classes for each document."""
+def review_dashboard(tables: DataFrame, refs: DataFrame) -> DataFrame:
+    """Page range, counts of table classes, a histogram of classification methods, and tables of contents and note references of
+    each document. tables have method; refs: doc_id, one row for each note reference."""
+    methods = tables.groupBy("doc_id", "method").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "method", F.col("n").cast("string")))), ",").alias("methods"))
+    notes = refs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_note_refs"))
+    return table_counts(tables).join(methods, "doc_id").join(notes, "doc_id", "left").fillna(0, ["n_note_refs"])
+
+
+def table_counts(tables: DataFrame) -> DataFrame:
     primary = F.col("context").isin("PNL", "SFP", "OCI", "CFS", "SOCIE")
     return tables.groupBy("doc_id").agg(
         F.min("page_no").alias("first_page"), F.max("page_no").alias("last_page"), F.count(F.lit(1)).alias("n_tables"), F.count_if(primary).alias("n_primary"),
-        F.count_if(F.col("context").startswith("DISC.")).alias("n_disclosure"), F.count_if(F.col("context").isNull()).alias("n_unclassified"),
+        F.count_if(F.col("context").startswith("DISC.")).alias("n_disclosure"), F.count_if(F.col("context").isNull()).alias("n_unclassified"), F.count_if(F.col("context") == "TOC").alias("n_toc"),
     )
 
 
@@ -102,16 +146,31 @@ def element_browse(sections: DataFrame, tables: DataFrame) -> DataFrame:
     return g.select("doc_id", "element", F.array_join(F.transform("p", lambda x: x.cast("string")), ",").alias("pages"), F.size("p").alias("n_pages"), "source")
 
 
-def gates(tables: DataFrame, cells: DataFrame, arithmetic: DataFrame, rows: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """Each document's gates in order, with values and verdicts; `first_failing` names where it halts."""
-    t = tables.groupBy("doc_id").agg(F.count(F.lit(1)).cast("double").alias("tables"), F.count_distinct("context").cast("double").alias("statements"))
+PRIMARY = ("PNL", "SFP", "OCI", "CFS", "SOCIE")
+#: Least values of the gates, in their order. Fixed values.
+GATES = {"tables": 1.0, "statements": 1.0, "parse": 0.6, "arithmetic": 0.5, "tags": 0.1}
+
+
+def gates(tables: DataFrame, cells: DataFrame, arithmetic: DataFrame, rows: DataFrame, limits: dict[str, float] = GATES, most: int = 8, overrides: DataFrame | None = None) -> DataFrame:
+    """Each document's gates in order, with values and verdicts; `first_failing` names where it halts. The gate of statements also fails
+    where a primary type has over `most` tables; documents in overrides (doc_id) pass it in any case."""
+    primary = F.when(F.col("context").isin(*PRIMARY), F.col("context"))
+    t = tables.groupBy("doc_id", primary.alias("kind")).agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(
+        F.sum("n").cast("double").alias("tables"), F.count("kind").cast("double").alias("statements"), F.coalesce(F.max(F.when(F.col("kind").isNotNull(), F.col("n"))), F.lit(0)).alias("max_per_type")
+    )
+    forced = F.lit(False)
+    if overrides is not None:
+        t = t.join(overrides.select("doc_id").distinct().withColumn("overridden", F.lit(True)), "doc_id", "left")
+        forced = F.coalesce("overridden", F.lit(False))
     own = tables.select("doc_id", "table_id")
     p = cells.join(own, "table_id").groupBy("doc_id").agg((F.count("value") / F.count(F.lit(1))).alias("parse"))
     a = arithmetic.groupBy("doc_id").agg(F.avg(F.col("passed").cast("double")).alias("arithmetic"))
     g = rows.groupBy("doc_id").agg((F.count("tag") / F.count(F.lit(1))).alias("tags"))
     d = t.join(p, "doc_id", "left").join(a, "doc_id", "left").join(g, "doc_id", "left")
-    fails = F.filter(F.array(*[F.when(F.coalesce(F.col(n), F.lit(0.0)) < v, F.lit(n)) for n, v in limits.items()]), lambda x: x.isNotNull())
-    return d.select("doc_id", *[F.round(F.coalesce(F.col(n), F.lit(0.0)), 4).alias(n) for n in limits], F.get(fails, F.lit(0)).alias("first_failing"), F.size(fails).alias("n_failed"))
+    low = {n: F.coalesce(F.col(n), F.lit(0.0)) < v for n, v in limits.items()}
+    low["statements"] = (low["statements"] | (F.col("max_per_type") > most)) & ~forced
+    fails = F.filter(F.array(*[F.when(low[n], F.lit(n)) for n in limits]), lambda x: x.isNotNull())
+    return d.select("doc_id", "max_per_type", forced.alias("overridden"), *[F.round(F.coalesce(F.col(n), F.lit(0.0)), 4).alias(n) for n in limits], F.get(fails, F.lit(0)).alias("first_failing"), F.size(fails).alias("n_failed"))
 
 
 def classification_metrics(pred: DataFrame, label: str, predicted: str) -> DataFrame:
@@ -123,6 +182,19 @@ def classification_metrics(pred: DataFrame, label: str, predicted: str) -> DataF
     return c.select("cls", "support", "predicted", "hits", F.round(precision, 4).alias("precision"), F.round(recall, 4).alias("recall"), F.round(f1, 4).alias("f1"))
 
 
+def metrics_summary(pred: DataFrame, label: str, predicted: str) -> DataFrame:
+    """Accuracy and macro F1 over the classes that occur as labels, with the number of errors."""
+    c = classification_metrics(pred, label, predicted).where("support > 0")
+    hit = (F.col(label) == F.col(predicted)).cast("double")
+    total = pred.agg(F.round(F.avg(hit), 4).alias("accuracy"), F.count_if(hit == 0).alias("errors"), F.count(F.lit(1)).alias("n"))
+    return total.join(c.agg(F.round(F.avg("f1"), 4).alias("macro_f1"), F.count(F.lit(1)).alias("n_classes")), F.lit(True))  # one row each
+
+
+def error_pairs(pred: DataFrame, label: str, predicted: str, k: int = 5) -> DataFrame:
+    """The k most frequent confusions."""
+    return confusion(pred, label, predicted).where("label <> predicted").orderBy(F.desc("n"), "label", "predicted").limit(k)
+
+
 def confusion(pred: DataFrame, label: str, predicted: str) -> DataFrame:
     return pred.groupBy(F.col(label).alias("label"), F.col(predicted).alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
 
@@ -150,22 +222,62 @@ def upsert_snapshot(base: DataFrame, delta: DataFrame, keys: list[str], order: s
     return base.join(new, keys, "left_anti").unionByName(new)
 
 
-def pending_work(source: DataFrame, done: DataFrame, key: str, shards: int) -> DataFrame:
-    """Source rows without complete output, dealt to shards by their rank. The rank is by ranges, not over one partition:
-    a shard is the key's hash, which needs no order."""
-    left = source.join(done.where("complete").select(key), key, "left_anti")
-    return left.withColumn("shard", F.pmod(F.crc32(F.col(key).cast("string")), F.lit(shards)))
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df with `place`, from 0, in a total order: ranges are sorted apart, and each adds the sizes of those before it. So no task sees all rows."""
+    from .tagging import shared_table
+
+    ranges = shared_table(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    sizes = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
+    before = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    return ranges.withColumn("nth", nth).join(F.broadcast(before), "range").withColumn("place", F.col("before") + F.col("nth") - 1).drop("range", "nth", "before")
+
+
+def pending_work(source: DataFrame, done: DataFrame, key: str, shards: int, size: str, most: int) -> DataFrame:
+    """Source rows of at most `most` in size and without complete output, in the order of size and key, dealt to shards in turn."""
+    left = source.where(F.col(size) <= most).join(done.where("complete").select(key), key, "left_anti")
+    return numbered(left, size, key).withColumn("shard", (F.col("place") % shards).cast("int")).drop("place")
+
+
+def replace_rows(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """The rows of base whose key has no new rows, and all new rows: a document's sections, a set's members."""
+    return base.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+
+
+def concept_set_algebra(all_: DataFrame, *others: DataFrame) -> DataFrame:
+    """What is in the first set and in none of the others: all less confirmed less contradicted."""
+    out = all_.distinct()
+    for other in others:
+        out = out.subtract(other)
+    return out
+
+
+def in_all_documents(concepts: DataFrame) -> DataFrame:
+    """The intersection over documents. concepts: doc_id, concept_id."""
+    n = concepts.select(F.count_distinct("doc_id").alias("total"))
+    return concepts.groupBy("concept_id").agg(F.count_distinct("doc_id").alias("n_docs")).join(n, F.col("n_docs") == F.col("total")).select("concept_id", "n_docs")
 
 
 def map_trial_balance(ledger: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Ledger balances by class and concept, with totals of classes and of all. accounts: account, concept_id, cls."""
-    j = ledger.join(F.broadcast(accounts), "account")
-    return j.rollup("cls", "concept_id").agg(F.round(F.sum("balance"), 2).alias("balance"), F.count(F.lit(1)).alias("n_accounts"), F.grouping_id().cast("int").alias("level"))
+    """Ledger balances by class and concept, with totals of classes and of all; an account may be split by per cent, and its
+    intercompany part is summed apart. accounts: account, concept_id, cls, pct, ic."""
+    j = ledger.join(accounts, "account").withColumn("part", F.col("balance") * F.col("pct") / 100)
+    return j.rollup("cls", "concept_id").agg(
+        F.round(F.sum("part"), 2).alias("balance"), F.round(F.coalesce(F.sum(F.when(F.col("ic"), F.col("part"))), F.lit(0.0)), 2).alias("intercompany"), F.count(F.lit(1)).alias("n_accounts"), F.grouping_id().cast("int").alias("level")
+    )
 
 
 def segment_mapping(facts: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Amounts by target segment: one to one, many to one, or split by per cent. mapping: concept_id, segment, pct."""
-    return facts.join(F.broadcast(mapping), "concept_id").groupBy("doc_id", "period_key", "segment").agg(F.round(F.sum(F.col("amount") * F.col("pct") / 100), 2).alias("amount"), F.count(F.lit(1)).alias("n_facts"))
+    """Amounts by target segment: one to one, many to one, or split by per cent, by the concept's latest confirmed mapping up to the
+    fact's year (carried forward); a segment is comparable in a period if two documents at least have it. mapping: concept_id, year, segment, pct, confirmed."""
+    m = mapping.where("confirmed")
+    f = facts.withColumn("year", F.regexp_extract("period_key", "^Y([0-9]{4})$", 1).try_cast("int")).where("year is not null")
+    asof = f.select("concept_id", "year").distinct().join(m.select("concept_id", F.col("year").alias("since")).distinct(), "concept_id").where("since <= year")
+    asof = asof.groupBy("concept_id", "year").agg(F.max("since").alias("since"))  # a row for each concept and year
+    f = f.join(asof, ["concept_id", "year"]).join(m.select("concept_id", F.col("year").alias("since"), "segment", "pct"), ["concept_id", "since"])
+    out = f.groupBy("doc_id", "period_key", "segment").agg(F.round(F.sum(F.col("amount") * F.col("pct") / 100), 2).alias("amount"), F.count(F.lit(1)).alias("n_facts"), F.bool_or(F.col("since") < F.col("year")).alias("carried"))
+    n = out.groupBy("period_key", "segment").agg(F.count(F.lit(1)).alias("n_docs"))
+    return out.join(n, ["period_key", "segment"]).withColumn("comparable", F.col("n_docs") >= 2)
 
 
 def run_progress(runs: DataFrame, results: DataFrame) -> DataFrame:
@@ -175,12 +287,30 @@ def run_progress(runs: DataFrame, results: DataFrame) -> DataFrame:
     return j.withColumn("state", F.when(F.col("n_seen") >= F.col("n_configured"), "completed").when(F.col("n_seen") > 0, "running").otherwise("pending"))
 
 
-def adaptive_buckets(events: DataFrame, bins: int = 20) -> DataFrame:
-    """K3: zero-filled counts over about `bins` bins: the largest size that divides the span so often. One row of extremes sets the size."""
-    lo, hi = events.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts"))).first()
+SIZES = (604_800, 86_400, 21_600, 3_600, 900, 300, 60)
+
+
+def adaptive_buckets(events: DataFrame, bins: int = 20, by: str | None = None) -> DataFrame:
+    """K3: counts over about `bins` bins: zero-filled bins of the largest size that divides the span so often; where the events fall on under
+    `bins` minutes or are no more than `bins`, chunks of equal count. One row of extremes sets the kind. With `by`, counts for each of its values."""
+    minute = F.date_trunc("minute", "ts")
+    lo, hi, minutes, total = events.agg(F.min(F.unix_timestamp("ts")), F.max(F.unix_timestamp("ts")), F.approx_count_distinct(minute, 0.05), F.count(F.lit(1))).first()
     if lo is None:
         return events.sparkSession.createDataFrame([], "bucket long, n long")
-    size = next((s for s in (604_800, 86_400, 21_600, 3_600, 900, 300, 60) if (hi - lo) / s >= bins), 60)
+    if minutes < 2 * bins:  # near the limit, count exactly; there are few minutes then
+        minutes = events.select(minute).distinct().count()
+    key = [by] if by else []
+    if minutes < bins or total <= bins:
+        size = -(-total // bins)
+        chunk = numbered(events.withColumn("second", F.unix_timestamp("ts")), "second", "event_id").withColumn("chunk", F.floor(F.col("place") / size))
+        return chunk.groupBy("chunk", *key).agg(F.min("second").alias("bucket"), F.count(F.lit(1)).alias("n")).drop("chunk")
+    if by:
+        size = next((s for s in SIZES if (hi - lo) / s >= bins), 60)
+        n = events.groupBy((F.floor(F.unix_timestamp("ts") / size) * size).alias("bucket"), by).agg(F.count(F.lit(1)).alias("n"))
+        values = n.select(by).distinct()
+        spine = values.withColumn("bucket", F.explode(F.sequence(F.lit(lo // size * size), F.lit(hi // size * size), F.lit(size))))
+        return spine.join(n, ["bucket", by], "left").fillna(0, ["n"])
+    size = next((s for s in SIZES if (hi - lo) / s >= bins), 60)
     n = events.groupBy((F.floor(F.unix_timestamp("ts") / size) * size).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     spine = events.sparkSession.range(lo // size * size, hi + 1, size).select(F.col("id").alias("bucket"))
     return spine.join(n, "bucket", "left").fillna(0, ["n"])

@@ -56,8 +56,8 @@ def structural_quality(rows: DataFrame, cells: DataFrame, tables: DataFrame, n_c
     rate = per_row.groupBy("table_id").agg(F.avg((F.col("n") != n_cols).cast("double")).alias("ragged"), (F.sum("parsed") / F.sum("n")).alias("parse_rate"))
     out = tables.select("doc_id", "table_id").join(label, "table_id", "left").join(rate, "table_id", "left").join(spread, "table_id", "left")
     tests = [
-        ("empty", F.coalesce(F.col("n_rows"), F.lit(0)) <= 1, 0.0), ("ragged", F.col("ragged") > 0.3, 0.3), ("parse_low", F.col("parse_rate") < 0.3, 0.2), ("parse_mid", F.col("parse_rate").between(0.3, 0.9), 0.6),
-        ("spread", (F.col("k") >= 3) & (F.col("spread") > 1e6), 0.5), ("garbled", F.col("garbled") > 0.3, 0.4),
+        ("empty", F.coalesce(F.col("n_rows"), F.lit(0)) == 0, 0.0), ("ragged", F.col("ragged") > 0.3, 0.3), ("parse_low", F.col("parse_rate") < 0.3, 0.3), ("parse_mid", (F.col("parse_rate") >= 0.3) & (F.col("parse_rate") < 0.5), 0.7),
+        ("spread", (F.col("k") >= 3) & (F.col("spread") > 1e6), 0.7), ("garbled", F.col("garbled") > 0.3, 0.3),
     ]
     found = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(n).alias("r"), F.lit(s).alias("s"))) for n, c, s in tests]), lambda x: x.isNotNull())
     out = out.withColumn("found", found)

@@ -38,19 +38,25 @@ def hierarchy_quality(t):
     return S.hierarchy_quality(t.r_rows, t.r_cells)
 
 
-@query("d26_structural_quality", """
-WITH pr AS (SELECT table_id, row_id, count(*) AS n, count(value) AS parsed FROM r_cells GROUP BY ALL),
+GAPPY = "gappy AS (SELECT table_id, row_id, row_idx, col_idx, CASE WHEN (table_id % 5 = 0 AND col_idx > 1) OR (table_id % 5 = 1 AND (col_idx + row_idx) % 2 = 0) OR (table_id % 5 = 2 AND (col_idx > 2 OR row_idx % 3 = 0)) THEN NULL ELSE value END AS value FROM r_cells WHERE NOT (table_id % 7 = 3 AND col_idx = 4 AND row_idx % 2 = 0))"
+
+
+@query("d26_structural_quality", f"""
+WITH {GAPPY}, bare AS (SELECT * FROM r_rows WHERE table_id % 13 <> 5), pr AS (SELECT table_id, row_id, count(*) AS n, count(value) AS parsed FROM gappy GROUP BY ALL),
 rate AS (SELECT table_id, avg((n <> 4)::INT) AS ragged, sum(parsed) / sum(n) AS parse_rate FROM pr GROUP BY table_id),
-lab AS (SELECT table_id, avg(regexp_matches(label, '[^A-Za-z ]')::INT) AS garbled, count(*) AS n_rows FROM r_rows GROUP BY table_id),
-sp AS (SELECT table_id, count(*) AS k, max(abs(value)) / min(abs(value)) AS spread FROM r_cells WHERE value <> 0 GROUP BY table_id),
-f AS (SELECT t.doc_id, t.table_id, list_filter([CASE WHEN coalesce(n_rows, 0) <= 1 THEN {'r': 'empty', 's': 0.0} END, CASE WHEN ragged > 0.3 THEN {'r': 'ragged', 's': 0.3} END,
-   CASE WHEN parse_rate < 0.3 THEN {'r': 'parse_low', 's': 0.2} END, CASE WHEN parse_rate BETWEEN 0.3 AND 0.9 THEN {'r': 'parse_mid', 's': 0.6} END,
-   CASE WHEN k >= 3 AND spread > 1e6 THEN {'r': 'spread', 's': 0.5} END, CASE WHEN garbled > 0.3 THEN {'r': 'garbled', 's': 0.4} END], lambda x: x IS NOT NULL) AS found
+lab AS (SELECT table_id, avg(regexp_matches(label, '[^A-Za-z ]')::INT) AS garbled, count(*) AS n_rows FROM bare GROUP BY table_id),
+sp AS (SELECT table_id, count(*) AS k, max(abs(value)) / min(abs(value)) AS spread FROM gappy WHERE value <> 0 GROUP BY table_id),
+f AS (SELECT t.doc_id, t.table_id, list_filter([CASE WHEN coalesce(n_rows, 0) = 0 THEN {{'r': 'empty', 's': 0.0}} END, CASE WHEN ragged > 0.3 THEN {{'r': 'ragged', 's': 0.3}} END,
+   CASE WHEN parse_rate < 0.3 THEN {{'r': 'parse_low', 's': 0.3}} END, CASE WHEN parse_rate >= 0.3 AND parse_rate < 0.5 THEN {{'r': 'parse_mid', 's': 0.7}} END,
+   CASE WHEN k >= 3 AND spread > 1e6 THEN {{'r': 'spread', 's': 0.7}} END, CASE WHEN garbled > 0.3 THEN {{'r': 'garbled', 's': 0.3}} END], lambda x: x IS NOT NULL) AS found
   FROM r_tables t LEFT JOIN lab USING (table_id) LEFT JOIN rate USING (table_id) LEFT JOIN sp USING (table_id))
 SELECT doc_id, table_id, coalesce(list_min([x.s FOR x IN found]), 1)::DOUBLE AS score, coalesce(array_to_string([x.r FOR x IN found], ','), '') AS reasons,
        coalesce(list_min([x.s FOR x IN found]), 1) >= 0.3 AS is_processable FROM f""")
 def structural_quality(t):
-    return S.structural_quality(t.r_rows, t.r_cells, t.r_tables)
+    k, r, c = F.col("table_id") % 5, F.col("row_idx"), F.col("col_idx")
+    gap = ((k == 0) & (c > 1)) | ((k == 1) & ((c + r) % 2 == 0)) | ((k == 2) & ((c > 2) | (r % 3 == 0)))
+    cells = t.r_cells.where(~((F.col("table_id") % 7 == 3) & (c == 4) & (r % 2 == 0))).withColumn("value", F.when(~gap, F.col("value")))
+    return S.structural_quality(t.r_rows.where("table_id % 13 <> 5"), cells, t.r_tables)
 
 
 @query("d28_additive_columns", """

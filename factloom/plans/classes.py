@@ -209,13 +209,6 @@ def external_tags(t):
     return C.apply_external_tags(t.r_rows, s, O.candidate_concepts(t.r_tables, t.r_concepts, t.r_documents))
 
 
-@query("g3_exact_membership", "SELECT * FROM (SELECT c_nationkey AS set_id, c_custkey AS doc_id FROM customer WHERE c_nationkey <> 4) UNION ALL SELECT 4, c_custkey FROM customer WHERE c_custkey % 11 = 0")
-def exact_membership(t):
-    base = t.customer.select(F.col("c_nationkey").alias("set_id"), F.col("c_custkey").alias("doc_id"))
-    new = t.customer.where("c_custkey % 11 = 0").select(F.lit(4).alias("set_id"), F.col("c_custkey").alias("doc_id"))
-    return base.where("set_id <> 4").unionByName(new)
-
-
 @query("a14_chunk_union", "SELECT doc_id, table_id, page_no, CASE WHEN page_no > 20 THEN context END AS context FROM r_tables")
 def chunk_union(t):
     from ..sources.reports import chunk_union as union

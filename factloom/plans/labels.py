@@ -193,13 +193,13 @@ def list_gaps(t):
 
 @query("b15_search_documents", """
 WITH s AS (SELECT user_id AS doc_id, count(*) AS n, bool_or(value > 20) AS ok FROM events GROUP BY 1), d AS (SELECT d.doc_id, d.entity, CASE WHEN n IS NULL THEN 'not_started' WHEN ok THEN 'complete' ELSE 'in_progress' END AS status FROM r_documents d LEFT JOIN s USING (doc_id))
-SELECT doc_id, entity, status FROM d WHERE contains(lower(entity), '#1') AND doc_id IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AND status <> 'complete' ORDER BY entity, doc_id LIMIT 20""")
+SELECT doc_id, entity, status FROM d WHERE contains(lower(entity), '9') AND doc_id IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT') AND status <> 'not_started' ORDER BY entity, doc_id LIMIT 20""")
 def search_documents(t):
     from ..operators.reviews import annotation_status
 
     status = annotation_status(t.r_documents, t.events.select(F.col("user_id").alias("doc_id"), (F.col("value") > 20).alias("validated"), "ts"))
     allowed = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("doc_id"))
-    return O.search_documents(t.r_documents, "#1", allowed, status.where("status <> 'complete'"))
+    return O.search_documents(t.r_documents, "9", allowed, status.where("status <> 'not_started'"))
 
 
 TOC_SQL = "CASE " + " ".join("WHEN contains(lower(label), '" + w.replace("'", "''") + f"') THEN '{s}'" for w, s in L.TOC_LABELS) + " END"
