@@ -37,12 +37,14 @@ def check_summation(best: DataFrame, edges: DataFrame, members: DataFrame) -> Da
 
 
 def check_cross_statement(best: DataFrame, edges: DataFrame) -> DataFrame:
-    """The same concept in two statements, at one period."""
-    e = F.broadcast(edges.where("edge_type = 'CROSS_STATEMENT_TIE'").select("edge_name", F.col("context").alias("c1"), "concept_id", F.col("other_context").alias("c2"), "tol"))
-    a = best.join(e, ["concept_id"]).where("context = c1").select("doc_id", "period_key", "edge_name", "concept_id", "c2", "tol", F.col("amount").alias("expected"))
-    b = best.select("doc_id", "period_key", "concept_id", F.col("context").alias("c2"), F.col("amount").alias("actual"))
-    delta = F.round(F.col("expected") - F.col("actual"), 2)
-    return a.join(b, ["doc_id", "period_key", "concept_id", "c2"]).select("doc_id", "edge_name", "concept_id", "period_key", "expected", "actual", delta.alias("delta"), (F.abs(delta) <= F.col("tol")).alias("passed"))
+    """A concept of one statement against one of another (the same, if other_concept is null) at the same period: they are equal, or, where
+    the edge's rule is 'opposite', their sum is 0. What a factor of scale explains is no breach."""
+    e = edges.where("edge_type = 'CROSS_STATEMENT_TIE'").select("edge_name", F.col("context").alias("c1"), "concept_id", F.coalesce("other_concept", "concept_id").alias("other"), F.col("other_context").alias("c2"), "rule", "tol")
+    a = best.join(e, "concept_id").where("context = c1").select("doc_id", "period_key", "edge_name", "concept_id", "other", "c2", "rule", "tol", F.col("amount").alias("expected"))
+    b = best.select("doc_id", "period_key", F.col("concept_id").alias("other"), F.col("context").alias("c2"), F.col("amount").alias("actual"))
+    delta = F.round(F.when(F.col("rule") == "opposite", F.col("expected") + F.col("actual")).otherwise(F.col("expected") - F.col("actual")), 2)
+    status = F.when(F.abs(delta) <= F.col("tol"), "valid").when(scale_mismatch(F.col("expected"), F.col("actual")).isNotNull(), "scale").otherwise("broken")
+    return a.join(b, ["doc_id", "period_key", "other", "c2"]).select("doc_id", "edge_name", "concept_id", F.col("other").alias("other_concept"), "period_key", "expected", "actual", delta.alias("delta"), status.alias("status"))
 
 
 def check_note_to_face(best: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -57,15 +59,23 @@ def check_note_to_face(best: DataFrame, edges: DataFrame, members: DataFrame) ->
     return face.join(notes, ["doc_id", "period_key", "edge_name"]).select("doc_id", "edge_name", "period_key", "expected", F.round("note", 2).alias("actual"), F.col("n").alias("n_notes"), delta.alias("delta"), severity.alias("severity"))
 
 
-def check_disaggregation(best: DataFrame, sums: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
-    """A face amount against the sum of its detail facts, and what a residual is."""
+def check_disaggregation(best: DataFrame, sums: DataFrame, edges: DataFrame, members: DataFrame, confirm: DataFrame, causes: dict[str, list[str]]) -> DataFrame:
+    """A face amount against the sum of its detail facts, and what a residual is: confirmed by a tagged intercompany line
+    (confirm: edge_name, confirm_context, confirm_concept) within the tolerance, a rounding, a factor of scale, or open, with an edge's possible causes."""
     e = F.broadcast(edges.where("edge_type = 'DISAGGREGATION'").select("edge_name", F.col("context").alias("c1"), F.col("concept_id").alias("face"), F.col("other_context").alias("c2"), "tol"))
     face = best.join(e, (F.col("concept_id") == F.col("face")) & (F.col("context") == F.col("c1"))).select("doc_id", "period_key", "edge_name", "c2", "tol", F.col("amount").alias("expected"))
     d = F.broadcast(members.select("edge_name", "concept_id"))
     detail = sums.join(d, "concept_id").groupBy("doc_id", "period_key", "edge_name", F.col("context").alias("c2")).agg(F.sum("amount").alias("actual"))
     delta = F.round(F.col("expected") - F.col("actual"), 2)
-    triage = F.when(F.abs(delta) <= F.col("tol"), "valid").when(F.abs(delta) < 1e-4 * F.abs("expected"), "rounding").when(scale_mismatch(F.col("expected"), F.col("actual")).isNotNull(), "scale").otherwise("residual")
-    return face.join(detail, ["doc_id", "period_key", "edge_name", "c2"]).select("doc_id", "edge_name", "period_key", "expected", F.round("actual", 2).alias("actual"), delta.alias("delta"), triage.alias("triage"))
+    line = best.join(confirm, (F.col("concept_id") == F.col("confirm_concept")) & (F.col("context") == F.col("confirm_context"))).select("doc_id", "period_key", "edge_name", F.col("amount").alias("line"))
+    confirmed = F.coalesce(F.abs(F.col("line") - delta) <= F.col("tol"), F.lit(False))
+    triage = F.when(F.abs(delta) <= F.col("tol"), "valid").when(confirmed, "confirmed").when(F.abs(delta) < 1e-4 * F.abs("expected"), "rounding").when(scale_mismatch(F.col("expected"), F.col("actual")).isNotNull(), "scale").otherwise("residual")
+    known = F.lit(None).cast("string")
+    for name, list_ in causes.items():
+        known = F.when(F.col("edge_name") == name, ",".join(list_)).otherwise(known)
+    out = face.join(detail, ["doc_id", "period_key", "edge_name", "c2"]).join(line, ["doc_id", "period_key", "edge_name"], "left")
+    out = out.select("doc_id", "edge_name", "period_key", "expected", F.round("actual", 2).alias("actual"), delta.alias("delta"), triage.alias("triage"))
+    return out.withColumn("causes", F.when(F.col("triage") == "residual", known))
 
 
 def check_ratio(best: DataFrame, context: str, result: str, numerator: str, denominator: str, tol: float, diff_tol: float = TOLERANCE) -> DataFrame:
@@ -90,18 +100,43 @@ def amount_collisions(facts: DataFrame, min_abs: float = 100) -> DataFrame:
     return g.where("n_tables > 1 and n_concepts > 1")
 
 
-def explain_mismatches(mismatches: DataFrame, concepts: DataFrame, seen: DataFrame) -> DataFrame:
-    """What a mismatch may come from; concepts that a broken check names already are left out."""
-    m = mismatches.join(seen.select("doc_id", "concept_id").distinct(), ["doc_id", "concept_id"], "left_anti").join(F.broadcast(concepts.select("concept_id", "unit_type")), "concept_id", "left")
-    ratio = F.when((F.col("low") != 0) & (F.col("high") != 0), F.greatest(F.abs(F.col("low") / F.col("high")), F.abs(F.col("high") / F.col("low"))))
-    pattern = F.when(F.col("unit_type") == "shares", "SHARE_COUNT_VS_MONETARY").when(ratio.between(990, 1010) | ratio.between(990_000, 1_010_000), "UNIT_SCALE").when(ratio.between(1.0, 1.25), "GROSS_VS_NET").otherwise("UNEXPLAINED")
-    return m.select("doc_id", "concept_id", "period_key", pattern.alias("pattern_id"), F.round(ratio, 4).alias("ratio"))
+#: Labels too generic to compare amounts by. Fixed values.
+GENERIC = ("other", "total", "thereof", "davon", "summe", "gesamt", "sonstige")
+NON_MONETARY = ("shares", "per_share", "percentage", "dimensionless")
+
+
+def explain_mismatches(mismatches: DataFrame, facts: DataFrame, concepts: DataFrame, seen: DataFrame) -> DataFrame:
+    """D13, concepts: what a mismatch of D11 may come from. Concepts that a check names already, and those without money, are left out;
+    then comes a share count in notes, a concept with several measurements, and a pair of amounts, earlier over later, apart by a factor of scale.
+    concepts: concept_id, unit_type, note_unit_type, n_variants."""
+    m = mismatches.join(seen.select("doc_id", "concept_id").distinct(), ["doc_id", "concept_id"], "left_anti").join(concepts.select("concept_id", "unit_type", "note_unit_type", "n_variants"), "concept_id", "left")
+    m = m.where(~F.coalesce(F.col("unit_type").isin(*NON_MONETARY), F.lit(False)))
+    key = ["doc_id", "concept_id", "period_key"]
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("table_id", "row_id", "col_idx", "amount"))), lambda x: x["amount"])  # a document's facts of one concept and period
+    amounts = facts.join(m.select(*key), key, "left_semi").groupBy(*key).agg(in_order.alias("a"))
+    ratio = lambda x, y: F.abs(F.try_divide(x, F.nullif(y, F.lit(0.0))))
+    scale = lambda r: ((r > 990) & (r < 1010)) | ((r > 990_000) & (r < 1_010_000))
+    found = F.exists(F.transform("a", lambda x, i: F.exists(F.slice("a", i + 2, F.size("a")), lambda y: F.coalesce((x != 0) & scale(ratio(x, y)), F.lit(False)))), lambda b: b)
+    pattern = F.when(F.col("note_unit_type") == "shares", "SHARE_COUNT_VS_MONETARY").when(F.col("n_variants") > 0, "GROSS_VS_NET").when(found, "UNIT_SCALE")
+    return m.join(amounts, key).select(*key, pattern.alias("pattern_id"), F.size("a").alias("n_facts")).where("pattern_id is not null")
+
 
+def explain_collisions(collisions: DataFrame, facts: DataFrame, seen: DataFrame, associates: str = "DISC.ASSOCIATES") -> DataFrame:
+    """D13, amounts: collisions of D12 in which an associate's own figures take part; generic labels and concepts that a check
+    names already are left out."""
+    f = facts.join(collisions.select("doc_id", "amount"), ["doc_id", "amount"]).join(seen.select("doc_id", "concept_id").distinct().withColumn("seen", F.lit(True)), ["doc_id", "concept_id"], "left")
+    low = F.lower("label")
+    generic = F.exists(F.array(*map(F.lit, GENERIC)), lambda w: F.contains(low, w))
+    g = f.groupBy("doc_id", "amount").agg(F.bool_or(generic).alias("generic"), F.bool_or(F.col("seen").isNotNull()).alias("explained"), F.bool_or(F.col("context") == associates).alias("own"), F.array_join(F.array_sort(F.collect_set("concept_id")), ",").alias("concepts"))
+    return g.where("own and not generic and not explained").select("doc_id", "amount", "concepts", F.lit("ASSOCIATE_OWN_FIGURES").alias("pattern_id"))
 
-def context_violations(facts: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Concepts in a context that isn't theirs; disclosures are exempt."""
-    f = facts.join(F.broadcast(concepts.select("concept_id", "valid_context")), "concept_id").where("context <> valid_context and context not like 'DISC.%'")
-    return f.groupBy("doc_id", "concept_id", "context", "valid_context").agg(F.count(F.lit(1)).alias("n_facts"), F.min("table_id").alias("first_table"))
+
+def context_violations(facts: DataFrame, valid: DataFrame, explained: DataFrame) -> DataFrame:
+    """Concepts in a context that isn't among theirs; disclosures are exempt, and so is what is explained already.
+    valid: concept_id, context, one row for each context of a concept; explained: doc_id, concept_id."""
+    own = valid.groupBy("concept_id").agg(F.array_sort(F.collect_set("context")).alias("own"))
+    f = facts.where("context not like 'DISC.%'").join(own, "concept_id").where(~F.array_contains("own", F.col("context"))).join(explained.select("doc_id", "concept_id").distinct(), ["doc_id", "concept_id"], "left_anti")
+    return f.groupBy("doc_id", "concept_id", "context", F.array_join("own", ",").alias("valid_contexts")).agg(F.count(F.lit(1)).alias("n_facts"), F.min("table_id").alias("first_table"))
 
 
 def score_facts(facts: DataFrame, checks: DataFrame) -> DataFrame:
@@ -159,7 +194,15 @@ def composite_residual(best: DataFrame, context: str, line: str, components: lis
     return b.where("line is not null").select("doc_id", "period_key", "line", F.round(F.coalesce("known", F.lit(0.0)), 2).alias("known"), F.round(F.col("line") - F.coalesce("known", F.lit(0.0)), 2).alias("residual"), "n")
 
 
-def provenance_type(facts: DataFrame) -> DataFrame:
-    """The kind of each fact's place, and whether it can be compared in ties."""
-    kind = F.when(F.col("is_primary"), "FACE_STATEMENT").when(F.col("context") == "DISC.SEGMENTS", "SEGMENT_COMPONENT").when(F.col("context").startswith("DISC.ASSOC"), "ASSOCIATE_OWN").when(F.col("concept_id") == "TOTAL", "NOTE_TOTAL").otherwise("NOTE_DETAIL")
-    return facts.withColumn("provenance", kind).groupBy("doc_id", "provenance").agg(F.count(F.lit(1)).alias("n_facts"), F.bool_and(~F.col("provenance").isin("SEGMENT_COMPONENT", "ASSOCIATE_OWN")).alias("comparable"))
+#: Labels of reconciling items. Fixed values.
+RECONCILING = "elimination|unallocated|reconcil|überleitung|konsolidierung"
+
+
+def provenance_type(facts: DataFrame, totals: tuple[str, ...] = ("TOTAL",)) -> DataFrame:
+    """The kind of each fact's place, and whether it can be compared in ties: statement, segment, reconciling item, associate's own, note total or
+    detail, derived metric (ids that begin with KPI or APM), management report."""
+    id_, context = F.col("concept_id"), F.col("context")
+    kind = F.when(context == "MANAGEMENT_REPORT", "MANAGEMENT_REPORT").when(id_.rlike("^(KPI|APM)[.]"), "DERIVED_METRIC").when(F.col("is_primary"), "FACE_STATEMENT")
+    kind = kind.when(context.startswith("DISC.ASSOC"), "ASSOCIATE_OWN").when(F.lower("label").rlike(RECONCILING), "RECONCILING_ITEM").when(context == "DISC.SEGMENTS", "SEGMENT_COMPONENT").when(id_.isin(*totals), "NOTE_TOTAL").otherwise("NOTE_DETAIL")
+    comparable = F.col("provenance").isin("FACE_STATEMENT", "NOTE_TOTAL", "SEGMENT_COMPONENT", "RECONCILING_ITEM")
+    return facts.withColumn("provenance", kind).groupBy("doc_id", "provenance").agg(F.count(F.lit(1)).alias("n_facts"), F.bool_and(comparable).alias("comparable"))

@@ -48,10 +48,14 @@ def flag_has_override(documents: DataFrame, tables: DataFrame, overrides: DataFr
 
 
 def review_manifest(tables: DataFrame, rows: DataFrame, most: int = 8) -> DataFrame:
-    """Tables without a class, or of a class that a document has too often, with their first three labels."""
+    """Tables without a class, or of a primary class that a document has too often, with their first labels, how many of the document's
+    tables have that class, the pages that its flagged tables span, and what to do."""
     n = F.count(F.lit(1)).over(Window.partitionBy("doc_id", "context"))
-    t = tables.withColumn("n", n).withColumn("reason", F.when(F.col("context").isNull(), "unclassified").when(F.col("n") > most, "inflated")).where("reason is not null")
-    return t.select("doc_id", "table_id", "page_no", "reason").join(first_n_per_table(rows), "table_id", "left")
+    t = tables.withColumn("n_of_type", n).withColumn("reason", F.when(F.col("context").isNull(), "unclassified").when(F.col("n_of_type") > most, "inflated")).where("reason is not null")
+    own = Window.partitionBy("doc_id")
+    t = t.withColumns({"first_flagged": F.min("page_no").over(own), "last_flagged": F.max("page_no").over(own), "n_flagged": F.count(F.lit(1)).over(own)})
+    hint = F.when(F.col("reason") == "unclassified", "classify by section or labels").otherwise(F.concat(F.lit("keep at most "), F.lit(str(most)), F.lit(" of "), F.col("context")))
+    return t.select("doc_id", "table_id", "page_no", "reason", "n_of_type", "first_flagged", "last_flagged", "n_flagged", hint.alias("suggestion")).join(first_n_per_table(rows), "table_id", "left")
 
 
 def first_n_per_table(rows: DataFrame, n: int = 3) -> DataFrame:
@@ -60,14 +64,24 @@ def first_n_per_table(rows: DataFrame, n: int = 3) -> DataFrame:
     return rows.groupBy("table_id").agg(F.array_join(first, "|").alias("first_labels"), F.count(F.lit(1)).alias("n_rows"))
 
 
+def first_headers(columns: DataFrame, n: int = 6) -> DataFrame:
+    """The first column headers of each table, in order."""
+    h = columns.where("header is not null").groupBy("table_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("col_idx", "header"))), 1, n).alias("h"))
+    return h.select("table_id", F.array_join(F.transform("h", lambda x: x["header"]), "|").alias("headers"))
+
+
 def expected_findings(findings: DataFrame, expected: DataFrame) -> DataFrame:
-    """Expected findings that are there or missing, where a null expectation fits all, and unexpected errors."""
-    f, e = findings.select("edge_name", "concept_id", "severity").distinct(), expected.withColumn("id", F.monotonically_increasing_id())
-    fits = e.join(F.broadcast(f.select(F.col("edge_name").alias("fe"), F.col("concept_id").alias("fc"))), (F.coalesce("edge_name", "fe") == F.col("fe")) & (F.coalesce("concept_id", "fc") == F.col("fc")), "left")
-    got = fits.groupBy("id").agg(F.first("edge_name").alias("edge_name"), F.first("concept_id").alias("concept_id"), F.count("fe").alias("n"))
-    got = got.select("edge_name", "concept_id", F.when(F.col("n") > 0, "found").otherwise("missing").alias("outcome"))
-    known = expected.select(F.col("edge_name").alias("ee"), F.col("concept_id").alias("ec"))
-    more = f.where("severity = 'ERROR'").join(F.broadcast(known), (F.coalesce("ee", "edge_name") == F.col("edge_name")) & (F.coalesce("ec", "concept_id") == F.col("concept_id")), "left_anti")
+    """Expected findings that are there or missing, where a null expectation fits all, and unexpected errors. Each finding lends
+    four keys (edge and concept, one of them, none), so that expectations of every kind meet it by equality."""
+    f = findings.where("edge_name is not null and concept_id is not null").groupBy("edge_name", "concept_id").agg(F.bool_or(F.col("severity") == "ERROR").alias("error"))
+    none = F.lit(None).cast("string")
+    keys = [F.struct(e.alias("ke"), c.alias("kc")) for e in (F.col("edge_name"), none) for c in (F.col("concept_id"), none)]
+    k = f.withColumn("key", F.explode(F.array(*keys))).select("edge_name", "concept_id", "error", "key.ke", "key.kc")
+    there = k.select("ke", "kc").distinct().withColumn("there", F.lit(True))
+    e = expected.select(F.col("edge_name").alias("ee"), F.col("concept_id").alias("ec"))
+    got = e.join(there, F.col("ee").eqNullSafe(F.col("ke")) & F.col("ec").eqNullSafe(F.col("kc")), "left").select(F.col("ee").alias("edge_name"), F.col("ec").alias("concept_id"), F.when(F.col("there"), "found").otherwise("missing").alias("outcome"))
+    known = k.join(e, F.col("ke").eqNullSafe(F.col("ee")) & F.col("kc").eqNullSafe(F.col("ec")), "left_semi").select("edge_name", "concept_id")
+    more = f.where("error").join(known, ["edge_name", "concept_id"], "left_anti")
     return got.unionByName(more.select("edge_name", "concept_id", F.lit("unexpected").alias("outcome")))
 
 
@@ -84,6 +98,16 @@ def gap_proposal_state(gaps: DataFrame, events: DataFrame) -> DataFrame:
     return gaps.select("gap_id").join(last, "gap_id", "left").select("gap_id", state.alias("state"), "last_action", F.coalesce("n_events", F.lit(0)).alias("n_events"))
 
 
+def proposal_state(events: DataFrame) -> DataFrame:
+    """Each proposal's state: linked ones are pending until they are accepted or rejected, by whom and when. The latest decision counts.
+    events: proposal_id, gap_id, action, user, ts, event_id."""
+    decided = F.col("action").isin("accept", "reject")
+    last = F.max_by(F.struct("action", "user", "ts"), F.when(decided, F.struct("ts", "event_id")))
+    g = events.groupBy("proposal_id", "gap_id").agg(F.min("ts").alias("linked_at"), last.alias("d"), F.max(decided).alias("any"))
+    state = F.when(F.col("any") & (F.col("d.action") == "accept"), "accepted").when(F.col("any"), "rejected").otherwise("pending")
+    return g.select("proposal_id", "gap_id", "linked_at", state.alias("state"), F.when(F.col("any"), F.col("d.user")).alias("resolver"), F.when(F.col("any"), F.col("d.ts")).alias("resolved_at"))
+
+
 def annotation_status(documents: DataFrame, sections: DataFrame) -> DataFrame:
     """Not started, in progress, or complete once a section is validated. sections: doc_id, validated, ts."""
     s = sections.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sections"), F.bool_or("validated").alias("any_validated"), F.max(F.when(F.col("validated"), F.col("ts"))).alias("completed_at"))
@@ -91,10 +115,19 @@ def annotation_status(documents: DataFrame, sections: DataFrame) -> DataFrame:
     return d.select("doc_id", "n_sections", F.when(F.col("n_sections") == 0, "not_started").when(F.col("any_validated"), "complete").otherwise("in_progress").alias("status"), "completed_at")
 
 
-def gt_set_report(sets: DataFrame, members: DataFrame) -> DataFrame:
-    """Each set with its number of documents and the list of them."""
-    m = members.groupBy("set_id").agg(F.count_distinct("doc_id").alias("n_documents"), F.array_join(F.transform(F.array_sort(F.collect_set("doc_id")), lambda x: x.cast("string")), ",").alias("documents"))
-    return sets.join(m, "set_id", "left").select("set_id", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("documents", F.lit("")).alias("documents"))
+def gt_set_report(sets: DataFrame, members: DataFrame, sections: DataFrame) -> DataFrame:
+    """Each set with its number of documents, how many of them have annotated sections, and the share."""
+    done = sections.select("doc_id").distinct().withColumn("done", F.lit(1))
+    m = members.distinct().join(done, "doc_id", "left").groupBy("set_id").agg(F.count(F.lit(1)).alias("n_documents"), F.count("done").alias("n_annotated"), F.min("doc_id").alias("first_document"))
+    m = sets.join(m, "set_id", "left").fillna(0, ["n_documents", "n_annotated"])
+    return m.select("set_id", "n_documents", "n_annotated", "first_document", F.round(F.coalesce(F.try_divide("n_annotated", "n_documents"), F.lit(0.0)), 4).alias("coverage"))
+
+
+def gt_set_documents(members: DataFrame, documents: DataFrame, sections: DataFrame) -> DataFrame:
+    """The documents of each set, one a row, with the per cent of their pages that sections cover."""
+    from .timelines import page_coverage
+
+    return members.distinct().join(page_coverage(documents.select("doc_id", "n_pages"), sections), "doc_id").select("set_id", "doc_id", "n_pages", "coverage")
 
 
 def corpus_health(documents: DataFrame, artifacts: DataFrame, wanted: list[str]) -> DataFrame:
@@ -105,6 +138,11 @@ def corpus_health(documents: DataFrame, artifacts: DataFrame, wanted: list[str])
     return d.select("doc_id", (F.lit(len(wanted)) - F.size(missing)).alias("n_present"), F.array_join(F.array_sort(missing), ",").alias("missing"))
 
 
+def bbox_coverage(rows: DataFrame) -> DataFrame:
+    """Per cent of each document's rows that have a box. rows: doc_id, has_bbox."""
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if("has_bbox").alias("n_boxed"), F.floor(100 * F.count_if("has_bbox") / F.count(F.lit(1))).alias("bbox_coverage"))
+
+
 def extraction_match_status(documents: DataFrame, extracted: DataFrame) -> DataFrame:
     """Missing, partial or ok, by page counts. extracted: doc_id, pages."""
     d = documents.join(extracted, "doc_id", "left")
@@ -124,10 +162,10 @@ def classify_by_note_votes(refs: DataFrame, notes: DataFrame, min_share: float =
     return top.where((F.col("winner.votes") >= min_votes) & (F.col("winner.votes") >= min_share * F.col("total"))).select("doc_id", "table_id", F.col("winner.context").alias("context"), F.col("winner.votes").alias("votes"), "total")
 
 
-def structure_violations(tables: DataFrame, rows: DataFrame) -> DataFrame:
-    """Statements whose labels are those of another kind."""
+def structure_violations(tables: DataFrame, rows: DataFrame, income: str, balance: str, most: int = 8) -> DataFrame:
+    """Statements whose labels are those of another kind. income, balance: patterns of lower-cased labels."""
     low = F.lower("label")
-    c = rows.where("row_type = 'DATA'").groupBy("table_id").agg(F.count_if(low.rlike("plate|gear")).alias("income"), F.count_if(low.rlike("rod")).alias("balance"), F.count(F.lit(1)).alias("n_rows"))
+    c = rows.where("row_type = 'DATA'").groupBy("table_id").agg(F.count_if(low.rlike(income)).alias("income"), F.count_if(low.rlike(balance)).alias("balance"), F.count(F.lit(1)).alias("n_rows"))
     t = tables.join(c, "table_id")
-    kind = F.when((F.col("context") == "OCI") & (F.col("income") >= 2), "OCI_HAS_PNL_STRUCTURE").when((F.col("n_rows") <= 8) & (F.col("income") >= 2) & (F.col("balance") >= 1), "MIXED_SUMMARY")
+    kind = F.when((F.col("context") == "OCI") & (F.col("income") >= 2), "OCI_HAS_PNL_STRUCTURE").when((F.col("n_rows") <= most) & (F.col("income") >= 2) & (F.col("balance") >= 1), "MIXED_SUMMARY")
     return t.withColumn("violation", kind).where("violation is not null").select("doc_id", "table_id", "context", "income", "balance", "n_rows", "violation")

@@ -80,6 +80,14 @@ def additive_columns(cells: DataFrame, min_rows: int = 3, min_rate: float = 0.6,
     return rate.withColumn("k", F.row_number().over(best)).where("k = 1").select("table_id", "total", F.array_join(F.transform("parts", lambda c: c.cast("string")), ",").alias("parts"), "n", F.round("rate", 4).alias("rate"))
 
 
+def filter_axis_members(members: DataFrame, additive: DataFrame) -> DataFrame:
+    """Members whose columns take part in an additive column set; a document without any keeps all. members: doc_id, table_id, col_idx and
+    more; additive: D28's rows."""
+    hit = additive.select("table_id", F.explode(F.split("parts", ",")).alias("col_idx")).select("table_id", F.col("col_idx").cast("int").alias("col_idx")).distinct().withColumn("adds", F.lit(True))
+    m = members.join(hit, ["table_id", "col_idx"], "left").fillna(False, ["adds"]).withColumn("any_adds", F.max("adds").over(Window.partitionBy("doc_id")))
+    return m.where("adds or not any_adds").select(members.columns)
+
+
 def stitch_tables(tables: DataFrame, signature: DataFrame, ends_total: DataFrame) -> DataFrame:
     """Consecutive tables with one header signature, on the same or the next page, of compatible classification, after a
     table that doesn't end in a total, form a chain. tables: doc_id, table_id, table_ord, page_no, context."""

@@ -37,6 +37,21 @@ def resolve_transitions(transitions: DataFrame, documents: DataFrame, floating:
     return p.select("doc_id", "page", "type", F.when(F.col("type").isNotNull(), F.coalesce(after, before)).alias("group"))
 
 
+def resolve_multi_tags(multi: DataFrame, transitions: DataFrame, documents: DataFrame) -> DataFrame:
+    """E5: secondary tags of a page carried forward to the end of the span that its transition begins. multi: doc_id, page, tag."""
+    s = transitions_to_sections(transitions, documents)
+    spans = multi.join(s.select("doc_id", F.col("start_page").alias("page"), "end_page"), ["doc_id", "page"])
+    p = spans.select("doc_id", F.explode(F.sequence(F.col("page"), F.greatest("page", "end_page"))).alias("page"), "tag")
+    return p.groupBy("doc_id", "page").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
+
+
+def review_template(flagged: DataFrame, ranges: DataFrame) -> DataFrame:
+    """What a reviewer fills in: one row for each range of flagged pages, and one for each flagged table outside all ranges. flagged: doc_id, table_id, page."""
+    inside = ranges.select("doc_id", F.explode(F.sequence("start_page", "end_page")).alias("page"))
+    alone = flagged.join(inside, ["doc_id", "page"], "left_anti").select("doc_id", F.lit("table").alias("kind"), "table_id", F.col("page").alias("start_page"), F.col("page").alias("end_page"))
+    return ranges.select("doc_id", F.lit("range").alias("kind"), F.lit(None).cast("long").alias("table_id"), "start_page", "end_page").unionByName(alone)
+
+
 def islands(df: DataFrame, keys: list[str], order: str, breaks: Column) -> DataFrame:
     """df with `island`, a number that grows by one wherever `breaks` is true along `order`."""
     w = Window.partitionBy(*keys).orderBy(order)

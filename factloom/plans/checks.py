@@ -66,9 +66,10 @@ def check_summation(t):
 
 
 @query("c8_cross_statement", f"""
-WITH {BEST} SELECT a.doc_id, e.edge_name, a.concept_id, a.period_key, a.amount AS expected, b.amount AS actual, round(a.amount - b.amount, 2) AS delta, abs(round(a.amount - b.amount, 2)) <= e.tol AS passed
+WITH {BEST.replace("best AS (", "best AS MATERIALIZED (")}, j AS (SELECT a.doc_id, e.edge_name, a.concept_id, b.concept_id AS other_concept, a.period_key, a.amount AS expected, b.amount AS actual, e.tol, round(CASE WHEN rule = 'opposite' THEN a.amount + b.amount ELSE a.amount - b.amount END, 2) AS delta
 FROM best a JOIN r_edges e ON e.edge_type = 'CROSS_STATEMENT_TIE' AND e.concept_id = a.concept_id AND e.context = a.context
-JOIN best b ON b.doc_id = a.doc_id AND b.concept_id = a.concept_id AND b.period_key = a.period_key AND b.context = e.other_context""")
+JOIN best b ON b.doc_id = a.doc_id AND b.concept_id = coalesce(e.other_concept, e.concept_id) AND b.period_key = a.period_key AND b.context = e.other_context)
+SELECT doc_id, edge_name, concept_id, other_concept, period_key, expected, actual, delta, CASE WHEN abs(delta) <= tol THEN 'valid' WHEN expected <> 0 AND actual <> 0 AND {SCALE.format(a='expected', b='actual')} THEN 'scale' ELSE 'broken' END AS status FROM j""")
 def check_cross_statement(t):
     return C.check_cross_statement(X.best_fact(t.r_facts), t.r_edges)
 
@@ -87,11 +88,14 @@ def check_note_to_face(t):
 WITH {BEST}, {SUMS}, d AS (SELECT s.doc_id, s.period_key, m.edge_name, s.context, sum(s.amount) AS actual FROM sums s JOIN r_members m USING (concept_id) GROUP BY ALL),
 j AS (SELECT b.doc_id, e.edge_name, b.period_key, b.amount AS expected, d.actual, e.tol, round(b.amount - d.actual, 2) AS delta FROM best b
   JOIN r_edges e ON e.edge_type = 'DISAGGREGATION' AND e.concept_id = b.concept_id AND e.context = b.context
-  JOIN d ON d.doc_id = b.doc_id AND d.period_key = b.period_key AND d.edge_name = e.edge_name AND d.context = e.other_context)
-SELECT doc_id, edge_name, period_key, expected, round(actual, 2) AS actual, delta, CASE WHEN abs(delta) <= tol THEN 'valid' WHEN abs(delta) < 1e-4 * abs(expected) THEN 'rounding'
-       WHEN expected <> 0 AND actual <> 0 AND {SCALE.format(a='expected', b='actual')} THEN 'scale' ELSE 'residual' END AS triage FROM j""")
+  JOIN d ON d.doc_id = b.doc_id AND d.period_key = b.period_key AND d.edge_name = e.edge_name AND d.context = e.other_context),
+k AS (SELECT j.*, l.amount AS line FROM j LEFT JOIN best l ON l.doc_id = j.doc_id AND l.period_key = j.period_key AND l.context = 'OCI' AND l.concept_id = 'STANDARD' AND j.edge_name = 'std_detail'),
+t AS (SELECT doc_id, edge_name, period_key, expected, round(actual, 2) AS actual, delta, CASE WHEN abs(delta) <= tol THEN 'valid' WHEN coalesce(abs(line - delta) <= tol, false) THEN 'confirmed' WHEN abs(delta) < 1e-4 * abs(expected) THEN 'rounding'
+       WHEN expected <> 0 AND actual <> 0 AND {SCALE.format(a='expected', b='actual')} THEN 'scale' ELSE 'residual' END AS triage FROM k)
+SELECT *, CASE WHEN triage = 'residual' THEN 'IC_NOT_ELIMINATED,SCOPE' END AS causes FROM t""")
 def check_disaggregation(t):
-    return C.check_disaggregation(X.best_fact(t.r_facts), X.sum_by_axis(t.r_facts), t.r_edges, t.r_members)
+    confirm = t.spark.createDataFrame([("std_detail", "OCI", "STANDARD")], "edge_name string, confirm_context string, confirm_concept string")
+    return C.check_disaggregation(X.best_fact(t.r_facts), X.sum_by_axis(t.r_facts), t.r_edges, t.r_members, confirm, {"std_detail": ["IC_NOT_ELIMINATED", "SCOPE"]})
 
 
 @query("d9_ratio", f"""
@@ -133,20 +137,42 @@ def amount_collisions(t):
     return C.amount_collisions(t.r_facts)
 
 
+SEEN = "SELECT DISTINCT doc_id, concept_id FROM r_facts WHERE context = 'OCI' AND doc_id % 2 = 0"
+
+
+def seen(t):
+    return t.r_facts.where("context = 'OCI' and doc_id % 2 = 0")
+
+
 @query("d13_explain_mismatches", f"""
-WITH {MISMATCH}, x AS (SELECT m.*, k.unit_type, CASE WHEN low <> 0 AND high <> 0 THEN greatest(abs(low / high), abs(high / low)) END AS r FROM mm m LEFT JOIN r_concepts k USING (concept_id)
-  WHERE (doc_id, concept_id) NOT IN (SELECT (doc_id, concept_id) FROM r_facts WHERE context = 'OCI'))
-SELECT doc_id, concept_id, period_key, CASE WHEN unit_type = 'shares' THEN 'SHARE_COUNT_VS_MONETARY' WHEN r BETWEEN 990 AND 1010 OR r BETWEEN 990000 AND 1010000 THEN 'UNIT_SCALE'
-       WHEN r BETWEEN 1 AND 1.25 THEN 'GROSS_VS_NET' ELSE 'UNEXPLAINED' END AS pattern_id, round(r, 4) AS ratio FROM x""")
+WITH {MISMATCH}, x AS (SELECT m.doc_id, m.concept_id, m.period_key, k.unit_type, k.note_unit_type, k.n_variants FROM mm m LEFT JOIN r_concepts k USING (concept_id) WHERE (doc_id, concept_id) NOT IN (SELECT (doc_id, concept_id) FROM ({SEEN})) AND coalesce(k.unit_type, '') NOT IN ('shares', 'per_share', 'percentage', 'dimensionless')),
+a AS (SELECT x.*, f.amount, row_number() OVER (PARTITION BY x.doc_id, x.concept_id, x.period_key ORDER BY f.table_id, f.row_id, f.col_idx) AS i FROM x JOIN r_facts f USING (doc_id, concept_id, period_key)),
+s AS (SELECT DISTINCT p.doc_id, p.concept_id FROM a p JOIN a q ON q.doc_id = p.doc_id AND q.concept_id = p.concept_id AND q.i > p.i WHERE p.amount <> 0 AND q.amount <> 0 AND (abs(p.amount / q.amount) > 990 AND abs(p.amount / q.amount) < 1010 OR abs(p.amount / q.amount) > 990000 AND abs(p.amount / q.amount) < 1010000)),
+r AS (SELECT doc_id, concept_id, period_key, CASE WHEN any_value(note_unit_type) = 'shares' THEN 'SHARE_COUNT_VS_MONETARY' WHEN any_value(n_variants) > 0 THEN 'GROSS_VS_NET' WHEN bool_or((doc_id, concept_id) IN (SELECT (doc_id, concept_id) FROM s)) THEN 'UNIT_SCALE' END AS pattern_id, count(*)::INT AS n_facts FROM a GROUP BY 1, 2, 3)
+SELECT * FROM r WHERE pattern_id IS NOT NULL""")
 def explain_mismatches(t):
-    return C.explain_mismatches(C.concept_mismatches(t.r_facts), t.r_concepts, t.r_facts.where("context = 'OCI'"))
+    return C.explain_mismatches(C.concept_mismatches(t.r_facts), t.r_facts, t.r_concepts, seen(t))
+
+
+COARSE = "cf AS (SELECT doc_id, table_id, CASE concept_id WHEN 'LARGE' THEN 'L' ELSE concept_id END AS concept_id, context, label, round(amount / 20000) * 20000 AS amount FROM r_facts)"
+
+
+@query("d13_explain_collisions", f"""
+WITH {COARSE}, c AS (SELECT doc_id, amount FROM cf WHERE abs(amount) >= 100 GROUP BY 1, 2 HAVING count(DISTINCT table_id) > 1 AND count(DISTINCT concept_id) > 1)
+SELECT f.doc_id, f.amount, string_agg(DISTINCT f.concept_id, ',' ORDER BY f.concept_id) AS concepts, 'ASSOCIATE_OWN_FIGURES' AS pattern_id FROM cf f JOIN c ON c.doc_id = f.doc_id AND c.amount = f.amount LEFT JOIN ({SEEN}) s ON s.doc_id = f.doc_id AND s.concept_id = f.concept_id
+GROUP BY 1, 2 HAVING bool_or(f.context = 'DISC.SEGMENTS') AND NOT bool_or(regexp_matches(lower(label), 'other|total|thereof|davon|summe|gesamt|sonstige')) AND count(s.doc_id) = 0""")
+def explain_collisions(t):
+    f = t.r_facts.withColumns({"amount": F.round(F.col("amount") / 20000) * 20000, "concept_id": F.when(F.col("concept_id") == "LARGE", "L").otherwise(F.col("concept_id"))})
+    return C.explain_collisions(C.amount_collisions(f), f, seen(t), "DISC.SEGMENTS")
 
 
-@query("d14_context_violations", """
-SELECT f.doc_id, f.concept_id, f.context, k.valid_context, count(*) AS n_facts, min(table_id) AS first_table FROM r_facts f JOIN r_concepts k USING (concept_id)
-WHERE f.context <> k.valid_context AND f.context NOT LIKE 'DISC.%' GROUP BY ALL""")
+@query("d14_context_violations", f"""
+WITH v AS (SELECT concept_id, valid_context AS context FROM r_concepts UNION SELECT 'SMALL', 'SFP' UNION SELECT 'TOTAL', 'SFP'), o AS (SELECT concept_id, list_sort(list(DISTINCT context)) AS own FROM v GROUP BY 1)
+SELECT f.doc_id, f.concept_id, f.context, array_to_string(any_value(own), ',') AS valid_contexts, count(*) AS n_facts, min(table_id) AS first_table FROM r_facts f JOIN o USING (concept_id)
+WHERE NOT list_contains(own, f.context) AND f.context NOT LIKE 'DISC.%' AND (f.doc_id, f.concept_id) NOT IN (SELECT (doc_id, concept_id) FROM ({SEEN})) GROUP BY 1, 2, 3""")
 def context_violations(t):
-    return C.context_violations(t.r_facts, t.r_concepts)
+    valid = t.r_concepts.select("concept_id", F.col("valid_context").alias("context")).unionByName(t.spark.createDataFrame([("SMALL", "SFP"), ("TOTAL", "SFP")], "concept_id string, context string"))
+    return C.context_violations(t.r_facts, valid, seen(t))
 
 
 @query("d17_score_facts", """
@@ -205,7 +231,15 @@ def composite_residual(t):
 
 
 @query("d53_provenance_type", """
-SELECT doc_id, provenance, count(*) AS n_facts, provenance NOT IN ('SEGMENT_COMPONENT', 'ASSOCIATE_OWN') AS comparable FROM (
-  SELECT doc_id, CASE WHEN is_primary THEN 'FACE_STATEMENT' WHEN context = 'DISC.SEGMENTS' THEN 'SEGMENT_COMPONENT' WHEN concept_id = 'TOTAL' THEN 'NOTE_TOTAL' ELSE 'NOTE_DETAIL' END AS provenance FROM r_facts) GROUP BY ALL""")
+WITH f AS (SELECT doc_id, is_primary, label, CASE WHEN table_id % 11 = 0 THEN 'MANAGEMENT_REPORT' WHEN table_id % 11 = 1 AND NOT is_primary THEN 'DISC.ASSOCIATES' WHEN table_id % 11 < 4 AND NOT is_primary THEN 'DISC.PPE' ELSE context END AS context, CASE WHEN row_id % 13 = 0 THEN 'KPI.EBIT' ELSE concept_id END AS concept_id,
+             CASE WHEN row_id % 4 = 0 THEN 'Konsolidierung' ELSE label END AS l2 FROM r_facts),
+k AS (SELECT doc_id, CASE WHEN context = 'MANAGEMENT_REPORT' THEN context WHEN regexp_matches(concept_id, '^(KPI|APM)[.]') THEN 'DERIVED_METRIC' WHEN is_primary THEN 'FACE_STATEMENT' WHEN context LIKE 'DISC.ASSOC%' THEN 'ASSOCIATE_OWN' WHEN regexp_matches(lower(l2), 'elimination|unallocated|reconcil|überleitung|konsolidierung') THEN 'RECONCILING_ITEM'
+  WHEN context = 'DISC.SEGMENTS' THEN 'SEGMENT_COMPONENT' WHEN concept_id = 'TOTAL' THEN 'NOTE_TOTAL' ELSE 'NOTE_DETAIL' END AS provenance FROM f)
+SELECT doc_id, provenance, count(*) AS n_facts, provenance IN ('FACE_STATEMENT', 'NOTE_TOTAL', 'SEGMENT_COMPONENT', 'RECONCILING_ITEM') AS comparable FROM k GROUP BY 1, 2""")
 def provenance_type(t):
-    return C.provenance_type(t.r_facts)
+    k = F.col("table_id") % 11
+    f = t.r_facts.withColumns({
+        "context": F.when(k == 0, "MANAGEMENT_REPORT").when((k == 1) & ~F.col("is_primary"), "DISC.ASSOCIATES").when((k < 4) & ~F.col("is_primary"), "DISC.PPE").otherwise(F.col("context")),
+        "concept_id": F.when(F.col("row_id") % 13 == 0, "KPI.EBIT").otherwise(F.col("concept_id")), "label": F.when(F.col("row_id") % 4 == 0, "Konsolidierung").otherwise(F.col("label")),
+    })
+    return C.provenance_type(f)

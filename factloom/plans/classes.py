@@ -151,14 +151,13 @@ def ic_decomposition(t):
 
 
 @query("d28b_filter_axis_members", """
-WITH a AS (SELECT table_id, col_idx FROM r_columns WHERE role = 'VALUE' AND table_id % 2 = 0 AND col_idx IN (2, 3)), n AS (SELECT doc_id, c.table_id, c.col_idx, c.header, a.col_idx IS NOT NULL AS add FROM r_columns c LEFT JOIN a ON a.table_id = c.table_id AND a.col_idx = c.col_idx WHERE c.role = 'VALUE')
+WITH a AS (SELECT table_id, unnest([2, 3]) AS col_idx FROM r_tables WHERE table_id % 2 = 0), n AS (SELECT doc_id, c.table_id, c.col_idx, c.header, a.col_idx IS NOT NULL AS add FROM r_columns c LEFT JOIN a ON a.table_id = c.table_id AND a.col_idx = c.col_idx WHERE c.role = 'VALUE')
 SELECT doc_id, table_id, col_idx, header FROM n QUALIFY add OR NOT bool_or(add) OVER (PARTITION BY doc_id)""")
 def filter_axis_members(t):
-    from pyspark.sql.window import Window
+    from ..operators.structure import filter_axis_members as kept
 
-    a = t.r_columns.where("role = 'VALUE' and table_id % 2 = 0 and col_idx in (2, 3)").select("table_id", "col_idx", F.lit(True).alias("add"))
-    n = t.r_columns.where("role = 'VALUE'").join(a, ["table_id", "col_idx"], "left").fillna(False, ["add"]).withColumn("any_add", F.max("add").over(Window.partitionBy("doc_id")))
-    return n.where("add or not any_add").select("doc_id", "table_id", "col_idx", "header")
+    additive = t.r_tables.where("table_id % 2 = 0").select("table_id", F.lit("2,3").alias("parts"))
+    return kept(t.r_columns.where("role = 'VALUE'").select("doc_id", "table_id", "col_idx", "header"), additive)
 
 
 @query("i5_tag_ratio", """
@@ -189,7 +188,7 @@ def tag_ratio_all(t):
 
 
 @query("i7_pretag", """
-WITH ix AS (SELECT lower(p_name) AS norm, min(p_type) AS concept_id FROM part WHERE p_partkey % 2 = 0 GROUP BY 1)
+WITH ix AS (SELECT lower(p_name) AS norm, min(p_type) AS concept_id FROM part GROUP BY 1)
 SELECT r.row_id, concept_id, t.context FROM (SELECT table_id, row_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(raw), '\\(?(see )?note [0-9]{1,3}\\)?', '', 'g'), '^\\s*[a-z]\\)\\s*', ''), ':\\s*$', ''), '\\s+', ' ', 'g')) AS norm FROM l_labels) r
 JOIN ix USING (norm) JOIN r_tables t USING (table_id) WHERE t.context IS NOT NULL""")
 def pretag(t):

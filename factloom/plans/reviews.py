@@ -8,10 +8,11 @@ from ..operators import graph as G
 from ..operators import reviews as V
 from ..operators import tagging as A
 from .registry import query
+from .timelines import RSEC, report_sections
 
 TREE = [("TOTAL", "LARGE", 1), ("TOTAL", "MEDIUM", 2), ("TOTAL", "SMALL", 3), ("MEDIUM", "PROMO", 1), ("MEDIUM", "ECONOMY", 2)]
 TREE_SQL = "tree AS (SELECT * FROM (VALUES ('TOTAL', 'LARGE', 1), ('TOTAL', 'MEDIUM', 2), ('TOTAL', 'SMALL', 3), ('MEDIUM', 'PROMO', 1), ('MEDIUM', 'ECONOMY', 2)) v(concept_id, member, ord))"
-IX = "ix AS (SELECT lower(p_name) AS norm, min(p_type) AS concept_id FROM part WHERE p_partkey % 2 = 0 GROUP BY 1)"
+IX = "ix AS (SELECT lower(p_name) AS norm, min(p_type) AS concept_id FROM part GROUP BY 1)"
 
 
 def tree(t):
@@ -19,7 +20,7 @@ def tree(t):
 
 
 def index(t):
-    return t.part.where("p_partkey % 2 = 0").groupBy(F.lower("p_name").alias("norm")).agg(F.min("p_type").alias("concept_id"))
+    return t.part.groupBy(F.lower("p_name").alias("norm")).agg(F.min("p_type").alias("concept_id"))
 
 
 LABEL_MATCH = f"""{IX}, lm AS (SELECT r.doc_id, r.table_id, r.row_id, ix.concept_id, 0.8::DOUBLE AS confidence, 'label' AS rule FROM r_rows r JOIN r_tables t USING (table_id) JOIN ix ON ix.norm = lower(trim(r.label)) WHERE r.tag IS NULL AND t.context IS NOT NULL)"""
@@ -128,12 +129,12 @@ def edge_dim(t):
     return G.edge_dim(t.r_edges, targets)
 
 
-MEM = "mem AS (SELECT DISTINCT p_brand AS edge_name, p_type AS concept_id FROM part WHERE p_partkey % 9 = 0 UNION SELECT DISTINCT 'n' || p_size, p_brand FROM part WHERE p_partkey % 5 = 0)"
+MEM = "mem AS (SELECT DISTINCT p_brand AS edge_name, p_type AS concept_id FROM part UNION SELECT DISTINCT 'n' || p_size, p_brand FROM part)"
 
 
 def brand_members(t):
-    a = t.part.where("p_partkey % 9 = 0").select(F.col("p_brand").alias("edge_name"), F.col("p_type").alias("concept_id"))
-    b = t.part.where("p_partkey % 5 = 0").select(F.concat(F.lit("n"), F.col("p_size").cast("string")).alias("edge_name"), F.col("p_brand").alias("concept_id"))
+    a = t.part.select(F.col("p_brand").alias("edge_name"), F.col("p_type").alias("concept_id"))
+    b = t.part.select(F.concat(F.lit("n"), F.col("p_size").cast("string")).alias("edge_name"), F.col("p_brand").alias("concept_id"))
     return a.unionByName(b).distinct()
 
 
@@ -213,8 +214,10 @@ def flag_has_override(t):
 
 
 @query("d48_review_manifest", """
-WITH f AS (SELECT table_id, array_to_string(list(label ORDER BY row_idx)[1:3], '|') AS first_labels, count(*) AS n_rows FROM r_rows GROUP BY 1), t AS (SELECT *, count(*) OVER (PARTITION BY doc_id, context) AS n FROM r_tables)
-SELECT doc_id, table_id, page_no, CASE WHEN context IS NULL THEN 'unclassified' ELSE 'inflated' END AS reason, first_labels, n_rows FROM t LEFT JOIN f USING (table_id) WHERE context IS NULL OR n > 3""")
+WITH f AS (SELECT table_id, array_to_string(list(label ORDER BY row_idx)[1:3], '|') AS first_labels, count(*) AS n_rows FROM r_rows GROUP BY 1), t AS (SELECT *, count(*) OVER (PARTITION BY doc_id, context) AS n FROM r_tables),
+g AS (SELECT *, CASE WHEN context IS NULL THEN 'unclassified' ELSE 'inflated' END AS reason FROM t WHERE context IS NULL OR n > 3)
+SELECT doc_id, table_id, page_no, reason, n AS n_of_type, min(page_no) OVER (PARTITION BY doc_id) AS first_flagged, max(page_no) OVER (PARTITION BY doc_id) AS last_flagged, count(*) OVER (PARTITION BY doc_id) AS n_flagged,
+       CASE WHEN reason = 'unclassified' THEN 'classify by section or labels' ELSE 'keep at most 3 of ' || context END AS suggestion, first_labels, n_rows FROM g LEFT JOIN f USING (table_id)""")
 def review_manifest(t):
     return V.review_manifest(t.r_tables, t.r_rows, 3)
 
@@ -224,6 +227,11 @@ def first_n_per_table(t):
     return V.first_n_per_table(t.r_rows)
 
 
+@query("e10_first_headers", "SELECT table_id, array_to_string(list(header ORDER BY col_idx)[1:4], '|') AS headers FROM r_columns WHERE header IS NOT NULL GROUP BY 1")
+def first_headers(t):
+    return V.first_headers(t.r_columns, 4)
+
+
 @query("d50_expected_findings", """
 WITH f AS (SELECT DISTINCT context AS edge_name, concept_id, CASE WHEN amount < 50000000 THEN 'OK' ELSE 'ERROR' END AS severity FROM r_facts), e AS (SELECT * FROM (VALUES (1, 'PNL', 'PROMO'), (2, 'OCI', NULL), (3, 'CFS', NULL), (4, NULL, 'LARGE'), (5, 'PNL', 'NONE')) v(id, edge_name, concept_id))
 SELECT e.edge_name, e.concept_id, CASE WHEN count(f.edge_name) > 0 THEN 'found' ELSE 'missing' END AS outcome FROM e LEFT JOIN f ON coalesce(e.edge_name, f.edge_name) = f.edge_name AND coalesce(e.concept_id, f.concept_id) = f.concept_id GROUP BY e.id, 1, 2
@@ -257,16 +265,47 @@ def annotation_status(t):
     return V.annotation_status(t.r_documents, t.events.select(F.col("user_id").alias("doc_id"), ((F.col("event_type") == "purchase") & (F.col("value") > 20)).alias("validated"), "ts"))
 
 
-@query("d51_gt_set_report", "SELECT n_nationkey AS set_id, count(DISTINCT c_custkey) AS n_documents, coalesce(string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey), '') AS documents FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 3 = 0 GROUP BY 1")
+@query("d55_proposals", """
+WITH ev AS (SELECT event_id % 400 AS proposal_id, event_id % 40 AS gap_id, CASE event_type WHEN 'view' THEN 'link' WHEN 'purchase' THEN 'reject' WHEN 'signup' THEN 'accept' END AS action, 'u' || user_id AS "user", ts, event_id FROM events WHERE event_type IN ('view', 'purchase', 'signup') AND event_id % 3 > 0),
+d AS (SELECT proposal_id, gap_id, arg_max(action, (ts, event_id)) AS a, arg_max("user", (ts, event_id)) AS u, max(ts) AS done FROM ev WHERE action <> 'link' GROUP BY 1, 2)
+SELECT proposal_id, gap_id, min(ts) AS linked_at, CASE any_value(a) WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' ELSE 'pending' END AS state, any_value(u) AS resolver, any_value(done) AS resolved_at FROM ev LEFT JOIN d USING (proposal_id, gap_id) GROUP BY 1, 2""")
+def proposals(t):
+    kind = F.when(F.col("event_type") == "view", "link").when(F.col("event_type") == "purchase", "reject").when(F.col("event_type") == "signup", "accept")
+    ev = t.events.where("event_type in ('view', 'purchase', 'signup') and event_id % 3 > 0")
+    return V.proposal_state(ev.select((F.col("event_id") % 400).alias("proposal_id"), (F.col("event_id") % 40).alias("gap_id"), kind.alias("action"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user"), "ts", "event_id"))
+
+
+MEMBERS = "gm AS (SELECT DISTINCT c_nationkey AS set_id, c_custkey AS doc_id FROM customer WHERE c_nationkey <> 7)"
+
+
+def set_members(t):
+    return t.customer.where("c_nationkey <> 7").select(F.col("c_nationkey").alias("set_id"), F.col("c_custkey").alias("doc_id"))
+
+
+@query("d51_gt_set_report", f"""
+WITH {MEMBERS}, {RSEC}, a AS (SELECT DISTINCT doc_id FROM rs WHERE doc_id % 4 < 3)
+SELECT n_nationkey AS set_id, count(gm.doc_id) AS n_documents, count(a.doc_id) AS n_annotated, min(gm.doc_id) AS first_document, round(coalesce(count(a.doc_id) / nullif(count(gm.doc_id), 0), 0), 4) AS coverage FROM nation LEFT JOIN gm ON gm.set_id = n_nationkey LEFT JOIN a ON a.doc_id = gm.doc_id GROUP BY 1""")
 def gt_set_report(t):
-    return V.gt_set_report(t.nation.select(F.col("n_nationkey").alias("set_id")), t.customer.where("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("set_id"), F.col("c_custkey").alias("doc_id")))
+    return V.gt_set_report(t.nation.select(F.col("n_nationkey").alias("set_id")), set_members(t), report_sections(t).where("doc_id % 4 < 3"))
+
+
+@query("d51_gt_set_documents", f"""
+WITH {MEMBERS}, {RSEC}, c AS (SELECT doc_id, count(DISTINCT page) AS covered FROM (SELECT doc_id, unnest(range(start_page, end_page + 1)) AS page FROM rs WHERE doc_id % 4 < 3) GROUP BY doc_id)
+SELECT set_id, gm.doc_id, n_pages, least(floor(100 * coalesce(covered, 0) / n_pages), 100)::BIGINT AS coverage FROM gm JOIN r_documents d ON d.doc_id = gm.doc_id LEFT JOIN c ON c.doc_id = gm.doc_id""")
+def gt_set_documents(t):
+    return V.gt_set_documents(set_members(t), t.r_documents, report_sections(t).where("doc_id % 4 < 3"))
+
+
+@query("d37_bbox_coverage", "SELECT doc_id, count(*) AS n_rows, count(*) FILTER (row_id % 7 > 1) AS n_boxed, floor(100 * count(*) FILTER (row_id % 7 > 1) / count(*))::BIGINT AS bbox_coverage FROM r_rows GROUP BY 1")
+def bbox_coverage(t):
+    return V.bbox_coverage(t.r_rows.select("doc_id", (F.col("row_id") % 7 > 1).alias("has_bbox")))
 
 
 @query("d37_corpus_health", """
-WITH a AS (SELECT DISTINCT user_id AS doc_id, event_type AS kind FROM events WHERE event_id % 8 = 0), w AS (SELECT unnest(['click', 'error', 'view']) AS kind)
+WITH a AS (SELECT DISTINCT user_id AS doc_id, event_type AS kind FROM events), w AS (SELECT unnest(['click', 'error', 'view']) AS kind)
 SELECT d.doc_id, count(a.kind)::INT AS n_present, coalesce(string_agg(w.kind, ',' ORDER BY w.kind) FILTER (a.kind IS NULL), '') AS missing FROM r_documents d CROSS JOIN w LEFT JOIN a ON a.doc_id = d.doc_id AND a.kind = w.kind GROUP BY 1""")
 def corpus_health(t):
-    return V.corpus_health(t.r_documents, t.events.where("event_id % 8 = 0").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("kind")), ["click", "error", "view"])
+    return V.corpus_health(t.r_documents, t.events.select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("kind")), ["click", "error", "view"])
 
 
 @query("d35_extraction_match", "SELECT doc_id, n_pages, coalesce(pages, 0) AS pages, CASE WHEN coalesce(pages, 0) = 0 THEN 'missing' WHEN pages < n_pages THEN 'partial' ELSE 'ok' END AS status FROM r_documents LEFT JOIN (SELECT doc_id, max(page_no) AS pages FROM r_tables WHERE doc_id % 5 > 0 GROUP BY 1) USING (doc_id)")
@@ -303,4 +342,4 @@ WITH c AS (SELECT table_id, count(*) FILTER (regexp_matches(lower(label), 'plate
 SELECT t.doc_id, t.table_id, t.context, income, balance, n_rows, CASE WHEN context = 'OCI' AND income >= 2 THEN 'OCI_HAS_PNL_STRUCTURE' ELSE 'MIXED_SUMMARY' END AS violation
 FROM r_tables t JOIN c USING (table_id) WHERE (context = 'OCI' AND income >= 2) OR (n_rows <= 8 AND income >= 2 AND balance >= 1)""")
 def structure_violations(t):
-    return V.structure_violations(t.r_tables, t.r_rows)
+    return V.structure_violations(t.r_tables, t.r_rows, "plate|gear", "rod")

@@ -55,8 +55,9 @@ FROM {r_tables} t CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) AS c(col_idx)
     "r_concepts": """
 SELECT DISTINCT p_type AS concept_id, CASE WHEN length(p_type) % 2 = 0 THEN 'credit' ELSE 'debit' END AS balance_type,
        CASE WHEN p_type = 'PROMO' THEN 'shares' ELSE 'monetary' END AS unit_type,
-       CASE WHEN p_type IN ('LARGE', 'SMALL') THEN 'PNL' WHEN p_type = 'MEDIUM' THEN 'SFP' ELSE 'OCI' END AS valid_context FROM {part}
-UNION ALL SELECT 'TOTAL', 'debit', 'monetary', 'PNL'""",
+       CASE WHEN p_type IN ('LARGE', 'SMALL') THEN 'PNL' WHEN p_type = 'MEDIUM' THEN 'SFP' ELSE 'OCI' END AS valid_context,
+       CASE WHEN p_type = 'ECONOMY' THEN 'shares' END AS note_unit_type, CASE WHEN p_type = 'STANDARD' THEN 2 ELSE 0 END AS n_variants FROM {part}
+UNION ALL SELECT 'TOTAL', 'debit', 'monetary', 'PNL', NULL, 0""",
     "r_facts": """
 SELECT r.doc_id, r.table_id, r.row_id, t.context, r.tag AS concept_id, 'Y' || CAST(t.year + 2 - c.col_idx AS STRING) AS period_key, c.col_idx,
        round(c.value * CASE t.unit WHEN 'TEUR' THEN 1000 WHEN 'EUR Mio' THEN 1000000 ELSE 1 END, 2) AS amount, t.page_no,
@@ -64,9 +65,9 @@ SELECT r.doc_id, r.table_id, r.row_id, t.context, r.tag AS concept_id, 'Y' || CA
 FROM {r_rows} r JOIN {r_tables} t ON t.table_id = r.table_id JOIN {r_cells} c ON c.row_id = r.row_id
 WHERE r.tag IS NOT NULL AND t.context IS NOT NULL AND c.col_idx IN (2, 3) AND c.value IS NOT NULL""",
     "r_edges": """
-SELECT * FROM (VALUES ('sizes_sum', 'SUMMATION', 'PNL', 'TOTAL', NULL, 1000.0), ('promo_tie', 'CROSS_STATEMENT_TIE', 'PNL', 'PROMO', 'OCI', 1000.0),
-  ('econ_tie', 'CROSS_STATEMENT_TIE', 'SFP', 'ECONOMY', 'PNL', 50000.0), ('std_detail', 'DISAGGREGATION', 'PNL', 'STANDARD', 'DISC.SEGMENTS', 1000.0),
-  ('large_note', 'NOTE_TO_FACE', 'SFP', 'LARGE', 'DISC.SEGMENTS', 1000.0)) AS e(edge_name, edge_type, context, concept_id, other_context, tol)""",
+SELECT * FROM (VALUES ('sizes_sum', 'SUMMATION', 'PNL', 'TOTAL', NULL, 1000.0, NULL, NULL), ('promo_tie', 'CROSS_STATEMENT_TIE', 'PNL', 'PROMO', 'OCI', 1000.0, NULL, 'equals'),
+  ('econ_tie', 'CROSS_STATEMENT_TIE', 'SFP', 'ECONOMY', 'PNL', 50000.0, NULL, 'equals'), ('size_tie', 'CROSS_STATEMENT_TIE', 'PNL', 'LARGE', 'SFP', 50000.0, 'SMALL', 'opposite'), ('std_detail', 'DISAGGREGATION', 'PNL', 'STANDARD', 'DISC.SEGMENTS', 1000.0, NULL, NULL),
+  ('large_note', 'NOTE_TO_FACE', 'SFP', 'LARGE', 'DISC.SEGMENTS', 1000.0, NULL, NULL)) AS e(edge_name, edge_type, context, concept_id, other_context, tol, other_concept, rule)""",
     "r_members": """
 SELECT * FROM (VALUES ('sizes_sum', 1, 'LARGE'), ('sizes_sum', 2, 'MEDIUM'), ('sizes_sum', 3, 'SMALL'), ('promo_tie', 1, 'PROMO'), ('econ_tie', 1, 'ECONOMY'),
   ('std_detail', 1, 'STANDARD'), ('large_note', 1, 'LARGE'), ('large_note', 2, 'MEDIUM')) AS m(edge_name, ord, concept_id)""",

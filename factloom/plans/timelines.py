@@ -51,9 +51,8 @@ def resolve_transitions(t):
 WITH {SECTIONS} SELECT doc_id, page, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM (
   SELECT s.doc_id, unnest(range(s.start_page, greatest(s.start_page, s.end_page) + 1))::INT AS page, 'extra' || (s.start_page % 2) AS tag FROM sec s WHERE s.start_page % 3 = 1) GROUP BY ALL""")
 def multi_tags(t):
-    s = sections(t).where("start_page % 3 = 1").withColumn("tag", F.concat(F.lit("extra"), (F.col("start_page") % 2).cast("string")))
-    p = s.select("doc_id", F.explode(F.sequence(F.col("start_page"), F.greatest("start_page", "end_page"))).alias("page"), "tag")
-    return p.groupBy("doc_id", "page").agg(F.array_join(F.array_sort(F.collect_set("tag")), ",").alias("tags"))
+    multi = t.t_transitions.where("page % 3 = 1").select("doc_id", "page", F.concat(F.lit("extra"), (F.col("page") % 2).cast("string")).alias("tag"))
+    return T.resolve_multi_tags(multi, t.t_transitions, t.t_documents)
 
 
 @query("e6_hierarchy_groups", f"""
@@ -81,6 +80,16 @@ def flagged_ranges(t):
     return T.flagged_ranges(t.r_tables.where("context is null").select("doc_id", F.col("page_no").alias("page")))
 
 
+@query("e8_review_template", """
+WITH f AS (SELECT doc_id, table_id, page_no AS page FROM r_tables WHERE context IS NULL), p AS (SELECT DISTINCT doc_id, page FROM f),
+b AS (SELECT *, CASE WHEN page - lag(page) OVER w <= 3 THEN 0 ELSE 1 END AS br, count(*) OVER (PARTITION BY doc_id) AS total FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY page)),
+c AS (SELECT *, sum(br) OVER (PARTITION BY doc_id ORDER BY page) AS isl FROM b WHERE total >= 3), r AS (SELECT doc_id, min(page) AS start_page, max(page) AS end_page FROM c GROUP BY doc_id, isl HAVING max(page) - min(page) + 1 >= 3)
+SELECT doc_id, 'range' AS kind, NULL::BIGINT AS table_id, start_page, end_page FROM r UNION ALL SELECT doc_id, 'table', table_id, page, page FROM f WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = f.doc_id AND f.page BETWEEN start_page AND end_page)""")
+def review_template(t):
+    flagged = t.r_tables.where("context is null").select("doc_id", "table_id", F.col("page_no").alias("page"))
+    return T.review_template(flagged, T.flagged_ranges(flagged.select("doc_id", "page")))
+
+
 @query("e9_toc_offset", """
 WITH e AS (SELECT o_custkey AS doc_id, CAST(o_orderkey % 60 + 5 AS INT) AS page FROM orders)
 SELECT doc_id, CASE WHEN avg((page > n_pages)::INT) > 0.5 THEN min(page) - 2 ELSE 0 END AS page_offset FROM e JOIN r_documents USING (doc_id) GROUP BY doc_id""")
