@@ -51,18 +51,32 @@ def scale_amounts(cells: DataFrame, columns: DataFrame, tables: DataFrame) -> Da
     return c.select("row_id", "col_idx", F.round(F.col("value") * factor, 2).alias("scaled"))
 
 
-def index_facts(rows: DataFrame, cells: DataFrame, tables: DataFrame, columns: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Scaled and signed facts of tagged rows. Concepts are a small dimension; the rest joins on the table."""
-    periods = period_keys(columns).drop("doc_id")
-    n_cols = columns.where("role = 'VALUE'").groupBy("table_id").agg(F.count(F.lit(1)).alias("value_cols"))
-    f = rows.where("tag is not null").select("doc_id", "table_id", "row_id", F.col("tag").alias("concept_id"))
+PRIMARY = ("PNL", "SFP", "OCI", "CFS", "SOCIE")
+WIDE = 4  # tables with more value columns than this hold segments
+
+
+def index_facts(rows: DataFrame, cells: DataFrame, tables: DataFrame, columns: DataFrame, concepts: DataFrame, matches: DataFrame) -> DataFrame:
+    """Scaled and signed facts of tagged rows and of untagged ones whose label matches a concept (matches: row_id, concept_id, label_context).
+    A tagged fact's context is its table's, else its concept's; a matched one's is its table's, else its label's. Of wide tables, matched facts come only from
+    the last column of each period (columns without a date count as one period), and segment concepts match only there."""
+    values = columns.where("role = 'VALUE'")
+    dated = F.coalesce(F.regexp_replace("period_axis", "^PERIOD[.]", ""), F.lit("ord_0"))
+    last = values.groupBy("table_id", dated.alias("dated")).agg(F.max("col_idx").alias("col_idx")).select("table_id", "col_idx", F.lit(True).alias("is_last"))
+    n_cols = values.groupBy("table_id").agg(F.count(F.lit(1)).alias("value_cols"))
+    periods = period_keys(columns).drop("doc_id").join(last, ["table_id", "col_idx"], "left").join(n_cols, "table_id")
+    none = F.lit(None).cast("string")
+    f = rows.where("tag is not null").select("doc_id", "table_id", "row_id", "label", F.col("tag").alias("concept_id"), none.alias("label_context"), F.lit("tag").alias("source"))
+    m = rows.where("tag is null").select("doc_id", "table_id", "row_id", "label").join(matches.select("row_id", "concept_id", "label_context"), "row_id")
+    f = f.unionByName(m.withColumn("source", F.lit("label")))
     f = f.join(cells.where("value is not null").select("table_id", "row_id", "col_idx", "value"), ["table_id", "row_id"])
-    f = f.join(tables.select("table_id", "context", "unit", "sign_convention", "page_no"), "table_id").join(periods, ["table_id", "col_idx"]).join(n_cols, "table_id")
-    f = f.join(concepts.select("concept_id", "balance_type", F.col("valid_context")), "concept_id", "left")
-    f = f.withColumn("context", F.coalesce("context", "valid_context"))
-    scaled = F.col("value") * F.when(F.col("period_key").startswith("ord_"), 1.0).otherwise(unit_scale(F.col("unit")))
-    amount = normalize_sign(scaled, F.col("sign_convention"), F.col("context"), F.col("balance_type"))
-    return f.select("doc_id", "table_id", "row_id", "context", "concept_id", "period_key", "col_idx", F.round(amount, 2).alias("amount"), "page_no", F.col("context").isin("PNL", "SFP", "OCI", "CFS", "SOCIE").alias("is_primary"), "value_cols")
+    f = f.join(tables.select("table_id", "context", "unit", "sign_convention", "page_no"), "table_id").join(periods, ["table_id", "col_idx"])
+    wide = F.col("value_cols") > WIDE
+    f = f.where((F.col("source") == "tag") | (wide & F.coalesce("is_last", F.lit(False))) | (~wide & (F.coalesce("label_context", F.lit("")) != "DISC.SEGMENTS")))
+    f = f.join(concepts.select("concept_id", "balance_type", "valid_context"), "concept_id", "left")
+    f = f.withColumn("is_primary", F.coalesce(F.col("context").isin(*PRIMARY), F.lit(False)))
+    f = f.withColumn("context", F.coalesce("context", F.when(F.col("source") == "tag", F.col("valid_context")).otherwise(F.col("label_context"))))
+    amount = normalize_sign(F.col("value") * unit_scale(F.col("unit")), F.col("sign_convention"), F.col("context"), F.col("balance_type"))
+    return f.select("doc_id", "table_id", "row_id", "context", "concept_id", "period_key", "col_idx", F.round(amount, 2).alias("amount"), "page_no", "is_primary", "value_cols", "label", "source")
 
 
 def best_fact(facts: DataFrame) -> DataFrame:

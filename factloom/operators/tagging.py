@@ -18,42 +18,66 @@ def tag_label_match(rows: DataFrame, tables: DataFrame, index: DataFrame) -> Dat
     return r.withColumn("norm", F.lower(F.trim("label"))).join(index, "norm").select("doc_id", "table_id", "row_id", "concept_id", F.lit(0.80).alias("confidence"), F.lit("label").alias("rule"))
 
 
+def child_sums(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """For each parent and column: its value v, the sum s of its children, their non-null number n and number k."""
+    kids = rows.where("parent_id is not null").select("table_id", "row_id", "parent_id")
+    sums = cells.join(kids, ["table_id", "row_id"]).groupBy("table_id", "parent_id", "col_idx").agg(F.sum("value").alias("s"), F.count("value").alias("n"), F.count(F.lit(1)).alias("k"))
+    own = cells.where("value is not null").select("table_id", F.col("row_id").alias("parent_id"), "col_idx", F.col("value").alias("v"))
+    return own.join(sums, ["table_id", "parent_id", "col_idx"])
+
+
 def tag_top_down(rows: DataFrame, cells: DataFrame, tree: DataFrame, tol: float = 1000.0) -> DataFrame:
-    """A tagged parent whose children lack n >= 1 tags, and whose concept has as many members that no child carries.
-    The sum over all children has to agree in every column; then untagged rows and missing members pair in order, which any
-    permutation would pass as well. tree: concept_id, member, ord."""
-    kids = rows.where("parent_id is not null").select("doc_id", "table_id", "parent_id", "row_id", "row_idx", "tag")
-    parents = rows.where("tag is not null").select(F.col("row_id").alias("parent_id"), F.col("tag").alias("concept_id"))
-    have = kids.groupBy("doc_id", "table_id", "parent_id").agg(F.collect_set("tag").alias("have"), F.array_sort(F.collect_list(F.when(F.col("tag").isNull(), F.struct("row_idx", "row_id")))).alias("open"))
-    members = tree.groupBy("concept_id").agg(F.array_sort(F.collect_list(F.struct("ord", "member"))).alias("members"))
-    p = have.join(parents, "parent_id").join(members, "concept_id")
-    p = p.withColumn("missing", F.transform(F.filter("members", lambda m: ~F.array_contains("have", m["member"])), lambda m: m["member"]))
-    p = p.where((F.size("open") == F.size("missing")) & F.size("open").between(1, 5))
-    sums = cells.join(kids.select("row_id", "parent_id"), "row_id").groupBy("parent_id", "col_idx").agg(F.sum("value").alias("s"), F.count("value").alias("n"), F.count(F.lit(1)).alias("k"))
-    own = cells.select(F.col("row_id").alias("parent_id"), "col_idx", F.col("value").alias("v"))
-    ok = sums.join(own, ["parent_id", "col_idx"]).where("n = k and v is not null").groupBy("parent_id").agg(F.bool_and(F.abs(F.col("s") - F.col("v")) <= tol).alias("ok")).where("ok")
-    pairs = p.join(ok, "parent_id", "left_semi").withColumn("pair", F.explode(F.arrays_zip(F.transform("open", lambda o: o["row_id"]).alias("row"), F.col("missing").alias("concept"))))
-    conf = F.when(F.size("open") == 1, 0.85).otherwise(0.75)
-    return pairs.select("doc_id", "table_id", F.col("pair.row").alias("row_id"), F.col("pair.concept").alias("concept_id"), conf.alias("confidence"), F.lit("top_down").alias("rule"))
-
-
-def tag_bottom_up(rows: DataFrame, cells: DataFrame, tree: DataFrame, tol: float = 1000.0, check_sums: bool = False) -> DataFrame:
-    """An untagged parent all of whose children are tagged with exactly a concept's members (or a part of them).
-    With check_sums, a parent that has values gets 0.95 (part: 0.75) if its children add up to it and 0.70 if they don't."""
+    """A tagged parent whose concept has a summation tree (concept_id, member, ord, partial, ordered) lends untagged children the members that no child carries.
+    One row and one member: 0.85. As many rows as members (two to five): 0.75, if the children add up to the parent in every column that all have, and the tree is ordered; rows and
+    members pair in order, as a sum doesn't tell permutations apart. Either gains 0.05 if the row's place among all children is the member's place
+    in an ordered tree. A partial tree and one row too many: a single member goes to the row at its place, or the only one with values (0.75); several
+    members (0.65) leave out the last row without which the others add up."""
+    own = F.col("row_type").isin("DATA", "TOTAL_EXPLICIT", "TOTAL_IMPLICIT")
+    kids = rows.where("parent_id is not null").select("doc_id", "table_id", "parent_id", "row_id", "row_idx", "tag", own.alias("own"))
+    parents = rows.where("tag is not null").select("table_id", F.col("row_id").alias("parent_id"), F.col("tag").alias("concept_id"))
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda x: x["row_id"])
+    have = kids.groupBy("doc_id", "table_id", "parent_id").agg(
+        F.collect_set("tag").alias("have"), in_order(F.struct("row_idx", "row_id")).alias("all"), in_order(F.when(F.col("tag").isNull() & F.col("own"), F.struct("row_idx", "row_id"))).alias("open")
+    )
+    members = tree.groupBy("concept_id").agg(F.array_sort(F.collect_list(F.struct("ord", "member"))).alias("m"), F.max("partial").alias("partial"), F.max("ordered").alias("ordered"))
+    members = members.withColumn("members", F.transform("m", lambda x: x["member"])).drop("m")
+    p = have.join(parents, ["table_id", "parent_id"]).join(members, "concept_id").withColumn("missing", F.array_except("members", "have"))
+    p = p.where((F.size("missing") > 0) & F.size("open").between(1, 5) & (F.size("open") - F.size("missing")).between(0, 1))
+    sums = child_sums(rows, cells)
+    fits = sums.where("n = k").groupBy("table_id", "parent_id").agg(F.bool_and(F.abs(F.col("s") - F.col("v")) <= tol).alias("fits"))
+    # without one open child: the last of those whose absence makes the others add up
+    out = kids.where(F.col("tag").isNull() & F.col("own")).select("table_id", "parent_id", "row_id", "row_idx").join(cells.select("table_id", "row_id", "col_idx", "value"), ["table_id", "row_id"]).join(sums, ["table_id", "parent_id", "col_idx"])
+    out = out.where(F.col("n") == F.col("k") - F.col("value").isNull().cast("int")).groupBy("table_id", "parent_id", "row_id", "row_idx").agg(F.bool_and(F.abs(F.col("s") - F.coalesce("value", F.lit(0.0)) - F.col("v")) <= tol).alias("ok")).where("ok")
+    out = out.groupBy("table_id", "parent_id").agg(F.max_by("row_id", "row_idx").alias("left_out"))
+    valued = kids.where(F.col("tag").isNull() & F.col("own")).select("table_id", "parent_id", "row_id").join(cells.where("value is not null").select("table_id", "row_id").distinct(), ["table_id", "row_id"])
+    valued = valued.groupBy("table_id", "parent_id").agg(F.collect_set("row_id").alias("valued"))
+    p = p.join(fits, ["table_id", "parent_id"], "left").join(out, ["table_id", "parent_id"], "left").join(valued, ["table_id", "parent_id"], "left")
+    n, more = F.size("missing"), F.size("open") > F.size("missing")
+    at = F.array_position("members", F.get("missing", F.lit(0))).cast("int")
+    single = F.when(F.col("ordered") & (at <= F.size("open")), F.get("open", at - 1)).when(F.size("valued") == 1, F.get("valued", F.lit(0)))
+    rest = F.filter("open", lambda x: x != F.col("left_out"))
+    chosen = F.when(~more & ((n == 1) | (F.col("ordered") & F.coalesce("fits", F.lit(False)))), F.col("open")).when(more & F.col("partial") & (n == 1), F.array(single)).when(more & F.col("partial") & F.col("ordered") & F.col("left_out").isNotNull(), rest)
+    base = F.when(more, F.when(n == 1, 0.75).otherwise(0.65)).otherwise(F.when(n == 1, 0.85).otherwise(0.75))
+    p = p.select("doc_id", "table_id", "all", "members", "ordered", more.alias("more"), base.alias("base"), F.explode(F.arrays_zip(chosen.alias("row"), F.col("missing").alias("concept"))).alias("pair")).where("pair.row is not null")
+    agrees = ~F.col("more") & F.col("ordered") & (F.array_position("all", F.col("pair.row")) == F.array_position("members", F.col("pair.concept")))
+    return p.select("doc_id", "table_id", F.col("pair.row").alias("row_id"), F.col("pair.concept").alias("concept_id"), F.round(F.col("base") + F.when(agrees, 0.05).otherwise(0.0), 2).alias("confidence"), F.lit("top_down").alias("rule"))
+
+
+def tag_bottom_up(rows: DataFrame, cells: DataFrame, tree: DataFrame, tol: float = 1000.0) -> DataFrame:
+    """An untagged parent all of whose children are tagged with exactly a concept's members (0.90; where the parent has values, 0.95 if the children add up
+    to it and 0.70 if they don't), or with some members of a partial tree (0.70, 0.75 if they add up). The most certain concept counts."""
     kids = rows.where("parent_id is not null").groupBy("doc_id", "table_id", "parent_id").agg(F.array_sort(F.collect_set("tag")).alias("have"), F.count_if(F.col("tag").isNull()).alias("open")).where("open = 0")
-    parents = rows.where("tag is null").select(F.col("row_id").alias("parent_id"))
-    members = tree.groupBy("concept_id").agg(F.array_sort(F.collect_set("member")).alias("members"))
-    p = kids.join(parents, "parent_id").withColumn("one", F.explode("have")).join(tree.select("concept_id", F.col("member").alias("one")), "one").drop("one").distinct().join(members, "concept_id")
-    p = p.where(F.size(F.array_except("have", "members")) == 0).withColumn("exact", F.size("have") == F.size("members"))
-    best = p.groupBy("doc_id", "table_id", "parent_id").agg(F.max_by(F.struct("concept_id", "exact"), F.struct("exact", "concept_id")).alias("hit"))
-    conf = F.when(F.col("hit.exact"), 0.90).otherwise(0.70)
-    if check_sums:
-        sums = cells.join(rows.where("parent_id is not null").select("row_id", "parent_id"), "row_id").groupBy("parent_id", "col_idx").agg(F.sum("value").alias("s"), F.count("value").alias("n"), F.count(F.lit(1)).alias("k"))
-        own = cells.where("value is not null").select(F.col("row_id").alias("parent_id"), "col_idx", F.col("value").alias("v"))
-        sums = own.join(sums, ["parent_id", "col_idx"], "left").groupBy("parent_id").agg(F.coalesce(F.bool_and(F.when(F.col("n") == F.col("k"), F.abs(F.col("s") - F.col("v")) <= tol)), F.lit(False)).alias("adds_up"))
-        best = best.join(sums, "parent_id", "left")
-        conf = F.when(F.col("adds_up"), F.when(F.col("hit.exact"), 0.95).otherwise(0.75)).when(~F.col("adds_up"), 0.70).otherwise(conf)
-    return best.select("doc_id", "table_id", F.col("parent_id").alias("row_id"), F.col("hit.concept_id").alias("concept_id"), conf.alias("confidence"), F.lit("bottom_up").alias("rule"))
+    parents = rows.where("tag is null").select("table_id", F.col("row_id").alias("parent_id"))
+    members = tree.groupBy("concept_id").agg(F.array_sort(F.collect_set("member")).alias("members"), F.max("partial").alias("partial"))
+    p = kids.join(parents, ["table_id", "parent_id"]).withColumn("one", F.explode("have")).join(tree.select("concept_id", F.col("member").alias("one")), "one").drop("one").distinct().join(members, "concept_id")
+    p = p.withColumn("exact", F.size("have") == F.size("members")).where((F.size(F.array_except("have", "members")) == 0) & (F.col("exact") | F.col("partial")))
+    valued = cells.where("value is not null").select("table_id", F.col("row_id").alias("parent_id")).distinct().withColumn("valued", F.lit(True))
+    adds = child_sums(rows, cells).where("n = k").groupBy("table_id", "parent_id").agg(F.bool_and(F.abs(F.col("s") - F.col("v")) <= tol).alias("adds"))
+    p = p.join(valued, ["table_id", "parent_id"], "left").join(adds, ["table_id", "parent_id"], "left")
+    adds_up = F.coalesce("adds", F.lit(False))
+    conf = F.when(F.col("exact"), F.when(F.col("valued").isNull(), 0.90).when(adds_up, 0.95).otherwise(0.70)).when(F.col("valued").isNotNull() & adds_up, 0.75).otherwise(0.70)
+    best = p.withColumn("conf", conf).groupBy("doc_id", "table_id", "parent_id").agg(F.max_by(F.struct("concept_id", "conf"), F.struct("conf", "exact", "concept_id")).alias("hit"))
+    return best.select("doc_id", "table_id", F.col("parent_id").alias("row_id"), F.col("hit.concept_id").alias("concept_id"), F.col("hit.conf").alias("confidence"), F.lit("bottom_up").alias("rule"))
 
 
 def tag_cross_table(rows: DataFrame, cells: DataFrame, face: DataFrame, concept_tol: float = 1000.0) -> DataFrame:
@@ -103,7 +127,7 @@ def cascade(rows: DataFrame, cells: DataFrame, tables: DataFrame, index: DataFra
     from .classify import tag_ratio
 
     def candidates(state: DataFrame) -> DataFrame:
-        out = tag_top_down(state, cells, tree).unionByName(tag_bottom_up(state, cells, tree, check_sums=True))
+        out = tag_top_down(state, cells, tree).unionByName(tag_bottom_up(state, cells, tree))
         if ties is not None:
             out = out.unionByName(tied_totals(state, cells, tables, ties))
         if rules is not None:
@@ -123,22 +147,66 @@ def cascade(rows: DataFrame, cells: DataFrame, tables: DataFrame, index: DataFra
     return found
 
 
-def apply_overrides(tables: DataFrame, confirmed: DataFrame, per_table: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Confirmed tables keep their class, else a table's own override, else one for its pages, else the automatic class."""
+def apply_overrides(tables: DataFrame, confirmed: DataFrame, per_table: DataFrame, ranges: DataFrame, first_labels: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
+    """Confirmed tables keep their class, else a table's own override, else one for a pattern of its first label, else one for its pages, else the automatic class.
+    first_labels: table_id, label; patterns of lower-cased labels, the first that fits counts."""
     r = ranges.select("doc_id", F.explode(F.sequence("start_page", "end_page")).alias("page_no"), F.col("context").alias("by_range")).groupBy("doc_id", "page_no").agg(F.min("by_range").alias("by_range"))
-    t = tables.join(confirmed.select("table_id", F.lit(True).alias("ok")), "table_id", "left").join(per_table.select("table_id", F.col("context").alias("by_table")), "table_id", "left").join(r, ["doc_id", "page_no"], "left")
-    method = F.when(F.col("ok"), "confirmed").when(F.col("by_table").isNotNull(), "table").when(F.col("by_range").isNotNull(), "range").otherwise("automatic")
-    return t.select("doc_id", "table_id", F.when(F.col("ok"), F.col("context")).otherwise(F.coalesce("by_table", "by_range", "context")).alias("context"), F.col("context").alias("previous"), method.alias("method"))
-
-
-def tagging_worklist(rows: DataFrame, tables: DataFrame, small: int = 6, batch: int = 3) -> DataFrame:
-    """Tables with untagged rows, small ones dealt into batches of a document."""
-    open_ = rows.where("tag is null and row_type = 'DATA'").groupBy("doc_id", "table_id").agg(F.count(F.lit(1)).alias("n_open"), F.array_join(F.array_sort(F.collect_set("label")), "|").alias("labels"))
-    t = open_.join(tables.where("context is not null").select("table_id", "context"), "table_id").withColumn("is_small", F.col("n_open") < small)
+    by_label = F.lit(None).cast("string")
+    for pattern, context in reversed(patterns):
+        by_label = F.when(F.lower("label").rlike(pattern), context).otherwise(by_label)
+    t = tables.join(confirmed.select("table_id", F.lit(True).alias("ok")), "table_id", "left").join(per_table.select("table_id", F.col("context").alias("by_table")), "table_id", "left")
+    t = t.join(first_labels.select("table_id", by_label.alias("by_label")), "table_id", "left").join(r, ["doc_id", "page_no"], "left")
+    method = F.when(F.col("ok"), "confirmed").when(F.col("by_table").isNotNull(), "table").when(F.col("by_label").isNotNull(), "pattern").when(F.col("by_range").isNotNull(), "range").otherwise("automatic")
+    return t.select("doc_id", "table_id", F.when(F.col("ok"), F.col("context")).otherwise(F.coalesce("by_table", "by_label", "by_range", "context")).alias("context"), F.col("context").alias("previous"), method.alias("method"))
+
+
+def tagging_worklist(rows: DataFrame, cells: DataFrame, tables: DataFrame, candidates: DataFrame, notes: DataFrame, small: int = 30, batch: int = 3) -> DataFrame:
+    """Classified tables with untagged, taggable rows that have values: these rows in order, candidate concepts, and hints from notes
+    (row_id, context); tables of under `small` rows are dealt into batches of a document."""
+    from ..functions.labels import is_untaggable
+
+    valued = cells.where("value is not null").select("table_id", "row_id").distinct()
+    r = rows.where("tag is null and row_type = 'DATA'").where(~is_untaggable(F.col("label"))).join(valued, ["table_id", "row_id"], "left_semi").join(notes.select("row_id", F.col("context").alias("hint")), "row_id", "left")
+    listed = lambda f: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_idx", "label", "hint"))), f), "|")
+    open_ = r.groupBy("doc_id", "table_id").agg(F.count(F.lit(1)).alias("n_open"), listed(lambda x: F.concat(x["label"], F.coalesce(F.concat(F.lit(" @"), x["hint"]), F.lit("")))).alias("labels"))
+    c = candidates.groupBy("table_id").agg(F.array_join(F.array_sort(F.collect_set("concept_id")), ",").alias("candidates"))
+    t = open_.join(tables.where("context is not null").select("table_id", "context"), "table_id").join(c, "table_id", "left").withColumn("is_small", F.col("n_open") < small)
     n = F.row_number().over(Window.partitionBy("doc_id", "is_small").orderBy("table_id"))
     return t.withColumn("batch", F.when(F.col("is_small"), F.floor((n - 1) / batch)).otherwise(n - 1).cast("int"))
 
 
+def pretag(rows: DataFrame, tables: DataFrame, index: DataFrame, documents: DataFrame, notes: DataFrame, segments: str) -> DataFrame:
+    """Concepts for untagged rows of classified tables: the cleaned label, then the label as it is, is looked up in the index (norm, concept_id)
+    exactly, without affixes, and by similarity; with dimensions and the context of the note that the row refers to.
+    rows: doc_id, table_id, row_id, row_type, raw, tag; notes: doc_id, note_number, context; segments: pattern of labels that name a segment."""
+    from ..functions import labels as L
+    from . import labels as O
+    from .classify import infer_dimensions
+
+    r = rows.where("tag is null").where(F.col("row_type").isin("DATA", "TOTAL_EXPLICIT", "TOTAL_IMPLICIT") & ~F.trim("raw").rlike("^[0-9]*$") & ~L.is_excluded_topic(F.col("raw")))
+    r = r.join(tables.where("context is not null").select("table_id", "context"), "table_id").withColumn("cleaned", L.clean_label(F.col("raw")))
+    r = r.select("doc_id", "table_id", "row_id", "context", F.col("cleaned.note_number").alias("note_number"), L.norm_label_pretag(F.col("cleaned.clean")).alias("clean"), L.norm_label_pretag(F.col("raw")).alias("whole"))
+    norms = r.select(F.explode(F.array("clean", "whole")).alias("norm")).distinct()  # few: labels repeat
+    exact = norms.join(index, "norm").select("norm", "concept_id", F.lit(1.0).alias("score"), F.lit("exact").alias("how"))
+    affix = O.match_labels_affix(norms.select(F.col("norm").alias("row_id"), F.col("norm").alias("raw")), index).select(F.col("row_id").alias("norm"), "concept_id", F.col("confidence").alias("score"), F.lit("affix").alias("how"))
+    near = O.match_labels_fuzzy(norms.select(F.col("norm").alias("label")), index).select(F.col("label").alias("norm"), "concept_id", "score", F.lit("fuzzy").alias("how"))
+    rank = F.expr("array_position(array('exact', 'affix', 'fuzzy'), how)")
+    found = exact.unionByName(affix).unionByName(near).groupBy("norm").agg(F.min_by(F.struct("concept_id", "score", "how"), rank).alias("hit"))
+    for key in ("clean", "whole"):
+        r = r.join(found.select(F.col("norm").alias(key), F.col("hit").alias(f"by_{key}")), key, "left")
+    r = r.withColumn("hit", F.coalesce("by_clean", "by_whole")).where("hit is not null").join(documents.select("doc_id", "entity"), "doc_id")
+    r = r.join(notes.select("doc_id", "note_number", F.col("context").alias("note_context")), ["doc_id", "note_number"], "left")
+    dims = F.map_entries(infer_dimensions(F.col("entity"), F.col("context"), F.when(F.col("clean").rlike(segments), F.col("clean"))))
+    return r.select("row_id", "hit.concept_id", F.round("hit.score", 3).alias("confidence"), "hit.how", "context", "note_number", "note_context", F.array_join(F.transform(dims, lambda x: F.concat_ws("=", x["key"], x["value"])), ";").alias("dimensions"))
+
+
+def strip_bad_tags(rows: DataFrame) -> DataFrame:
+    """Rows whose tag stands on a label that no concept can have, with the tag that goes."""
+    from ..functions.labels import is_untaggable
+
+    return rows.where("tag is not null").where(is_untaggable(F.col("label"))).select("doc_id", "table_id", "row_id", F.col("tag").alias("removed"))
+
+
 def emit_tag_events(tags: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
     """New tags as log rows and as votes."""
     log = tags.select("doc_id", "row_id", F.lit("tag").alias("action"), F.col("concept_id").alias("new_value"), F.lit(source).alias("source"))

@@ -21,18 +21,34 @@ def period_keys(t):
     return X.period_keys(t.r_columns)
 
 
-@query("d1_index_facts", """
-WITH p AS (SELECT table_id, col_idx, coalesce(replace(period_axis, 'PERIOD.', ''), 'ord_' || (row_number() OVER (PARTITION BY table_id ORDER BY col_idx) - 1)) AS period_key,
-                  count(*) OVER (PARTITION BY table_id) AS value_cols FROM r_columns WHERE role = 'VALUE'),
-f AS (SELECT r.doc_id, r.table_id, r.row_id, coalesce(t.context, k.valid_context) AS context, r.tag AS concept_id, p.period_key, c.col_idx, t.page_no, p.value_cols, t.sign_convention, k.balance_type,
-             c.value * CASE WHEN p.period_key LIKE 'ord_%' THEN 1 WHEN t.unit = 'TEUR' THEN 1000 WHEN t.unit = 'EUR Mio' THEN 1000000 ELSE 1 END AS v
-      FROM r_rows r JOIN r_cells c ON c.row_id = r.row_id JOIN r_tables t ON t.table_id = r.table_id JOIN p ON p.table_id = r.table_id AND p.col_idx = c.col_idx
-      LEFT JOIN r_concepts k ON k.concept_id = r.tag WHERE r.tag IS NOT NULL AND c.value IS NOT NULL)
+WIDE = """wc AS (SELECT * FROM r_columns UNION ALL SELECT doc_id, table_id, col_idx + 4, role, header, period_axis FROM r_columns WHERE col_idx IN (2, 3, 4) AND table_id % 5 = 0),
+wv AS (SELECT * FROM r_cells UNION ALL SELECT table_id, row_id, row_idx, col_idx + 4, value * 2 FROM r_cells WHERE col_idx IN (2, 3, 4) AND table_id % 5 = 0)"""
+
+
+def wide(t):
+    """Columns and cells in which every fifth table has three value columns more, of the same periods."""
+    more = lambda df: df.where("col_idx in (2, 3, 4) and table_id % 5 = 0").withColumn("col_idx", F.col("col_idx") + 4)
+    return t.r_columns.unionByName(more(t.r_columns)), t.r_cells.unionByName(more(t.r_cells).withColumn("value", F.col("value") * 2))
+
+
+@query("d1_index_facts", f"""
+WITH {WIDE}, p AS (SELECT table_id, col_idx, coalesce(replace(period_axis, 'PERIOD.', ''), 'ord_' || (row_number() OVER (PARTITION BY table_id ORDER BY col_idx) - 1)) AS period_key,
+                  count(*) OVER (PARTITION BY table_id) AS value_cols, col_idx = max(col_idx) OVER (PARTITION BY table_id, coalesce(period_axis, '')) AS is_last FROM wc WHERE role = 'VALUE'),
+ix AS (SELECT lower(p_name) AS norm, min(p_type) AS concept_id FROM part GROUP BY 1),
+r AS (SELECT doc_id, table_id, row_id, label, tag AS concept_id, NULL AS label_context, 'tag' AS source FROM r_rows WHERE tag IS NOT NULL
+  UNION ALL SELECT doc_id, table_id, row_id, label, ix.concept_id, CASE ix.concept_id WHEN 'ECONOMY' THEN 'DISC.SEGMENTS' ELSE 'SFP' END, 'label' FROM r_rows JOIN ix ON ix.norm = lower(label) WHERE tag IS NULL),
+f AS (SELECT r.*, coalesce(t.context IN ('PNL', 'SFP', 'OCI', 'CFS', 'SOCIE'), false) AS is_primary, coalesce(t.context, CASE source WHEN 'tag' THEN k.valid_context ELSE label_context END) AS context, p.period_key, c.col_idx, t.page_no, p.value_cols, t.sign_convention, k.balance_type,
+             c.value * CASE WHEN t.unit = 'TEUR' THEN 1000 WHEN t.unit = 'EUR Mio' THEN 1000000 ELSE 1 END AS v
+      FROM r JOIN wv c ON c.row_id = r.row_id AND c.table_id = r.table_id JOIN r_tables t ON t.table_id = r.table_id JOIN p ON p.table_id = r.table_id AND p.col_idx = c.col_idx
+      LEFT JOIN r_concepts k ON k.concept_id = r.concept_id WHERE c.value IS NOT NULL AND (source = 'tag' OR (value_cols > 4 AND is_last) OR (value_cols <= 4 AND label_context <> 'DISC.SEGMENTS')))
 SELECT doc_id, table_id, row_id, context, concept_id, period_key, col_idx,
        round(CASE WHEN sign_convention = 'NATURAL_DRCR' THEN v WHEN context IN ('PNL', 'OCI') THEN -v WHEN balance_type = 'credit' THEN -abs(v) WHEN balance_type = 'debit' THEN abs(v) ELSE v END, 2) AS amount,
-       page_no, context IN ('PNL', 'SFP', 'OCI', 'CFS', 'SOCIE') AS is_primary, value_cols FROM f""")
+       page_no, is_primary, value_cols, label, source FROM f""")
 def index_facts(t):
-    return X.index_facts(t.r_rows, t.r_cells, t.r_tables, t.r_columns, t.r_concepts)
+    ix = t.part.groupBy(F.lower("p_name").alias("norm")).agg(F.min("p_type").alias("concept_id"))
+    matches = t.r_rows.where("tag is null").select("row_id", F.lower("label").alias("norm")).join(ix, "norm").select("row_id", "concept_id", F.when(F.col("concept_id") == "ECONOMY", "DISC.SEGMENTS").otherwise("SFP").alias("label_context"))
+    columns, cells = wide(t)
+    return X.index_facts(t.r_rows, cells, t.r_tables, columns, t.r_concepts, matches)
 
 
 @query("d2_best_fact", f"WITH {BEST} SELECT doc_id, context, concept_id, period_key, table_id, row_id, col_idx, amount, value_cols FROM best")

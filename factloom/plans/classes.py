@@ -11,6 +11,7 @@ from ..operators import facts as X
 from ..operators import labels as O
 from ..operators import timelines as T
 from .checks import BEST
+from .labels import NORM, TOPIC, UNTAG
 from .registry import query
 from .reviews import REFS, refs
 from .timelines import RSEC, report_sections
@@ -161,12 +162,14 @@ def filter_axis_members(t):
 
 
 @query("i5_tag_ratio", """
-WITH x AS (SELECT r.table_id, c.col_idx, min(value) FILTER (tag = 'LARGE') AS n, min(value) FILTER (tag = 'SMALL') AS d FROM r_rows r JOIN r_cells c ON c.row_id = r.row_id WHERE value IS NOT NULL GROUP BY 1, 2),
-o AS (SELECT r.doc_id, r.table_id, r.row_id, bool_and(abs(c.value - n / d) <= 0.9 * abs(n / d)) AS ok FROM r_rows r JOIN r_cells c ON c.row_id = r.row_id JOIN x ON x.table_id = r.table_id AND x.col_idx = c.col_idx WHERE r.tag IS NULL AND c.value IS NOT NULL AND n IS NOT NULL AND d <> 0 AND c.col_idx = 1 GROUP BY 1, 2, 3)
-SELECT doc_id, table_id, row_id, 'RATIO' AS concept_id, 0.6::DOUBLE AS confidence, 'ratio' AS rule FROM o WHERE ok""")
+WITH x AS (SELECT r.doc_id, r.table_id, c.col_idx, min(value) FILTER (tag = 'LARGE') AS n, min(value) FILTER (tag = 'SMALL') AS d FROM r_rows r JOIN r_cells c ON c.row_id = r.row_id AND c.table_id = r.table_id WHERE value IS NOT NULL GROUP BY 1, 2, 3),
+q AS (SELECT *, n / d AS q FROM x WHERE n IS NOT NULL AND d <> 0), e AS (SELECT doc_id, table_id, col_idx, q, unnest([98, 99]) AS i FROM q),
+c AS (SELECT r.doc_id, r.table_id, r.row_id, c.col_idx, c.value FROM r_rows r JOIN r_cells c ON c.row_id = r.row_id AND c.table_id = r.table_id WHERE r.tag IS NULL AND c.value IS NOT NULL UNION ALL SELECT doc_id, table_id, table_id * 100 + i, col_idx, CASE WHEN i = 99 AND col_idx = 2 THEN q * 1.01 ELSE q END FROM e)
+SELECT c.doc_id, c.table_id, row_id, 'RATIO' AS concept_id, 0.6::DOUBLE AS confidence, 'ratio' AS rule FROM c JOIN q ON q.table_id = c.table_id AND q.col_idx = c.col_idx GROUP BY 1, 2, 3 HAVING bool_and(abs(value - q) <= 0.001 * abs(q))""")
 def tag_ratio(t):
     rules = t.spark.createDataFrame([("RATIO", "LARGE", "SMALL")], "result string, numerator string, denominator string")
-    return C.tag_ratio(t.r_rows, t.r_cells.where("col_idx = 1"), t.r_rows.where("tag is not null").select("table_id", "row_id", F.col("tag").alias("concept_id")), rules, 0.9)
+    rows, cells = ratio_inputs(t)
+    return C.tag_ratio(rows, cells, rows.where("tag is not null").select("table_id", "row_id", F.col("tag").alias("concept_id")), rules)
 
 
 def ratio_inputs(t):
@@ -179,35 +182,53 @@ def ratio_inputs(t):
     return t.r_rows.unionByName(rows), t.r_cells.unionByName(cells)
 
 
-@query("i5b_tag_ratio_all")
-def tag_ratio_all(t):
-    """I5 over all columns at the operator's own tolerance; the twin of i5 is bound to column 1 and 90 %."""
-    rules = t.spark.createDataFrame([("RATIO", "LARGE", "SMALL")], "result string, numerator string, denominator string")
-    rows, cells = ratio_inputs(t)
-    return C.tag_ratio(rows, cells, rows.where("tag is not null").select("table_id", "row_id", F.col("tag").alias("concept_id")), rules)
-
-
-@query("i7_pretag", """
-WITH ix AS (SELECT lower(p_name) AS norm, min(p_type) AS concept_id FROM part GROUP BY 1)
-SELECT r.row_id, concept_id, t.context FROM (SELECT table_id, row_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(raw), '\\(?(see )?note [0-9]{1,3}\\)?', '', 'g'), '^\\s*[a-z]\\)\\s*', ''), ':\\s*$', ''), '\\s+', ' ', 'g')) AS norm FROM l_labels) r
-JOIN ix USING (norm) JOIN r_tables t USING (table_id) WHERE t.context IS NOT NULL""")
+CLEAN = r"""cl AS (SELECT r.doc_id, r.table_id, l.row_id, r.row_type, l.raw, r.tag, try_cast(nullif(regexp_extract(lower(l.raw), '(see )?note ([0-9]{1,3})', 2), '') AS INT) AS note_number,
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(l.raw, '\(?\s*(see )?note [0-9]{1,3}\s*\)?', '', 'gi'), '\s*\([0-9]{1,2}\)\s*$', ''), '[*¹²³⁴⁵⁶⁷⁸⁹]+', '', 'g'), '\s[a-o]\)$', ''), '\s+', ' ', 'g')) AS cleaned FROM l_labels l JOIN r_rows r ON r.row_id = l.row_id AND r.table_id = l.table_id)"""
+PRENORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '\(?(see )?note [0-9]{{1,3}}\)?', '', 'g'), '^\s*[a-z]\)\s*', ''), 'category [0-9]+[.][0-9]+', '', 'g'), ':\s*$', ''), '\s+', ' ', 'g'))"
+
+
+@query("i7_pretag", f"""
+WITH ix AS (SELECT lower(p_name) AS norm, min(p_type) AS concept_id FROM part GROUP BY 1), {CLEAN},
+r AS (SELECT c.doc_id, c.row_id, t.context, note_number, {PRENORM.format('cleaned')} AS clean, {PRENORM.format('raw')} AS whole FROM cl c JOIN r_tables t USING (table_id) WHERE tag IS NULL AND t.context IS NOT NULL AND NOT regexp_matches(trim(raw), '^[0-9]*$') AND NOT {TOPIC.format('raw')}),
+n AS (SELECT clean AS norm FROM r UNION SELECT whole FROM r),
+af AS (SELECT n.norm, ix.concept_id, conf, k FROM (SELECT norm, k, conf, CASE WHEN k < 3 THEN CASE WHEN suffix(norm, a) THEN left(norm, (length(norm) - length(a))::INT) END ELSE CASE WHEN prefix(norm, a) THEN substr(norm, length(a) + 1) END END AS key
+  FROM (SELECT norm AS whole_norm, {NORM.format('norm')} AS norm FROM n), (VALUES (0, ' total', 1.0), (1, ' net', 1.0), (2, ' gross', 1.0), (3, 'total ', 0.95), (4, 'thereof ', 0.9), (5, 'of which ', 0.9), (6, 'davon ', 0.9)) v(k, a, conf)) n JOIN ix ON ix.norm = n.key WHERE n.norm NOT IN (SELECT norm FROM ix)),
+a1 AS (SELECT n.norm, arg_min(concept_id, k) AS concept_id, arg_min(conf, k) AS conf FROM n JOIN af ON af.norm = {NORM.format('n.norm')} GROUP BY 1),
+fz AS (SELECT n.norm, ix.concept_id, round(1 - levenshtein(n.norm, ix.norm) / greatest(length(n.norm), length(ix.norm)), 6) AS score FROM n, ix WHERE 1 - levenshtein(n.norm, ix.norm) / greatest(length(n.norm), length(ix.norm)) >= 0.75
+  QUALIFY row_number() OVER (PARTITION BY n.norm ORDER BY 1 - levenshtein(n.norm, ix.norm) / greatest(length(n.norm), length(ix.norm)) DESC, length(ix.norm), ix.norm DESC) = 1),
+m AS (SELECT norm, coalesce(ix.concept_id, a1.concept_id, fz.concept_id) AS concept_id, coalesce(CASE WHEN ix.norm IS NOT NULL THEN 1 END, a1.conf, fz.score)::DOUBLE AS score, CASE WHEN ix.norm IS NOT NULL THEN 'exact' WHEN a1.concept_id IS NOT NULL THEN 'affix' ELSE 'fuzzy' END AS how
+  FROM n LEFT JOIN ix USING (norm) LEFT JOIN a1 USING (norm) LEFT JOIN fz USING (norm)),
+h AS (SELECT r.*, coalesce(x.concept_id, y.concept_id) AS concept_id, CASE WHEN x.concept_id IS NOT NULL THEN x.score ELSE y.score END AS score, CASE WHEN x.concept_id IS NOT NULL THEN x.how ELSE y.how END AS how FROM r JOIN m x ON x.norm = r.clean JOIN m y ON y.norm = r.whole)
+SELECT h.row_id, h.concept_id, round(h.score, 3) AS confidence, h.how, h.context, h.note_number, CASE WHEN h.note_number % 3 = 0 THEN 'DISC.N' || h.note_number END AS note_context,
+  'ENTITY=' || d.entity || CASE WHEN h.context = 'PNL' THEN ';SCOPE=CONTINUING' ELSE '' END || CASE WHEN contains(h.clean, 'gear') THEN ';SEGMENT=' || h.clean ELSE '' END AS dimensions
+FROM h JOIN r_documents d ON d.doc_id = h.doc_id WHERE h.concept_id IS NOT NULL""")
 def pretag(t):
-    from ..functions.labels import is_excluded_topic, is_untaggable, norm_label_pretag
+    from ..operators.tagging import pretag as tagged
     from .reviews import index
 
-    r = t.l_labels.where(~is_untaggable(F.col("raw")) & ~is_excluded_topic(F.col("raw"))).select("table_id", "row_id", norm_label_pretag(F.col("raw")).alias("norm"))
-    return r.join(t.r_tables.where("context is not null").select("table_id", "context"), "table_id").join(index(t), "norm").select("row_id", "concept_id", "context")
+    rows = t.l_labels.select("table_id", "row_id", "raw").join(t.r_rows.select("doc_id", "table_id", "row_id", "row_type", "tag"), ["table_id", "row_id"])
+    notes = t.r_documents.select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("note_number")).where("note_number % 3 = 0").withColumn("context", F.concat(F.lit("DISC.N"), F.col("note_number").cast("string")))
+    return tagged(rows, t.r_tables, index(t), t.r_documents, notes, "gear")
 
 
-@query("i10_external_tags", """
-WITH s AS (SELECT row_id, CASE row_id % 3 WHEN 0 THEN 'LARGE' WHEN 1 THEN 'MEDIUM' ELSE 'NONE' END AS concept_id FROM r_rows WHERE row_id % 2 = 0)
-SELECT r.doc_id, r.table_id, r.row_id, s.concept_id FROM s JOIN r_rows r USING (row_id) JOIN r_tables t ON t.table_id = r.table_id JOIN r_concepts k ON k.concept_id = s.concept_id AND k.valid_context = t.context WHERE r.tag IS NULL""")
+@query("i10_external_tags", f"""
+WITH r AS MATERIALIZED (SELECT doc_id, table_id, row_id, CASE row_id % 3 WHEN 0 THEN 'LARGE' WHEN 1 THEN 'MEDIUM' ELSE 'NONE' END AS concept_id FROM r_rows WHERE row_id % 2 = 0 AND tag IS NULL AND NOT {UNTAG.format('label')})
+SELECT r.doc_id, r.table_id, r.row_id, r.concept_id FROM r JOIN r_tables t USING (table_id) JOIN r_concepts k ON k.concept_id = r.concept_id AND k.valid_context = t.context""")
 def external_tags(t):
     k = F.col("row_id") % 3
     s = t.r_rows.where("row_id % 2 = 0").select("row_id", F.when(k == 0, "LARGE").when(k == 1, "MEDIUM").otherwise("NONE").alias("concept_id"))
     return C.apply_external_tags(t.r_rows, s, O.candidate_concepts(t.r_tables, t.r_concepts, t.r_documents))
 
 
+@query("i10_strip_bad_tags", f"""
+WITH r AS (SELECT doc_id, table_id, row_id, tag, CASE row_id % 6 WHEN 0 THEN '31.12.2024' WHEN 1 THEN '(3)' WHEN 2 THEN 'in TEUR' ELSE label END AS label FROM r_rows) SELECT doc_id, table_id, row_id, tag AS removed FROM r WHERE tag IS NOT NULL AND {UNTAG.format('label')}""")
+def strip_bad_tags(t):
+    from ..operators.tagging import strip_bad_tags as stripped
+
+    k = F.col("row_id") % 6
+    return stripped(t.r_rows.withColumn("label", F.when(k == 0, "31.12.2024").when(k == 1, "(3)").when(k == 2, "in TEUR").otherwise(F.col("label"))))
+
+
 @query("a14_chunk_union", "SELECT doc_id, table_id, page_no, CASE WHEN page_no > 20 THEN context END AS context FROM r_tables")
 def chunk_union(t):
     from ..sources.reports import chunk_union as union

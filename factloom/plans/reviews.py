@@ -10,13 +10,13 @@ from ..operators import tagging as A
 from .registry import query
 from .timelines import RSEC, report_sections
 
-TREE = [("TOTAL", "LARGE", 1), ("TOTAL", "MEDIUM", 2), ("TOTAL", "SMALL", 3), ("MEDIUM", "PROMO", 1), ("MEDIUM", "ECONOMY", 2)]
-TREE_SQL = "tree AS (SELECT * FROM (VALUES ('TOTAL', 'LARGE', 1), ('TOTAL', 'MEDIUM', 2), ('TOTAL', 'SMALL', 3), ('MEDIUM', 'PROMO', 1), ('MEDIUM', 'ECONOMY', 2)) v(concept_id, member, ord))"
+TREE = [("TOTAL", "LARGE", 1, True, True), ("TOTAL", "MEDIUM", 2, True, True), ("TOTAL", "SMALL", 3, True, True), ("MEDIUM", "PROMO", 1, False, False), ("MEDIUM", "ECONOMY", 2, False, False)]
+TREE_SQL = f"tree AS (SELECT * FROM (VALUES {', '.join(str(x) for x in TREE)}) v(concept_id, member, ord, partial, ordered))"
 IX = "ix AS (SELECT lower(p_name) AS norm, min(p_type) AS concept_id FROM part GROUP BY 1)"
 
 
 def tree(t):
-    return t.spark.createDataFrame(TREE, "concept_id string, member string, ord int")
+    return t.spark.createDataFrame(TREE, "concept_id string, member string, ord int, partial boolean, ordered boolean")
 
 
 def index(t):
@@ -31,30 +31,36 @@ def tag_label_match(t):
     return A.tag_label_match(t.r_rows, t.r_tables, index(t))
 
 
-@query("i2_tag_top_down", f"""
-WITH {TREE_SQL}, small AS (SELECT table_id FROM r_rows GROUP BY 1 HAVING count(*) <= 4), rr AS (SELECT r.* FROM r_rows r JOIN small USING (table_id)),
-h AS (SELECT parent_id, list(DISTINCT tag) FILTER (tag IS NOT NULL) AS have, list(row_id ORDER BY row_idx) FILTER (tag IS NULL) AS open FROM rr WHERE parent_id IS NOT NULL GROUP BY 1),
-p AS (SELECT r.doc_id, r.table_id, h.parent_id, h.open, list_filter((SELECT list(member ORDER BY ord) FROM tree WHERE tree.concept_id = r.tag), lambda m: NOT list_contains(coalesce(h.have, []), m)) AS missing FROM h JOIN rr r ON r.row_id = h.parent_id WHERE r.tag IS NOT NULL),
-ok AS (SELECT parent_id FROM (SELECT k.parent_id, c.col_idx, sum(c.value) AS s, count(c.value) AS n, count(*) AS k, any_value(v.value) AS v FROM rr k JOIN r_cells c ON c.row_id = k.row_id JOIN r_cells v ON v.row_id = k.parent_id AND v.col_idx = c.col_idx GROUP BY 1, 2)
-  WHERE n = k AND v IS NOT NULL GROUP BY 1 HAVING bool_and(abs(s - v) <= 1000))
-SELECT doc_id, table_id, unnest(open) AS row_id, unnest(missing) AS concept_id, (CASE WHEN len(open) = 1 THEN 0.85 ELSE 0.75 END)::DOUBLE AS confidence, 'top_down' AS rule
-FROM p SEMI JOIN ok ON ok.parent_id = p.parent_id WHERE len(open) = len(missing) AND len(open) BETWEEN 1 AND 5""")
-def tag_top_down(t):
-    small = t.r_rows.groupBy("table_id").agg(F.count(F.lit(1)).alias("n")).where("n <= 4").select("table_id")
-    return A.tag_top_down(t.r_rows.join(small, "table_id"), t.r_cells, tree(t))
+SUMS = """k AS (SELECT * FROM r_rows WHERE parent_id IS NOT NULL),
+cs AS (SELECT k.parent_id, c.col_idx, any_value(v.value) AS v, sum(c.value) AS s, count(c.value) AS n, count(*) AS k FROM k JOIN r_cells c ON c.row_id = k.row_id AND c.table_id = k.table_id JOIN r_cells v ON v.row_id = k.parent_id AND v.col_idx = c.col_idx WHERE v.value IS NOT NULL GROUP BY 1, 2),
+fits AS (SELECT parent_id FROM cs WHERE n = k GROUP BY 1 HAVING bool_and(abs(s - v) <= 1000))"""
 
 
-@query("i2b_tag_top_down_all")
-def tag_top_down_all(t):
-    """I2 over tables of any size; the twin of i2 is bound to tables of up to 4 rows."""
+@query("i2_tag_top_down", f"""
+WITH {TREE_SQL}, {SUMS}, mem AS (SELECT concept_id, list(member ORDER BY ord) AS members, bool_or(partial) AS partial, bool_or(ordered) AS ordered FROM tree GROUP BY 1),
+h AS (SELECT doc_id, table_id, parent_id, list(DISTINCT tag) FILTER (tag IS NOT NULL) AS have, list(row_id ORDER BY row_idx) AS al, coalesce(list(row_id ORDER BY row_idx) FILTER (tag IS NULL), []) AS open FROM k GROUP BY 1, 2, 3),
+p AS (SELECT h.*, mem.*, list_filter(members, lambda m: NOT list_contains(coalesce(have, []), m)) AS missing FROM h JOIN r_rows r ON r.row_id = h.parent_id JOIN mem ON mem.concept_id = r.tag),
+q AS (SELECT *, len(open) > len(missing) AS more, parent_id IN (SELECT parent_id FROM fits) AS fits FROM p WHERE len(missing) > 0 AND len(open) BETWEEN 1 AND 5 AND len(open) - len(missing) BETWEEN 0 AND 1),
+lo AS (SELECT parent_id, arg_max(row_id, row_idx) AS left_out FROM (SELECT k.parent_id, k.row_id, k.row_idx FROM k JOIN r_cells c ON c.row_id = k.row_id JOIN cs ON cs.parent_id = k.parent_id AND cs.col_idx = c.col_idx
+  WHERE k.tag IS NULL AND cs.n = cs.k - (c.value IS NULL)::INT GROUP BY 1, 2, 3 HAVING bool_and(abs(cs.s - coalesce(c.value, 0) - cs.v) <= 1000)) GROUP BY 1),
+va AS (SELECT k.parent_id, list(DISTINCT k.row_id) AS valued FROM k JOIN r_cells c ON c.row_id = k.row_id WHERE k.tag IS NULL AND c.value IS NOT NULL GROUP BY 1),
+z AS (SELECT q.*, CASE WHEN NOT more AND (len(missing) = 1 OR (ordered AND fits)) THEN open
+    WHEN more AND partial AND len(missing) = 1 THEN [CASE WHEN ordered AND list_position(members, missing[1]) <= len(open) THEN open[list_position(members, missing[1])] WHEN len(valued) = 1 THEN valued[1] END]
+    WHEN more AND partial AND ordered AND left_out IS NOT NULL THEN list_filter(open, lambda x: x <> left_out) END AS chosen FROM q LEFT JOIN lo USING (parent_id) LEFT JOIN va USING (parent_id)),
+o AS (SELECT *, unnest(chosen) AS row_id, unnest(missing) AS concept FROM z WHERE chosen IS NOT NULL)
+SELECT doc_id, table_id, row_id, concept AS concept_id, round(CASE WHEN more THEN CASE WHEN len(missing) = 1 THEN 0.75 ELSE 0.65 END ELSE CASE WHEN len(missing) = 1 THEN 0.85 ELSE 0.75 END END
+  + CASE WHEN NOT more AND ordered AND list_position(al, row_id) = list_position(members, concept) THEN 0.05 ELSE 0 END, 2)::DOUBLE AS confidence, 'top_down' AS rule FROM o WHERE row_id IS NOT NULL""")
+def tag_top_down(t):
     return A.tag_top_down(t.r_rows, t.r_cells, tree(t))
 
 
 @query("i3_tag_bottom_up", f"""
-WITH {TREE_SQL}, k AS (SELECT doc_id, table_id, parent_id, list_sort(list(DISTINCT tag) FILTER (tag IS NOT NULL)) AS have FROM r_rows WHERE parent_id IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) FILTER (tag IS NULL) = 0),
-m AS (SELECT concept_id, list_sort(list(DISTINCT member)) AS members FROM tree GROUP BY 1),
-c AS (SELECT k.doc_id, k.table_id, k.parent_id, m.concept_id, len(have) = len(members) AS exact FROM k JOIN r_rows p ON p.row_id = k.parent_id AND p.tag IS NULL JOIN m ON list_has_all(m.members, k.have))
-SELECT doc_id, table_id, parent_id AS row_id, concept_id, (CASE WHEN exact THEN 0.9 ELSE 0.7 END)::DOUBLE AS confidence, 'bottom_up' AS rule FROM c QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY exact DESC, concept_id DESC) = 1""")
+WITH {TREE_SQL}, {SUMS}, h AS (SELECT doc_id, table_id, parent_id, list_sort(list(DISTINCT tag) FILTER (tag IS NOT NULL)) AS have FROM k GROUP BY 1, 2, 3 HAVING count(*) FILTER (tag IS NULL) = 0),
+m AS (SELECT concept_id, list_sort(list(DISTINCT member)) AS members, bool_or(partial) AS partial FROM tree GROUP BY 1),
+c AS (SELECT h.doc_id, h.table_id, h.parent_id, m.concept_id, len(have) = len(members) AS exact, h.parent_id IN (SELECT row_id FROM r_cells WHERE value IS NOT NULL) AS valued, h.parent_id IN (SELECT parent_id FROM fits) AS adds
+  FROM h JOIN r_rows p ON p.row_id = h.parent_id AND p.tag IS NULL JOIN m ON list_has_all(m.members, h.have) WHERE len(have) = len(members) OR partial),
+g AS (SELECT *, (CASE WHEN exact THEN CASE WHEN NOT valued THEN 0.9 WHEN adds THEN 0.95 ELSE 0.7 END WHEN valued AND adds THEN 0.75 ELSE 0.7 END)::DOUBLE AS confidence FROM c)
+SELECT doc_id, table_id, parent_id AS row_id, concept_id, confidence, 'bottom_up' AS rule FROM g QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY confidence DESC, exact DESC, concept_id DESC) = 1""")
 def tag_bottom_up(t):
     return A.tag_bottom_up(t.r_rows, t.r_cells, tree(t))
 
@@ -63,16 +69,10 @@ FACE = "SELECT t.doc_id, r.tag AS concept_id, c.col_idx, arg_min(c.value, c.row_
 
 
 @query("i4_tag_cross_table", f"""
-WITH face AS ({FACE}), j AS (SELECT r.doc_id, r.table_id, r.row_id, f.concept_id, bool_and(abs(c.value - f.amount) <= 20000) AS ok FROM r_rows r JOIN r_cells c ON c.row_id = r.row_id JOIN face f ON f.doc_id = r.doc_id AND f.col_idx = c.col_idx
+WITH face AS ({FACE}), j AS (SELECT r.doc_id, r.table_id, r.row_id, f.concept_id, bool_and(abs(c.value - f.amount) <= 1000) AS ok FROM r_rows r JOIN r_cells c ON c.row_id = r.row_id JOIN face f ON f.doc_id = r.doc_id AND f.col_idx = c.col_idx
   WHERE r.tag IS NULL AND r.row_type = 'TOTAL_EXPLICIT' AND c.value IS NOT NULL GROUP BY 1, 2, 3, 4)
 SELECT doc_id, table_id, row_id, min(concept_id) AS concept_id, 0.7::DOUBLE AS confidence, 'cross_table' AS rule FROM j WHERE ok GROUP BY 1, 2, 3""")
 def tag_cross_table(t):
-    return A.tag_cross_table(t.r_rows, t.r_cells, face_amounts(t), 20_000)
-
-
-@query("i4b_tag_cross_table_exact")
-def tag_cross_table_exact(t):
-    """I4 at the operator's own tolerance; the twin of i4 is bound to 20,000."""
     return A.tag_cross_table(t.r_rows, t.r_cells, face_amounts(t))
 
 
@@ -99,20 +99,27 @@ def best_tag_per_row(t):
 
 
 @query("i9_apply_overrides", """
-WITH r AS (SELECT doc_id, page_no, min(ctx) AS ctx FROM (SELECT doc_id, unnest([10, 11, 12]) AS page_no, 'CFS' AS ctx FROM r_documents WHERE doc_id % 2 = 0) GROUP BY 1, 2)
-SELECT t.doc_id, t.table_id, CASE WHEN table_id % 6 = 0 THEN context ELSE coalesce(CASE WHEN table_id % 5 = 0 THEN 'SOCIE' END, r.ctx, context) END AS context, context AS previous,
-  CASE WHEN table_id % 6 = 0 THEN 'confirmed' WHEN table_id % 5 = 0 THEN 'table' WHEN r.ctx IS NOT NULL THEN 'range' ELSE 'automatic' END AS method FROM r_tables t LEFT JOIN r ON r.doc_id = t.doc_id AND r.page_no = t.page_no""")
+WITH r AS (SELECT doc_id, page_no, min(ctx) AS ctx FROM (SELECT doc_id, unnest([10, 11, 12]) AS page_no, 'CFS' AS ctx FROM r_documents WHERE doc_id % 2 = 0) GROUP BY 1, 2),
+f AS (SELECT table_id, arg_min(lower(label), row_idx) AS l FROM r_rows WHERE row_idx > 0 GROUP BY 1), b AS (SELECT table_id, CASE WHEN regexp_matches(l, '^hot.*rod') THEN 'OCI' WHEN regexp_matches(l, 'plate$') THEN 'SOCIE' END AS pat FROM f)
+SELECT t.doc_id, t.table_id, CASE WHEN table_id % 6 = 0 THEN context ELSE coalesce(CASE WHEN table_id % 5 = 0 THEN 'SOCIE' END, pat, r.ctx, context) END AS context, context AS previous,
+  CASE WHEN table_id % 6 = 0 THEN 'confirmed' WHEN table_id % 5 = 0 THEN 'table' WHEN pat IS NOT NULL THEN 'pattern' WHEN r.ctx IS NOT NULL THEN 'range' ELSE 'automatic' END AS method FROM r_tables t LEFT JOIN b USING (table_id) LEFT JOIN r ON r.doc_id = t.doc_id AND r.page_no = t.page_no""")
 def apply_overrides(t):
     ranges = t.r_documents.where("doc_id % 2 = 0").select("doc_id", F.lit(10).alias("start_page"), F.lit(12).alias("end_page"), F.lit("CFS").alias("context"))
-    return A.apply_overrides(t.r_tables, t.r_tables.where("table_id % 6 = 0"), t.r_tables.where("table_id % 5 = 0").select("table_id", F.lit("SOCIE").alias("context")), ranges)
+    first = t.r_rows.where("row_idx > 0").groupBy("table_id").agg(F.min_by("label", "row_idx").alias("label"))
+    return A.apply_overrides(t.r_tables, t.r_tables.where("table_id % 6 = 0"), t.r_tables.where("table_id % 5 = 0").select("table_id", F.lit("SOCIE").alias("context")), ranges, first, [("^hot.*rod", "OCI"), ("plate$", "SOCIE")])
 
 
 @query("i11_tagging_worklist", """
-WITH o AS (SELECT doc_id, table_id, count(*) AS n_open, string_agg(DISTINCT label, '|' ORDER BY label) AS labels FROM r_rows WHERE tag IS NULL AND row_type = 'DATA' GROUP BY 1, 2),
-j AS (SELECT o.*, t.context, n_open < 6 AS is_small, row_number() OVER (PARTITION BY o.doc_id, n_open < 6 ORDER BY table_id) AS n FROM o JOIN r_tables t USING (table_id) WHERE t.context IS NOT NULL)
-SELECT doc_id, table_id, n_open, labels, context, is_small, (CASE WHEN is_small THEN floor((n - 1) / 3) ELSE n - 1 END)::INT AS batch FROM j""")
+WITH v AS (SELECT DISTINCT row_id FROM r_cells WHERE value IS NOT NULL AND col_idx = 3), r AS (SELECT r.*, CASE WHEN row_id % 6 = 0 THEN 'DISC.PPE' END AS hint FROM r_rows r WHERE tag IS NULL AND row_type = 'DATA' AND row_id IN (SELECT row_id FROM v)),
+o AS (SELECT doc_id, table_id, count(*) AS n_open, string_agg(label || coalesce(' @' || hint, ''), '|' ORDER BY row_idx) AS labels FROM r GROUP BY 1, 2),
+c AS (SELECT t.table_id, string_agg(k.concept_id, ',' ORDER BY k.concept_id) AS candidates FROM r_tables t JOIN r_concepts k ON k.valid_context = t.context GROUP BY 1),
+j AS (SELECT o.*, t.context, c.candidates, n_open < 3 AS is_small, row_number() OVER (PARTITION BY o.doc_id, n_open < 3 ORDER BY table_id) AS n FROM o JOIN r_tables t USING (table_id) LEFT JOIN c USING (table_id) WHERE t.context IS NOT NULL)
+SELECT doc_id, table_id, n_open, labels, context, candidates, is_small, (CASE WHEN is_small THEN floor((n - 1) / 3) ELSE n - 1 END)::INT AS batch FROM j""")
 def tagging_worklist(t):
-    return A.tagging_worklist(t.r_rows, t.r_tables)
+    from ..operators.labels import candidate_concepts
+
+    notes = t.r_rows.where("row_id % 6 = 0").select("row_id", F.lit("DISC.PPE").alias("context"))
+    return A.tagging_worklist(t.r_rows, t.r_cells.where("col_idx = 3"), t.r_tables, candidate_concepts(t.r_tables, t.r_concepts, t.r_documents), notes, small=3)
 
 
 @query("i12_emit_votes", f"WITH {LABEL_MATCH} SELECT 'row_concept' AS dimension, row_id AS target_id, concept_id AS value, 'rule' AS source, confidence FROM lm")

@@ -136,7 +136,7 @@ def oracle(sql: str) -> str:
     for name in SHAPES:
         if re.search(rf"\b{name}\b", sql):
             need(name)
-    parts = [f"{name} AS ({re.sub(r'[{](\w+)[}]', r'\1', SHAPES[name])})" for name in order]
+    parts = [f"{name} AS MATERIALIZED ({re.sub(r'[{](\w+)[}]', r'\1', SHAPES[name])})" for name in order]
     sql = sql.strip()
     recursive = "RECURSIVE " if re.match(r"WITH RECURSIVE\b", sql, re.I) else ""
     if m := re.match(r"WITH (?:RECURSIVE )?", sql, re.I):
