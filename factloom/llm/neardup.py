@@ -160,7 +160,7 @@ def shingle_sets(df: DataFrame) -> DataFrame:
 
 def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """Pairs (a, b) whose sizes allow SIMILARITY and whose signatures agree enough."""
-    one = lambda x: sigs.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    one = lambda x: sigs.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}")).hint("merge")
     both = pairs.join(one("a"), "a").join(one("b"), "b").where(F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b"))
     kind = pairs.schema["a"].dataType.simpleString()
 
@@ -175,7 +175,7 @@ def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose bags have a weighted Jaccard similarity of SIMILARITY or more."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")).hint("merge"), "b")
     both = both.select("a", "b", F.size(F.array_intersect("bag_a", "bag_b")).alias("i"), (F.size("bag_a") + F.size("bag_b")).alias("t"))
     return both.where(F.col("i") >= F.lit(SIMILARITY) * (F.col("t") - F.col("i"))).select("a", "b")
 
@@ -188,10 +188,10 @@ def components(links: DataFrame, labels: DataFrame | None) -> DataFrame:
     edges = shared.written(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "edges", kept)
     label = shared.written(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels", old)
     while True:
-        near = edges.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        new = label.join(near, "node").select("node", "label", F.least("label", "near").alias("low"))
+        near = edges.join(label.select(F.col("node").alias("b"), "label").hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        new = label.join(near.hint("merge"), "node").select("node", "label", F.least("label", "near").alias("low"))
         # and on to what the label itself is labelled with
-        new = new.join(label.select(F.col("node").alias("low"), F.col("label").alias("lower")), "low").select("node", F.least("low", "lower").alias("new"), "label")
+        new = new.join(label.select(F.col("node").alias("low"), F.col("label").alias("lower")).hint("merge"), "low").select("node", F.least("low", "lower").alias("new"), "label")
         new = shared.written(new, "labels", new_)
         shared.drop(spark, old)
         old, new_ = new_, []
@@ -241,13 +241,13 @@ def block_links(open_: DataFrame, sets: DataFrame) -> DataFrame:
     b = per_bucket.join(once, "bucket", "left_semi")
     fit = F.greatest(F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("n") / BLOCK_SHINGLES)).cast("int")  # blocks for all members
     b = b.select("bucket", "main", fit.alias("fit"), F.ceil(fit * (F.col("size") - F.col("most")) / F.col("size")).cast("int").alias("few"))
-    rows = open_.join(b, "bucket").withColumn("out", F.col("label") != F.col("main"))
+    rows = open_.join(b.hint("merge"), "bucket").withColumn("out", F.col("label") != F.col("main"))
     # blocks 0 .. few-1 hold members outside the main class, the next `fit` ones those inside it
     own = F.when(F.col("out"), F.pmod(F.xxhash64("node"), F.col("few").cast("long"))).otherwise(F.col("few") + F.pmod(F.xxhash64("node"), F.col("fit").cast("long"))).cast("int")
     rows = rows.withColumn("own", own)
     meets = F.when(F.col("out"), F.sequence(F.lit(0), F.col("few") + F.col("fit") - 1)).otherwise(F.sequence(F.lit(0), F.col("few") - 1))
     rows = rows.withColumn("other", F.explode(meets)).select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node")
-    rows = rows.join(sets, "node")
+    rows = rows.join(sets.hint("merge"), "node")
 
     def links(table: pa.Table) -> pa.Table:
         bag = table.column("bag").combine_chunks()
@@ -284,18 +284,18 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     if not buckets.isEmpty():
         pairs = buckets.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
         pairs = shared.written(agreeing(shared.written(pairs, "met", gone), own.select("key", "n", "sig")), "pairs", gone)
-        texts = rows.withColumnRenamed("key", "node").join(buckets.select("node").distinct(), "node")
+        texts = rows.withColumnRenamed("key", "node").join(buckets.select("node").distinct().hint("merge"), "node")
         sets = shared.written(shingle_sets(texts), "bags")
         label = components(verified(pairs, sets), None)
         shared.drop(spark, gone)
-        labelled = buckets.select("bucket", "node", "n").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        labelled = buckets.select("bucket", "node", "n").join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         labelled = shared.written(labelled, "labelled", gone)
         several = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
         open_ = shared.written(labelled.join(shared.written(several, "several", gone).hint("merge"), "bucket", "left_semi"), "open")
         shared.drop(spark, gone)
         if not open_.isEmpty():
             label = components(shared.written(block_links(open_, sets), "links"), label)
-    out = members if label is None else members.join(label, "node", "left")
+    out = members if label is None else members.join(label.hint("merge"), "node", "left")
     out = out.select("key", (F.col("node") if label is None else F.coalesce("label", "node")).alias("class_id"), (F.col("key") != F.col("node")).alias("copy"))
     if repeats_keys(df, key) or not df.where(k.isNull()).isEmpty():
         out = df.select(k.alias("key")).join(out, "key", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
