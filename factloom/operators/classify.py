@@ -39,27 +39,52 @@ def classification_checks(tables: DataFrame, rows: DataFrame, income: str, balan
     return t.select("doc_id", "table_id", F.explode(issues).alias("issue"))
 
 
-def toc_candidates(tables: DataFrame, entries: DataFrame, keywords: str, first_tables: int = 20) -> DataFrame:
-    """What E1 and E1b ask of a table of contents: entries in (1, 500), the share of steps that don't decrease, keywords, kinds.
-    entries: table_id, ord, label, page."""
-    t = tables.where(F.col("table_ord") <= first_tables).select("doc_id", "table_id", "table_ord", "page_no")
-    e = t.join(entries.where("page > 1 and page < 500"), "table_id")
+def toc_entries(tables: DataFrame, rows: DataFrame, cells: DataFrame, columns: DataFrame, first_tables: int = 20, most_cols: int = 4, most_page: int = 500) -> DataFrame:
+    """E1, entries of early tables that may be contents (three rows, no note column, few value columns): each label with the last whole number
+    between 1 and most_page of its row, and each text cell without a value with the next such number in its row. cells have text and value.
+    Cells of a row meet in an array, so nothing is joined by place."""
+    note = has_note_column(columns).where("not has_notes").select("table_id")
+    few = columns.where("role = 'VALUE'").groupBy("table_id").count().where(F.col("count") <= most_cols).select("table_id")
+    long = rows.groupBy("table_id").count().where("count >= 3").select("table_id")
+    t = tables.where(F.col("table_ord") <= first_tables).select("table_id").join(note, "table_id", "left_semi").join(few, "table_id", "left_semi").join(long, "table_id", "left_semi")
+    page = F.when((F.col("value") > 1) & (F.col("value") < most_page) & (F.col("value") == F.floor("value")), F.col("value").cast("int"))
+    c = cells.where("col_idx > 0").withColumn("page", page).groupBy("table_id", "row_id").agg(F.array_sort(F.collect_list(F.struct("col_idx", F.when(F.col("value").isNull(), F.nullif(F.trim("text"), F.lit(""))).alias("text"), "page"))).alias("c"))
+    r = rows.join(t, "table_id", "left_semi").select("doc_id", "table_id", "row_id", "row_idx", F.trim("label").alias("label")).join(c, ["table_id", "row_id"])
+    pages = F.filter("c", lambda x: x["page"].isNotNull())
+    first = F.when((F.col("label") != "") & (F.size(pages) > 0), F.array(F.struct(F.lit(-1).alias("at"), F.col("label").alias("label"), F.element_at(pages, -1)["page"].alias("page"))))
+    after = lambda x: F.filter("c", lambda y: (y["col_idx"] > x["col_idx"]) & y["page"].isNotNull())
+    more = F.transform(F.filter("c", lambda x: x["text"].isNotNull() & (F.size(after(x)) > 0)), lambda x: F.struct(x["col_idx"].alias("at"), x["text"].alias("label"), after(x)[0]["page"].alias("page")))
+    none = F.array().cast("array<struct<at:int,label:string,page:int>>")
+    e = r.select("doc_id", "table_id", "row_idx", F.explode(F.concat(F.coalesce(first, none), more)).alias("e"))
+    return e.select("doc_id", "table_id", F.struct("row_idx", F.col("e.at").alias("at")).alias("ord"), "e.label", "e.page")
+
+
+def toc_candidates(tables: DataFrame, entries: DataFrame, kinds: list[tuple[str, str]]) -> DataFrame:
+    """What E1 and E1b ask of a table of contents: entries, the share of steps that don't decrease, and the distinct statement types that labels name by the
+    first fitting pattern of kinds. entries: table_id, ord, label, page."""
+    t = tables.select("doc_id", "table_id", "table_ord", "page_no", *[c for c in ("currency",) if c in tables.columns])
+    e = t.join(entries.select("table_id", "ord", "label", "page"), "table_id")
     order = Window.partitionBy("table_id").orderBy("ord")
-    e = e.withColumn("step", (F.col("page") >= F.lag("page").over(order)).cast("double"))
-    kind = F.regexp_extract(F.lower("label"), keywords, 0)
-    return e.groupBy("doc_id", "table_id", "table_ord", "page_no").agg(F.count(F.lit(1)).alias("n_entries"), F.coalesce(F.avg("step"), F.lit(0.0)).alias("monotone"), F.count_distinct(F.nullif(kind, F.lit(""))).alias("kinds"), F.max("page").alias("last"))
-
-
-def detect_toc(tables: DataFrame, entries: DataFrame, keywords: str) -> DataFrame:
-    """A document's first table that qualifies."""
-    c = toc_candidates(tables, entries, keywords).where("n_entries >= 3 and monotone >= 0.5 and kinds >= 2")
-    return c.groupBy("doc_id").agg(F.min_by(F.struct("table_id", "n_entries", "kinds"), "table_ord").alias("toc")).select("doc_id", "toc.*")
-
-
-def detect_toc_scored(tables: DataFrame, entries: DataFrame, keywords: str, max_page: int = 15, least: float = 5) -> DataFrame:
-    """The table with the best weighted score of features, if it reaches `least`."""
-    c = toc_candidates(tables, entries, keywords).where(F.col("page_no") <= max_page)
-    score = F.least(F.col("n_entries") / 3, F.lit(3.0)) + 2 * F.col("monotone") + F.least("kinds", F.lit(3))
+    e = e.withColumns({"up": (F.col("page") >= F.lag("page").over(order)).cast("int"), "kind": keyword_rules(F.lower("label"), kinds)})
+    primary = F.when(F.col("kind").isin("PNL", "SFP", "OCI", "CFS", "SOCIE"), F.col("kind"))
+    return e.groupBy(*t.columns).agg(F.count(F.lit(1)).alias("n_entries"), F.coalesce(F.sum("up"), F.lit(0)).alias("n_up"), F.count_distinct(primary).alias("kinds"), F.max("page").alias("last"))
+
+
+def detect_toc(tables: DataFrame, entries: DataFrame, kinds: list[tuple[str, str]], enhanced: bool = False) -> DataFrame:
+    """The page map (page, type) of a document's first table with three entries, half of them not decreasing, and two statement types;
+    a later entry replaces an earlier one of its page. Enhanced (E1b): only tables on the first ten pages, without a currency, with pages up to 500."""
+    c = toc_candidates(tables, entries, kinds).where((F.col("n_entries") >= 3) & (F.col("n_up") >= 0.5 * F.col("n_entries")) & (F.col("kinds") >= 2))
+    if enhanced:
+        c = c.where((F.col("page_no") <= 10) & F.col("currency").isNull() & (F.col("last") <= 500))
+    toc = c.groupBy("doc_id").agg(F.min_by("table_id", "table_ord").alias("table_id"))
+    e = entries.join(toc, ["doc_id", "table_id"]).withColumn("type", keyword_rules(F.lower("label"), kinds)).where("type is not null")
+    return e.groupBy("doc_id", "table_id", "page").agg(F.max_by("type", "ord").alias("type"))
+
+
+def detect_toc_scored(tables: DataFrame, entries: DataFrame, kinds: list[tuple[str, str]], max_page: int = 15, least: float = 5) -> DataFrame:
+    """The table with the best weighted score of features (entries, order, types, an early page, a span of pages), if it reaches `least`."""
+    c = toc_candidates(tables, entries, kinds).where(F.col("page_no") <= max_page)
+    score = F.least(F.col("n_entries") / 3, F.lit(3.0)) + 2.0 * F.col("n_up") / F.greatest(F.col("n_entries") - 1, F.lit(1)) + F.least("kinds", F.lit(3)) + F.when(F.col("page_no") <= 5, 1.0).otherwise(0.0) + F.when(F.col("last") > 20, 0.5).otherwise(0.0)
     c = c.withColumn("score", score).where(F.col("score") >= least)
     return c.groupBy("doc_id").agg(F.max_by(F.struct("table_id", "score"), F.struct("score", F.expr("-table_ord"))).alias("toc")).select("doc_id", "toc.table_id", F.round("toc.score", 4).alias("score"))
 
@@ -100,13 +125,18 @@ def entity_from_name(name: Column) -> Column:
     return F.initcap(F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), r"_?(19|20)[0-9]{2}$", ""), r"[_#-]+", " ")))
 
 
-def page_features(documents: DataFrame, sections: DataFrame, tables: DataFrame, refs: DataFrame) -> DataFrame:
-    """For every page of a document what is known of it. Each side is aggregated to pages before it joins the spine."""
+def page_features(documents: DataFrame, sections: DataFrame, tables: DataFrame, refs: DataFrame, rank: DataFrame, toc: DataFrame) -> DataFrame:
+    """For every page of a document what is known of it. Each side is aggregated to pages before it joins the spine.
+    refs: doc_id, page, note_number; rank: doc_id, page, top_class, top_score; toc: doc_id, page, type, of entries that point to the page."""
     spine = documents.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n_pages"))).alias("page"))
     s = sections.select("doc_id", "section_type", F.explode(F.sequence(F.col("start_page").cast("int"), F.greatest("start_page", "end_page").cast("int"))).alias("page")).groupBy("doc_id", "page").agg(F.min("section_type").alias("section_type"))
     t = tables.groupBy("doc_id", F.col("page_no").alias("page")).agg(F.count(F.lit(1)).alias("n_tables"), F.min("context").alias("context"))
-    n = refs.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n_refs"))
-    return spine.join(s, ["doc_id", "page"], "left").join(t, ["doc_id", "page"], "left").join(n, ["doc_id", "page"], "left").fillna(0, ["n_tables", "n_refs"])
+    n = refs.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n_refs"), F.count_distinct("note_number").alias("n_notes"))
+    c = toc.groupBy("doc_id", "page").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("toc_refs"))
+    out = spine
+    for side in (s, t, n, rank.select("doc_id", "page", "top_class", "top_score"), c):
+        out = out.join(side, ["doc_id", "page"], "left")
+    return out.fillna(0, ["n_tables", "n_refs", "n_notes"]).fillna("", ["toc_refs"])
 
 
 def validate_notes(notes: DataFrame, refs: DataFrame) -> DataFrame:

@@ -149,10 +149,34 @@ def extraction_match_status(documents: DataFrame, extracted: DataFrame) -> DataF
     return d.select("doc_id", "n_pages", F.coalesce("pages", F.lit(0)).alias("pages"), F.when(F.coalesce("pages", F.lit(0)) == 0, "missing").when(F.col("pages") < F.col("n_pages"), "partial").otherwise("ok").alias("status"))
 
 
-def note_references(labels: DataFrame) -> DataFrame:
-    """Notes that labels refer to, with the context of the first reference. labels: doc_id, table_id, row_id, note_number, context."""
-    n = labels.where("note_number is not null")
-    return n.groupBy("doc_id", "note_number").agg(F.min_by("context", F.when(F.col("context").isNotNull(), F.col("row_id"))).alias("context"), F.count(F.lit(1)).alias("n_refs"), F.min("row_id").alias("first_row"))
+def note_entries(noted: DataFrame, labels: DataFrame) -> DataFrame:
+    """C6, entries: notes that rows refer to, from note columns (noted: doc_id, table_id, table_ord, row_id, row_idx, label, text; the leading number of the text counts)
+    and from labels (labels: the same with note_number in place of text), unless the row has the note from a column already."""
+    key = ["doc_id", "table_id", "table_ord", "row_id", "row_idx", "label"]
+    number = F.nullif(F.regexp_extract("text", r"^\s*([0-9]{1,3})", 1), F.lit("")).try_cast("int")
+    a = noted.select(*key, number.alias("note_number")).where("note_number is not null").withColumn("src", F.lit(1))
+    b = labels.where("note_number is not null").select(*key, "note_number").join(a.select("table_id", "row_id", "note_number"), ["table_id", "row_id", "note_number"], "left_anti").withColumn("src", F.lit(2))
+    return a.unionByName(b)
+
+
+def toc_note_entries(tables: DataFrame, rows: DataFrame, first_tables: int = 20, most_cols: int = 2, least: int = 3) -> DataFrame:
+    """C6, contents: numbered labels ("21. Leases") of early tables with few value columns and three such labels at least. tables: doc_id, table_id, table_ord, n_value_cols."""
+    t = tables.where((F.col("table_ord") <= first_tables) & (F.col("n_value_cols") <= most_cols)).select("table_id", "table_ord")
+    number, topic = F.regexp_extract("label", r"^\s*([0-9]{1,3})\s*[.)]\s+(.+)", 1), F.regexp_extract("label", r"^\s*([0-9]{1,3})\s*[.)]\s+(.+)", 2)
+    r = rows.join(t, "table_id").select("doc_id", "table_id", "table_ord", "row_id", "row_idx", F.nullif(number, F.lit("")).try_cast("int").alias("note_number"), topic.alias("label")).where("note_number is not null")
+    enough = r.groupBy("table_id").count().where(F.col("count") >= least).select("table_id")
+    return r.join(enough, "table_id", "left_semi").withColumn("src", F.lit(3))
+
+
+def note_contexts(entries: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """The context of each note of a document: that of the first label, by source, table and row, that a rule (pattern, context) fits."""
+    context = F.lit(None).cast("string")
+    for pattern, name in reversed(rules):
+        context = F.when(F.lower("label").rlike(pattern), name).otherwise(context)
+    e = entries.withColumn("context", context)
+    first = F.min_by(F.struct("context", "src"), F.when(F.col("context").isNotNull(), F.struct("src", "table_ord", "row_idx", "row_id")))
+    n = e.groupBy("doc_id", "note_number").agg(first.alias("x"), F.count_if(F.col("src") < 3).alias("n_refs"), F.count(F.lit(1)).alias("n_entries"), F.max(F.col("context").isNotNull()).alias("known"))
+    return n.select("doc_id", "note_number", F.when(F.col("known"), F.col("x.context")).alias("context"), F.when(F.col("known"), F.col("x.src")).alias("src"), "n_refs", "n_entries")
 
 
 def classify_by_note_votes(refs: DataFrame, notes: DataFrame, min_share: float = 0.5, min_votes: int = 2) -> DataFrame:

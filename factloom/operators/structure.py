@@ -104,6 +104,21 @@ def stitch_tables(tables: DataFrame, signature: DataFrame, ends_total: DataFrame
     )
 
 
+def stitch_rows(chains: DataFrame, tables: DataFrame, rows: DataFrame) -> DataFrame:
+    """E2, rows of stitched tables: they belong to the chain's first table, are numbered anew in the order of tables and rows, and lose their hierarchy, as
+    parents of one part don't hold for the next. chains: table_id, stitched_from."""
+    parts = chains.select(F.col("table_id").alias("logical_id"), F.explode(F.split("stitched_from", ",")).alias("table_id")).withColumn("table_id", F.col("table_id").cast("long"))
+    r = rows.join(parts, "table_id").join(tables.select("table_id", "table_ord"), "table_id")
+    n = F.row_number().over(Window.partitionBy("logical_id").orderBy("table_ord", "row_idx", "row_id")) - 1
+    return r.select("doc_id", F.col("logical_id").alias("table_id"), n.alias("row_idx"), F.concat_ws("_", F.col("logical_id").cast("string"), n.cast("string")).alias("row_id"), "label", F.lit(None).cast("string").alias("parent_id"), F.col("table_id").alias("stitched_from"), F.col("row_id").alias("old_row_id"))
+
+
+def stitch_boxes(chains: DataFrame, boxes: DataFrame) -> DataFrame:
+    """E2, boxes: the union of the parts' boxes. boxes: table_id, l, t, r, b with the origin at the bottom left."""
+    parts = chains.select(F.col("table_id").alias("logical_id"), F.explode(F.split("stitched_from", ",")).alias("table_id")).withColumn("table_id", F.col("table_id").cast("long"))
+    return parts.join(boxes, "table_id").groupBy(F.col("logical_id").alias("table_id")).agg(F.min("l").alias("l"), F.max("t").alias("t"), F.max("r").alias("r"), F.min("b").alias("b"))
+
+
 def value_monotonicity(cells: DataFrame, col_idx: int) -> DataFrame:
     """Share of steps in reading order that don't decrease."""
     order = Window.partitionBy("table_id").orderBy("row_idx")

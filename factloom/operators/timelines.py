@@ -122,11 +122,28 @@ def toc_offset(entries: DataFrame, documents: DataFrame) -> DataFrame:
     return e.select("doc_id", F.when(F.col("beyond") > 0.5, F.col("low") - 2).otherwise(0).alias("page_offset"))
 
 
-def validate_sections(sections: DataFrame, tables: DataFrame) -> DataFrame:
-    """Whether a table on a section's pages is classified like it. tables: doc_id, page_no, context."""
-    s = sections.withColumn("page", F.explode(F.sequence(F.col("start_page"), F.greatest("start_page", "end_page"))))
-    hit = s.join(tables.select("doc_id", F.col("page_no").alias("page"), "context"), ["doc_id", "page"], "left")
-    return hit.groupBy("doc_id", "section_type", "start_page").agg(F.count("context").alias("n_tables"), F.coalesce(F.bool_or(F.col("context") == F.col("section_type")), F.lit(False)).alias("confirmed"))
+def validate_sections(sections: DataFrame, tables: DataFrame, rows: DataFrame, cells: DataFrame, keywords: dict[str, list[str]], plain: tuple[str, ...] = ("NOTES",)) -> DataFrame:
+    """Whether the tables on a section's pages fit its type. A section without a start, or without tables, is a warning. Contents need over half of their
+    values to be whole numbers from 1 to 500; plain types only need tables; others need a table with a keyword of the type in a label, or one that is
+    classified like it. tables: doc_id, table_id, page_no, context. Tables are summed up before they meet sections."""
+    low = F.lower("label")
+    hits = rows.groupBy("table_id").agg(*[F.bool_or(F.exists(F.array(*map(F.lit, ws)), lambda w: F.contains(low, w))).alias(f"has_{k}") for k, ws in keywords.items()])
+    small = (F.col("value") >= 1) & (F.col("value") <= 500) & (F.col("value") == F.floor("value"))
+    values = cells.groupBy("table_id").agg(F.count("value").alias("n_values"), F.count_if(small).alias("n_small"))
+    t = tables.join(hits, "table_id", "left").join(values, "table_id", "left")
+    s = sections.withColumn("page_no", F.explode_outer(F.when(F.col("start_page").isNotNull(), F.sequence(F.col("start_page"), F.greatest("start_page", F.coalesce("end_page", "start_page"))))))
+    own = F.lit(False)
+    for k in keywords:
+        own = F.when(F.col("section_type") == k, F.coalesce(f"has_{k}", F.lit(False))).otherwise(own)
+    j = s.join(t, ["doc_id", "page_no"], "left")
+    g = j.groupBy("doc_id", "section_id", "section_type", "start_page").agg(
+        F.count("table_id").alias("n_tables"), F.coalesce(F.bool_or(own & F.col("table_id").isNotNull()), F.lit(False)).alias("by_keyword"), F.coalesce(F.bool_or(F.col("context") == F.col("section_type")), F.lit(False)).alias("by_class"),
+        F.coalesce(F.sum("n_small") / F.nullif(F.sum("n_values"), F.lit(0)), F.lit(0.0)).alias("small"),
+    )
+    ok = F.when(F.col("section_type") == "TOC", F.col("small") > 0.5).when(F.col("section_type").isin(*plain) | ~F.col("section_type").isin(*keywords), True).otherwise(F.col("by_keyword") | F.col("by_class"))
+    detail = F.when(F.col("start_page").isNull(), "no start").when(F.col("n_tables") == 0, "no tables").when(F.col("section_type") == "TOC", F.when(ok, "numbers").otherwise("no numbers")).when(F.col("by_keyword"), "keyword").when(F.col("by_class"), "class").when(ok, "tables").otherwise("nothing fits")
+    status = F.when(F.col("start_page").isNotNull() & (F.col("n_tables") > 0) & ok, "ok").otherwise("warning")
+    return g.select("doc_id", "section_id", "section_type", "start_page", "n_tables", status.alias("status"), detail.alias("detail"))
 
 
 def evaluate_detector(page_map: DataFrame, sections: DataFrame) -> DataFrame:

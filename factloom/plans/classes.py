@@ -13,7 +13,7 @@ from ..operators import timelines as T
 from .checks import BEST
 from .labels import NORM, TOPIC, UNTAG
 from .registry import query
-from .reviews import REFS, refs
+from .reviews import NOTES, REFS, notes, refs
 from .timelines import RSEC, report_sections
 
 RULES = [("plate.*gear|gear.*plate", "PNL"), ("^total (hot|cold)", "OCI"), ("rod", "SFP"), ("wheel|bolt", "CFS")]
@@ -52,32 +52,61 @@ def classification_checks(t):
     return C.classification_checks(t.r_tables, t.r_rows, "plate", "rod")
 
 
-ENTRIES = "en AS (SELECT table_id, row_idx AS ord, label, CAST((row_id * 7 + row_idx * 40) % 520 AS INT) AS page FROM r_rows)"
-CAND = """t AS (SELECT doc_id, table_id, table_ord, page_no FROM r_tables WHERE table_ord <= 20), e AS (SELECT t.*, ord, label, page, (page >= lag(page) OVER (PARTITION BY table_id ORDER BY ord))::INT AS step FROM t JOIN en USING (table_id) WHERE page > 1 AND page < 500),
-c AS (SELECT doc_id, table_id, table_ord, page_no, count(*) AS n_entries, coalesce(avg(step), 0) AS monotone, count(DISTINCT nullif(regexp_extract(lower(label), 'plate|gear|rod|wheel', 0), '')) AS kinds FROM e GROUP BY 1, 2, 3, 4)"""
+KINDS = [("plate", "PNL"), ("gear", "SFP"), ("rod", "OCI"), ("wheel", "NOTES")]
+KIND_SQL = "CASE WHEN contains(lower(label), 'plate') THEN 'PNL' WHEN contains(lower(label), 'gear') THEN 'SFP' WHEN contains(lower(label), 'rod') THEN 'OCI' WHEN contains(lower(label), 'wheel') THEN 'NOTES' END"
+CONTENTS = f"""tr AS (SELECT doc_id, table_id, row_id, row_idx, CASE WHEN row_idx % 6 = 5 THEN ' ' ELSE label END AS label FROM r_rows),
+tce AS (SELECT r.table_id, r.row_id, r.row_idx, c.col_idx, CASE WHEN c.col_idx = 1 AND r.row_idx % 4 = 1 THEN 'hot rod part' END AS text,
+  CASE c.col_idx WHEN 1 THEN NULL WHEN 2 THEN (r.row_id * 3 + r.row_idx * 31) % 520 WHEN 3 THEN r.row_idx + 0.5 ELSE CASE WHEN r.row_idx % 5 > 0 THEN (r.table_id * 7 + r.row_idx * 40) % 520 END END::DOUBLE AS value FROM r_rows r, (VALUES (1), (2), (3), (4)) c(col_idx)),
+el AS (SELECT table_id FROM r_tables WHERE table_ord <= 20 AND table_id % 2 = 1 AND table_id IN (SELECT table_id FROM tr GROUP BY 1 HAVING count(*) >= 3)),
+pg AS (SELECT *, CASE WHEN value > 1 AND value < 500 AND value = floor(value) THEN value::INT END AS page FROM tce WHERE table_id IN (SELECT table_id FROM el)),
+en AS (SELECT doc_id, tr.table_id, tr.row_idx, -1 AS at_, trim(label) AS label, arg_max(page, col_idx) FILTER (page IS NOT NULL) AS page FROM tr JOIN pg USING (table_id, row_id) WHERE trim(label) <> '' GROUP BY 1, 2, 3, 4, 5 HAVING count(page) > 0
+  UNION ALL SELECT doc_id, tr.table_id, tr.row_idx, a.col_idx, a.text, arg_min(b.page, b.col_idx) FROM tr JOIN pg a USING (table_id, row_id) JOIN pg b ON b.table_id = a.table_id AND b.row_id = a.row_id AND b.col_idx > a.col_idx AND b.page IS NOT NULL WHERE a.text IS NOT NULL AND a.value IS NULL GROUP BY 1, 2, 3, 4, 5),
+ek AS (SELECT *, {KIND_SQL} AS kind, (page >= lag(page) OVER (PARTITION BY table_id ORDER BY row_idx, at_))::INT AS up FROM en),
+cand AS (SELECT t.doc_id, t.table_id, t.table_ord, t.page_no, t.unit, count(*) AS n_entries, coalesce(sum(up), 0) AS n_up, count(DISTINCT kind) FILTER (kind IN ('PNL', 'SFP', 'OCI')) AS kinds, max(page) AS last FROM ek JOIN r_tables t USING (table_id) GROUP BY ALL)"""
 
 
 def entries(t):
-    return t.r_rows.select("table_id", F.col("row_idx").alias("ord"), "label", ((F.col("row_id") * 7 + F.col("row_idx") * 40) % 520).cast("int").alias("page"))
+    k, r = F.col("col_idx"), F.col("row_idx")
+    rows = t.r_rows.select("doc_id", "table_id", "row_id", "row_idx", F.when(r % 6 == 5, " ").otherwise(F.col("label")).alias("label"))
+    value = F.when(k == 2, ((F.col("row_id") * 3 + r * 31) % 520).cast("double")).when(k == 3, r + 0.5).when((k == 4) & (r % 5 > 0), ((F.col("table_id") * 7 + r * 40) % 520).cast("double"))
+    cells = t.r_rows.select("table_id", "row_id", "row_idx", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("col_idx")).select("table_id", "row_id", "col_idx", F.when((k == 1) & (r % 4 == 1), "hot rod part").alias("text"), value.alias("value"))
+    return C.toc_entries(t.r_tables, rows, cells, t.r_columns)
 
 
-@query("e1_detect_toc", f"WITH {ENTRIES}, {CAND} SELECT doc_id, table_id, n_entries, kinds FROM c WHERE n_entries >= 3 AND monotone >= 0.5 AND kinds >= 2 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY table_ord) = 1")
+@query("e1_toc_entries", f"WITH {CONTENTS} SELECT doc_id, table_id, row_idx, at_, label, page FROM en")
+def toc_entries(t):
+    return entries(t).select("doc_id", "table_id", "ord.row_idx", F.col("ord.at").alias("at_"), "label", "page")
+
+
+MAP = "SELECT doc_id, table_id, page, arg_max(kind, (row_idx, at_)) AS type FROM ek JOIN toc USING (doc_id, table_id) WHERE kind IS NOT NULL GROUP BY 1, 2, 3"
+
+
+@query("e1_detect_toc", f"WITH {CONTENTS}, toc AS (SELECT doc_id, arg_min(table_id, table_ord) AS table_id FROM cand WHERE n_entries >= 3 AND n_up >= 0.5 * n_entries AND kinds >= 2 GROUP BY 1) {MAP}")
 def detect_toc(t):
-    return C.detect_toc(t.r_tables, entries(t), "plate|gear|rod|wheel")
+    return C.detect_toc(t.r_tables, entries(t), KINDS)
+
+
+@query("e1b_detect_toc_enhanced", f"WITH {CONTENTS}, toc AS (SELECT doc_id, arg_min(table_id, table_ord) AS table_id FROM cand WHERE n_entries >= 3 AND n_up >= 0.5 * n_entries AND kinds >= 2 AND page_no <= 10 AND unit IS NULL AND last <= 500 GROUP BY 1) {MAP}")
+def detect_toc_enhanced(t):
+    return C.detect_toc(t.r_tables.withColumn("currency", F.col("unit")), entries(t), KINDS, enhanced=True)
 
 
 @query("e1b_detect_toc_scored", f"""
-WITH {ENTRIES}, {CAND}, s AS (SELECT *, least(n_entries / 3, 3) + 2 * monotone + least(kinds, 3) AS score FROM c WHERE page_no <= 15)
-SELECT doc_id, table_id, round(score, 4) AS score FROM s WHERE score >= 5 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, table_ord) = 1""")
+WITH {CONTENTS}, s AS (SELECT *, least(n_entries / 3, 3) + 2.0 * n_up / greatest(n_entries - 1, 1) + least(kinds, 3) + CASE WHEN page_no <= 5 THEN 1 ELSE 0 END + CASE WHEN last > 20 THEN 0.5 ELSE 0 END AS score FROM cand WHERE page_no <= 15)
+SELECT doc_id, table_id, round(score, 4)::DOUBLE AS score FROM s WHERE score >= 5 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, table_ord) = 1""")
 def detect_toc_scored(t):
-    return C.detect_toc_scored(t.r_tables, entries(t), "plate|gear|rod|wheel")
+    return C.detect_toc_scored(t.r_tables, entries(t), KINDS)
+
+
+PAGE_ROWS = "SELECT table_id, row_idx AS ord, label, CAST((row_id * 7 + row_idx * 40) % 520 AS INT) AS page FROM r_rows"
 
 
 @query("e1b_detect_toc_index", f"""
-WITH {ENTRIES} SELECT t.doc_id, table_id, round(avg((page BETWEEN 1 AND n_pages)::INT), 4) AS share, count(*) AS n_entries FROM en JOIN r_tables t USING (table_id) JOIN r_documents d ON d.doc_id = t.doc_id WHERE table_id % 4 = 0 GROUP BY 1, 2 HAVING share >= 0.5""")
+WITH en AS ({PAGE_ROWS}) SELECT t.doc_id, table_id, round(avg((page BETWEEN 1 AND n_pages)::INT), 4) AS share, count(*) AS n_entries FROM en JOIN r_tables t USING (table_id) JOIN r_documents d ON d.doc_id = t.doc_id WHERE table_id % 4 = 0 GROUP BY 1, 2 HAVING share >= 0.5""")
 def detect_toc_index(t):
     flagged = t.r_tables.join(t.r_documents.select("doc_id", "n_pages"), "doc_id").select("doc_id", "table_id", (F.col("table_id") % 4 == 0).alias("is_index"), "n_pages")
-    return C.detect_toc_index(flagged, entries(t))
+    pages = t.r_rows.select("table_id", F.col("row_idx").alias("ord"), "label", ((F.col("row_id") * 7 + F.col("row_idx") * 40) % 520).cast("int").alias("page"))
+    return C.detect_toc_index(flagged, pages)
 
 
 @query("j2_page_features", """
@@ -114,26 +143,35 @@ def entity_from_name(t):
 
 
 @query("c16_note_edges", f"""
-WITH {REFS} SELECT doc_id, table_id || ':' || row_id AS source, coalesce(context, 'note_' || note_number) AS target FROM refs WHERE note_number IS NOT NULL AND doc_id % 2 = 0""")
+WITH {REFS} {NOTES} SELECT e.doc_id, e.table_id || ':' || e.row_id AS source, coalesce(n.context, 'note_' || e.note_number) AS target FROM en e JOIN notes n USING (doc_id, note_number) WHERE e.doc_id % 2 = 0""")
 def note_edges(t):
     sections = t.r_documents.select("doc_id", F.lit("PNL").alias("section_type")).unionByName(t.r_documents.where("doc_id % 2 = 0").select("doc_id", F.lit("TOC").alias("section_type")))
-    return C.materialize_note_edges(refs(t), sections)
+    return C.materialize_note_edges(refs(t).join(notes(t).select("doc_id", "note_number", "context"), ["doc_id", "note_number"]), sections)
+
+
+RANK = "rk AS (SELECT doc_id, page_no AS page, arg_min(CASE table_id % 3 WHEN 0 THEN 'pnl' WHEN 1 THEN 'sfp' ELSE 'notes' END, table_id) AS top_class, round(arg_min(table_id % 97, table_id) / 97, 4) AS top_score FROM r_tables WHERE table_id % 5 > 0 GROUP BY 1, 2)"
 
 
 @query("c18_page_features", f"""
-WITH {RSEC}, {REFS}, sp AS (SELECT doc_id, unnest(range(1, n_pages + 1))::INT AS page FROM r_documents), s AS (SELECT doc_id, page, min(section_type) AS section_type FROM (SELECT doc_id, section_type, unnest(range(start_page, end_page + 1))::INT AS page FROM rs) GROUP BY 1, 2),
-t AS (SELECT doc_id, page_no AS page, count(*) AS n_tables, min(context) AS context FROM r_tables GROUP BY 1, 2), n AS (SELECT r.doc_id, t.page_no AS page, count(*) AS n_refs FROM refs r JOIN r_tables t USING (table_id) WHERE note_number IS NOT NULL GROUP BY 1, 2)
-SELECT sp.doc_id, sp.page, section_type, coalesce(n_tables, 0) AS n_tables, context, coalesce(n_refs, 0) AS n_refs FROM sp LEFT JOIN s ON s.doc_id = sp.doc_id AND s.page = sp.page LEFT JOIN t ON t.doc_id = sp.doc_id AND t.page = sp.page LEFT JOIN n ON n.doc_id = sp.doc_id AND n.page = sp.page""")
+WITH {RSEC}, {REFS} {NOTES}, {RANK}, sp AS (SELECT doc_id, unnest(range(1, n_pages + 1))::INT AS page FROM r_documents), s AS (SELECT doc_id, page, min(section_type) AS section_type FROM (SELECT doc_id, section_type, unnest(range(start_page, end_page + 1))::INT AS page FROM rs) GROUP BY 1, 2),
+t AS (SELECT doc_id, page_no AS page, count(*) AS n_tables, min(context) AS context FROM r_tables GROUP BY 1, 2), n AS (SELECT r.doc_id, t.page_no AS page, count(*) AS n_refs, count(DISTINCT note_number) AS n_notes FROM en r JOIN r_tables t USING (table_id) GROUP BY 1, 2),
+tc AS (SELECT doc_id, (row_idx * 3 + doc_id % 5)::INT AS page, string_agg(DISTINCT CASE WHEN row_idx % 2 = 0 THEN 'PNL' ELSE 'SFP' END, ',' ORDER BY CASE WHEN row_idx % 2 = 0 THEN 'PNL' ELSE 'SFP' END) AS toc_refs FROM r_rows WHERE table_id % 4 = 0 AND row_idx > 0 GROUP BY 1, 2)
+SELECT sp.doc_id, sp.page, section_type, coalesce(n_tables, 0) AS n_tables, context, coalesce(n_refs, 0) AS n_refs, coalesce(n_notes, 0) AS n_notes, top_class, top_score, coalesce(toc_refs, '') AS toc_refs FROM sp LEFT JOIN s ON s.doc_id = sp.doc_id AND s.page = sp.page LEFT JOIN t ON t.doc_id = sp.doc_id AND t.page = sp.page
+LEFT JOIN n ON n.doc_id = sp.doc_id AND n.page = sp.page LEFT JOIN rk ON rk.doc_id = sp.doc_id AND rk.page = sp.page LEFT JOIN tc ON tc.doc_id = sp.doc_id AND tc.page = sp.page""")
 def page_features(t):
-    r = refs(t).where("note_number is not null").join(t.r_tables.select("table_id", F.col("page_no").alias("page")), "table_id").select("doc_id", "page")
-    return C.page_features(t.r_documents, report_sections(t), t.r_tables, r)
+    r = refs(t).join(t.r_tables.select("table_id", F.col("page_no").alias("page")), "table_id").select("doc_id", "page", "note_number")
+    k = F.col("table_id") % 3
+    rank = t.r_tables.where("table_id % 5 > 0").groupBy("doc_id", F.col("page_no").alias("page")).agg(F.min_by(F.when(k == 0, "pnl").when(k == 1, "sfp").otherwise("notes"), "table_id").alias("top_class"), F.round(F.min_by(F.col("table_id") % 97, "table_id") / 97, 4).alias("top_score"))
+    toc = t.r_rows.where("table_id % 4 = 0 and row_idx > 0").select("doc_id", (F.col("row_idx") * 3 + F.col("doc_id") % 5).cast("int").alias("page"), F.when(F.col("row_idx") % 2 == 0, "PNL").otherwise("SFP").alias("type"))
+    return C.page_features(t.r_documents, report_sections(t), t.r_tables, r, rank, toc)
 
 
 @query("c20_validate_notes", f"""
-WITH {REFS}, n AS (SELECT doc_id, unnest([3, 7, 11]) AS note_number FROM r_documents) SELECT n.doc_id, n.note_number, EXISTS (SELECT 1 FROM refs r WHERE r.doc_id = n.doc_id AND r.note_number = n.note_number AND r.context IN ('PNL', 'SFP', 'OCI')) AS referenced FROM n""")
+WITH {REFS} {NOTES}, pr AS (SELECT DISTINCT e.doc_id, e.note_number FROM en e JOIN r_tables t USING (table_id) WHERE t.context IN ('PNL', 'SFP', 'OCI')), n AS (SELECT doc_id, unnest([3, 7, 11]) AS note_number FROM r_documents) SELECT n.doc_id, n.note_number, pr.doc_id IS NOT NULL AS referenced FROM n LEFT JOIN pr USING (doc_id, note_number)""")
 def validate_notes(t):
     notes = t.r_documents.select("doc_id", F.explode(F.array(*map(F.lit, (3, 7, 11)))).alias("note_number"))
-    return C.validate_notes(notes, refs(t).where("note_number is not null and context in ('PNL', 'SFP', 'OCI')"))
+    primary = refs(t).join(t.r_tables.where("context in ('PNL', 'SFP', 'OCI')").select("table_id"), "table_id", "left_semi")
+    return C.validate_notes(notes, primary)
 
 
 @query("c21_suggest_note_numbers", """

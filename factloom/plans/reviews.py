@@ -320,28 +320,56 @@ def extraction_match(t):
     return V.extraction_match_status(t.r_documents.select("doc_id", "n_pages"), t.r_tables.where("doc_id % 5 > 0").groupBy("doc_id").agg(F.max("page_no").alias("pages")))
 
 
-REFS = "refs AS (SELECT l.doc_id, l.table_id, l.row_id, try_cast(nullif(regexp_extract(lower(raw), 'note ([0-9]{1,3})', 1), '') AS INT) AS note_number, t.context FROM l_labels l JOIN r_tables t USING (table_id))"
-NOTES = "notes AS (SELECT doc_id, note_number, arg_min(context, row_id) FILTER (context IS NOT NULL) AS context, count(*) AS n_refs, min(row_id) AS first_row FROM refs WHERE note_number IS NOT NULL GROUP BY 1, 2)"
+NOTE_RULES = [("plate", "DISC.PPE"), ("rod", "DISC.TAX"), ("wheel|bolt", "DISC.LEASES")]
+NOTE_RULE_SQL = "CASE WHEN regexp_matches(lower(label), 'plate') THEN 'DISC.PPE' WHEN regexp_matches(lower(label), 'rod') THEN 'DISC.TAX' WHEN regexp_matches(lower(label), 'wheel|bolt') THEN 'DISC.LEASES' END"
+REFS = r"""la AS (SELECT l.doc_id, l.table_id, t.table_ord, l.row_id, l.row_idx, raw AS label, try_cast(nullif(regexp_extract(lower(raw), 'note ([0-9]{1,3})', 1), '') AS INT) AS note_number, t.context FROM l_labels l JOIN r_tables t USING (table_id)),
+nc AS (SELECT doc_id, table_id, table_ord, row_id, row_idx, label, (row_id % 30)::INT AS note_number FROM la WHERE table_id % 2 = 0 AND row_idx % 2 = 1),
+en AS (SELECT *, 1 AS src FROM nc UNION ALL SELECT doc_id, table_id, table_ord, row_id, row_idx, label, note_number, 2 FROM la WHERE note_number IS NOT NULL AND NOT EXISTS (SELECT 1 FROM nc WHERE nc.row_id = la.row_id AND nc.note_number = la.note_number)),
+tm AS (SELECT doc_id, table_id, table_ord, row_id, row_idx, regexp_extract(label, '^\s*([0-9]{1,3})\s*[.)]\s+(.+)', 2) AS label, try_cast(nullif(regexp_extract(label, '^\s*([0-9]{1,3})\s*[.)]\s+(.+)', 1), '') AS INT) AS note_number
+  FROM (SELECT * REPLACE (CASE WHEN row_idx > 0 THEN (row_idx + doc_id % 9) || '. ' || label ELSE label END AS label) FROM la WHERE table_ord <= 20 AND table_id % 6 = 0)),
+te AS (SELECT *, 3 AS src FROM tm WHERE note_number IS NOT NULL AND table_id IN (SELECT table_id FROM tm WHERE note_number IS NOT NULL GROUP BY 1 HAVING count(*) >= 3)),"""
+NOTES = f"""ae AS (SELECT *, {NOTE_RULE_SQL} AS ctx FROM (SELECT * FROM en UNION ALL SELECT doc_id, table_id, table_ord, row_id, row_idx, label, note_number, src FROM te)),
+notes AS (SELECT doc_id, note_number, arg_min(ctx, (src, table_ord, row_idx, row_id)) FILTER (ctx IS NOT NULL) AS context, arg_min(src, (src, table_ord, row_idx, row_id)) FILTER (ctx IS NOT NULL) AS src, count(*) FILTER (src < 3) AS n_refs, count(*) AS n_entries FROM ae GROUP BY 1, 2)"""
+
+
+def labelled(t):
+    from ..functions.labels import clean_label
+
+    return t.l_labels.join(t.r_tables.select("table_id", "table_ord", "context"), "table_id").select("doc_id", "table_id", "table_ord", "row_id", "row_idx", F.col("raw").alias("label"), clean_label(F.col("raw"))["note_number"].alias("note_number"), "context")
 
 
 def refs(t):
-    from ..functions.labels import clean_label
+    """Rows that refer to notes, by note columns (every second row of even tables) and labels."""
+    r = labelled(t)
+    noted = r.where("table_id % 2 = 0 and row_idx % 2 = 1").withColumn("text", F.concat((F.col("row_id") % 30).cast("string"), F.lit(".1")))
+    return V.note_entries(noted, r)
+
+
+def contents(t):
+    numbered = labelled(t).withColumn("label", F.when(F.col("row_idx") > 0, F.concat((F.col("row_idx") + F.col("doc_id") % 9).cast("string"), F.lit(". "), F.col("label"))).otherwise(F.col("label"))).drop("table_ord")
+    return V.toc_note_entries(t.r_tables.withColumn("n_value_cols", F.when(F.col("table_id") % 6 == 0, 2).otherwise(4)), numbered)
+
+
+def notes(t):
+    return V.note_contexts(refs(t).unionByName(contents(t)), NOTE_RULES)
+
 
-    return t.l_labels.join(t.r_tables.select("table_id", "context"), "table_id").select("doc_id", "table_id", "row_id", clean_label(F.col("raw"))["note_number"].alias("note_number"), "context")
+@query("c6_note_entries", f"WITH {REFS} {NOTES} SELECT doc_id, table_id, row_id, note_number, src FROM ae")
+def note_entries(t):
+    return refs(t).unionByName(contents(t)).select("doc_id", "table_id", "row_id", "note_number", "src")
 
 
-@query("c6_note_references", f"WITH {REFS}, {NOTES} SELECT * FROM notes")
+@query("c6_note_references", f"WITH {REFS} {NOTES} SELECT * FROM notes")
 def note_references(t):
-    return V.note_references(refs(t))
+    return notes(t)
 
 
 @query("c7_classify_by_note_votes", f"""
-WITH {REFS}, {NOTES}, v AS (SELECT r.doc_id, r.table_id, n.context, count(*) AS votes FROM refs r JOIN notes n USING (doc_id, note_number) WHERE n.context IS NOT NULL GROUP BY 1, 2, 3),
+WITH {REFS} {NOTES}, v AS (SELECT r.doc_id, r.table_id, n.context, count(*) AS votes FROM en r JOIN notes n USING (doc_id, note_number) WHERE n.context IS NOT NULL GROUP BY 1, 2, 3),
 w AS (SELECT *, sum(votes) OVER (PARTITION BY doc_id, table_id) AS total, row_number() OVER (PARTITION BY doc_id, table_id ORDER BY votes DESC, context DESC) AS k FROM v)
 SELECT doc_id, table_id, context, votes, total::BIGINT AS total FROM w WHERE k = 1 AND votes >= 2 AND votes >= 0.5 * total""")
 def classify_by_note_votes(t):
-    r = refs(t)
-    return V.classify_by_note_votes(r.where("note_number is not null").select("doc_id", "table_id", "note_number"), V.note_references(r))
+    return V.classify_by_note_votes(refs(t).select("doc_id", "table_id", "note_number"), notes(t))
 
 
 @query("d15_structure_violations", """
