@@ -96,19 +96,6 @@ def detect_toc_index(tables: DataFrame, entries: DataFrame, least: float = 0.5)
     return e.groupBy("doc_id", "table_id").agg(F.round(share, 4).alias("share"), F.count(F.lit(1)).alias("n_entries")).where(F.col("share") >= least)
 
 
-def page_feature_vector(pages: DataFrame, tables: DataFrame, rows: DataFrame, cells: DataFrame, keywords: dict[str, str]) -> DataFrame:
-    """Features of every page: position, tables, rows, values, labels and keyword hits. Rows and cells are summed up by table before they
-    meet pages, so the spine joins one small side. pages: doc_id, page, n_pages."""
-    low = F.lower("label")
-    r = rows.groupBy("table_id").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("row_type") != "DATA").alias("n_totals"), F.sum(F.length("label")).alias("label_chars"), *[F.count_if(low.rlike(p)).alias(f"kw_{k}") for k, p in keywords.items()])
-    c = cells.groupBy("table_id").agg(F.count("value").alias("n_values"), F.count_if(F.col("value").isNull()).alias("n_gaps"), F.count_if(F.col("value") < 0).alias("n_negative"), F.count_if(F.abs("value") >= 1000).alias("n_large"))
-    t = tables.select("doc_id", "table_id", F.col("page_no").alias("page")).join(r, "table_id", "left").join(c, "table_id", "left")
-    sums = ["n_rows", "n_totals", "label_chars", *[f"kw_{k}" for k in keywords], "n_values", "n_gaps", "n_negative", "n_large"]
-    t = t.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n_tables"), *[F.sum(x).alias(x) for x in sums])
-    p = pages.join(t, ["doc_id", "page"], "left").fillna(0, ["n_tables", *sums])
-    return p.withColumns({"position": F.round(F.col("page") / F.col("n_pages"), 6), "values_per_row": F.round(F.coalesce(F.try_divide("n_values", "n_rows"), F.lit(0.0)), 6)}).drop("n_pages")
-
-
 def has_note_column(columns: DataFrame) -> DataFrame:
     """Whether a table has a column of notes, by role or header."""
     hit = (F.col("role") == "NOTES") | F.lower(F.trim("header")).isin("note", "notes", "anhang", "anmerkung", "anmerkungen")

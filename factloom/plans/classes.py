@@ -109,20 +109,6 @@ def detect_toc_index(t):
     return C.detect_toc_index(flagged, pages)
 
 
-@query("j2_page_features", """
-WITH sp AS (SELECT doc_id, n_pages, unnest(range(1, n_pages + 1))::INT AS page FROM r_documents),
-r AS (SELECT table_id, count(*) AS n_rows, count(*) FILTER (row_type <> 'DATA') AS n_totals, sum(length(label)) AS label_chars, count(*) FILTER (lower(label) LIKE '%plate%') AS kw_plate, count(*) FILTER (lower(label) LIKE '%rod%') AS kw_rod FROM r_rows GROUP BY 1),
-c AS (SELECT table_id, count(value) AS n_values, count(*) FILTER (value IS NULL) AS n_gaps, count(*) FILTER (value < 0) AS n_negative, count(*) FILTER (abs(value) >= 1000) AS n_large FROM r_cells GROUP BY 1),
-t AS (SELECT doc_id, page_no AS page, count(*) AS n_tables, sum(n_rows) AS n_rows, sum(n_totals) AS n_totals, sum(label_chars) AS label_chars, sum(kw_plate) AS kw_plate, sum(kw_rod) AS kw_rod, sum(n_values) AS n_values, sum(n_gaps) AS n_gaps, sum(n_negative) AS n_negative, sum(n_large) AS n_large
-  FROM r_tables LEFT JOIN r USING (table_id) LEFT JOIN c USING (table_id) GROUP BY 1, 2)
-SELECT sp.doc_id, sp.page, coalesce(n_tables, 0)::BIGINT AS n_tables, coalesce(n_rows, 0)::BIGINT AS n_rows, coalesce(n_totals, 0)::BIGINT AS n_totals, coalesce(label_chars, 0)::BIGINT AS label_chars, coalesce(kw_plate, 0)::BIGINT AS kw_plate, coalesce(kw_rod, 0)::BIGINT AS kw_rod,
-  coalesce(n_values, 0)::BIGINT AS n_values, coalesce(n_gaps, 0)::BIGINT AS n_gaps, coalesce(n_negative, 0)::BIGINT AS n_negative, coalesce(n_large, 0)::BIGINT AS n_large, round(sp.page / sp.n_pages, 6) AS position, round(coalesce(n_values / nullif(n_rows, 0), 0), 6) AS values_per_row
-FROM sp LEFT JOIN t ON t.doc_id = sp.doc_id AND t.page = sp.page""")
-def page_feature_vector(t):
-    spine = t.r_documents.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("n_pages"))).alias("page"), "n_pages")
-    return C.page_feature_vector(spine, t.r_tables, t.r_rows, t.r_cells, {"plate": "plate", "rod": "rod"})
-
-
 @query("b16_infer_dimensions", """
 SELECT r.row_id, 'ENTITY=' || d.entity || CASE WHEN t.context = 'PNL' THEN ';SCOPE=CONTINUING' ELSE '' END || CASE WHEN r.label LIKE '%gear%' THEN ';SEGMENT=' || r.label ELSE '' END AS dimensions
 FROM r_rows r JOIN r_tables t USING (table_id) JOIN r_documents d ON d.doc_id = r.doc_id""")

@@ -55,12 +55,25 @@ def progress_stream(t):
     return K.drained(K.progress_stream(event_stream(t).select((F.col("user_id") % 10).alias("run_id"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"))), checkpoint(t))
 
 
-@query("j1_page_text", "SELECT doc_id, table_id, left(string_agg(label, ' ' ORDER BY row_idx), 2000) AS text FROM r_rows GROUP BY 1, 2")
+WORDS = {"toc": ["cold plate"], "pnl": ["hot rod", "gear"], "sfp": ["bolt"], "oci": ["wheel"], "cfs": ["plate"], "socie": ["see note"], "notes": ["thereof"], "audit": ["31.12"], "report": ["erträge"]}
+
+
+def depths(t):
+    return t.r_rows.withColumns({"depth": F.when(F.col("parent_id").isNull(), 0).otherwise(1), "is_parent": F.col("parent_id").isNull()})
+
+
+@query("j1_page_text", r"""
+WITH c AS (SELECT table_id, row_idx, col_idx, CASE WHEN col_idx = 1 THEN 'about ' || row_idx WHEN col_idx = 2 THEN '1.234 %' END AS text FROM r_cells WHERE col_idx < 3),
+p AS (SELECT t.doc_id, t.page, 1 AS src, t.table_ord::BIGINT AS o, k.col_idx::BIGINT AS a, k.col_idx::BIGINT AS b, header AS x FROM r_columns k JOIN p_tables t USING (table_id) WHERE header IS NOT NULL
+  UNION ALL SELECT t.doc_id, t.page, 2, t.table_ord, r.row_idx, r.row_idx, r.label FROM r_rows r JOIN p_tables t USING (table_id) UNION ALL SELECT t.doc_id, t.page, 3, t.table_ord, c.row_idx, c.col_idx, c.text FROM c JOIN p_tables t USING (table_id) WHERE NOT regexp_matches(c.text, '^[0-9.,\s()%+-]*$')
+  UNION ALL SELECT doc_id, page, 4, 0, ord, ord, text FROM p_elements)
+SELECT doc_id, page, left(string_agg(x, ' ' ORDER BY src, o, a, b, x), 2000) AS text FROM p GROUP BY 1, 2""")
 def page_text(t):
-    return M.page_text(t.r_rows)
+    cells = t.r_cells.where("col_idx < 3").select("table_id", "row_idx", "col_idx", F.when(F.col("col_idx") == 1, F.concat(F.lit("about "), F.col("row_idx").cast("string"))).otherwise("1.234 %").alias("text"))
+    return M.page_text(t.r_rows.select("table_id", "row_idx", "label"), t.p_tables, t.r_columns.drop("doc_id"), t.p_elements, cells)
 
 
-@query("j3_text_features", r"""
+@query("j3b_text_features", r"""
 SELECT doc_id, length(t) AS n_chars, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::INT AS n_words, length(t) - length(replace(t, chr(10), '')) + 1 AS n_lines,
        round(coalesce(length(regexp_replace(t, '[^0-9]', '', 'g')) / nullif(length(t), 0), 0), 6) AS digit_share, round(coalesce(length(regexp_replace(t, '[^A-Z]', '', 'g')) / nullif(length(t), 0), 0), 6) AS capital_share
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
@@ -68,54 +81,139 @@ def text_features(t):
     return M.text_features(t.documents)
 
 
-@query("j4_table_features", """
-SELECT table_id, count(DISTINCT row_idx) AS n_rows, count(DISTINCT col_idx) AS n_cols, round(count(value) / count(*), 6) AS fill, round(avg((value = floor(value))::INT), 6) AS integer_share, round(avg((value < 0)::INT), 6) AS negative_share, max(value) AS largest
-FROM r_cells GROUP BY 1""")
+def flags(text: str, words: dict, prefix: str) -> str:
+    return ", ".join(f"max(contains(lower({text}), '{w}')::INT) AS {prefix}w_{k}_{i}" for k, ws in words.items() for i, w in enumerate(ws))
+
+
+def table_part(words: dict) -> str:
+    return rf"""tr AS (SELECT table_id, count(*) AS n_rows, count(*) FILTER (trim(label) <> '') AS n_labelled, sum(length(trim(label)))::BIGINT AS label_chars, count(*) FILTER (regexp_matches(label, '{M.DOTTED}')) AS n_dotted, count(*) FILTER (regexp_matches(label, '{M.NUMBERED}')) AS n_numbered,
+  max((parent_id IS NOT NULL)::INT) AS max_depth, sum((parent_id IS NOT NULL)::INT)::BIGINT AS sum_depth, count(*) FILTER (parent_id IS NULL) AS n_parents, sum(len(regexp_extract_all(label, '[^\x20\x09-\x0D]+')))::BIGINT AS label_words, {flags("label", words, "")} FROM r_rows GROUP BY 1),
+tk AS (SELECT table_id, count(*) AS n_cols, count(*) FILTER (role = 'VALUE') AS n_value_cols, count(*) FILTER (role = 'LABEL') AS n_label_cols, coalesce(max((role = 'NOTES' OR lower(trim(header)) IN ('note', 'notes', 'anhang', 'anmerkung', 'anmerkungen'))::INT), 0) AS any_note FROM r_columns GROUP BY 1),
+ts AS (SELECT p.doc_id, p.page, p.table_id, p.context, (currency IS NOT NULL)::INT AS any_currency, header_rows AS n_header_rows, abs(r - l) * abs(t - b) AS table_area, tr.* EXCLUDE (table_id), tk.* EXCLUDE (table_id) FROM p_tables p LEFT JOIN tr USING (table_id) LEFT JOIN tk USING (table_id))"""
+
+
+def value_part(key: str) -> str:
+    return f"""vc AS (SELECT c.*, p.doc_id, p.page, p.table_ord FROM r_cells c JOIN p_tables p USING (table_id)), vb AS (SELECT *, lag(value) OVER (PARTITION BY {key} ORDER BY table_ord, row_idx, col_idx) AS before FROM vc WHERE value IS NOT NULL),
+vs AS (SELECT {key}, count(*) AS n_values, count(*) FILTER (value >= 1 AND value <= 500 AND value = floor(value)) AS n_small, max(value) AS max_value, avg(value) AS mean_value, stddev_pop(value) AS std_value, count(*) FILTER (value < 0) AS n_negative, count(before) AS n_steps, count(*) FILTER (value >= before) AS n_up FROM vb GROUP BY ALL),
+vn AS (SELECT {key}, count(*) AS n_cells FROM vc GROUP BY ALL)"""
+
+
+SUMMED = ["n_rows", "n_labelled", "label_chars", "n_dotted", "n_numbered", "sum_depth", "n_parents", "label_words", "n_cols", "n_value_cols", "n_header_rows", "table_area"]
+FLAGS = [f"w_{k}_{i}" for k, ws in WORDS.items() for i in range(len(ws))]
+MOST = ["max_depth", "any_note", "any_currency", *FLAGS]
+LABEL_SQL = ", ".join(f"count(*) FILTER (label = '{v}') AS {k}" for k, v in M.LABELS.items())
+ELEMENTS = ["e_count", *M.LABELS, "e_chars", "e_words", "text_area", "e_page_numbers", "e_short", "e_numeric"]
+VALUES = ["n_cells", "n_values", "n_small", "max_value", "mean_value", "std_value", "n_negative", "n_steps", "n_up"]
+TOC_TYPES = ["PNL", "SFP", "OCI", "CFS", "SOCIE", "NOTES"]
+zero = lambda names: ", ".join(f"coalesce({c}, 0) AS {c}" for c in names)
+PAGE_SUMS = rf"""{table_part(WORDS)}, {value_part("doc_id, page")},
+tp AS (SELECT doc_id, page, count(*) AS n_tables, max(n_cols) AS max_cols, {", ".join(f"sum({c}) AS {c}" for c in SUMMED)}, {", ".join(f"max({c}) AS {c}" for c in MOST)}, {", ".join(f"max(coalesce((context = '{x}')::INT, 0)) AS any_{x.lower()}" for x in ("PNL", "SFP", "CFS"))} FROM ts GROUP BY 1, 2),
+el AS (SELECT doc_id, page, count(*) AS e_count, {LABEL_SQL}, sum(length(text))::BIGINT AS e_chars, sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')))::BIGINT AS e_words, sum(abs(r - l) * abs(t - b)) AS text_area, count(*) FILTER (regexp_matches(text, '{M.PAGE_NUMBER}')) AS e_page_numbers,
+  count(*) FILTER (length(trim(text)) BETWEEN 1 AND 49) AS e_short, count(*) FILTER (trim(text) <> '' AND length(regexp_replace(text, '[^0-9]', '', 'g')) / greatest(length(text), 1) > 0.3) AS e_numeric, {flags("text", WORDS, "e")} FROM p_elements GROUP BY 1, 2),
+tc AS (SELECT doc_id, page, {", ".join(f"max((type = '{x}')::INT) AS toc_{x.lower()}" for x in TOC_TYPES)} FROM (SELECT doc_id, (row_idx * 3 + doc_id % 5)::INT AS page, CASE row_idx % 3 WHEN 0 THEN 'PNL' WHEN 1 THEN 'NOTES' ELSE 'SFP' END AS type FROM r_rows WHERE table_id % 4 = 0 AND row_idx > 0) GROUP BY 1, 2),
+ps AS (SELECT p.doc_id, p.page, p.n_pages, p.width, p.height, {zero(["n_tables", "max_cols", *SUMMED, *[m for m in MOST if m not in FLAGS], "any_pnl", "any_sfp", "any_cfs", *VALUES, *ELEMENTS, *[f"toc_{x.lower()}" for x in TOC_TYPES]])},
+  {", ".join("(" + " + ".join(f"greatest(coalesce(w_{k}_{i}, 0), coalesce(ew_{k}_{i}, 0))" for i in range(len(ws))) + f") AS kw_{k}" for k, ws in WORDS.items())}
+  FROM p_pages p LEFT JOIN tp USING (doc_id, page) LEFT JOIN vn USING (doc_id, page) LEFT JOIN vs USING (doc_id, page) LEFT JOIN el USING (doc_id, page) LEFT JOIN tc USING (doc_id, page))"""
+
+
+def made(wanted: dict) -> str:
+    return ", ".join(f"{x} AS {n}" for n, x in wanted.items())
+
+
+def sums(t):
+    r = F.col("row_idx")
+    toc = t.r_rows.where("table_id % 4 = 0 and row_idx > 0").select("doc_id", (r * 3 + F.col("doc_id") % 5).cast("int").alias("page"), F.when(r % 3 == 0, "PNL").when(r % 3 == 1, "NOTES").otherwise("SFP").alias("type"))
+    return M.page_sums(t.p_pages, t.p_tables, depths(t), t.r_cells, t.r_columns, t.p_elements, toc, WORDS)
+
+
+@query("j2_page_features", f"WITH {PAGE_SUMS} SELECT doc_id, page, {made(M.PAGE_FEATURES)} FROM ps")
+def page_feature_vector(t):
+    return M.features(sums(t), ["doc_id", "page"], M.PAGE_FEATURES)
+
+
+@query("j3_page_structure", f"WITH {PAGE_SUMS} SELECT doc_id, page, {made(M.STRUCTURE_FEATURES)} FROM ps")
+def page_structure(t):
+    return M.features(sums(t), ["doc_id", "page"], M.STRUCTURE_FEATURES)
+
+
+@query("j3b_page_layout", f"WITH {PAGE_SUMS} SELECT doc_id, page, {made(M.LAYOUT_FEATURES)} FROM ps")
+def page_layout(t):
+    return M.features(sums(t), ["doc_id", "page"], M.LAYOUT_FEATURES)
+
+
+STATEMENT_WORDS = ["hot rod", "gear", "bolt"]
+TABLE_COLUMNS = [c for c in ["n_rows", "n_cols", "n_value_cols", "n_label_cols", "any_note", "n_numbered", "n_labelled", "label_chars", "n_dotted", *[f"w_s_{i}" for i in range(3)]]]
+
+
+@query("j4_table_features", f"""
+WITH {table_part({"s": STATEMENT_WORDS})}, {value_part("table_id")}, j AS (SELECT doc_id, page, table_id, n_header_rows, any_currency, {zero([*TABLE_COLUMNS, *VALUES])} FROM ts LEFT JOIN vn USING (table_id) LEFT JOIN vs USING (table_id)), k AS (SELECT *, w_s_0 + w_s_1 + w_s_2 AS kw FROM j)
+SELECT doc_id, table_id, {made(M.TABLE_FEATURES)} FROM k""")
 def table_features(t):
-    return M.table_features(t.r_cells)
+    return M.table_features(t.p_tables, depths(t), t.r_cells, t.r_columns, STATEMENT_WORDS)
+
 
+@query("j5_tfidf_features", r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '([\p{L}]+)', 1)) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2),
+top AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2 ORDER BY df DESC, encode(term) LIMIT 2000)
+SELECT doc_id, term, round((1 + ln(tf)) * (ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1), 6) AS weight FROM tf JOIN top USING (term)""")
+def tfidf_features(t):
+    return M.tfidf_features(t.documents.select("doc_id", "text"))
 
-@query("j6_balance_classes")
+
+@query("j6_balance_classes", """
+WITH l AS (SELECT toxic, doc_id FROM labels WHERE toxic IS NOT NULL), s AS (SELECT toxic, count(*) AS n FROM l GROUP BY 1), r AS (SELECT l.*, greatest(least((SELECT max(n) FROM s), 500) / n, 1) AS rate, ('0x' || substr(md5(doc_id::VARCHAR), 1, 5))::BIGINT / 1048576 AS chance FROM l JOIN s USING (toxic))
+SELECT toxic, doc_id, unnest(range(1, (floor(rate) + CASE WHEN chance < rate - floor(rate) THEN 1 ELSE 0 END)::BIGINT + 1))::INT AS copy FROM r""")
 def balance_classes(t):
     labels = t.labels.where("toxic is not null").select("doc_id", "toxic")
     return M.balance_classes(labels, "toxic")
 
 
+def held_out(key: str):
+    """A third of the rows, by a digest of the key: what no model is trained on."""
+    return F.crc32(F.col(key).cast("string")) % 3 == 0
+
+
 @query("j7_page_classifier")
 def page_classifier(t):
+    """Languages of documents from the features of their texts: trained on two thirds, the three best classes of the others."""
     d = M.text_features(t.documents).join(t.documents.select("doc_id", "lang"), "doc_id").where("lang is not null")
-    model = M.train_page_classifier(d, ["n_chars", "n_words", "n_lines", "digit_share", "capital_share"], "lang")
-    return M.top_k_predictions(model.transform(d), ["doc_id"], 3)
+    model = M.train_page_classifier(d.where(~held_out("doc_id")), ["n_chars", "n_words", "n_lines", "digit_share", "capital_share"], "lang")
+    return M.top_k_predictions(model.transform(d.where(held_out("doc_id"))), ["doc_id"], 3)
+
+
+@query("e11_top_k_predictions", """
+WITH s AS (SELECT o_orderkey, unnest([o_orderkey % 7 / 10, o_custkey % 5 / 10, o_orderkey % 11 / 20, 0.25, o_custkey % 3 / 10, 0.1]) AS p, unnest(range(6)) AS cls FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY p DESC, cls) AS rank FROM s)
+SELECT o_orderkey, rank::INT AS rank, cls::INT AS cls, round(p, 4)::DOUBLE AS score FROM r WHERE rank <= 5""")
+def top_k_predictions(t):
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    p = F.array(o % 7 / 10, c % 5 / 10, o % 11 / 20, F.lit(0.25), c % 3 / 10, F.lit(0.1))
+    return M.top_k_predictions(t.orders.select("o_orderkey", p.alias("probability")), ["o_orderkey"], 5)
 
 
 @query("j8_leave_one_out")
 def leave_one_out(t):
-    d = t.documents.select("doc_id", "text").join(t.labels.where("quality is not null").select("doc_id", "quality"), "doc_id").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(3)))
+    """Quality of documents, out of fold: the folds are whole sources, four groups of them."""
+    d = t.documents.select("doc_id", "text", F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(4)).alias("fold")).join(t.labels.where("quality is not null").select("doc_id", "quality"), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
     return M.leave_one_out(d, "fold", lambda x: M.text_classifier(x, "quality")).select("doc_id", "fold", "quality", F.col("prediction").cast("int").alias("predicted"))
 
 
 @query("j9_embedding_classifier")
 def embedding_classifier(t):
-    from pyspark.ml.functions import array_to_vector
-
+    """Classes of vectors, joined with their length and mean: trained on two thirds, predicted for the others."""
+    total = lambda f: F.aggregate(F.transform("embedding", f), F.lit(0.0), lambda a, x: a + x)
     e = t.embeddings.where("label is not null").select("vec_id", "embedding", F.col("label").cast("double").alias("label"))
-    model = M.embedding_classifier(e, "label")
-    return model.transform(e.withColumn("x", array_to_vector("embedding"))).select("vec_id", "label", "prediction")
+    e = e.withColumns({"norm": F.sqrt(total(lambda v: v.cast("double") * v)), "mean": total(lambda v: v.cast("double")) / F.size("embedding")})
+    model = M.embedding_classifier(e.where(~held_out("vec_id")), "label", ["norm", "mean"])
+    return model.transform(M.joined_vectors(e.where(held_out("vec_id")), ["norm", "mean"])).select("vec_id", "label", "prediction")
 
 
 @query("j10_layout_grid", """
-WITH b AS (SELECT l_orderkey AS page_id, l_returnflag AS kind, l_discount * 5 AS x0, l_tax * 5 AS y0, least(l_discount * 5 + 0.25, 1) AS x1, least(l_tax * 5 + 0.125, 1) AS y1 FROM lineitem WHERE l_orderkey % 20 = 0),
-c AS (SELECT page_id, kind, least(greatest(floor(x0 * 48)::INT, 0), 47) AS xa, least(greatest(ceil(x1 * 48)::INT - 1, 0), 47) AS xb, least(greatest(floor(y0 * 64)::INT, 0), 63) AS ya, least(greatest(ceil(y1 * 64)::INT - 1, 0), 63) AS yb FROM b),
-r AS (SELECT page_id, kind, xa, greatest(xa, xb) AS xb, unnest(range(ya, greatest(ya, yb) + 1))::INT AS gy FROM c)
-SELECT DISTINCT page_id, kind, gy, unnest(range(xa, xb + 1))::INT AS gx FROM r""")
+WITH b AS (SELECT l_orderkey AS page_id, l_returnflag AS kind, l_discount * 5 AS x0, l_tax * 5 AS y0, least(l_discount * 5 + 0.25, 1) AS x1, least(l_tax * 5 + 0.125, 1) AS y1 FROM lineitem),
+c AS (SELECT DISTINCT page_id, kind, least(greatest(floor(x0 * 48)::INT, 0), 47) AS xa, least(greatest(ceil(x1 * 48)::INT - 1, 0), 47) AS xb, least(greatest(floor(y0 * 64)::INT, 0), 63) AS ya, least(greatest(ceil(y1 * 64)::INT - 1, 0), 63) AS yb FROM b),
+r AS (SELECT page_id, kind, xa, greatest(xa, xb) AS xb, unnest(range(ya, greatest(ya, yb) + 1))::INT AS gy FROM c), u AS (SELECT DISTINCT page_id, kind, gy, unnest(range(xa, xb + 1))::INT AS gx FROM r)
+SELECT page_id, kind, gy, count(*) AS n_cells, bit_or((1::BIGINT << gx)) AS cells FROM u GROUP BY 1, 2, 3""")
 def layout_grid(t):
-    return M.layout_grid(boxes(t.lineitem.where("l_orderkey % 20 = 0")))
-
-
-@query("j10b_layout_grid_all")
-def layout_grid_all(t):
-    """J10 over every page; the twin of j10 is bound to one page in twenty."""
-    return M.layout_grid(boxes(t.lineitem))
+    return M.layout_rows(M.layout_grid(boxes(t.lineitem)))
 
 
 def boxes(lines):

@@ -85,6 +85,16 @@ FROM {r_cells} WHERE value IS NOT NULL""",
     "l_index": """
 SELECT DISTINCT p_type || '.' || p_name AS concept_id, lower(p_name) AS label, 1 AS precedence FROM {part} WHERE p_partkey % 3 = 0
 UNION ALL SELECT DISTINCT 'ACC.' || p_name, lower(p_name), 2 FROM {part}""",
+    # pages: 600 by 800 points, with tables and text elements in boxes
+    "p_pages": "SELECT doc_id, n_pages, CAST(page AS INT) AS page, 600.0 AS width, 800.0 AS height FROM (SELECT doc_id, n_pages, explode(sequence(1, n_pages)) AS page FROM {r_documents})",
+    "p_tables": """
+SELECT doc_id, table_id, table_ord, page_no AS page, context, unit AS currency, CAST(table_id % 3 AS INT) AS header_rows,
+       CAST(table_id % 50 AS DOUBLE) AS l, CAST(250 + table_id % 200 AS DOUBLE) AS r, CAST(table_id % 90 AS DOUBLE) AS b, CAST(120 + table_id % 300 AS DOUBLE) AS t FROM {r_tables}""",
+    "p_elements": """
+SELECT l.doc_id, t.page_no AS page, l.row_id AS ord, CASE l.row_idx % 7 WHEN 0 THEN 'section_header' WHEN 1 THEN 'list_item' WHEN 2 THEN 'footnote' WHEN 3 THEN 'page_header' WHEN 4 THEN 'caption' ELSE 'text' END AS label,
+       CASE WHEN l.row_id % 5 = 0 THEN l.raw || ' ..... ' || CAST(l.row_id % 90 AS STRING) WHEN l.row_id % 7 = 0 THEN '12 345 678 x' ELSE l.raw END AS text,
+       CAST(l.row_id % 200 AS DOUBLE) AS l, CAST(300 + l.row_id % 250 AS DOUBLE) AS r, CAST(l.row_idx * 20 AS DOUBLE) AS b, CAST(l.row_idx * 20 + 12 AS DOUBLE) AS t
+FROM {l_labels} l JOIN {r_tables} t ON t.table_id = l.table_id""",
     # timelines: one document for each conversation, one page marker for each turn
     "t_transitions": """
 SELECT DISTINCT conv_id AS doc_id, CAST(turn * 3 + 1 AS INT) AS page, CASE role WHEN 'user' THEN 'NOTES' WHEN 'assistant' THEN 'PNL' ELSE 'TOC' END AS section_type
@@ -133,10 +143,11 @@ def oracle(sql: str) -> str:
                 need(x)
             order.append(name)
 
+    shape = lambda name: SHAPES[name].replace("explode(sequence(1, n_pages))", "unnest(range(1, n_pages + 1))")
     for name in SHAPES:
         if re.search(rf"\b{name}\b", sql):
             need(name)
-    parts = [f"{name} AS MATERIALIZED ({re.sub(r'[{](\w+)[}]', r'\1', SHAPES[name])})" for name in order]
+    parts = [f"{name} AS MATERIALIZED ({re.sub(r'[{](\w+)[}]', r'\1', shape(name))})" for name in order]
     sql = sql.strip()
     recursive = "RECURSIVE " if re.match(r"WITH RECURSIVE\b", sql, re.I) else ""
     if m := re.match(r"WITH (?:RECURSIVE )?", sql, re.I):
