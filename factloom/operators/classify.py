@@ -15,6 +15,41 @@ def keyword_rules(text: Column, rules: list[tuple[str, str]]) -> Column:
     return out
 
 
+#: (block, field, pattern, context), tried in this order. Fields: the labels' first ten, all labels, the column headers, the first label; lower-cased.
+RULES = [
+    (1, "first10", "total assets|summe (?:der )?aktiva|bilanzsumme", "SFP"), (1, "first10", "non-current assets|langfristige vermögenswerte|anlagevermögen", "SFP"), (1, "first10", "equity and liabilities|eigenkapital und schulden|passiva", "SFP"),
+    (1, "first10", "cash flows? from operating|kapitalfluss aus|geldfluss aus|cashflow aus", "CFS"), (1, "all", "cash and cash equivalents at (?:the )?(?:beginning|end)|finanzmittel(?:bestand)? am", "CFS"),
+    (1, "first10", "items that (?:may|will)(?: not)? be reclassified|umgegliedert", "OCI"), (1, "first10", "other comprehensive income|sonstiges ergebnis", "OCI"), (1, "first10", "comprehensive income for the (?:year|period)|gesamtergebnis", "OCI"),
+    (1, "first10", "^revenue|umsatzerlöse|net sales", "PNL"), (1, "first10", "cost of (?:sales|materials)|materialaufwand|herstellungskosten", "PNL"), (1, "all", "earnings per share|ergebnis je aktie", "PNL"), (1, "all", "profit before tax|ergebnis vor (?:ertrag)?steuern", "PNL"),
+    (2, "headers", "share capital.*(?:retained|reserves)|grundkapital.*rücklagen", "SOCIE"), (2, "all", "balance (?:at|as of) 1 january.*dividend|stand (?:am )?1[.]1[.].*dividende", "SOCIE"), (2, "headers", "non-controlling interests.*total equity", "SOCIE"),
+    (2, "all", "land and buildings|grundstücke und bauten|technische anlagen", "DISC.PPE"), (2, "all", "goodwill.*(?:brands|customer|licen[cs]es)|firmenwert", "DISC.INTANGIBLES"), (2, "all", "right-of-use|nutzungsrecht|lease liabilit", "DISC.LEASES"),
+    (2, "all", "deferred tax|latente steuer", "DISC.TAX"), (2, "all", "defined benefit|abfertigung|pensionsrückstellung", "DISC.EMPLOYEE"), (2, "all", "provisions? for|rückstellungen für", "DISC.PROVISIONS"), (2, "all", "raw materials|finished goods|vorräte|fertige erzeugnisse", "DISC.INVENTORIES"),
+    (2, "all", "trade receivables|forderungen aus lieferungen", "DISC.RECEIVABLES"), (2, "all", "associates?|joint ventures?|at equity", "DISC.ASSOCIATES"), (2, "all", "level [123]|fair value hierarch|stufe [123]", "DISC.FIN_INST"), (2, "all", "bonds?|anleihen|bank loans", "DISC.BORROWINGS"),
+    (2, "all", "wages|salaries|löhne|gehälter", "DISC.PERSONNEL"), (2, "all", "weighted average number of shares|durchschnittliche anzahl", "DISC.EPS"), (2, "all", "audit fees|prüfungshonorar", "DISC.AUDIT_FEES"),
+    (3, "headers", "segment|eliminations?|konsolidierung", "DISC.SEGMENTS"), (3, "headers", "up to 1 year.*(?:5 years|over)|bis 1 jahr.*über 5", "DISC.MATURITY"), (3, "headers", "carrying amount.*fair value|buchwert.*zeitwert", "DISC.FIN_INST"), (3, "headers", "acquisition cost.*depreciation|anschaffungskosten.*abschreibung", "DISC.PPE"),
+    (3, "first", "^notes?$|^anhang", "NOTES"), (3, "first", "^equity|^eigenkapital", "SFP"), (3, "first", "^operating result|^betriebsergebnis", "PNL"),
+]
+
+
+def table_texts(rows: DataFrame, columns: DataFrame, cells: DataFrame) -> DataFrame:
+    """The lower-cased texts that rules look at, and whether the table has values."""
+    in_order = F.transform(F.array_sort(F.collect_list(F.struct("row_idx", F.lower("label").alias("l")))), lambda x: x["l"])
+    r = rows.groupBy("table_id").agg(in_order.alias("l"))
+    r = r.select("table_id", F.array_join(F.slice("l", 1, 10), " ").alias("first10"), F.array_join("l", " ").alias("all"), F.get("l", F.lit(0)).alias("first"))
+    h = columns.where("header is not null").groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", F.lower("header").alias("h")))), lambda x: x["h"]), " ").alias("headers"))
+    v = cells.where("value is not null").select("table_id").distinct().withColumn("has_values", F.lit(True))
+    return r.join(h, "table_id", "left").join(v, "table_id", "left").fillna("", ["headers"]).fillna(False, ["has_values"])
+
+
+def keyword_blocks(texts: DataFrame, rules: list[tuple[int, str, str, str]] = RULES) -> DataFrame:
+    """The context of the first rule that fits; a table without values gets no further than the first block. One generated chain of tests for all rules."""
+    out = F.lit(None).cast("string")
+    for block, field, pattern, context in reversed(rules):
+        test = F.col(field).rlike(pattern)
+        out = F.when(test & (F.lit(block == 1) | F.col("has_values")), context).otherwise(out)
+    return texts.select("table_id", out.alias("context"))
+
+
 def classify_tables(tables: DataFrame, toc: DataFrame, votes: DataFrame, paths: DataFrame, texts: DataFrame, rules: list[tuple[str, str]], reclassify: bool = False) -> DataFrame:
     """I8: a table's class from the first of: its present class, the section of its page, note votes, its section path, keyword rules.
     All inputs but tables have at most one row for each table_id. With reclassify, only human decisions (method 'human') stay."""

@@ -6,11 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def edge_dim(edges: DataFrame, targets: DataFrame) -> DataFrame:
-    """Declared edges, and disaggregation targets of concepts that no edge covers. targets: concept_id, context, detail."""
+#: The families of declared relationships and the edge types that they become. Fixed values.
+FAMILIES = {"summation_trees": "SUMMATION", "disaggregations": "DISAGGREGATION", "cross_statement_ties": "CROSS_STATEMENT_TIE", "intercompany": "IC_DECOMPOSITION", "note_ties": "NOTE_TO_FACE", "ratios": "DIVISION"}
+
+
+def edge_dim(relations: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges (edge_name, edge_type, context, concept_id, other_context) and their members (edge_name, role, ord, concept_id).
+    relations: family, edge_name, context, concept_id, other_context, expression: one concept, "SUM(a, b)" or a list "a, b" in order. Targets (concept_id, context, detail)
+    become edges where no disaggregation covers the concept and its detail context yet."""
+    kind = F.lit(None).cast("string")
+    for family, name in FAMILIES.items():
+        kind = F.when(F.col("family") == family, name).otherwise(kind)
+    r = relations.withColumn("edge_type", kind).where("edge_type is not null")
+    edges = r.select("edge_name", "edge_type", "context", "concept_id", "other_context")
     covered = edges.where("edge_type = 'DISAGGREGATION'").select("concept_id", F.col("other_context").alias("detail"))
     more = targets.join(covered, ["concept_id", "detail"], "left_anti")
-    return edges.select("edge_name", "edge_type", "concept_id").unionByName(more.select(F.concat_ws("_", "concept_id", "detail").alias("edge_name"), F.lit("DISAGGREGATION").alias("edge_type"), "concept_id"))
+    edges = edges.unionByName(more.select(F.concat_ws("_", "concept_id", "detail").alias("edge_name"), F.lit("DISAGGREGATION").alias("edge_type"), "context", "concept_id", F.col("detail").alias("other_context")))
+    inner = F.coalesce(F.nullif(F.regexp_extract("expression", r"^\s*SUM\((.*)\)\s*$", 1), F.lit("")), F.col("expression"))
+    parts = r.select("edge_name", F.posexplode(F.split(inner, ",")).alias("ord", "concept_id")).select("edge_name", F.lit("member").alias("role"), (F.col("ord") + 1).alias("ord"), F.trim("concept_id").alias("concept_id"))
+    head = edges.select("edge_name", F.lit("head").alias("role"), F.lit(0).alias("ord"), "concept_id")
+    return edges, head.unionByName(parts.where("concept_id <> ''"))
 
 
 def neighborhood(members: DataFrame, start: str, depth: int = 1) -> DataFrame:
@@ -47,3 +62,33 @@ def ontology_stats(edges: DataFrame, members: DataFrame) -> DataFrame:
     """Edges and members by type."""
     m = members.groupBy("edge_name").agg(F.count(F.lit(1)).alias("n_members"))
     return edges.join(m, "edge_name", "left").groupBy("edge_type").agg(F.count(F.lit(1)).alias("n_edges"), F.sum(F.coalesce("n_members", F.lit(0))).alias("n_members"), F.count_distinct("concept_id").alias("n_concepts"))
+
+
+def context_overview(edges: DataFrame) -> DataFrame:
+    """C17: how many edges of each type link two contexts, in either direction. edges: edge_type, context, other_context."""
+    e = edges.where("context <> other_context").select("edge_type", F.least("context", "other_context").alias("c1"), F.greatest("context", "other_context").alias("c2"))
+    return e.groupBy("edge_type", "c1", "c2").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+#: C17: primary contexts in the order in which a disclosure prefers them. Fixed values.
+PREFERENCE = ("SFP", "PNL", "CFS", "OCI", "SOCIE")
+
+
+def disclosure_parent(edges: DataFrame) -> DataFrame:
+    """C17: the primary statement of each disclosure context: the most preferred one that an edge links it with."""
+    both = edges.select("context", "other_context").unionByName(edges.select(F.col("other_context").alias("context"), F.col("context").alias("other_context")))
+    rank = F.array_position(F.array(*map(F.lit, PREFERENCE)), F.col("other_context"))
+    links = both.where(F.col("context").startswith("DISC.") & (rank > 0))
+    return links.groupBy("context").agg(F.min_by("other_context", rank).alias("parent"), F.count(F.lit(1)).alias("n_edges"))
+
+
+def context_counts(concepts: DataFrame) -> DataFrame:
+    """Concepts of each context. concepts: concept_id, context."""
+    return concepts.groupBy("context").agg(F.count_distinct("concept_id").alias("n_concepts"))
+
+
+def concept_detail(members: DataFrame) -> DataFrame:
+    """Each concept's edges and the other members of them."""
+    m = members.select("edge_name", "concept_id").distinct()
+    others = m.join(m.select("edge_name", F.col("concept_id").alias("other")), "edge_name").where("concept_id <> other").groupBy("concept_id").agg(F.array_join(F.array_sort(F.collect_set("other")), ",").alias("others"))
+    return m.groupBy("concept_id").agg(F.count(F.lit(1)).alias("n_edges")).join(others, "concept_id", "left").fillna("", ["others"])

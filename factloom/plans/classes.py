@@ -30,6 +30,28 @@ def keyword_rules(t):
     return texts(t).select("table_id", C.keyword_rules(F.col("text"), RULES).alias("context"))
 
 
+WORDED = """wd AS (SELECT table_id, row_idx, CASE (table_id * 7 + row_idx) % 23 WHEN 0 THEN 'Revenue from sales' WHEN 1 THEN 'Total assets' WHEN 2 THEN 'Cash flow from operating activities' WHEN 3 THEN 'Latente Steuern' WHEN 4 THEN 'Goodwill and brands' WHEN 5 THEN 'Lease liabilities' WHEN 6 THEN 'Löhne' WHEN 7 THEN 'Bank loans'
+  WHEN 8 THEN 'Sonstiges Ergebnis' WHEN 9 THEN 'Ergebnis je Aktie' WHEN 10 THEN 'Level 2' WHEN 11 THEN 'Rückstellungen für Prozesse' ELSE label END AS label FROM r_rows WHERE table_id % 3 > 0 OR row_idx = 0),
+hd AS (SELECT table_id, col_idx, CASE WHEN table_id % 9 = 1 AND col_idx = 2 THEN 'Segment A' WHEN table_id % 9 = 4 AND col_idx = 1 THEN 'Carrying amount' WHEN table_id % 9 = 4 AND col_idx = 2 THEN 'Fair value' ELSE header END AS header FROM r_columns)"""
+
+
+def worded(t):
+    words = ["Revenue from sales", "Total assets", "Cash flow from operating activities", "Latente Steuern", "Goodwill and brands", "Lease liabilities", "Löhne", "Bank loans", "Sonstiges Ergebnis", "Ergebnis je Aktie", "Level 2", "Rückstellungen für Prozesse"]
+    k, n = (F.col("table_id") * 7 + F.col("row_idx")) % 23, F.col("table_id") % 9
+    label = F.coalesce(F.get(F.array(*map(F.lit, words)), k.cast("int")), F.col("label"))
+    rows = t.r_rows.where("table_id % 3 > 0 or row_idx = 0").select("table_id", "row_idx", label.alias("label"))
+    header = F.when((n == 1) & (F.col("col_idx") == 2), "Segment A").when((n == 4) & (F.col("col_idx") == 1), "Carrying amount").when((n == 4) & (F.col("col_idx") == 2), "Fair value").otherwise(F.col("header"))
+    return C.table_texts(rows, t.r_columns.select("table_id", "col_idx", header.alias("header")), t.r_cells.where("table_id % 5 > 0"))
+
+
+@query("i8b_keyword_blocks", f"""
+WITH {WORDED}, l AS (SELECT table_id, list(lower(label) ORDER BY row_idx) AS l FROM wd GROUP BY 1), h AS (SELECT table_id, string_agg(lower(header), ' ' ORDER BY col_idx) AS headers FROM hd WHERE header IS NOT NULL GROUP BY 1),
+x AS (SELECT table_id, array_to_string(l[1:10], ' ') AS first10, array_to_string(l, ' ') AS "all", l[1] AS first, coalesce(headers, '') AS headers, table_id IN (SELECT table_id FROM r_cells WHERE value IS NOT NULL AND table_id % 5 > 0) AS has_values FROM l LEFT JOIN h USING (table_id))
+SELECT table_id, CASE {" ".join(f"WHEN regexp_matches({chr(34)}{f}{chr(34)}, '{p}'){'' if b == 1 else ' AND has_values'} THEN '{c}'" for b, f, p, c in C.RULES)} END AS context FROM x""")
+def keyword_blocks(t):
+    return C.keyword_blocks(worded(t))
+
+
 @query("i8_classify_tables", f"""
 WITH {TEXT}, {RSEC}, toc AS (SELECT t.table_id, arg_min(section_type, start_page) AS c FROM r_tables t JOIN rs ON rs.doc_id = t.doc_id AND t.page_no BETWEEN start_page AND end_page WHERE t.table_id % 3 = 0 AND section_type <> 'NOTES' GROUP BY 1),
 j AS (SELECT t.doc_id, t.table_id, context, toc.c AS a, CASE WHEN t.table_id % 7 = 0 THEN 'DISC.PPE' END AS b, CASE WHEN t.table_id % 5 = 0 THEN 'OCI' END AS d, {RULE_SQL} AS e FROM r_tables t LEFT JOIN toc USING (table_id) LEFT JOIN tx USING (table_id))
@@ -278,6 +300,65 @@ def scratch(t, name: str) -> str:
     return f"{(base or tempfile.mkdtemp(prefix='factloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def graph_files(t) -> str:
+    """A nested JSON file for each document (a customer), as extraction writes them."""
+    text = F.col("value").cast("string")
+    cells = t.r_cells.groupBy("table_id", "row_id").agg(F.array_sort(F.collect_list(F.struct(F.col("col_idx").alias("colIdx"), text.alias("text"), F.col("value").alias("parsedValue"), (F.col("value") < 0).alias("isNegative")))).alias("cells"))
+    tag = F.when(F.col("tag").isNotNull(), F.struct(F.col("tag").alias("conceptId"), F.lit("label").alias("method"), F.lit(0.8).alias("confidence")))
+    rows = t.r_rows.join(cells, ["table_id", "row_id"], "left").groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct(
+        F.col("row_idx").alias("rowIdx"), F.col("row_id").cast("string").alias("rowId"), "label", F.col("row_type").alias("rowType"), F.col("parent_id").cast("string").alias("parentId"), "cells", tag.alias("preTagged")))).alias("rows"))
+    columns = t.r_columns.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct(F.col("col_idx").alias("colIdx"), "role", F.col("header").alias("headerLabel")))).alias("columns"))
+    meta = F.struct(F.col("context").alias("statementComponent"), F.col("unit").alias("detectedUnit"), F.col("sign_convention").alias("signConvention"))
+    tables = t.r_tables.join(rows, "table_id").join(columns, "table_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("table_ord", F.col("table_id").cast("string").alias("tableId"), F.col("page_no").alias("pageNo"), meta.alias("metadata"), "columns", "rows"))).alias("tables"))
+    path = scratch(t, "graphs")
+    docs = t.r_documents.select("doc_id", "gaap").join(tables, "doc_id").withColumnRenamed("doc_id", "doc")
+    docs.repartition("doc").write.partitionBy("doc").json(path)
+    return path
+
+
+def shredded(t):
+    from ..sources.reports import read_table_graphs, shred_table_graphs
+
+    nested = read_table_graphs(t.spark, graph_files(t) + "/*")
+    return nested.withColumn("doc_id", F.regexp_replace("doc_id", "^doc=", "").cast("long")), shred_table_graphs
+
+
+@query("a1_read_table_graphs", "SELECT d.doc_id, gaap, count(*)::INT AS n_tables FROM r_documents d JOIN r_tables t USING (doc_id) GROUP BY 1, 2")
+def read_graphs(t):
+    return shredded(t)[0].select("doc_id", "gaap", F.size("tables").alias("n_tables"))
+
+
+@query("a2_shred_cells", "SELECT r.doc_id, r.table_id, r.row_id, c.col_idx, c.value FROM r_rows r LEFT JOIN r_cells c ON c.row_id = r.row_id AND c.table_id = r.table_id")
+def shred_cells(t):
+    nested, shred = shredded(t)
+    return shred(nested)["cells"].select("doc_id", F.col("table_id").cast("long").alias("table_id"), F.col("row_id").cast("long").alias("row_id"), "col_idx", F.col("parsed_value").alias("value"))
+
+
+@query("a2_shred_rows", "SELECT r.doc_id, r.table_id, t.table_ord - 1 AS table_ord, r.row_id, r.row_idx, r.label, r.parent_id, r.tag, t.context FROM r_rows r JOIN r_tables t USING (table_id)")
+def shred_rows(t):
+    nested, shred = shredded(t)
+    x = shred(nested)
+    tags = x["tags"].select("doc_id", "table_id", "row_id", F.col("concept_id").alias("tag"))
+    r = x["rows"].join(tags, ["doc_id", "table_id", "row_id"], "left").join(x["tables"].select("doc_id", "table_id", "table_ord", F.col("metadata.statementComponent").alias("context")), ["doc_id", "table_id"])
+    return r.select("doc_id", F.col("table_id").cast("long").alias("table_id"), "table_ord", F.col("row_id").cast("long").alias("row_id"), "row_idx", "label", F.col("parent_id").cast("long").alias("parent_id"), "tag", "context")
+
+
+@query("a7_read_trial_balance", """
+SELECT o_orderkey::VARCHAR AS account, 'Order ' || o_orderkey AS name, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE 0 END AS debit, CASE WHEN o_orderkey % 2 = 1 THEN o_totalprice ELSE 0 END AS credit, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE -o_totalprice END AS balance FROM orders""")
+def trial_balance(t):
+    from ..sources.reports import read_trial_balance
+
+    european = lambda v: F.translate(F.format_number(v, 2), ",.", ".,")
+    even, price = F.col("o_orderkey") % 2 == 0, F.round("o_totalprice", 2)
+    path = scratch(t, "ledger")
+    none = F.lit("–")
+    t.orders.select(
+        F.col("o_orderkey").alias("Konto"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("Bezeichnung"), F.when(even, european(price)).otherwise(none).alias("Soll"), F.when(~even, european(price)).otherwise(none).alias("Haben"),
+        F.when(even, european(price)).otherwise(F.concat(F.lit("-"), european(price))).alias("Saldo"),
+    ).write.csv(path, sep=";", header=True)
+    return read_trial_balance(t.spark, path)
+
+
 @query("a8_event_log", "SELECT event_id, user_id, event_type, value FROM events")
 def event_log(t):
     from ..sources.reports import append_log, read_event_log

@@ -127,13 +127,64 @@ def emit_votes(t):
     return A.emit_tag_events(A.tag_label_match(t.r_rows, t.r_tables, index(t)), "rule")[1]
 
 
-@query("a6_edge_dim", """
-WITH tg AS (SELECT DISTINCT p_type AS concept_id, 'PNL' AS context, 'DISC.' || CASE WHEN p_size % 2 = 0 THEN 'SEGMENTS' ELSE 'PPE' END AS detail FROM part)
-SELECT edge_name, edge_type, concept_id FROM r_edges UNION ALL SELECT concept_id || '_' || detail, 'DISAGGREGATION', concept_id FROM tg
-WHERE NOT EXISTS (SELECT 1 FROM r_edges e WHERE e.edge_type = 'DISAGGREGATION' AND e.concept_id = tg.concept_id AND e.other_context = tg.detail)""")
+RELATIONS = """rel AS (SELECT CASE p_size % 7 WHEN 0 THEN 'summation_trees' WHEN 1 THEN 'disaggregations' WHEN 2 THEN 'cross_statement_ties' WHEN 3 THEN 'intercompany' WHEN 4 THEN 'note_ties' WHEN 5 THEN 'ratios' ELSE 'comments' END AS family, p_brand || '_' || p_size AS edge_name, 'PNL' AS context,
+  min(p_type) AS concept_id, CASE WHEN p_size % 2 = 0 THEN 'DISC.SEGMENTS' ELSE 'DISC.PPE' END AS other_context, CASE WHEN p_size % 3 = 0 THEN 'SUM(' || string_agg(DISTINCT p_name, ', ' ORDER BY p_name) || ')' WHEN p_size % 3 = 1 THEN string_agg(DISTINCT p_name, ', ' ORDER BY p_name) ELSE min(p_name) END AS expression FROM part GROUP BY p_brand, p_size),
+ft(family, edge_type) AS (VALUES ('summation_trees', 'SUMMATION'), ('disaggregations', 'DISAGGREGATION'), ('cross_statement_ties', 'CROSS_STATEMENT_TIE'), ('intercompany', 'IC_DECOMPOSITION'), ('note_ties', 'NOTE_TO_FACE'), ('ratios', 'DIVISION')),
+tg AS (SELECT DISTINCT p_type AS concept_id, 'PNL' AS context, 'DISC.' || CASE WHEN p_size % 2 = 0 THEN 'SEGMENTS' ELSE 'TAX' END AS detail FROM part),
+ed AS (SELECT edge_name, edge_type, context, concept_id, other_context FROM rel JOIN ft USING (family) UNION ALL SELECT concept_id || '_' || detail, 'DISAGGREGATION', context, concept_id, detail FROM tg
+  WHERE NOT EXISTS (SELECT 1 FROM rel WHERE family = 'disaggregations' AND rel.concept_id = tg.concept_id AND rel.other_context = tg.detail))"""
+
+
+def edges_and_members(t):
+    k = F.col("p_size") % 7
+    family = F.when(k == 0, "summation_trees").when(k == 1, "disaggregations").when(k == 2, "cross_statement_ties").when(k == 3, "intercompany").when(k == 4, "note_ties").when(k == 5, "ratios").otherwise("comments")
+    names = F.array_join(F.array_sort(F.collect_set("p_name")), ", ")
+    third = F.col("p_size") % 3
+    expression = F.when(third == 0, F.concat(F.lit("SUM("), names, F.lit(")"))).when(third == 1, names).otherwise(F.min("p_name"))
+    rel = t.part.groupBy("p_brand", "p_size").agg(F.min("p_type").alias("concept_id"), expression.alias("expression")).select(
+        family.alias("family"), F.concat_ws("_", "p_brand", F.col("p_size").cast("string")).alias("edge_name"), F.lit("PNL").alias("context"), "concept_id", F.when(F.col("p_size") % 2 == 0, "DISC.SEGMENTS").otherwise("DISC.PPE").alias("other_context"), "expression"
+    )
+    targets = t.part.select(F.col("p_type").alias("concept_id"), F.lit("PNL").alias("context"), F.concat(F.lit("DISC."), F.when(F.col("p_size") % 2 == 0, "SEGMENTS").otherwise("TAX")).alias("detail")).distinct()
+    return G.edge_dim(rel, targets)
+
+
+@query("a6_edge_dim", f"WITH {RELATIONS} SELECT * FROM ed")
 def edge_dim(t):
-    targets = t.part.select(F.col("p_type").alias("concept_id"), F.lit("PNL").alias("context"), F.concat(F.lit("DISC."), F.when(F.col("p_size") % 2 == 0, "SEGMENTS").otherwise("PPE")).alias("detail")).distinct()
-    return G.edge_dim(t.r_edges, targets)
+    return edges_and_members(t)[0]
+
+
+@query("a6_edge_members", f"""
+WITH {RELATIONS}, m AS (SELECT edge_name, string_split(coalesce(nullif(regexp_extract(expression, '^\\s*SUM\\((.*)\\)\\s*$', 1), ''), expression), ',') AS parts FROM rel WHERE family IN (SELECT family FROM ft))
+SELECT edge_name, 'head' AS role, 0 AS ord, concept_id FROM ed UNION ALL SELECT edge_name, 'member', i::INT, trim(c) FROM (SELECT edge_name, unnest(parts) AS c, generate_subscripts(parts, 1) AS i FROM m)""")
+def edge_members(t):
+    return edges_and_members(t)[1]
+
+
+NEXT = "nx AS (SELECT unit AS edge_type, context, lead(context) OVER (PARTITION BY doc_id ORDER BY table_ord) AS other_context FROM r_tables), ne AS (SELECT coalesce(edge_type, 'EUR') AS edge_type, context, other_context FROM nx WHERE context IS NOT NULL AND other_context IS NOT NULL)"
+
+
+def next_contexts(t):
+    from pyspark.sql.window import Window
+
+    after = F.lead("context").over(Window.partitionBy("doc_id").orderBy("table_ord"))
+    return t.r_tables.select(F.coalesce("unit", F.lit("EUR")).alias("edge_type"), "context", after.alias("other_context")).where("context is not null and other_context is not null")
+
+
+@query("c17_context_overview", f"WITH {NEXT} SELECT edge_type, least(context, other_context) AS c1, greatest(context, other_context) AS c2, count(*) AS n_edges FROM ne WHERE context <> other_context GROUP BY 1, 2, 3")
+def context_overview(t):
+    return G.context_overview(next_contexts(t))
+
+
+@query("c17_disclosure_parent", f"""
+WITH {NEXT}, b AS (SELECT context, other_context FROM ne UNION ALL SELECT other_context, context FROM ne), l AS (SELECT *, list_position(['SFP', 'PNL', 'CFS', 'OCI', 'SOCIE'], other_context) AS k FROM b WHERE context LIKE 'DISC.%')
+SELECT context, arg_min(other_context, k) AS parent, count(*) AS n_edges FROM l WHERE k > 0 GROUP BY 1""")
+def disclosure_parent(t):
+    return G.disclosure_parent(next_contexts(t))
+
+
+@query("d38_contexts", "SELECT valid_context AS context, count(DISTINCT concept_id) AS n_concepts FROM r_concepts GROUP BY 1")
+def context_counts(t):
+    return G.context_counts(t.r_concepts.select("concept_id", F.col("valid_context").alias("context")))
 
 
 MEM = "mem AS (SELECT DISTINCT p_brand AS edge_name, p_type AS concept_id FROM part UNION SELECT DISTINCT 'n' || p_size, p_brand FROM part)"
@@ -178,6 +229,12 @@ def ontology_stats(t):
     return G.ontology_stats(m.select("edge_name", F.when(F.col("edge_name").startswith("n"), "SIZE").otherwise("BRAND").alias("edge_type"), F.lit("ROOT").alias("concept_id")).distinct(), m)
 
 
+@query("d38_concept_detail", f"""
+WITH {MEM} SELECT a.concept_id, count(DISTINCT a.edge_name) AS n_edges, coalesce(string_agg(DISTINCT b.concept_id, ',' ORDER BY b.concept_id), '') AS others FROM mem a LEFT JOIN mem b ON b.edge_name = a.edge_name AND b.concept_id <> a.concept_id GROUP BY 1""")
+def concept_detail(t):
+    return G.concept_detail(brand_members(t))
+
+
 @query("c11_concept_occurrences", "SELECT r.doc_id, r.table_id, r.row_id, r.label, t.page_no, t.context, d.entity FROM r_rows r JOIN r_tables t USING (table_id) JOIN r_documents d ON d.doc_id = r.doc_id WHERE r.tag = 'PROMO'")
 def concept_occurrences(t):
     return V.concept_occurrences(t.r_rows, t.r_tables, t.r_documents, "PROMO")
