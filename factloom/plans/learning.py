@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..operators import learning as M
@@ -12,11 +10,10 @@ from .registry import query
 
 
 def checkpoint(t) -> str:
-    """A folder for a stream's checkpoint, under the shared one where there is one."""
-    import uuid
+    """A folder for a stream's checkpoint, under the shared one; a local one only in local mode."""
+    from .classes import scratch
 
-    base = t.spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="factloom-stream-")
+    return scratch(t, "stream")
 
 
 def event_stream(t):

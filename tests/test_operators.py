@@ -69,7 +69,7 @@ def test_cascade_stops_and_never_overwrites(spark):
     r = spark.createDataFrame(rows, "doc_id long, table_id long, row_id long, row_idx int, label string, row_type string, parent_id long, tag string")
     cells = spark.createDataFrame([(1, 100, 1, 6.0), (1, 101, 1, 1.0), (1, 102, 1, 2.0), (1, 103, 1, 3.0)], "table_id long, row_id long, col_idx int, value double")
     tables = spark.createDataFrame([(1, 1, "PNL")], "doc_id long, table_id long, context string")
-    index, tree = spark.createDataFrame([("a", "A")], "norm string, concept_id string"), spark.createDataFrame([("T", "A", 1), ("T", "B", 2), ("T", "C", 3)], "concept_id string, member string, ord int")
+    index, tree = spark.createDataFrame([("a", "A")], "norm string, concept_id string"), spark.createDataFrame([("T", "A", 1, False, True), ("T", "B", 2, False, True), ("T", "C", 3, False, True)], "concept_id string, member string, ord int, partial boolean, ordered boolean")
     assert values(tagging.cascade(r, cells, tables, index, tree), "row_id", "concept_id", "round") == [(101, "A", 0), (102, "B", 1)]
 
 
@@ -101,5 +101,5 @@ def test_entry_without_the_training_data_subpackage(monkeypatch):
     import __spark_entry__ as e
 
     real = builtins.__import__
-    monkeypatch.setattr(builtins, "__import__", lambda name, *a, **k: (_ for _ in ()).throw(ImportError(name)) if name.startswith(("factloom.llm", "corpus_pipeline")) else real(name, *a, **k))
+    monkeypatch.setattr(builtins, "__import__", lambda name, *a, **k: (_ for _ in ()).throw(ModuleNotFoundError(name, name=name)) if name.startswith(("factloom.llm", "corpus_pipeline")) else real(name, *a, **k))
     assert "d5_table_arithmetic" in e.queries() and not any(n.startswith("op") for n in e.queries()) and set(e.oracle_sql()) <= set(e.queries())
