@@ -19,21 +19,22 @@ def scale_mismatch(a: Column, b: Column) -> Column:
 
 
 def check_summation(best: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
-    """A parent against the sum of the children that its context has. edges and members are small dimensions."""
-    e = F.broadcast(edges.where("edge_type = 'SUMMATION'").select("edge_name", "context", F.col("concept_id").alias("parent"), "tol"))
-    m = F.broadcast(members.select("edge_name", F.col("concept_id").alias("child")))
-    parents = best.join(e, (best["concept_id"] == e["parent"]) & (best["context"] == e["context"])).select("doc_id", best["context"], "period_key", "edge_name", "tol", F.col("amount").alias("expected"), F.col("value_cols").alias("p_cols"))
-    wanted = parents.join(m, "edge_name")
-    kids = best.select("doc_id", "context", "period_key", F.col("concept_id").alias("child"), "amount", "value_cols")
-    got = wanted.join(kids, ["doc_id", "context", "period_key", "child"], "left")
-    mixed = F.max(((F.col("value_cols") > 4) != (F.col("p_cols") > 4)).cast("int"))
-    out = got.groupBy("doc_id", "context", "period_key", "edge_name").agg(
-        F.first("expected").alias("expected"), F.first("tol").alias("tol"), F.sum("amount").alias("actual"), F.count("amount").alias("found"), mixed.alias("mixed"),
-        F.array_join(F.array_sort(F.collect_list(F.when(F.col("amount").isNull(), F.col("child")))), ",").alias("missing"),
-    ).where("found > 0 and coalesce(mixed, 0) = 0")
+    """A parent against the sum of the children that its context has. Each fact meets the edges in which it is the parent or a child once, and one
+    aggregate by document, context, period and edge has both sides."""
+    e = edges.where("edge_type = 'SUMMATION'").select("edge_name", "context", F.col("concept_id").alias("parent"), "tol")
+    all_ = members.groupBy("edge_name").agg(F.collect_set("concept_id").alias("members"))
+    roles = e.select("edge_name", "context", F.col("parent").alias("concept_id"), F.lit(True).alias("is_parent")).unionByName(e.select("edge_name", "context").join(members.select("edge_name", "concept_id"), "edge_name").withColumn("is_parent", F.lit(False)))
+    wide, up, kid = F.col("value_cols") > 4, F.col("is_parent"), ~F.col("is_parent")
+    g = best.join(roles, ["context", "concept_id"]).groupBy("doc_id", "context", "period_key", "edge_name").agg(
+        F.max(F.when(up, F.col("amount"))).alias("expected"), F.max(F.when(up, wide)).alias("p_wide"), F.sum(F.when(kid, F.col("amount"))).alias("actual"), F.count_if(kid).alias("found"),
+        F.collect_set(F.when(kid, F.col("concept_id"))).alias("have"), F.max(F.when(kid, wide)).alias("any_wide"), F.min(F.when(kid, wide)).alias("all_wide"),
+    )
+    same = F.when(F.col("p_wide"), F.col("all_wide")).otherwise(~F.col("any_wide"))
+    out = g.where(F.col("expected").isNotNull() & (F.col("found") > 0)).where(same).join(e.select("edge_name", "tol"), "edge_name").join(all_, "edge_name")
+    missing = F.array_join(F.array_sort(F.array_except("members", "have")), ",")
     delta = F.round(F.col("expected") - F.col("actual"), 2)
-    status = F.when(F.abs(delta) <= F.col("tol"), "valid").when(scale_mismatch(F.col("expected"), F.col("actual")).isNotNull(), "scale").when(F.col("missing") != "", "partial").otherwise("broken")
-    return out.select("doc_id", "context", "period_key", "edge_name", "expected", F.round("actual", 2).alias("actual"), delta.alias("delta"), "found", "missing", status.alias("status"))
+    status = F.when(F.abs(delta) <= F.col("tol"), "valid").when(scale_mismatch(F.col("expected"), F.col("actual")).isNotNull(), "scale").when(missing != "", "partial").otherwise("broken")
+    return out.select("doc_id", "context", "period_key", "edge_name", "expected", F.round("actual", 2).alias("actual"), delta.alias("delta"), "found", missing.alias("missing"), status.alias("status"))
 
 
 def check_cross_statement(best: DataFrame, edges: DataFrame) -> DataFrame:
@@ -50,10 +51,9 @@ def check_cross_statement(best: DataFrame, edges: DataFrame) -> DataFrame:
 def check_note_to_face(best: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
     """A face amount against the sum of its notes' amounts, signs aside; a deviation of under 0.01 % is only noted."""
     e = edges.where("edge_type = 'NOTE_TO_FACE'").select("edge_name", F.col("context").alias("face_context"), F.col("concept_id").alias("face"), F.col("other_context").alias("note_context"), "tol")
-    m = F.broadcast(members.select("edge_name", "concept_id").join(e, "edge_name"))
+    m = members.select("edge_name", "concept_id").join(e, "edge_name")
     notes = best.join(m, "concept_id").where("context = note_context").groupBy("doc_id", "period_key", "edge_name").agg(F.sum("amount").alias("note"), F.count(F.lit(1)).alias("n"))
-    f = F.broadcast(e)
-    face = best.join(f, (F.col("concept_id") == F.col("face")) & (F.col("context") == F.col("face_context"))).select("doc_id", "period_key", "edge_name", "tol", F.col("amount").alias("expected"))
+    face = best.join(e, (F.col("concept_id") == F.col("face")) & (F.col("context") == F.col("face_context"))).select("doc_id", "period_key", "edge_name", "tol", F.col("amount").alias("expected"))
     delta = F.round(F.abs(F.abs("expected") - F.abs("note")), 2)
     severity = F.when(delta <= F.col("tol"), "OK").when(delta < 1e-4 * F.abs("expected"), "INFO").otherwise("ERROR")
     return face.join(notes, ["doc_id", "period_key", "edge_name"]).select("doc_id", "edge_name", "period_key", "expected", F.round("note", 2).alias("actual"), F.col("n").alias("n_notes"), delta.alias("delta"), severity.alias("severity"))
@@ -62,9 +62,9 @@ def check_note_to_face(best: DataFrame, edges: DataFrame, members: DataFrame) ->
 def check_disaggregation(best: DataFrame, sums: DataFrame, edges: DataFrame, members: DataFrame, confirm: DataFrame, causes: dict[str, list[str]]) -> DataFrame:
     """A face amount against the sum of its detail facts, and what a residual is: confirmed by a tagged intercompany line
     (confirm: edge_name, confirm_context, confirm_concept) within the tolerance, a rounding, a factor of scale, or open, with an edge's possible causes."""
-    e = F.broadcast(edges.where("edge_type = 'DISAGGREGATION'").select("edge_name", F.col("context").alias("c1"), F.col("concept_id").alias("face"), F.col("other_context").alias("c2"), "tol"))
+    e = edges.where("edge_type = 'DISAGGREGATION'").select("edge_name", F.col("context").alias("c1"), F.col("concept_id").alias("face"), F.col("other_context").alias("c2"), "tol")
     face = best.join(e, (F.col("concept_id") == F.col("face")) & (F.col("context") == F.col("c1"))).select("doc_id", "period_key", "edge_name", "c2", "tol", F.col("amount").alias("expected"))
-    d = F.broadcast(members.select("edge_name", "concept_id"))
+    d = members.select("edge_name", "concept_id")
     detail = sums.join(d, "concept_id").groupBy("doc_id", "period_key", "edge_name", F.col("context").alias("c2")).agg(F.sum("amount").alias("actual"))
     delta = F.round(F.col("expected") - F.col("actual"), 2)
     line = best.join(confirm, (F.col("concept_id") == F.col("confirm_concept")) & (F.col("context") == F.col("confirm_context"))).select("doc_id", "period_key", "edge_name", F.col("amount").alias("line"))

@@ -78,7 +78,7 @@ def candidate_concepts(tables: DataFrame, concepts: DataFrame, documents: DataFr
     """Concepts of a table's context; IFRS documents have no concepts of the local framework."""
     t = tables.where("context is not null").select("doc_id", "table_id", "context").join(documents.select("doc_id", "gaap"), "doc_id")
     c = concepts.select("concept_id", F.col("valid_context").alias("context"))
-    return t.join(F.broadcast(c), "context").where((F.col("gaap") != "IFRS") | ~F.col("concept_id").contains(".UGB.")).select("doc_id", "table_id", "context", "concept_id")
+    return t.join(c, "context").where((F.col("gaap") != "IFRS") | ~F.col("concept_id").contains(".UGB.")).select("doc_id", "table_id", "context", "concept_id")
 
 
 def search_concepts(concepts: DataFrame, q: str, limit: int = 20) -> DataFrame:

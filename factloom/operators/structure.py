@@ -21,15 +21,16 @@ def parent_child(rows: DataFrame, cells: DataFrame, value_cols: Column | None =
 def parent_sums(rows: DataFrame, cells: DataFrame) -> DataFrame:
     """C10 summed up: for each parent and column its own value p, the sum s of its children, their non-null number n and number k.
     Every cell goes to its own row's key and to its parent's, so one aggregate that combines before the shuffle replaces the
-    join of cells with cells."""
-    links = rows.select("doc_id", "table_id", "row_id", "parent_id")
-    c = cells.select("table_id", "row_id", "col_idx", "value").join(links, ["table_id", "row_id"])
+    join of cells with cells. Cells that carry parent_id need no rows to find it; `rows` may then be tables (doc_id, table_id)."""
+    links = rows.select("doc_id", "table_id", "row_id", "parent_id") if "parent_id" not in cells.columns else None
+    c = cells.select("table_id", "row_id", "col_idx", "value").join(links, ["table_id", "row_id"]) if links is not None else cells.select("table_id", "row_id", "col_idx", "value", "parent_id")
     none = F.lit(None).cast("double")
     own = F.struct(F.col("row_id").alias("parent"), F.col("value").alias("own"), none.alias("child"), F.lit(0).alias("kid"))
     up = F.when(F.col("parent_id").isNotNull(), F.struct(F.col("parent_id").alias("parent"), none.alias("own"), F.col("value").alias("child"), F.lit(1).alias("kid")))
-    both = c.select("doc_id", "table_id", "col_idx", F.explode(F.array_compact(F.array(own, up))).alias("side")).select("doc_id", "table_id", "col_idx", "side.parent", "side.own", "side.child", "side.kid")
-    sums = both.groupBy("doc_id", "table_id", F.col("parent").alias("parent_id"), "col_idx").agg(F.max("own").alias("p"), F.sum("child").alias("s"), F.count("child").alias("n"), F.sum("kid").alias("k"))
-    return sums.where("k > 0 and p is not null")
+    keys = ["table_id", "col_idx"] if links is None else ["doc_id", "table_id", "col_idx"]
+    both = c.select(*keys, F.explode(F.array_compact(F.array(own, up))).alias("side")).select(*keys, "side.parent", "side.own", "side.child", "side.kid")
+    sums = both.groupBy(*keys, F.col("parent").alias("parent_id")).agg(F.max("own").alias("p"), F.sum("child").alias("s"), F.count("child").alias("n"), F.sum("kid").alias("k")).where("k > 0 and p is not null")
+    return sums if links is not None else sums.join(rows.select("doc_id", "table_id"), "table_id")
 
 
 def table_arithmetic(rows: DataFrame, cells: DataFrame, abs_tol: float = 0.5, rel_tol: float = 0.001) -> DataFrame:
@@ -67,17 +68,17 @@ def structural_quality(rows: DataFrame, cells: DataFrame, tables: DataFrame, n_c
 
 def additive_columns(cells: DataFrame, min_rows: int = 3, min_rate: float = 0.6, max_cols: int = 12) -> DataFrame:
     """For each table the column and the set of two or more others that adds up to it in the largest share of rows.
-    Columns of a row meet in a map; the subsets are bit masks that a sequence makes, so no row meets another."""
-    wide = cells.where("value is not null").groupBy("table_id", "row_id").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "value"))).alias("v"))
-    known = cells.groupBy("table_id").agg(F.array_sort(F.collect_set("col_idx")).alias("cols")).where(F.size("cols").between(3, max_cols))
-    masks = known.withColumn("mask", F.explode(F.expr("sequence(3, cast(power(2, size(cols)) as int) - 1)"))).where("bit_count(mask) >= 2")
-    masks = masks.select("table_id", "mask", F.expr("filter(cols, (c, i) -> (shiftright(mask, i) & 1) = 1)").alias("parts"), F.explode("cols").alias("total")).where(~F.array_contains("parts", F.col("total")))
-    rows = masks.join(wide, "table_id").where(F.expr("v[total] is not null and forall(parts, c -> v[c] is not null)"))
-    got = F.expr("aggregate(parts, 0D, (a, c) -> a + v[c])")
-    ok = F.abs(got - F.expr("v[total]")) <= F.greatest(F.lit(1.0), 0.02 * F.abs(F.expr("v[total]")))
-    rate = rows.groupBy("table_id", "total", "parts").agg(F.count(F.lit(1)).alias("n"), F.avg(ok.cast("double")).alias("rate")).where((F.col("n") >= min_rows) & (F.col("rate") >= min_rate))
-    best = Window.partitionBy("table_id").orderBy(F.desc("rate"), "total", F.size("parts"), "parts")
-    return rate.withColumn("k", F.row_number().over(best)).where("k = 1").select("table_id", "total", F.array_join(F.transform("parts", lambda c: c.cast("string")), ",").alias("parts"), "n", F.round("rate", 4).alias("rate"))
+    A table's rows meet in one row, as maps; the subsets are bit masks that a sequence makes and are tested there, so cells are shuffled once, by table."""
+    c = cells.select("table_id", "row_id", "col_idx", "value").repartition("table_id")
+    wide = c.groupBy("table_id", "row_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("col_idx", "value")))).alias("v"), F.collect_set("col_idx").alias("c"))
+    t = wide.groupBy("table_id").agg(F.collect_list("v").alias("rows"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("c")))).alias("cols")).where(F.size("cols").between(3, max_cols))
+    masks = t.select("table_id", "rows", "cols", F.expr("explode(sequence(3, cast(power(2, size(cols)) as int) - 1))").alias("mask")).where("bit_count(mask) >= 2")
+    parts = masks.select("table_id", "rows", F.expr("filter(cols, (c, i) -> (shiftright(mask, i) & 1) = 1)").alias("parts"), F.explode("cols").alias("total")).where(~F.array_contains("parts", F.col("total")))
+    both = parts.withColumn("known", F.expr("filter(rows, v -> v[total] is not null and forall(parts, c -> v[c] is not null))")).withColumn("n", F.size("known")).where(F.col("n") >= min_rows)
+    ok = "abs(aggregate(parts, 0D, (a, c) -> a + v[c]) - v[total]) <= greatest(1.0, 0.02 * abs(v[total]))"
+    rate = both.select("table_id", "total", "parts", F.col("n").cast("long").alias("n"), F.expr(f"size(filter(known, v -> {ok})) / n").alias("rate")).where(F.col("rate") >= min_rate)
+    best = F.min(F.struct((-F.col("rate")).alias("r"), "total", F.size("parts").alias("k"), "parts", "n"))  # after an explode of one table's row: combined where it is
+    return rate.groupBy("table_id").agg(best.alias("b")).select("table_id", "b.total", F.array_join(F.transform("b.parts", lambda c: c.cast("string")), ",").alias("parts"), "b.n", F.round(-F.col("b.r"), 4).alias("rate"))
 
 
 def filter_axis_members(members: DataFrame, additive: DataFrame) -> DataFrame:

@@ -117,7 +117,7 @@ def tied_totals(rows: DataFrame, cells: DataFrame, tables: DataFrame, ties: Data
     """I4 over ties of notes to primary statements. ties: face_concept, note_concept, context (of the note)."""
     face = rows.where("tag is not null").join(tables.where(F.col("context").isin(PRIMARY)).select("table_id"), "table_id", "left_semi").join(cells.where("value is not null").select("row_id", "col_idx", "value"), "row_id")
     face = face.groupBy("doc_id", F.col("tag").alias("face_concept"), "col_idx").agg(F.max_by("value", "row_id").alias("amount"))  # the last one counts
-    face = face.join(F.broadcast(ties), "face_concept").select("doc_id", F.col("note_concept").alias("concept_id"), "context", "col_idx", "amount")
+    face = face.join(ties, "face_concept").select("doc_id", F.col("note_concept").alias("concept_id"), "context", "col_idx", "amount")
     return tag_cross_table(rows.join(tables.select("table_id", "context"), "table_id"), cells, face)
 
 

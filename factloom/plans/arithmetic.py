@@ -22,7 +22,7 @@ SELECT r.doc_id, r.table_id, r.parent_id, c.col_idx, round(any_value(p.value), 2
 FROM r_rows r JOIN r_cells c ON c.row_id = r.row_id JOIN r_cells p ON p.row_id = r.parent_id AND p.col_idx = c.col_idx
 WHERE c.value IS NOT NULL AND p.value IS NOT NULL GROUP BY ALL""")
 def table_arithmetic(t):
-    return S.table_arithmetic(t.r_rows, t.r_cells)
+    return S.table_arithmetic(t.r_tables, t.r_tree_cells)
 
 
 @query("d27_hierarchy_quality", """
@@ -35,7 +35,7 @@ WITH s AS (
 )
 SELECT doc_id, table_id, checks, round(rate, 4) AS rate, (CASE WHEN checks < 3 THEN 1 WHEN rate < 0.5 THEN 0.3 WHEN rate < 0.7 THEN 0.7 ELSE 1 END)::DOUBLE AS score FROM q""")
 def hierarchy_quality(t):
-    return S.hierarchy_quality(t.r_rows, t.r_cells)
+    return S.hierarchy_quality(t.r_tables, t.r_tree_cells)
 
 
 GAPPY = "gappy AS (SELECT table_id, row_id, row_idx, col_idx, CASE WHEN (table_id % 5 = 0 AND col_idx > 1) OR (table_id % 5 = 1 AND (col_idx + row_idx) % 2 = 0) OR (table_id % 5 = 2 AND (col_idx > 2 OR row_idx % 3 = 0)) THEN NULL ELSE value END AS value FROM r_cells WHERE NOT (table_id % 7 = 3 AND col_idx = 4 AND row_idx % 2 = 0))"
@@ -69,7 +69,7 @@ r AS (SELECT table_id, total, parts, [a, b, c, d][total] AS t, list_sum([[a, b,
 g AS (SELECT table_id, total, parts, count(*) AS n, avg((abs(s - t) <= greatest(1, 0.02 * abs(t)))::INT) AS rate FROM r WHERE t IS NOT NULL AND gaps = 0 GROUP BY ALL HAVING n >= 3 AND rate >= 0.6)
 SELECT table_id, total, parts, n, round(rate, 4) AS rate FROM g QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY rate DESC, total, length(parts), parts) = 1""")
 def additive_columns(t):
-    return S.additive_columns(t.r_cells)
+    return S.additive_columns(t.r_tree_cells)
 
 
 CHAINS = """sig AS (SELECT table_id, string_agg(header, '|' ORDER BY col_idx) AS signature FROM r_columns WHERE role = 'VALUE' AND col_idx IN (1, 4) GROUP BY table_id),

@@ -133,7 +133,7 @@ FROM f JOIN r_tables t USING (table_id) WHERE factor IS NOT NULL""")
 def scale_mismatch(t):
     from ..operators.structure import parent_sums
 
-    return parent_sums(t.r_rows, t.r_cells).select("doc_id", "table_id", "col_idx", C.scale_mismatch(F.col("p"), F.col("s")).alias("factor")).where("factor is not null")
+    return parent_sums(t.r_tables, t.r_tree_cells).select("doc_id", "table_id", "col_idx", C.scale_mismatch(F.col("p"), F.col("s")).alias("factor")).where("factor is not null")
 
 
 MISMATCH = """mm AS (SELECT doc_id, concept_id, period_key, count(DISTINCT table_id) AS n_tables, count(DISTINCT amount) AS n_amounts, min(amount) AS low, max(amount) AS high

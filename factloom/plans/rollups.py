@@ -174,7 +174,7 @@ SELECT doc_id, max_per_type, overridden, round(tables, 4) AS tables, round(state
   CASE WHEN tables < 1 THEN 'tables' WHEN bad THEN 'statements' WHEN parse < 0.6 THEN 'parse' WHEN arithmetic < 0.9 THEN 'arithmetic' WHEN tags < 0.7 THEN 'tags' END AS first_failing,
   (tables < 1)::INT + bad::INT + (parse < 0.6)::INT + (arithmetic < 0.9)::INT + (tags < 0.7)::INT AS n_failed FROM e""")
 def gates(t):
-    return R.gates(t.r_tables, t.r_cells, S.table_arithmetic(t.r_rows, t.r_cells), t.r_rows, LIMITS, 3, t.r_documents.where("doc_id % 10 = 0"))
+    return R.gates(t.r_tables, t.r_cells, S.table_arithmetic(t.r_tables, t.r_tree_cells), t.r_rows, LIMITS, 3, t.r_documents.where("doc_id % 10 = 0"))
 
 
 @query("d39_summary", """

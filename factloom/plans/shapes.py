@@ -58,12 +58,26 @@ SELECT DISTINCT p_type AS concept_id, CASE WHEN length(p_type) % 2 = 0 THEN 'cre
        CASE WHEN p_type IN ('LARGE', 'SMALL') THEN 'PNL' WHEN p_type = 'MEDIUM' THEN 'SFP' ELSE 'OCI' END AS valid_context,
        CASE WHEN p_type = 'ECONOMY' THEN 'shares' END AS note_unit_type, CASE WHEN p_type = 'STANDARD' THEN 2 ELSE 0 END AS n_variants FROM {part}
 UNION ALL SELECT 'TOTAL', 'debit', 'monetary', 'PNL', NULL, 0""",
+    # cells with their row's parent beside them, as extraction nests them: lines are numbered once, totals need no numbers
+    "r_tree_cells": """
+SELECT table_id, table_id * 100 + row_idx AS row_id, table_id * 100 AS parent_id, c.col_idx,
+       CASE c.col_idx WHEN 1 THEN v1 WHEN 2 THEN v2 WHEN 3 THEN CASE WHEN row_idx % 5 = 0 THEN NULL ELSE v3 END ELSE v4 END AS value
+FROM {r_lines} CROSS JOIN (VALUES (1), (2), (3), (4)) AS c(col_idx)
+UNION ALL SELECT table_id, row_id, NULL, col_idx, value FROM {r_totals}""",
+    "r_totals": """
+SELECT table_id, table_id * 100 AS row_id, c.col_idx,
+       round(CASE c.col_idx WHEN 1 THEN s1 WHEN 2 THEN s2 + CASE WHEN table_id % 7 = 0 THEN 5000 WHEN table_id % 7 = 1 THEN 0.25 ELSE 0 END
+             WHEN 3 THEN s3 ELSE CASE WHEN table_id % 11 = 0 THEN s4 * 1000 ELSE s4 END END, 2) AS value
+FROM (SELECT table_id, sum(v1) AS s1, sum(v2) AS s2, sum(v3) AS s3, sum(v4) AS s4 FROM {r_lines} GROUP BY table_id) s
+CROSS JOIN (VALUES (1), (2), (3), (4)) AS c(col_idx)""",
     "r_facts": """
-SELECT r.doc_id, r.table_id, r.row_id, t.context, r.tag AS concept_id, 'Y' || CAST(t.year + 2 - c.col_idx AS STRING) AS period_key, c.col_idx,
-       round(c.value * CASE t.unit WHEN 'TEUR' THEN 1000 WHEN 'EUR Mio' THEN 1000000 ELSE 1 END, 2) AS amount, t.page_no,
-       t.context IN ('PNL', 'SFP', 'OCI') AS is_primary, CASE WHEN t.table_id % 5 = 0 THEN 6 ELSE 4 END AS value_cols, r.label
-FROM {r_rows} r JOIN {r_tables} t ON t.table_id = r.table_id JOIN {r_cells} c ON c.row_id = r.row_id
-WHERE r.tag IS NOT NULL AND t.context IS NOT NULL AND c.col_idx IN (2, 3) AND c.value IS NOT NULL""",
+SELECT t.doc_id, v.table_id, v.row_id, t.context, v.concept_id, 'Y' || CAST(t.year + 2 - v.col_idx AS STRING) AS period_key, v.col_idx,
+       round(v.value * CASE t.unit WHEN 'TEUR' THEN 1000 WHEN 'EUR Mio' THEN 1000000 ELSE 1 END, 2) AS amount, t.page_no,
+       t.context IN ('PNL', 'SFP', 'OCI') AS is_primary, CASE WHEN t.table_id % 5 = 0 THEN 6 ELSE 4 END AS value_cols, v.label
+FROM (SELECT l.table_id, l.table_id * 100 + l.row_idx AS row_id, c.col_idx, CASE WHEN c.col_idx = 2 THEN l.v2 WHEN l.row_idx % 5 > 0 THEN l.v3 END AS value, p.p_type AS concept_id, p.p_name AS label
+      FROM {r_lines} l JOIN {part} p ON p.p_partkey = l.part CROSS JOIN (VALUES (2), (3)) AS c(col_idx) WHERE l.flag IS NULL OR l.flag <> 'N'
+      UNION ALL SELECT table_id, row_id, col_idx, value, 'TOTAL', 'Total' FROM {r_totals} WHERE col_idx IN (2, 3) AND table_id % 4 <> 0) v
+JOIN {r_tables} t ON t.table_id = v.table_id WHERE t.context IS NOT NULL AND v.value IS NOT NULL AND v.concept_id IS NOT NULL""",
     "r_edges": """
 SELECT * FROM (VALUES ('sizes_sum', 'SUMMATION', 'PNL', 'TOTAL', NULL, 1000.0, NULL, NULL), ('promo_tie', 'CROSS_STATEMENT_TIE', 'PNL', 'PROMO', 'OCI', 1000.0, NULL, 'equals'),
   ('econ_tie', 'CROSS_STATEMENT_TIE', 'SFP', 'ECONOMY', 'PNL', 50000.0, NULL, 'equals'), ('size_tie', 'CROSS_STATEMENT_TIE', 'PNL', 'LARGE', 'SFP', 50000.0, 'SMALL', 'opposite'), ('std_detail', 'DISAGGREGATION', 'PNL', 'STANDARD', 'DISC.SEGMENTS', 1000.0, NULL, NULL),
