@@ -49,8 +49,23 @@ STAGES = [
     ("shard", shard),
 ]
 
-#: Language ID, signatures and spaced seeds have no SQL form; tests hold the stages against brute force.
-ORACLE_SQL = None
+def over(sql: str, table: str) -> str:
+    """A query of documents as one of the rows that `table` has of them."""
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if sql.lstrip().startswith(head):
+            return f"{head}documents AS (SELECT * FROM {table}), {sql.lstrip()[len(head):]}"
+    raise ValueError("a query that begins with WITH is expected")
+
+
+#: run()'s rows in DuckDB: each stage's twin over what the one before has kept.
+ORACLE_SQL = f"""
+WITH known AS MATERIALIZED (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM ({language.oracle(split=False)}) WHERE lang_pred <> 'und' AND score >= 0.5)),
+single AS MATERIALIZED (SELECT * FROM known WHERE doc_id IN (SELECT doc_id FROM ({over(neardup.ORACLE, "known")}) WHERE kept)),
+clean AS MATERIALIZED (SELECT * FROM single WHERE doc_id NOT IN (SELECT doc_id FROM ({over(decontamination.oracle(), "single")}))),
+taken AS MATERIALIZED (SELECT doc_id, unnest(range(taken // size)) AS copy FROM ({over(mixing.ORACLE, "clean")}) WHERE taken > 0),
+placed AS MATERIALIZED (SELECT * FROM ({over(sharding.oracle(), "clean")}))
+SELECT c.*, p.slot, p.shard FROM clean c JOIN taken t USING (doc_id) JOIN placed p USING (doc_id)
+"""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
