@@ -100,13 +100,25 @@ def cross_document_patterns(scores: DataFrame, min_docs: int = 2, k: int = 10) -
     return c.withColumn("rank", F.row_number().over(Window.partitionBy("status").orderBy(F.desc("n_docs"), "concept_id"))).where(F.col("rank") <= k)
 
 
-def keyword_argmax(texts: DataFrame, keywords: dict[str, list[str]], min_hits: int, default: str) -> DataFrame:
-    """For each document the class with most distinct keywords in its text; ties go to the class listed first. texts: doc_id, text.
-    Keywords are tested as a projection, so no row is multiplied."""
+def window_texts(tables: DataFrame, rows: DataFrame, columns: DataFrame, n_tables: int, n_rows: int) -> DataFrame:
+    """The column headers and the first row labels of a document's first tables, as one text."""
+    t = tables.where(F.col("table_ord") <= n_tables).select("doc_id", "table_id", "table_ord")
+    h = columns.where("header is not null").select("table_id", F.lit(0).alias("src"), F.col("col_idx").alias("ord"), F.col("header").alias("x"))
+    r = rows.where(F.col("row_idx") < n_rows).select("table_id", F.lit(1).alias("src"), F.col("row_idx").alias("ord"), F.col("label").alias("x"))
+    parts = h.unionByName(r).join(t, "table_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("table_ord", "src", "ord", "x"))).alias("p"))
+    return parts.select("doc_id", F.array_join(F.transform("p", lambda p: p["x"]), " ").alias("text"))
+
+
+def keyword_argmax(texts: DataFrame, keywords: dict[str, list[str]], min_hits: int, default: str, hints: dict[str, str] | None = None) -> DataFrame:
+    """For each document the class with most distinct keywords in its text; ties go to the class listed first; a hint (pattern of the
+    lower-cased `name`: class) wins over the text. texts: doc_id, text and, with hints, name. Keywords are tested as a projection, so no row is multiplied."""
     low = F.lower(F.coalesce("text", F.lit("")))
     score = [F.struct(sum((F.contains(low, F.lit(w)).cast("int") for w in ws), F.lit(0)).alias("score"), F.lit(-i).alias("ord"), F.lit(c).alias("cls")) for i, (c, ws) in enumerate(keywords.items())]
-    best = F.array_max(F.array(*score))
-    return texts.withColumn("best_class", best).select("doc_id", F.when(F.col("best_class.score") >= min_hits, F.col("best_class.cls")).otherwise(default).alias("cls"), F.col("best_class.score").alias("hits"))
+    hinted = F.lit(None).cast("string")
+    for pattern, cls in reversed((hints or {}).items()):
+        hinted = F.when(F.lower("name").rlike(pattern), cls).otherwise(hinted)
+    by_text = F.when(F.col("best_class.score") >= min_hits, F.col("best_class.cls")).otherwise(default)
+    return texts.withColumn("best_class", F.array_max(F.array(*score))).select("doc_id", F.coalesce(hinted, by_text).alias("cls"), F.col("best_class.score").alias("hits"))
 
 
 def modal_currency_unit(tables: DataFrame, default: str = "EUR") -> DataFrame:

@@ -36,7 +36,7 @@ cs AS (SELECT k.parent_id, c.col_idx, any_value(v.value) AS v, sum(c.value) AS s
 fits AS (SELECT parent_id FROM cs WHERE n = k GROUP BY 1 HAVING bool_and(abs(s - v) <= 1000))"""
 
 
-@query("i2_tag_top_down", f"""
+TOP_DOWN = f"""
 WITH {TREE_SQL}, {SUMS}, mem AS (SELECT concept_id, list(member ORDER BY ord) AS members, bool_or(partial) AS partial, bool_or(ordered) AS ordered FROM tree GROUP BY 1),
 h AS (SELECT doc_id, table_id, parent_id, list(DISTINCT tag) FILTER (tag IS NOT NULL) AS have, list(row_id ORDER BY row_idx) AS al, coalesce(list(row_id ORDER BY row_idx) FILTER (tag IS NULL), []) AS open FROM k GROUP BY 1, 2, 3),
 p AS (SELECT h.*, mem.*, list_filter(members, lambda m: NOT list_contains(coalesce(have, []), m)) AS missing FROM h JOIN r_rows r ON r.row_id = h.parent_id JOIN mem ON mem.concept_id = r.tag),
@@ -49,18 +49,24 @@ z AS (SELECT q.*, CASE WHEN NOT more AND (len(missing) = 1 OR (ordered AND fits)
     WHEN more AND partial AND ordered AND left_out IS NOT NULL THEN list_filter(open, lambda x: x <> left_out) END AS chosen FROM q LEFT JOIN lo USING (parent_id) LEFT JOIN va USING (parent_id)),
 o AS (SELECT *, unnest(chosen) AS row_id, unnest(missing) AS concept FROM z WHERE chosen IS NOT NULL)
 SELECT doc_id, table_id, row_id, concept AS concept_id, round(CASE WHEN more THEN CASE WHEN len(missing) = 1 THEN 0.75 ELSE 0.65 END ELSE CASE WHEN len(missing) = 1 THEN 0.85 ELSE 0.75 END END
-  + CASE WHEN NOT more AND ordered AND list_position(al, row_id) = list_position(members, concept) THEN 0.05 ELSE 0 END, 2)::DOUBLE AS confidence, 'top_down' AS rule FROM o WHERE row_id IS NOT NULL""")
+  + CASE WHEN NOT more AND ordered AND list_position(al, row_id) = list_position(members, concept) THEN 0.05 ELSE 0 END, 2)::DOUBLE AS confidence, 'top_down' AS rule FROM o WHERE row_id IS NOT NULL"""
+
+
+@query("i2_tag_top_down", TOP_DOWN)
 def tag_top_down(t):
     return A.tag_top_down(t.r_rows, t.r_cells, tree(t))
 
 
-@query("i3_tag_bottom_up", f"""
+BOTTOM_UP = f"""
 WITH {TREE_SQL}, {SUMS}, h AS (SELECT doc_id, table_id, parent_id, list_sort(list(DISTINCT tag) FILTER (tag IS NOT NULL)) AS have FROM k GROUP BY 1, 2, 3 HAVING count(*) FILTER (tag IS NULL) = 0),
 m AS (SELECT concept_id, list_sort(list(DISTINCT member)) AS members, bool_or(partial) AS partial FROM tree GROUP BY 1),
 c AS (SELECT h.doc_id, h.table_id, h.parent_id, m.concept_id, len(have) = len(members) AS exact, h.parent_id IN (SELECT row_id FROM r_cells WHERE value IS NOT NULL) AS valued, h.parent_id IN (SELECT parent_id FROM fits) AS adds
   FROM h JOIN r_rows p ON p.row_id = h.parent_id AND p.tag IS NULL JOIN m ON list_has_all(m.members, h.have) WHERE len(have) = len(members) OR partial),
 g AS (SELECT *, (CASE WHEN exact THEN CASE WHEN NOT valued THEN 0.9 WHEN adds THEN 0.95 ELSE 0.7 END WHEN valued AND adds THEN 0.75 ELSE 0.7 END)::DOUBLE AS confidence FROM c)
-SELECT doc_id, table_id, parent_id AS row_id, concept_id, confidence, 'bottom_up' AS rule FROM g QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY confidence DESC, exact DESC, concept_id DESC) = 1""")
+SELECT doc_id, table_id, parent_id AS row_id, concept_id, confidence, 'bottom_up' AS rule FROM g QUALIFY row_number() OVER (PARTITION BY parent_id ORDER BY confidence DESC, exact DESC, concept_id DESC) = 1"""
+
+
+@query("i3_tag_bottom_up", BOTTOM_UP)
 def tag_bottom_up(t):
     return A.tag_bottom_up(t.r_rows, t.r_cells, tree(t))
 

@@ -127,6 +127,16 @@ def keyword_argmax(t):
     return R.keyword_argmax(t.documents, {"english": ["the", "tion", "with"], "german": ["der", "und", "keit"], "french": ["que", "eau", "les"]}, 2, "none")
 
 
+@query("d22_framework", """
+WITH t AS (SELECT doc_id, table_id, table_ord FROM r_tables WHERE table_ord <= 3), x AS (SELECT doc_id, lower(string_agg(x, ' ' ORDER BY table_ord, src, o, x)) AS x FROM (
+  SELECT doc_id, table_ord, 0 AS src, col_idx AS o, header AS x FROM r_columns JOIN t USING (doc_id, table_id) WHERE header IS NOT NULL UNION ALL SELECT r.doc_id, table_ord, 1, row_idx, label FROM r_rows r JOIN t USING (table_id) WHERE row_idx < 4) GROUP BY 1),
+s AS (SELECT doc_id, (contains(x, 'hot rod')::INT + contains(x, 'gear')::INT + contains(x, '1996')::INT) AS a, (contains(x, 'cold')::INT + contains(x, 'plate')::INT) AS b FROM x)
+SELECT s.doc_id, CASE WHEN regexp_matches(lower(entity), '7$') THEN 'UGB' WHEN greatest(a, b) < 2 THEN 'none' WHEN a >= b THEN 'IFRS' ELSE 'UGB' END AS cls, greatest(a, b) AS hits FROM s JOIN r_documents d ON d.doc_id = s.doc_id""")
+def framework(t):
+    texts = R.window_texts(t.r_tables, t.r_rows, t.r_columns, 3, 4).join(t.r_documents.select("doc_id", F.col("entity").alias("name")), "doc_id")
+    return R.keyword_argmax(texts, {"IFRS": ["hot rod", "gear", "1996"], "UGB": ["cold", "plate"]}, 2, "none", {"7$": "UGB"})
+
+
 @query("d23_modal_unit", """
 WITH n AS (SELECT doc_id, unit, count(*) AS n, min(table_ord) AS f FROM r_tables WHERE unit IS NOT NULL GROUP BY 1, 2), b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, f) = 1)
 SELECT d.doc_id, coalesce(b.unit, 'EUR') AS unit FROM (SELECT DISTINCT doc_id FROM r_tables) d LEFT JOIN b USING (doc_id)""")
