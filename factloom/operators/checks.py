@@ -163,7 +163,7 @@ def period_changes(best: DataFrame, limit: float = 2.0) -> DataFrame:
 
 def rule_violations(facts: DataFrame, rules: DataFrame) -> DataFrame:
     """D41, signs and contexts: rules (rule, context, pattern, sign) whose pattern a concept matches. sign '+', '-' or null (the concept is forbidden)."""
-    r = F.broadcast(rules)
+    r = rules
     f = facts.join(r, facts["context"] == r["rule_context"]).where(F.expr("concept_id like pattern"))
     bad = F.when(F.col("sign") == "+", F.col("amount") < 0).when(F.col("sign") == "-", F.col("amount") > 0).otherwise(F.lit(True))
     return f.where(bad).groupBy("doc_id", "rule", "concept_id").agg(F.count(F.lit(1)).alias("n_facts"), F.round(F.min("amount"), 2).alias("low"), F.round(F.max("amount"), 2).alias("high"))
