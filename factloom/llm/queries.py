@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, licenses, mixing, neardup, pii, quality, sharding, suffixes, toxicity
+from . import decontamination, language, licenses, mixing, neardup, pii, quality, runs, sharding, suffixes, toxicity
 
 QUERIES = {
     "op1_bayes_language": language.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_spaced_seed_decontamination": decontamination.query,
     "op9_flow_mixing": mixing.query,
     "op10_line_quality": quality.query,
+    "op11_word_runs": runs.query,
 }
 
 ORACLES = {
@@ -26,4 +27,5 @@ ORACLES = {
     "op8_spaced_seed_decontamination": decontamination.oracle(),
     "op9_flow_mixing": mixing.ORACLE,
     "op10_line_quality": quality.ORACLE,
+    "op11_word_runs": runs.ORACLE,
 }
