@@ -175,7 +175,7 @@ def contained(docs: DataFrame, items: DataFrame, text: str = "text", item_key: s
                 cols += [pa.array(x, pa.int32()) for x in ([v[0] for v in got.values()], [v[1] for v in got.values()], size, [v[2] for v in got.values()])]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, item_key, *made])
 
-        one = source.mapInArrow(run, schema)
+        one = shared.in_arrow(source, run, schema)
         if n > 1:
             one = shared.written(one, "hits")
             shipped.destroy()
@@ -195,7 +195,7 @@ def without(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str
                 clean[[r for r, _ in find(shipped.value, part.column(text))]] = False
                 yield part.filter(pa.array(clean))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = shared.in_arrow(out, run, docs.schema)
         if n > 1:
             out = shared.written(out, "clean", new := [])
             shared.drop(docs.sparkSession, old)

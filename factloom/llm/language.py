@@ -172,7 +172,7 @@ def scored(df: DataFrame, model: Model, text: str) -> tuple[DataFrame, str, str]
                     total, best = total * np.exp(best - high) + sums * np.exp(before - high), high
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(pred, pa.string()), pa.array(best), pa.array(total)], names=[*keep, *made])
 
-        out = out.mapInArrow(run, kinds)
+        out = shared.in_arrow(out, run, kinds)
         if i + 1 < len(blocks):
             out = shared.written(out, "languages")
     share = F.when(F.col(lang) == "und", 0.0).otherwise(1 / F.col(rest))

@@ -166,7 +166,7 @@ def scan(df: DataFrame, found: Index, text: str = "text") -> DataFrame:
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(types))], names=[*keep, *made])
 
-    return df.select(*shared.columns(keep), F.col(text).alias(body)).mapInArrow(run, f"{shared.ddl(df, keep)}n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    return shared.in_arrow(df.select(*shared.columns(keep), *(c.alias(body) for c in shared.columns([text]))), run, f"{shared.ddl(df, keep)}n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

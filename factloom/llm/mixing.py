@@ -54,7 +54,7 @@ def with_size(df: DataFrame, text: str = "text", size: str = "size") -> DataFram
         for part in shared.chunks(batches, body):
             yield count(part)
 
-    return df.select(*shared.columns(keep), F.col(text).alias(body)).mapInArrow(run, f"{shared.ddl(df, keep)}`{size}` long")
+    return shared.in_arrow(df.select(*shared.columns(keep), *(c.alias(body) for c in shared.columns([text]))), run, f"{shared.ddl(df, keep)}`{size}` long")
 
 
 def targets(sizes: dict[str | None, int], weights=WEIGHTS, repeats: int = REPEATS) -> dict[str | None, float]:

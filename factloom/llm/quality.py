@@ -97,7 +97,7 @@ def measure(df: DataFrame, text: str, lines_out: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x, pa.int64()) for x in numbers), lists], names=[*keep, *made, lines_out])
 
     schema = shared.ddl(df, keep) + ", ".join([*(f"{c} long" for c in made), f"`{lines_out}` array<struct<h: long, w: long>>"])
-    return df.select(*shared.columns(keep), F.col(f"`{text}`").alias(body)).mapInArrow(run, schema)
+    return shared.in_arrow(df.select(*shared.columns(keep), F.col(f"`{text}`").alias(body)), run, schema)
 
 
 def without_lines(df: DataFrame, body: str, lost: str) -> DataFrame:
@@ -118,7 +118,7 @@ def without_lines(df: DataFrame, body: str, lost: str) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(out, pa.string())], names=[*keep, "clean_text"])
 
-    return df.mapInArrow(run, f"{shared.ddl(df, keep)}clean_text string")
+    return shared.in_arrow(df, run, f"{shared.ddl(df, keep)}clean_text string")
 
 
 def rules(df: DataFrame, text: str = "text", host: str = "source", max_docs: int = MAX_DOCS, min_share: float = MIN_SHARE, cleaned: bool = False) -> DataFrame:

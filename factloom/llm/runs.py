@@ -124,7 +124,7 @@ def runs(df: DataFrame, text: str = "text", exponent: int = EXPONENT, least: int
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists, pa.array(out, pa.binary()).cast(pa.string())], names=[*keep, "runs", "collapsed"])
 
     schema = f"{shared.ddl(df, keep)}runs array<struct<start: long, length: long, period: long>>, collapsed string"
-    return df.select(*shared.columns(keep), F.col(f"`{text}`").alias(body)).mapInArrow(run, schema)
+    return shared.in_arrow(df.select(*shared.columns(keep), F.col(f"`{text}`").alias(body)), run, schema)
 
 
 def periodic(key: str, text: str) -> Column:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a kernel takes at once; keeps its arrays inside the CPU caches and memory bounded.
 CHUNK_BYTES = 1 << 21
@@ -86,18 +87,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
             lo = hi
 
 
-def text_bytes(col: pa.Array) -> list[bytes]:
-    """UTF-8 bytes of each text; null counts as empty."""
-    return [b"" if x is None else x.encode() for x in col.to_pylist()]
-
-
-def map_chunks(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow with f over chunks of bounded size."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches):
-            out = f(part)
-            if out is not None and out.num_rows:
-                yield out
-
-    return df.mapInArrow(run, schema)
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """df.mapInArrow, also where names of columns have dots or backticks in them."""
+    names = df.columns
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(lambda batches: run(x.rename_columns(names) for x in batches), schema)

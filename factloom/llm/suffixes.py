@@ -423,7 +423,7 @@ def cut(df: DataFrame, key: str = "doc_id", text: str = "text", kept: bool = Fal
             types = [pa.int64()] * 3 + [pa.string()] + [pa.binary()] * kept
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), types, strict=True))], names=[*keep, *made])
 
-    return both.mapInArrow(run, f"{shared.ddl(df, keep)}n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept_bytes binary' * kept}")
+    return shared.in_arrow(both, run, f"{shared.ddl(df, keep)}n_bytes long, n_removed long, n_spans long, kept_sha256 string{', kept_bytes binary' * kept}")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -393,7 +393,7 @@ def score(df: DataFrame, net: dict | None, text: str = "text") -> DataFrame:
             p = document_scores(shipped.value, part.column(body))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    return df.select(*shared.columns(keep), F.col(text).alias(body)).mapInArrow(run, f"{shared.ddl(df, keep)}score double, predicted int")
+    return shared.in_arrow(df.select(*shared.columns(keep), *(c.alias(body) for c in shared.columns([text]))), run, f"{shared.ddl(df, keep)}score double, predicted int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
