@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, licenses, mixing, neardup, pii, quality, runs, sharding, simhash, suffixes, toxicity
+from . import decontamination, language, licenses, mixing, neardup, negatives, pii, quality, runs, sharding, simhash, suffixes, toxicity
 
 QUERIES = {
     "op1_bayes_language": language.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_flow_mixing": mixing.query,
     "op10_line_quality": quality.query,
     "op11_word_runs": runs.query,
+    "op12_vertical_negatives": negatives.query,
     "op13_simhash_tiles": simhash.query,
 }
 
@@ -29,4 +30,5 @@ ORACLES = {
     "op9_flow_mixing": mixing.ORACLE,
     "op10_line_quality": quality.ORACLE,
     "op11_word_runs": runs.ORACLE,
+    "op12_vertical_negatives": negatives.ORACLE,
 }
