@@ -8,8 +8,14 @@ match counts 1, a substitution -`PENALTY`) decides. A document holds an item if
 
 The join sends the items' hashes to the documents, in blocks of bounded size: items are dealt into as many
 blocks as their characters need, and each block in turn is broadcast, scanned over all documents and dropped, so neither the driver
-nor an executor holds more than one. The document side, which has hashes of every word and mask, is never shuffled, and a passage
-that many documents share costs nothing more. One block holds about 700,000 words of items; a larger benchmark takes one more scan for each.
+nor an executor holds more than one. The document side, which has hashes of every word and mask, is never shuffled. One block holds about 700,000 words of items; a larger
+benchmark takes one more scan for each.
+
+Hot seeds: a hash that more than `HOT` places of the items have (a prompt or notice that they share) isn't expanded into alignments. Hashes of the same items at the
+same relative places are one class, found once wherever a document holds any of them. There, the items that have the document's words at the same
+distances are counted with postings by distance and word; where most items agree on a word, only those that differ are listed. Items whose count is below
+what they ask for can't match and leave; the few others are aligned as all are, so results are exact. A place in a document costs its words and the items
+that differ, about a microsecond for each hundred items (2,000 items and 2,000 texts with one phrase of 18 words: 2 s).
 
 Defined results: letters are compared without regard to case, punctuation is blank; items shorter than the longest mask
 must match as wholes, and items of under `min_words` words identify nothing (with min_words=1 every item is matched); null texts hold
@@ -20,6 +26,7 @@ outputs; `without` keeps all columns.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +46,10 @@ LONG_MATCH = 20
 PENALTY = 2
 BLOCK_CHARS = 4_000_000
 FILTER_BITS = 22
+#: A seed hash at more places of the items than this isn't expanded: its items are counted together.
+HOT = 64
+#: Words of alignments that are compared at once.
+CELLS = 1 << 21
 
 FACTORS = words.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -72,12 +83,59 @@ class Index:
     ids: list
     word: np.ndarray
     before: np.ndarray
+    least: np.ndarray  # matched words that an item asks for
     masks: list[tuple[int, ...]]
     key: np.ndarray  # sorted hashes
     item: np.ndarray
     place: np.ndarray
     bits: np.ndarray  # which low bits of a hash occur at all
-    min_words: int
+    hot: np.ndarray  # hashes of more than HOT places
+    hot_class: np.ndarray
+    hot_shift: np.ndarray
+    classes: list[tuple[np.ndarray, np.ndarray]]  # items of a class, and where they lie relative to the first
+    made: dict  # postings of classes, made when a document first needs them
+
+    def postings(self, k: int) -> Postings:
+        if k not in self.made:
+            self.made[k] = Postings(self, *self.classes[k])
+        return self.made[k]
+
+
+class Postings:
+    """Which items of a class have a word at a distance from where the class is found. At a distance where most have the same word, only the others are listed."""
+
+    def __init__(self, index: Index, item: np.ndarray, place: np.ndarray):
+        n = index.before[item + 1] - index.before[item]
+        entry = np.repeat(np.arange(len(item)), n)
+        q = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
+        far = q - place[entry]
+        self.item, self.place, self.least = item, place, index.least[item]
+        self.low, self.high = int(far.min()), int(far.max()) + 1
+        key = index.word[index.before[item][entry] + q] + (far - self.low).astype(np.uint64) * words.BASE
+        order = np.argsort(key, kind="stable")
+        key, entry, far = key[order], entry[order], far[order]
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        self.key, self.entry, self.at = key[heads], entry, np.append(heads, len(key))
+        size, far = np.diff(self.at), far[heads]
+        self.common, others = np.zeros(len(heads), bool), []
+        for k in np.flatnonzero(2 * size > len(item)).tolist():
+            self.common[k] = True
+            others.append((k, np.setdiff1d(np.arange(len(item)), entry[self.at[k] : self.at[k + 1]], assume_unique=True)))
+        self.others = dict(others)
+
+    def hopeful(self, word: np.ndarray, base: int, lo: int, hi: int) -> np.ndarray:
+        """Entries that have as many words as they ask for where the class is found at `base` in a text at lo..hi."""
+        a, b = max(self.low, lo - base), min(self.high, hi - base)
+        key = word[base + a : base + b] + np.arange(a - self.low, b - self.low).astype(np.uint64) * words.BASE
+        spot = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        spot = spot[self.key[spot] == key]
+        often = spot[self.common[spot]]
+        rare = spot[~self.common[spot]]
+        start, n = self.at[rare], self.at[rare + 1] - self.at[rare]
+        got = np.bincount(self.entry[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())], minlength=len(self.item)) + len(often)
+        for k in often.tolist():
+            got[self.others[k]] -= 1
+        return np.flatnonzero(got >= self.least)
 
 
 def build(ids: list, texts: list[str | None], min_words: int = MIN_WORDS) -> Index:
@@ -97,44 +155,89 @@ def build(ids: list, texts: list[str | None], min_words: int = MIN_WORDS) -> Ind
         places.append((at - before[item])[ok])
     key, item, place = map(np.concatenate, (keys, items, places))
     order = np.argsort(key, kind="stable")
-    key = key[order]
+    key, item, place = key[order], item[order], place[order]
     bits = np.zeros(1 << FILTER_BITS, bool)
     bits[(key & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
-    return Index(ids, word, before, masks, key, item[order], place[order], bits, min_words)
-
-
-def best_segment(same: np.ndarray) -> tuple[int, int, int]:
-    """Matches, start and end of the segment with the highest score, the longest of the first such."""
-    gain = np.concatenate([[0], np.cumsum(np.where(same, 1, -PENALTY))])
-    low = np.minimum.accumulate(gain)
-    end = int(np.argmax(gain - low))
-    start = int(np.argmin(gain[: end + 1]))
-    return int(same[start:end].sum()), start, end
-
-
-def find(index: Index, col: pa.Array) -> dict[tuple[int, int], tuple[int, int, int]]:
-    """{(row, item): (matched words, words of the segment, first word in the text)}, the best alignment of each."""
+    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(heads, len(key)))
+    known, classes, of, shift = {}, [], [], []
+    for a, c in zip(heads[size > HOT].tolist(), size[size > HOT].tolist(), strict=True):
+        own, relative = item[a : a + c], place[a : a + c] - place[a]
+        name = hashlib.blake2b(own.tobytes() + relative.tobytes(), digest_size=16).digest()
+        if name not in known:
+            known[name] = len(classes)
+            classes.append((own, relative))
+        of.append(known[name])
+        shift.append(place[a])
+    least = np.maximum(np.minimum(min_words, n), np.minimum(np.ceil(MIN_SHARE * n).astype(np.int64), LONG_MATCH))
+    hot = key[heads[size > HOT]]
+    return Index(ids, word, before, least, masks, key, item, place, bits, hot, np.array(of, np.int64), np.array(shift, np.int64), classes, {})
+
+
+def best_segments(same: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row of a matrix of matches: matches, start and end of the segment with the highest score, the longest of the first such.
+    Places beyond the end are no matches."""
+    gain = np.zeros((len(same), same.shape[1] + 1), np.int32)
+    np.cumsum(np.where(same, 1, -PENALTY), axis=1, out=gain[:, 1:])
+    low = np.minimum.accumulate(gain, axis=1)
+    end = (gain - low).argmax(axis=1)
+    own = np.arange(len(same))
+    start = (gain == low[own, end][:, None]).argmax(axis=1)
+    return (gain[own, end] - gain[own, start] + PENALTY * (end - start)) // (1 + PENALTY), start, end
+
+
+def aligned(index: Index, word: np.ndarray, before: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """row, item, first, matched words, words of the segment and its first word in the text, of those alignments (row, item, first) that match enough."""
+    row, item, first = at.T
+    lo = np.maximum(first, before[row])
+    n = np.minimum(first + index.before[item + 1] - index.before[item], before[row + 1]) - lo
+    order, out, i = np.argsort(n, kind="stable"), [], 0
+    while i < len(order):
+        width = n[order[i:]]
+        take = max(1, int(np.searchsorted(width * np.arange(1, len(width) + 1), CELLS, side="right")))
+        own = order[i : i + take]
+        i += take
+        step = np.arange(int(n[own].max()))
+        inside = step[None, :] < n[own][:, None]
+        text = word[np.where(inside, lo[own][:, None] + step, 0)]
+        wanted = index.word[np.where(inside, (index.before[item[own]] + lo[own] - first[own])[:, None] + step, 0)]
+        same = inside & (text == wanted)
+        own, same = own[ok := same.sum(axis=1) >= index.least[item[own]]], same[ok]
+        matched, s, e = best_segments(same)
+        good = matched >= index.least[item[own]]
+        own, matched, s, e = own[good], matched[good], s[good], e[good]
+        out.append(np.stack([row[own], item[own], first[own], matched, e - s, lo[own] + s - before[row[own]]], axis=1))
+    return np.concatenate(out) if out else np.zeros((0, 6), np.int64)
+
+
+def find(index: Index, col: pa.Array) -> np.ndarray:
+    """row, item, matched words, words of the segment and first word in the text: the best alignment of each row and item that match enough."""
     word, before = tokens(col)
-    low, hits = np.uint64((1 << FILTER_BITS) - 1), []
+    low, near, found = np.uint64((1 << FILTER_BITS) - 1), [], []
     for salt, mask in enumerate(index.masks):
         h = seeds(word, mask, salt)
         at = np.flatnonzero(index.bits[(h & low).astype(np.int64)])
         lo, hi = np.searchsorted(index.key, h[at], side="left"), np.searchsorted(index.key, h[at], side="right")
         n = hi - lo
-        got = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        at = np.repeat(at, n)
-        hits.append(np.stack([at, index.item[got], at - index.place[got]], axis=1))
-    hits = np.concatenate(hits)
-    row = np.searchsorted(before, hits[:, 0], side="right") - 1
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for r, item, first in np.unique(np.column_stack([row, hits[:, 1:]]), axis=0).tolist():
-        a, b = int(index.before[item]), int(index.before[item + 1])
-        lo, hi = max(first, int(before[r])), min(first + b - a, int(before[r + 1]))
-        matched, s, e = best_segment(word[lo:hi] == index.word[a + lo - first : a + hi - first])
-        enough = matched >= min(index.min_words, b - a) and (matched >= MIN_SHARE * (b - a) or matched >= LONG_MATCH)
-        if enough and matched > best.get((r, item), (0, 0, 0))[0]:
-            best[r, item] = (matched, e - s, lo + s - int(before[r]))
-    return best
+        often = np.flatnonzero(n > HOT)
+        k = np.searchsorted(index.hot, h[at[often]])
+        near.append(np.stack([np.searchsorted(before, at[often], side="right") - 1, index.hot_class[k], at[often] - index.hot_shift[k]], axis=1))
+        some = np.flatnonzero((n > 0) & (n <= HOT))
+        for part in np.array_split(some, max(1, -(-int(n[some].sum()) // CELLS))):
+            m = n[part]
+            got = np.repeat(lo[part] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+            spot = np.repeat(at[part], m)
+            one = np.stack([np.searchsorted(before, spot, side="right") - 1, index.item[got], spot - index.place[got]], axis=1)
+            found.append(aligned(index, word, before, np.unique(one, axis=0)))
+    for r, c, base in np.unique(np.concatenate(near), axis=0).tolist():
+        own = index.postings(c)
+        at = own.hopeful(word, base, int(before[r]), int(before[r + 1]))
+        if len(at):
+            found.append(aligned(index, word, before, np.stack([np.full(len(at), r), own.item[at], base - own.place[at]], axis=1)))
+    found = np.concatenate([np.zeros((0, 6), np.int64), *found])
+    found = found[np.lexsort((found[:, 2], -found[:, 3], found[:, 1], found[:, 0]))]
+    one = np.concatenate([[True], (found[1:, :2] != found[:-1, :2]).any(axis=1)]) if len(found) else np.zeros(0, bool)
+    return found[one][:, [0, 1, 3, 4, 5]]
 
 
 def blocks(items: DataFrame, key: str, text: str, block_chars: int = BLOCK_CHARS, min_words: int = MIN_WORDS):
@@ -166,13 +269,12 @@ def contained(docs: DataFrame, items: DataFrame, text: str = "text", item_key: s
         def run(batches, shipped=shipped):
             for part in shared.chunks(batches, body):
                 index = shipped.value
-                got = find(index, part.column(body))
-                if not got:
+                rows, item, matched, segment, first = find(index, part.column(body)).T
+                if not len(rows):
                     continue
-                rows = pa.array([r for r, _ in got], pa.int64())
-                size = [int(index.before[i + 1] - index.before[i]) for _, i in got]
-                cols = [part.column(c).take(rows) for c in keep] + [pa.array([index.ids[i] for _, i in got], kind)]
-                cols += [pa.array(x, pa.int32()) for x in ([v[0] for v in got.values()], [v[1] for v in got.values()], size, [v[2] for v in got.values()])]
+                size = index.before[item + 1] - index.before[item]
+                cols = [part.column(c).take(pa.array(rows)) for c in keep] + [pa.array([index.ids[i] for i in item.tolist()], kind)]
+                cols += [pa.array(x.astype(np.int32)) for x in (matched, segment, size, first)]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, item_key, *made])
 
         one = shared.in_arrow(source, run, schema)
@@ -192,7 +294,7 @@ def without(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str
         def run(batches, shipped=shipped):
             for part in shared.chunks(batches, text):
                 clean = np.ones(part.num_rows, bool)
-                clean[[r for r, _ in find(shipped.value, part.column(text))]] = False
+                clean[find(shipped.value, part.column(text))[:, 0]] = False
                 yield part.filter(pa.array(clean))
 
         out = shared.in_arrow(out, run, docs.schema)

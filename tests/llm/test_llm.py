@@ -490,6 +490,38 @@ def test_decontamination_against_all_alignments(spark):
         assert clean == set(range(len(texts))) - {i for i, _ in got}
 
 
+@pytest.mark.parametrize("hot, cells", [(2, 1 << 21), (1, 300), (0, 1 << 21)])
+def test_decontamination_of_hot_seeds(hot, cells, monkeypatch):
+    """Items that share phrases, also twice in one item, in parts, in all of an item, and as whole items, give what all alignments give."""
+    monkeypatch.setattr(decontamination, "HOT", hot)
+    monkeypatch.setattr(decontamination, "CELLS", cells)
+    r = random.Random(23)
+    vocab = [f"w{i}" for i in range(60)]
+    phrase, other = prose(vocab, 14, r), prose(vocab, 11, r)
+    half = " ".join(phrase.split()[:10])
+    items = [f"{prose(vocab, r.randrange(12), r)} {phrase} {prose(vocab, r.randrange(25), r)}" for _ in range(8)]
+    items += [f"{phrase} {prose(vocab, 4, r)} {phrase}", f"{half} {prose(vocab, 20, r)}", f"{other} {phrase}", f"{prose(vocab, 9, r)} {other}", phrase, phrase, "six words that five items have", "six words that five items have", "six words that five items have", "", None]
+    texts = [f"{prose(vocab, 10, r)} {phrase} {prose(vocab, 10, r)}", f"{half} {prose(vocab, 30, r)}", f"{prose(vocab, 5, r)} {other}", f"{phrase} {phrase} {other} {phrase}", "the six words that five items have here", None, phrase]
+    for x in items[:12]:
+        texts += [f"{prose(vocab, 6, r)} {x}", " ".join("sub" if r.random() < 0.15 else v for v in x.split()), " ".join(x.split()[5:])]
+    index = decontamination.build(list(range(len(items))), items)
+    got = {(a, b): (m, n, f) for a, b, m, n, f in decontamination.find(index, pa.array(texts)).tolist()}
+    assert got == slow_contained(texts, items, decontamination.MIN_WORDS) and len(got) > 60
+
+
+def test_decontamination_of_a_phrase_in_all_items():
+    """One phrase of 14 words in 2,000 items and 2,000 texts, 40 of which hold an item."""
+    r, began = random.Random(1), time.time()
+    vocab = [f"w{i}" for i in range(3000)]
+    phrase = prose(vocab, 14, r)
+    items = [f"{prose(vocab, 15, r)} {phrase} {prose(vocab, 12, r)}" for _ in range(2000)]
+    texts = [f"{prose(vocab, 60, r)} {phrase} {prose(vocab, 60, r)}" for _ in range(1960)] + [f"x {items[7 * i]} y" for i in range(40)]
+    index = decontamination.build(list(range(2000)), items)
+    got = decontamination.find(index, pa.array(texts))
+    assert got[:, :3].tolist() == [[1960 + i, 7 * i, 41] for i in range(40)] and len(index.classes) == 1
+    assert time.time() - began < 20
+
+
 def test_targets():
     for sizes in ({"a": 10, "b": 100, None: 5}, {"a": 1, "b": 1000, "c": 0}, {}, {"a": 7}, {f"s{i}": (i * 37) % 91 for i in range(40)}):
         got = mixing.targets(sizes)
