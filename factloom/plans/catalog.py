@@ -1,3 +1,3 @@
 """Imports the modules that register queries."""
 
-from . import arithmetic, checks, classes, labels, learning, registry, reviews, rollups, timelines  # noqa: F401
+from . import arithmetic, checks, classes, consistency, labels, learning, registry, reviews, rollups, timelines  # noqa: F401

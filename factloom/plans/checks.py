@@ -191,23 +191,6 @@ def context_violations(t):
     return C.context_violations(t.r_facts, valid, seen(t))
 
 
-@query("d17_score_facts", """
-WITH chk AS (SELECT table_id, concept_id, col_idx, CASE row_id % 2 WHEN 0 THEN 'SUM' ELSE 'TIE' END AS check_type, 'e' || (row_id % 3) AS edge_name, amount > 30000 AS passed, page_no % 2 = 0 AS explained, row_id AS ord FROM r_facts),
-o AS (SELECT * FROM chk QUALIFY row_number() OVER (PARTITION BY table_id, concept_id, col_idx, check_type, edge_name ORDER BY ord) = 1),
-s AS (SELECT table_id, concept_id, col_idx, count(*) FILTER (passed) AS n_passed, count(*) FILTER (NOT passed AND NOT explained) AS n_failed, count(*) FILTER (NOT passed AND explained) AS n_explained FROM o GROUP BY ALL),
-reg AS (SELECT doc_id, table_id, concept_id, col_idx, min(row_id) AS row_id FROM r_facts GROUP BY ALL)
-SELECT reg.*, coalesce(n_passed, 0) AS n_passed, coalesce(n_failed, 0) AS n_failed, coalesce(n_explained, 0) AS n_explained,
-       CASE WHEN n_failed > 0 THEN 'CONTRADICTED' WHEN n_passed >= 2 THEN 'CONFIRMED' WHEN n_passed = 1 THEN 'CORROBORATED' ELSE 'UNCONFIRMED' END AS status
-FROM reg LEFT JOIN s USING (table_id, concept_id, col_idx)""")
-def score_facts(t):
-    f = t.r_facts
-    checks = f.select(
-        "table_id", "concept_id", "col_idx", F.when(F.col("row_id") % 2 == 0, "SUM").otherwise("TIE").alias("check_type"), F.concat(F.lit("e"), (F.col("row_id") % 3).cast("string")).alias("edge_name"),
-        (F.col("amount") > 30000).alias("passed"), (F.col("page_no") % 2 == 0).alias("explained"), F.col("row_id").alias("ord"),
-    )
-    return C.score_facts(f, checks)
-
-
 @query("d41_period_changes", f"""
 WITH {BEST}, b AS (SELECT *, lag(amount) OVER o AS before, lag(period_key) OVER o AS pb FROM best WINDOW o AS (PARTITION BY doc_id, context, concept_id ORDER BY period_key))
 SELECT doc_id, context, concept_id, period_key, amount, before, floor(abs(amount - before) / greatest(abs(before), 1) * 100) / 100 AS change FROM b

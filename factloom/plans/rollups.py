@@ -63,36 +63,6 @@ def corpus_comparison(t):
     return R.corpus_comparison(R.document_profile(t.r_tables, t.r_rows, t.r_facts))
 
 
-FIND = "fi AS (SELECT doc_id, CASE WHEN amount > 50000 THEN 'BROKEN' ELSE 'VALID' END AS category, 'e' || (row_id % 14) AS edge_name FROM r_facts)"
-SCORES = "sc AS (SELECT doc_id, concept_id, CASE WHEN concept_id = 'PROMO' THEN 'UNCONFIRMED' WHEN amount > 100000 THEN 'CONFIRMED' WHEN amount > 20000 THEN 'CORROBORATED' ELSE 'CONTRADICTED' END AS status FROM r_facts)"
-
-
-def findings(t):
-    return t.r_facts.select("doc_id", F.when(F.col("amount") > 50000, "BROKEN").otherwise("VALID").alias("category"), F.concat(F.lit("e"), (F.col("row_id") % 14).cast("string")).alias("edge_name"))
-
-
-def scores(t):
-    status = F.when(F.col("concept_id") == "PROMO", "UNCONFIRMED").when(F.col("amount") > 100000, "CONFIRMED").when(F.col("amount") > 20000, "CORROBORATED").otherwise("CONTRADICTED")
-    return t.r_facts.select("doc_id", "concept_id", status.alias("status"))
-
-
-def counted(table: str, key: str, name: str) -> str:
-    return f"{name}_ AS (SELECT doc_id, string_agg(k || '=' || n, ',' ORDER BY k || '=' || n) AS {name} FROM (SELECT doc_id, {key} AS k, count(*) AS n FROM {table} GROUP BY 1, 2) GROUP BY 1)"
-
-
-@query("d18_document_findings", f"""
-WITH {PROFILE}, {FIND}, {SCORES}, inf AS (SELECT doc_id, CASE row_id % 3 WHEN 0 THEN 'top_down' WHEN 1 THEN 'label' ELSE 'ratio' END AS rule FROM r_rows WHERE tag IS NULL),
-{counted("fi", "category", "findings")}, {counted("fi", "edge_name", "edges")}, {counted("sc", "status", "statuses")}, {counted("inf", "rule", "inferred")},
-co AS (SELECT doc_id, coalesce(string_agg(DISTINCT concept_id, ',' ORDER BY concept_id) FILTER (status = 'CONFIRMED'), '') AS confirmed, coalesce(string_agg(DISTINCT concept_id, ',' ORDER BY concept_id) FILTER (status = 'CONTRADICTED'), '') AS contradicted FROM sc GROUP BY 1)
-SELECT prof.doc_id, n_tables, n_unclassified, coalesce(n_rows, 0) AS n_rows, coalesce(n_data, 0) AS n_data, coalesce(n_tagged, 0) AS n_tagged, concepts, n_facts, n_primary, coalesce(findings, '') AS findings, coalesce(edges, '') AS edges, coalesce(statuses, '') AS statuses,
-       coalesce(inferred, '') AS inferred, coalesce(confirmed, '') AS confirmed, coalesce(contradicted, '') AS contradicted
-FROM prof LEFT JOIN findings_ USING (doc_id) LEFT JOIN edges_ USING (doc_id) LEFT JOIN statuses_ USING (doc_id) LEFT JOIN inferred_ USING (doc_id) LEFT JOIN co USING (doc_id)""")
-def document_findings(t):
-    k = F.col("row_id") % 3
-    inferred = t.r_rows.where("tag is null").select("doc_id", F.when(k == 0, "top_down").when(k == 1, "label").otherwise("ratio").alias("rule"))
-    return R.document_profile(t.r_tables, t.r_rows, t.r_facts, findings(t), scores(t), inferred)
-
-
 @query("d19_corpus_status", """
 WITH r AS (SELECT doc_id, CASE WHEN n_pages < 14 THEN 'error' WHEN n_pages < 20 THEN 'halted' ELSE 'completed' END AS status, CASE WHEN n_pages >= 14 AND n_pages < 20 THEN 'stage' || (n_pages % 3) END AS halted_at FROM r_documents)
 SELECT status, halted_at, count(*) AS n_documents, min(doc_id) AS first_document FROM r GROUP BY 1, 2""")
@@ -101,24 +71,6 @@ def corpus_status(t):
     return R.corpus_status(t.r_documents.select("doc_id", status.alias("status"), F.when(status == "halted", F.concat(F.lit("stage"), (F.col("n_pages") % 3).cast("string"))).alias("halted_at")))
 
 
-@query("d21_top_edges", f"WITH {FIND}, c AS (SELECT category, edge_name, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM fi GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY category ORDER BY n DESC, edge_name) AS rank FROM c QUALIFY rank <= 10")
-def top_edges(t):
-    return R.top_edges(findings(t))
-
-
-@query("d21_never_confirmed", f"WITH {SCORES} SELECT concept_id, count(DISTINCT doc_id) AS n_docs FROM sc GROUP BY 1 HAVING bool_and(status = 'UNCONFIRMED')")
-def never_confirmed(t):
-    return R.never_confirmed(scores(t))
-
-
-@query("d21_cross_document_patterns", """
-WITH s AS (SELECT doc_id, concept_id, CASE WHEN amount > 100000 THEN 'CONFIRMED' WHEN amount > 20000 THEN 'CORROBORATED' ELSE 'CONTRADICTED' END AS status FROM r_facts)
-SELECT status, concept_id, count(DISTINCT doc_id) AS n_docs, count(*) AS n_facts, row_number() OVER (PARTITION BY status ORDER BY count(DISTINCT doc_id) DESC, concept_id) AS rank FROM s GROUP BY status, concept_id HAVING count(DISTINCT doc_id) >= 2""")
-def cross_document_patterns(t):
-    status = F.when(F.col("amount") > 100000, "CONFIRMED").when(F.col("amount") > 20000, "CORROBORATED").otherwise("CONTRADICTED")
-    return R.cross_document_patterns(t.r_facts.withColumn("status", status))
-
-
 @query("d22_keyword_argmax", """
 WITH s AS (SELECT doc_id, (contains(x, 'the')::INT + contains(x, 'tion')::INT + contains(x, 'with')::INT) AS a, (contains(x, 'der')::INT + contains(x, 'und')::INT + contains(x, 'keit')::INT) AS b, (contains(x, 'que')::INT + contains(x, 'eau')::INT + contains(x, 'les')::INT) AS c
   FROM (SELECT doc_id, lower(coalesce(text, '')) AS x FROM documents))
@@ -238,13 +190,6 @@ def cumulative_tiers(t):
     return R.cumulative_tiers(d.where("gaap = 'UGB' and doc_id % 10 = 0"), d, 150)
 
 
-@query("g2_concept_set_algebra", f"""
-WITH {SCORES} SELECT DISTINCT doc_id, concept_id FROM r_facts EXCEPT SELECT doc_id, concept_id FROM sc WHERE status = 'CONFIRMED' EXCEPT SELECT doc_id, concept_id FROM sc WHERE status = 'CONTRADICTED'""")
-def concept_set_algebra(t):
-    s, key = scores(t), ["doc_id", "concept_id"]
-    return R.concept_set_algebra(t.r_facts.select(key), s.where("status = 'CONFIRMED'").select(key), s.where("status = 'CONTRADICTED'").select(key))
-
-
 @query("g2_in_all_documents", "WITH f AS (SELECT DISTINCT table_id % 3 AS doc_id, concept_id FROM r_facts) SELECT concept_id, count(*) AS n_docs FROM f GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT doc_id) FROM f)")
 def in_all_documents(t):
     return R.in_all_documents(t.r_facts.select((F.col("table_id") % 3).alias("doc_id"), "concept_id").distinct())

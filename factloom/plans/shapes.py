@@ -85,6 +85,39 @@ SELECT * FROM (VALUES ('sizes_sum', 'SUMMATION', 'PNL', 'TOTAL', NULL, 1000.0, N
     "r_members": """
 SELECT * FROM (VALUES ('sizes_sum', 1, 'LARGE'), ('sizes_sum', 2, 'MEDIUM'), ('sizes_sum', 3, 'SMALL'), ('promo_tie', 1, 'PROMO'), ('econ_tie', 1, 'ECONOMY'),
   ('std_detail', 1, 'STANDARD'), ('large_note', 1, 'LARGE'), ('large_note', 2, 'MEDIUM')) AS m(edge_name, ord, concept_id)""",
+    # statements of a document's year that belong together: sums, ties, notes, details and quotients that hold, but for deviations by `d`
+    "s_reports": """
+SELECT o_custkey AS doc_id, year(o_orderdate) AS y, (o_custkey + year(o_orderdate)) % 2520 AS d, CAST(sum(CASE WHEN l_returnflag = 'A' THEN floor(l_extendedprice) ELSE 0 END) AS DOUBLE) AS a,
+       CAST(sum(CASE WHEN l_returnflag = 'R' THEN floor(l_extendedprice) ELSE 0 END) AS DOUBLE) AS r, CAST(sum(CASE WHEN l_returnflag = 'N' THEN floor(l_extendedprice) ELSE 0 END) AS DOUBLE) AS n
+FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY o_custkey, year(o_orderdate), (o_custkey + year(o_orderdate)) % 2520""",
+    "s_lines": """
+SELECT doc_id, y, (doc_id * 100 + y - 1990) * 10 + k AS table_id, ((doc_id * 100 + y - 1990) * 10 + k) * 100 + row_idx AS row_id, k, row_idx, parent, concept_id,
+       CASE k WHEN 1 THEN 'PNL' WHEN 2 THEN 'SFP' WHEN 3 THEN 'OCI' WHEN 4 THEN 'DISC.SEGMENTS' WHEN 5 THEN 'DISC.REVENUE' ELSE 'DISC.ASSOCIATES' END AS context, lower(concept_id) AS label,
+       CASE concept_id WHEN 'REVENUE' THEN a + r + n WHEN 'REV.A' THEN a WHEN 'REV.R' THEN CASE WHEN d % 9 > 0 THEN r END WHEN 'REV.N' THEN CASE WHEN d % 6 = 0 THEN n + 5000 ELSE n END
+         WHEN 'MARGIN' THEN CASE WHEN a > 0 THEN floor(100 * (a + r + n) / a) / 100 + CASE WHEN d % 10 = 3 THEN 1 ELSE 0 END END WHEN 'ASSETS' THEN a + r WHEN 'CASH' THEN a WHEN 'STOCK' THEN CASE WHEN d % 7 > 0 THEN r END
+         WHEN 'RETAINED' THEN CASE d % 5 WHEN 0 THEN (a + r + n) * 1000 WHEN 1 THEN a + r + n + 7000 ELSE a + r + n END WHEN 'FLOW.A' THEN CASE WHEN d % 8 = 0 THEN 3000 - a ELSE -a END
+         WHEN 'SEGREV' THEN CASE row_idx WHEN 0 THEN a WHEN 1 THEN r ELSE CASE WHEN d % 4 = 0 THEN n - 2500 ELSE n END END WHEN 'ICLINE' THEN CASE WHEN d % 12 = 0 THEN 2500 WHEN d % 12 = 4 THEN 40 END
+         WHEN 'NOTE.CASH' THEN CASE WHEN d % 7 = 1 THEN a + 2000 WHEN d % 7 = 2 THEN a * 1000 ELSE a END WHEN 'NOTE.REV1' THEN a WHEN 'NOTE.REV2' THEN CASE WHEN d % 9 = 2 THEN r + n + 9000 ELSE r + n END
+         WHEN 'GOODWILL' THEN a * k WHEN 'SHARES' THEN r + k WHEN 'LOANS' THEN CASE k WHEN 2 THEN (n + 3) * 1000 WHEN 1 THEN CASE WHEN d % 10 = 0 THEN n + 3 END ELSE n + 3 END WHEN 'ASSOC' THEN n + 3 WHEN 'STAFF' THEN r + n + 77 END AS value
+FROM {s_reports} CROSS JOIN (VALUES (1, 0, NULL, 'REVENUE'), (1, 1, 0, 'REV.A'), (1, 2, 0, 'REV.R'), (1, 3, 0, 'REV.N'), (1, 4, NULL, 'MARGIN'), (1, 5, NULL, 'LOANS'), (1, 6, NULL, 'STAFF'), (2, 0, NULL, 'ASSETS'), (2, 1, 0, 'CASH'),
+  (2, 2, 0, 'STOCK'), (2, 3, NULL, 'RETAINED'), (2, 4, NULL, 'GOODWILL'), (2, 5, NULL, 'SHARES'), (2, 6, NULL, 'LOANS'), (3, 0, NULL, 'FLOW.A'), (4, 0, NULL, 'SEGREV'), (4, 1, NULL, 'SEGREV'), (4, 2, NULL, 'SEGREV'), (4, 3, NULL, 'ICLINE'),
+  (5, 0, NULL, 'NOTE.CASH'), (5, 1, NULL, 'NOTE.REV1'), (5, 2, NULL, 'NOTE.REV2'), (5, 3, NULL, 'GOODWILL'), (5, 4, NULL, 'SHARES'), (5, 5, NULL, 'LOANS'), (6, 0, NULL, 'ASSOC')) AS v(k, row_idx, parent, concept_id)""",
+    "s_tables": "SELECT DISTINCT doc_id, table_id, context, CAST(k AS INT) AS page_no FROM {s_lines}",
+    "s_rows": "SELECT doc_id, table_id, row_id, row_idx, row_id - row_idx + parent AS parent_id, CASE WHEN concept_id IN ('REVENUE', 'ASSETS') THEN 'TOTAL_EXPLICIT' ELSE 'DATA' END AS row_type, label, CASE WHEN k < 5 OR row_idx < 3 THEN concept_id END AS tag FROM {s_lines}",
+    "s_cells": "SELECT table_id, row_id, row_id - row_idx + parent AS parent_id, 2 AS col_idx, value FROM {s_lines}",
+    "s_facts": """
+SELECT doc_id, table_id, row_id, context, concept_id, 'Y' || CAST(y AS STRING) AS period_key, 2 AS col_idx, CAST(value AS DOUBLE) AS amount, CAST(k AS INT) AS page_no, k < 4 AS is_primary, 4 AS value_cols, label
+FROM {s_lines} WHERE value IS NOT NULL""",
+    "s_edges": """
+SELECT * FROM (VALUES ('rev_sum', 'SUMMATION', 'PNL', 'REVENUE', NULL, 1000.0, NULL, NULL), ('assets_sum', 'SUMMATION', 'SFP', 'ASSETS', NULL, 1000.0, NULL, NULL), ('result_tie', 'CROSS_STATEMENT_TIE', 'PNL', 'REVENUE', 'SFP', 1000.0, 'RETAINED', 'equals'),
+  ('flow_tie', 'CROSS_STATEMENT_TIE', 'PNL', 'REV.A', 'OCI', 1000.0, 'FLOW.A', 'opposite'), ('seg_detail', 'DISAGGREGATION', 'PNL', 'REVENUE', 'DISC.SEGMENTS', 1000.0, NULL, NULL), ('cash_note', 'NOTE_TO_FACE', 'SFP', 'CASH', 'DISC.REVENUE', 1000.0, NULL, NULL),
+  ('rev_note', 'NOTE_TO_FACE', 'PNL', 'REVENUE', 'DISC.REVENUE', 1000.0, NULL, NULL)) AS e(edge_name, edge_type, context, concept_id, other_context, tol, other_concept, rule)""",
+    "s_members": """
+SELECT * FROM (VALUES ('rev_sum', 1, 'REV.A'), ('rev_sum', 2, 'REV.R'), ('rev_sum', 3, 'REV.N'), ('assets_sum', 1, 'CASH'), ('assets_sum', 2, 'STOCK'), ('seg_detail', 1, 'SEGREV'), ('cash_note', 1, 'NOTE.CASH'), ('rev_note', 1, 'NOTE.REV1'),
+  ('rev_note', 2, 'NOTE.REV2')) AS m(edge_name, ord, concept_id)""",
+    "s_concepts": """
+SELECT * FROM (VALUES ('GOODWILL', 'monetary', NULL, 2, 'SFP'), ('SHARES', 'monetary', 'shares', 0, 'SFP'), ('LOANS', 'monetary', NULL, 0, 'SFP'), ('ASSOC', 'monetary', NULL, 0, 'SFP'), ('REVENUE', 'monetary', NULL, 0, 'PNL'),
+  ('CASH', 'monetary', NULL, 0, 'SFP'), ('MARGIN', 'percentage', NULL, 0, 'SFP'), ('STAFF', 'monetary', NULL, 0, 'SFP')) AS c(concept_id, unit_type, note_unit_type, n_variants, valid_context)""",
     # labels as reports print them, and amounts as text
     "l_labels": """
 SELECT table_id, row_id, row_idx, doc_id, label,
@@ -100,7 +133,7 @@ FROM {r_cells} WHERE value IS NOT NULL""",
 SELECT DISTINCT p_type || '.' || p_name AS concept_id, lower(p_name) AS label, 1 AS precedence FROM {part} WHERE p_partkey % 3 = 0
 UNION ALL SELECT DISTINCT 'ACC.' || p_name, lower(p_name), 2 FROM {part}""",
     # pages: 600 by 800 points, with tables and text elements in boxes
-    "p_pages": "SELECT doc_id, n_pages, CAST(page AS INT) AS page, 600.0 AS width, 800.0 AS height FROM (SELECT doc_id, n_pages, explode(sequence(1, n_pages)) AS page FROM {r_documents})",
+    "p_pages": "SELECT doc_id, n_pages, CAST(page AS INT) AS page, CAST(600 AS DOUBLE) AS width, CAST(800 AS DOUBLE) AS height FROM (SELECT doc_id, n_pages, explode(sequence(1, n_pages)) AS page FROM {r_documents})",
     "p_tables": """
 SELECT doc_id, table_id, table_ord, page_no AS page, context, unit AS currency, CAST(table_id % 3 AS INT) AS header_rows,
        CAST(table_id % 50 AS DOUBLE) AS l, CAST(250 + table_id % 200 AS DOUBLE) AS r, CAST(table_id % 90 AS DOUBLE) AS b, CAST(120 + table_id % 300 AS DOUBLE) AS t FROM {r_tables}""",
