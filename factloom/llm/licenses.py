@@ -1,14 +1,14 @@
 """Licence scans with a positional index over rare words.
 
-Licence templates are word sequences; each word's inverse document frequency is measured over all documents.
-The index has the postings of every licence word: the templates and the places in them where it stands. In a file the licence
-words are looked up from the highest IDF on; a word that is the rarest of a template's mandatory key phrase proposes alignments (place
-in the file minus place in the template). These are intersected with those of the phrase's other words, rarest first, so
-an alignment that is left has the whole phrase word for word. For it, the template's words that stand at their relative positions are
-added up by IDF; a template counts from `MIN_SHARE` on. The index is small and fixed in size: it holds the templates, not the corpus.
+Licence templates are word sequences, from single phrases to whole licence texts; each word's inverse document frequency is measured over all documents.
+The index has positional postings (word, template, place) of each template's rarest words: from the highest IDF on, as many as an alignment with `MIN_SHARE` of the
+template's weight can't miss altogether. A file's words are looked up from the highest IDF on; each of their places gives, with each posting, an alignment
+(place in the file minus place in the template), and the weights of the postings that agree on one are added up. Alignments that have enough of the indexed weight are
+intersected with the file's places of all of the template's words; a template counts from `MIN_SHARE` on if, last, its mandatory key
+phrase stands there word for word. The index is small and fixed in size: it holds the templates, not the corpus.
 
 Defined results: a null or empty text has no words and no labels; a template's best alignment counts; of words with the same IDF the
-first in the phrase proposes; repeated rows give the same result; an empty table gives
+first in the template is indexed; repeated rows give the same result; an empty table gives
 an empty result; extra columns are kept by `scan`, except those named as its outputs.
 """
 
@@ -51,9 +51,14 @@ TEMPLATES = [
     ("boost-1.0", "boost software license version 1 0 permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "boost software license"),
     ("mpl-2.0-notice", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "if a copy of the mpl was not distributed with this file"),
     ("unlicense-notice", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("mit-full", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", "shall be included in all copies or substantial portions of the software"),
+    ("isc-full", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software", "the author disclaims all warranties with regard to this software"),
+    ("bsd-3-full", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage", "endorse or promote products derived from this software"),
 ]
 #: A template counts if this share of its words, by IDF, stands at the proposed relative position.
 MIN_SHARE = 0.6
+#: Rounding of sums of weights that are compared in different orders.
+SLACK = 1e-9
 
 #: A-Z becomes a-z, other ASCII that isn't a digit or letter becomes a blank, bytes above stay.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -71,7 +76,9 @@ class Entry:
     key_len: int
     base: bool
     weights: list[float] = field(default_factory=list)
-    phrase: list[int] = field(default_factory=list)  # places of the mandatory phrase, from the highest IDF on
+    total: float = 0.0
+    rare: list[int] = field(default_factory=list)  # places whose words are indexed
+    least: float = 0.0  # weight of indexed places that an alignment with enough words has
 
 
 def entries() -> list[Entry]:
@@ -84,8 +91,9 @@ def entries() -> list[Entry]:
 
 @dataclass
 class Index:
+    entries: list[Entry]
     idf: dict[bytes, float]
-    leads: dict[bytes, list[Entry]]  # templates by the rarest word of their mandatory phrase
+    postings: dict[bytes, list[tuple[int, int]]]  # word: templates and the places in them
 
 
 def vocabulary() -> set[bytes]:
@@ -110,41 +118,54 @@ def document_frequency(df: DataFrame, text: str = "text") -> tuple[int, dict[byt
 
 
 def index(n: int, frequency: dict[bytes, int]) -> Index:
+    """Postings of each template's words from the highest IDF on, until no alignment that misses all of them can have MIN_SHARE of the
+    weight; of a base phrase, which is wanted whole, the one rarest word."""
     idf = {w: math.log((n + 1) / (frequency.get(w, 0) + 1)) + 1 for w in vocabulary()}
-    leads: dict[bytes, list[Entry]] = {}
-    for e in entries():
+    found, postings = entries(), {}
+    for i, e in enumerate(found):
         e.weights = [idf[w] for w in e.words]
-        e.phrase = sorted(range(e.key, e.key + e.key_len), key=lambda i: (-e.weights[i], i))
-        leads.setdefault(e.words[e.phrase[0]], []).append(e)
-    return Index(idf, leads)
+        e.total = sum(e.weights)
+        spare, got = (0.0 if e.base else (1 - MIN_SHARE) * e.total), 0.0
+        for k in sorted(range(len(e.words)), key=lambda k: (-e.weights[k], k)):
+            e.rare.append(k)
+            got += e.weights[k]
+            postings.setdefault(e.words[k], []).append((i, k))
+            if got > spare + SLACK:
+                break
+        e.least = got if e.base else got - spare
+    return Index(found, idf, postings)
 
 
 def scan_words(words: list[bytes], found: Index) -> tuple[list[tuple[int, str]], dict[str, float]]:
     """Places of base phrases (start, label), and the share of each further label's best template."""
     base, more = [], {}
-    rare = found.leads.keys() & set(words)
+    rare = found.postings.keys() & set(words)
     if not rare:
         return base, more
     places: dict[bytes, list[int]] = {}  # the file's postings: where each licence word stands
     for i, w in enumerate(words):
         if w in found.idf:
             places.setdefault(w, []).append(i)
+    met: dict[tuple[int, int], float] = {}  # weight of the indexed words by template and alignment
+    for w in sorted(rare, key=lambda w: (-found.idf[w], w)):
+        for i, k in found.postings[w]:
+            for at in places[w]:
+                met[i, at - k] = met.get((i, at - k), 0.0) + found.idf[w]
     sets = {w: set(p) for w, p in places.items()}
-    for lead in sorted(rare, key=lambda w: (-found.idf[w], w)):
-        for e in found.leads[lead]:
-            starts = [i - e.phrase[0] for i in places[lead]]
-            for k in e.phrase[1:]:  # intersect with the postings of the phrase's other words
-                at = sets.get(e.words[k], ())
-                starts = [s for s in starts if s + k in at]
-                if not starts:
-                    break
-            if e.base:
-                base += [(s, e.label) for s in starts]
+    for (i, s), weight in met.items():
+        e = found.entries[i]
+        if weight < e.least - SLACK:
+            continue
+        if not e.base:
+            share = sum(w for k, w in enumerate(e.weights) if s + k in sets.get(e.words[k], ())) / e.total
+            if share < MIN_SHARE:
                 continue
-            for s in starts:
-                share = sum(w for k, w in enumerate(e.weights) if s + k in sets.get(e.words[k], ())) / sum(e.weights)
-                if share >= MIN_SHARE:
-                    more[e.label] = max(share, more.get(e.label, 0.0))
+        if any(s + k not in sets.get(e.words[k], ()) for k in range(e.key, e.key + e.key_len)):
+            continue  # the mandatory phrase isn't there word for word
+        if e.base:
+            base.append((s, e.label))
+        else:
+            more[e.label] = max(share, more.get(e.label, 0.0))
     return sorted(base), more
 
 
