@@ -58,13 +58,12 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def place(df: DataFrame, key: str, shards: list[str], slots: int = SLOTS) -> DataFrame:
-    """df with `slot` (long) and `shard` (string). The table has `slots` rows and is broadcast."""
-    spark = df.sparkSession
-    table = spark.createDataFrame(list(enumerate(shards[k] for k in fill_table(shards, slots))), "slot long, shard string")
-    rest = df.drop("slot", "shard") if key not in ("slot", "shard") else df.withColumnRenamed(key, "__key").drop("slot", "shard")
-    key = key if key in rest.columns else "__key"
-    out = rest.withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(table), "slot")
-    return out.select(*[c for c in rest.columns if c != "__key"], "slot", "shard")
+    """df with `slot` (long) and `shard` (string), which replace columns of these names. The table has `slots` rows and is broadcast."""
+    (k,), at, name = shared.columns([key]), shared.fresh(df, "__slot"), shared.fresh(df, "__shard")
+    table = df.sparkSession.createDataFrame(list(enumerate(shards[x] for x in fill_table(shards, slots))), f"{at} long, {name} string")
+    out = df.withColumn(at, slot_of(k, slots)).join(F.broadcast(table), at)
+    rest = shared.columns([c for c in df.columns if c.lower() not in ("slot", "shard")])
+    return out.select(*rest, F.col(at).alias("slot"), F.col(name).alias("shard"))
 
 
 def names(n: int = SHARDS) -> list[str]:
