@@ -142,7 +142,7 @@ def signed(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def shingle_sets(df: DataFrame) -> DataFrame:
-    """node, bag: a 32-bit hash of each shingle and its number among equal ones, so that bags intersect as sets."""
+    """node, bag: a 64-bit hash of each shingle and its number among equal ones, so that bags intersect as sets."""
     kind = df.schema["node"].dataType.simpleString()
 
     def run(batches):
@@ -150,12 +150,12 @@ def shingle_sets(df: DataFrame) -> DataFrame:
             row, h, weight, _ = bags(*words.flat(part.column("text")))
             owner = np.repeat(row, weight)
             nth = np.arange(len(owner)) - np.repeat(np.cumsum(weight) - weight, weight)
-            h = (words.mix(np.repeat(h, weight) + nth.astype(np.uint64) * words.BASE) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            h = words.mix(np.repeat(h, weight) + nth.astype(np.uint64) * words.BASE).view(np.int64)
             order = np.argsort(owner, kind="stable")
             ends = np.searchsorted(owner[order], np.arange(part.num_rows + 1))
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(h[order]))], names=["node", "bag"])
 
-    return df.select("node", "text").mapInArrow(run, f"node {kind}, bag array<int>")
+    return df.select("node", "text").mapInArrow(run, f"node {kind}, bag array<long>")
 
 
 def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
@@ -173,11 +173,15 @@ def agreeing(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def shared_shingles(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b, i (shingles in both bags), t (of both together)."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")).hint("merge"), "b")
+    return both.select("a", "b", F.size(F.array_intersect("bag_a", "bag_b")).alias("i"), (F.size("bag_a") + F.size("bag_b")).alias("t"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs whose bags have a weighted Jaccard similarity of SIMILARITY or more."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")).hint("merge"), "b")
-    both = both.select("a", "b", F.size(F.array_intersect("bag_a", "bag_b")).alias("i"), (F.size("bag_a") + F.size("bag_b")).alias("t"))
-    return both.where(F.col("i") >= F.lit(SIMILARITY) * (F.col("t") - F.col("i"))).select("a", "b")
+    return shared_shingles(pairs, sets).where(F.col("i") >= F.lit(SIMILARITY) * (F.col("t") - F.col("i"))).select("a", "b")
 
 
 def components(links: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -263,8 +267,9 @@ def repeats_keys(df: DataFrame, key: str) -> bool:
     return not df.where(k.isNotNull()).groupBy(k).count().where("count > 1").isEmpty()
 
 
-def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and class_id of each row, with copy (the text equals that of another row with a smaller key)."""
+def classes(df: DataFrame, key: str = "doc_id", text: str = "text", measured: bool = False) -> DataFrame:
+    """key and class_id of each row, with copy (the text equals that of another row with a smaller key); if measured, also similarity: the weighted Jaccard
+    similarity with the text that names the class, which is below SIMILARITY where only a chain of links leads there."""
     spark, gone = df.sparkSession, []
     k, t = shared.columns([key, text])
     rows = df.where(k.isNotNull()).select(k.alias("key"), t.alias("text"))
@@ -296,7 +301,14 @@ def classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         if not open_.isEmpty():
             label = components(shared.written(block_links(open_, sets), "links"), label)
     out = members if label is None else members.join(label.hint("merge"), "node", "left")
-    out = out.select("key", (F.col("node") if label is None else F.coalesce("label", "node")).alias("class_id"), (F.col("key") != F.col("node")).alias("copy"))
+    extra = []
+    if measured:
+        extra = [F.lit(1.0).alias("similarity")]
+        if label is not None:
+            like = shared_shingles(label.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")), sets)
+            like = shared.written(like.select(F.col("b").alias("node"), (F.col("i") / (F.col("t") - F.col("i"))).alias("like")), "alike")
+            out, extra = out.join(like.hint("merge"), "node", "left"), [F.coalesce("like", F.lit(1.0)).alias("similarity")]
+    out = out.select("key", (F.col("node") if label is None else F.coalesce("label", "node")).alias("class_id"), (F.col("key") != F.col("node")).alias("copy"), *extra)
     if repeats_keys(df, key) or not df.where(k.isNull()).isEmpty():
         out = df.select(k.alias("key")).join(out, "key", "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     return out.withColumnRenamed("key", key)
@@ -317,8 +329,8 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = classes(shared.documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", "class_id", "copy", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    out = classes(shared.documents(spark, sf_dir).select("doc_id", "text"), measured=True)
+    return out.select("doc_id", "class_id", "copy", (F.col("doc_id") == F.col("class_id")).alias("kept"), F.round("similarity", 6).alias("similarity"))
 
 
 #: All pairs that share a shingle, compared in full, and what they join.
@@ -342,6 +354,9 @@ WITH RECURSIVE d AS (
   SELECT doc_id, doc_id FROM d UNION SELECT r.a, arc.b FROM reach r JOIN arc ON arc.a = r.b
 ), class AS (
   SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY a
+), first AS (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS node FROM d
 )
-SELECT doc_id, class_id, doc_id <> min(doc_id) OVER (PARTITION BY text) AS copy, doc_id = class_id AS kept FROM d JOIN class USING (doc_id)
+SELECT doc_id, class_id, doc_id <> node AS copy, doc_id = class_id AS kept, round(CASE WHEN node = class_id THEN 1 ELSE coalesce(i / (x.n + y.n - i), 0) END, 6)::DOUBLE AS similarity
+FROM first JOIN class USING (doc_id) LEFT JOIN total x USING (doc_id) LEFT JOIN total y ON y.doc_id = class_id LEFT JOIN alike ON a = class_id AND b = node
 """
