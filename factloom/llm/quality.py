@@ -7,7 +7,7 @@ come beside it. One pass over the texts makes counts and distinct line hashes fo
 written, so that the counting join reads hashes instead of texts. Counts are combined before the shuffle,
 so a line or host that a third of all rows share costs one row a task.
 
-Defined results: a null text has no lines and fails the length rule; a null host is a host of its own; every
+Defined results: a null text has no lines and fails the length rule; a null host is a host of its own; lines are told apart by a 64-bit hash of their normalised bytes, which is not checked; every
 row counts as one document, also when keys repeat; a line in exactly `max_docs` documents stays; an empty table gives an empty
 result; extra columns are kept by `rules`, except those named as its outputs (the counts, removed_words, base_failed, kept and clean_text).
 """
@@ -130,6 +130,7 @@ def rules(df: DataFrame, text: str = "text", host: str = "source", max_docs: int
     table = shared.written(measure(df, text, found).withColumn(row, F.monotonically_increasing_id()), "quality")
     lines = table.select(F.col(row).alias("row"), F.col(own_host).alias("host"), F.explode(found).alias("l")).select("row", "host", "l.h", "l.w")
     common = lines.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs") > max_docs).select("host", "h")
+    common = shared.written(common, "common").hint("merge")  # two tables, so that Spark splits the rows of a hot line
     gone = [F.collect_list("h").alias(lost)] if cleaned else []
     removed = lines.join(common, ["host", "h"]).groupBy(F.col("row").alias(row)).agg(F.sum("w").alias("removed_words"), *gone)
     out = table.drop(found, own_host, "removed_words", "base_failed", "kept").join(removed, row, "left").drop(row).fillna(0, ["removed_words"])
@@ -140,7 +141,7 @@ def rules(df: DataFrame, text: str = "text", host: str = "source", max_docs: int
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rules(shared.documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "removed_words", "base_failed", "kept")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "removed_words")
 
 
 ORACLE = rf"""
