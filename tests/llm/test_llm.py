@@ -686,3 +686,45 @@ def test_pipeline(spark, tmp_path):
     assert kept[0] == {x[0] for x in made} - {103, 104}
     assert kept[1] == kept[0] - {100, 101} and kept[2] == kept[1] - {102} and kept[3] == kept[4] <= kept[2]
     assert pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
+def test_columns_with_dots(spark, tmp_path):
+    """Names with dots and backticks, and names like the outputs', pass through every operator that keeps columns."""
+    rows = [(i, prose(EN, 60, random.Random(i)), "en", "s", 1.5, "x", 7) for i in range(6)]
+    df = spark.createDataFrame(rows, "`doc.id` long, text string, lang string, source string, `a.b` double, `c``d` string, slot int")
+    keep = lambda out: {c for c in out.columns} >= {"doc.id", "a.b", "c`d"} and out.count() == 6
+    assert keep(sharding.place(df, "doc.id", sharding.names(4))) and sharding.place(df, "doc.id", sharding.names(4)).columns[-2:] == ["slot", "shard"]
+    assert keep(licenses.scan(df, licenses.index(*licenses.document_frequency(df)))) and keep(quality.rules(df))
+    assert keep(decontamination.without(df, spark.createDataFrame([(1, "no such item in here")], "item_id int, text string")))
+    assert keep(language.accepted(df, language.fit(df.select(F.col("`doc.id`").alias("doc_id"), "text", "lang"))))
+
+
+def test_licenses_against_every_alignment():
+    """Templates with words changed, cut and moved: the index finds what laying each template at every place finds."""
+    r = random.Random(31)
+    frequency = {w: r.randrange(0, 500) for w in licenses.vocabulary()}
+    found = licenses.index(500, frequency)
+    vocab = sorted(w.decode() for w in licenses.vocabulary())
+    for e in found.entries * 3:
+        own = [w.decode() for w in e.words]
+        ws = [r.choice(vocab) if r.random() < r.choice((0, 0.1, 0.4)) else w for w in own[r.choice((0, 0, len(own) // 3)) :]]
+        text = [w.encode() for w in f"{prose(vocab, 20, r)} {' '.join(ws)} {prose(vocab, 15, r)}".split()]
+        base, more = [], {}
+        for x in found.entries:
+            for s in range(-len(x.words), len(text)):
+                hit = [0 <= s + k < len(text) and text[s + k] == w for k, w in enumerate(x.words)]
+                share = sum(w for w, h in zip(x.weights, hit, strict=True) if h) / x.total
+                if all(hit[x.key : x.key + x.key_len]) and (x.base or share >= licenses.MIN_SHARE):
+                    base += [(s, x.label)] if x.base else []
+                    more |= {} if x.base else {x.label: max(share, more.get(x.label, 0))}
+        assert licenses.scan_words(text, found) == (sorted(base), more)
+
+
+def test_similarity_with_the_text_that_names_the_class(spark):
+    """A chain: each text is like the next, the last is less like the first."""
+    ws = [f"w{i}" for i in range(100)]
+    texts = [" ".join(ws[:k] + [f"x{i}" for i in range(k, 100)]) for k in (100, 94, 88)] + ["other words than these"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[1]])], "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["copy"], round(r["similarity"], 9)) for r in neardup.classes(df, measured=True).collect()}
+    like = lambda i, j: round(jaccard(bag(texts[i]), bag(texts[j])), 9)
+    assert got == {0: (0, False, 1.0), 1: (0, False, like(0, 1)), 2: (0, False, like(0, 2)), 3: (3, False, 1.0), 4: (0, True, like(0, 1))} and like(0, 2) < 0.8 <= like(1, 2)
