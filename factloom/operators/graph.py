@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tagging import shared_table
 
 #: The families of declared relationships and the edge types that they become. Fixed values.
 FAMILIES = {"summation_trees": "SUMMATION", "disaggregations": "DISAGGREGATION", "cross_statement_ties": "CROSS_STATEMENT_TIE", "intercompany": "IC_DECOMPOSITION", "note_ties": "NOTE_TO_FACE", "ratios": "DIVISION"}
@@ -29,26 +30,38 @@ def edge_dim(relations: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataF
 
 
 def neighborhood(members: DataFrame, start: str, depth: int = 1) -> DataFrame:
-    """C14: concepts that share an edge with the start, up to `depth` hops; each with its first hop. The loop is over hops, of which there are three at most."""
-    seen = members.where(F.col("concept_id") == start).select("concept_id").distinct().withColumn("hop", F.lit(0))
-    last = seen
-    pairs = members.alias("m1").join(members.alias("m2"), "edge_name").select(F.col("m1.concept_id").alias("concept_id"), F.col("m2.concept_id").alias("next")).distinct()
+    """C14: concepts that share an edge with the start, up to `depth` hops (three at most); each with its first hop. A hop goes from the frontier to the edges
+    that it touches for the first time, and from them to their members: its cost follows the frontier, and no pair of members is made. Both sets are written each hop."""
+    m = members.select("edge_name", "concept_id").distinct()
+    last = shared_table(m.where(F.col("concept_id") == start).select("concept_id").distinct(), "hop")
+    seen, used = last.withColumn("hop", F.lit(0)), None
     for k in range(1, min(depth, 3) + 1):
-        last = pairs.join(last.select("concept_id"), "concept_id").select(F.col("next").alias("concept_id")).distinct().join(seen.select("concept_id"), "concept_id", "left_anti").withColumn("hop", F.lit(k))
-        seen = seen.unionByName(last)
+        touched = m.join(last, "concept_id", "left_semi").select("edge_name").distinct()
+        touched = shared_table(touched if used is None else touched.join(used, "edge_name", "left_anti"), "hop-edges")
+        used = touched if used is None else used.unionByName(touched)
+        last = shared_table(m.join(touched, "edge_name", "left_semi").select("concept_id").distinct().join(seen.select("concept_id"), "concept_id", "left_anti"), "hop")
+        seen = seen.unionByName(last.withColumn("hop", F.lit(k)))
     return seen
 
 
-def context_tree(tree: DataFrame, root: str, max_depth: int = 5) -> DataFrame:
-    """A concept's summation tree with depth and path, by recursion. tree: concept_id, member."""
-    spark = tree.sparkSession
-    return spark.sql(
-        """WITH RECURSIVE t(concept_id, depth, path) AS (
-             SELECT {root}, 0, {root}
-             UNION ALL SELECT e.member, t.depth + 1, t.path || '/' || e.member FROM t JOIN {tree} e ON e.concept_id = t.concept_id WHERE t.depth < {depth})
-           SELECT * FROM t""".replace("{root}", f"'{root}'").replace("{depth}", str(max_depth)),
-        tree=tree,
-    )
+def context_forest(concepts: DataFrame, tree: DataFrame, members: DataFrame) -> DataFrame:
+    """The concepts of every context as trees of its sums: context, concept_id, depth, path, n_edges (of any type). Roots are concepts that no
+    sum of their context has as a part; trees go to any depth, level by level, each written; a concept on its own path ends there, and what only cycles reach has no root.
+    concepts: context, concept_id; tree: concept_id, member; members: edge_name, concept_id."""
+    own = concepts.select("context", "concept_id").distinct()
+    arcs = tree.select("concept_id", "member").distinct().join(own, "concept_id").join(own.withColumnRenamed("concept_id", "member"), ["context", "member"])
+    arcs = shared_table(arcs.select("context", "concept_id", "member"), "arcs")
+    roots = own.join(arcs.select("context", F.col("member").alias("concept_id")).distinct(), ["context", "concept_id"], "left_anti")
+    level = shared_table(roots.select("context", "concept_id", F.lit(0).alias("depth"), F.array("concept_id").alias("path")), "level")
+    found = level
+    while True:
+        below = level.join(arcs, ["context", "concept_id"]).where(~F.array_contains("path", F.col("member")))
+        level = shared_table(below.select("context", F.col("member").alias("concept_id"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("member")).alias("path")), "level")
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    edges = members.groupBy("concept_id").agg(F.count_distinct("edge_name").alias("n_edges"))
+    return found.join(edges, "concept_id", "left").select("context", "concept_id", "depth", F.array_join("path", "/").alias("path"), F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
 
 
 def edge_links(edges: DataFrame, members: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,21 +41,41 @@ def match_context_guard(matches: DataFrame, concepts: DataFrame) -> DataFrame:
     return m.where(F.coalesce(keep, F.lit(False))).select(matches.columns)
 
 
+def pieces(df: DataFrame, n: str, threshold: float) -> DataFrame:
+    """A row for each piece of a label of n characters: d (edits that any partner may need), and the piece's number i, start and end."""
+    out = df.withColumn("d", F.floor(F.col(n) * (1 - threshold) / threshold + 1e-9).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
+    cut = lambda k: F.floor(k * F.col(n) / (F.col("d") + 1)).cast("int")
+    return out.withColumns({"start": cut(F.col("i")), "end": cut(F.col("i") + 1)}).where("end > start")
+
+
+def bigrams(c: str) -> Column:
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda k: F.substring(F.col(c), k, F.lit(2))))
+
+
+def fuzzy_candidates(labels: DataFrame, index: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """Pairs of a label and an index label that may have the similarity: label, m, norm, concept_id, n, edits (the most that are allowed).
+
+    An index label of n characters is cut into d + 1 pieces, d being the edits that any partner may need. A label within d edits of it has one
+    of the pieces unchanged, and one at least (say piece i) with no more than i edits before it and no more than d - i behind it: were there more before every unchanged
+    piece, the edits would run out behind it. So piece i is looked for only in those places of the label that lie within i of its own start, and within d - i of it
+    counted from the end. Labels meet index labels by length, piece number and piece, all by equality, which Spark splits where one is hot. Pairs that are left are
+    counted: each edit destroys two different bigrams at most, so pairs that share too few never come to the edit distance."""
+    own = index.select("norm", "concept_id").withColumn("n", F.length("norm")).where("n > 0")
+    i = pieces(own, "n", threshold).select("norm", "concept_id", "n", "i", F.expr("substring(norm, start + 1, end - start)").alias("piece"))
+    q = labels.select("label").distinct().withColumn("m", F.length("label")).where("m > 0")
+    q = q.withColumn("n", F.explode(F.sequence(F.ceil(F.col("m") * threshold - 1e-9).cast("int"), F.floor(F.col("m") / threshold + 1e-9).cast("int"))))
+    q = pieces(q, "n", threshold).withColumn("len", F.expr("end - start"))
+    places = F.expr("sequence(greatest(0, start - i, start + m - n - d + i), least(m - len, start + i, start + m - n + d - i))")
+    q = q.where("greatest(0, start - i, start + m - n - d + i) <= least(m - len, start + i, start + m - n + d - i)").withColumn("at", F.explode(places))
+    near = q.select("label", "m", "n", "i", F.expr("substring(label, at + 1, len)").alias("piece")).join(i, ["n", "i", "piece"]).select("label", "m", "norm", "concept_id", "n").distinct()
+    near = near.withColumn("edits", F.floor((1 - threshold) * F.greatest("m", "n") + 1e-9).cast("int")).where(F.abs(F.col("m") - F.col("n")) <= F.col("edits"))
+    a, b = bigrams("label"), bigrams("norm")
+    return near.where((F.col("m") < 2) | (F.col("n") < 2) | (F.size(F.array_intersect(a, b)) >= F.greatest(F.size(a), F.size(b)) - 2 * F.col("edits")))
+
+
 def match_labels_fuzzy(labels: DataFrame, index: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """The most similar index label of each distinct label: 1 - levenshtein / longer length, at least the threshold.
-
-    Labels meet index labels with which they share a gram: a label of n characters within d edits of another has one of its
-    d + 1 pieces unchanged in it, so pieces of the index labels are joined with the substrings of that length near the same
-    place. That finds all pairs, and compares only those that share a piece."""
-    most = 1 - threshold
-    i = index.select("norm", "concept_id").withColumn("n", F.length("norm")).withColumn("d", F.floor(F.col("n") * most / (1 - most)).cast("int"))  # edits that any partner may need
-    i = i.withColumn("k", F.col("d") + 1).withColumn("p", F.explode(F.expr("sequence(0, k - 1)")))
-    i = i.withColumn("start", F.floor(F.col("p") * F.col("n") / F.col("k")).cast("int")).withColumn("end", F.floor((F.col("p") + 1) * F.col("n") / F.col("k")).cast("int"))
-    i = i.where("end > start").select("norm", "concept_id", "n", "d", "start", F.expr("substring(norm, start + 1, end - start)").alias("gram"))
-    sizes = i.groupBy(F.length("gram").alias("g")).agg(F.max("d").alias("most"))
-    q = labels.select("label").distinct().withColumn("m", F.length("label")).join(F.broadcast(sizes), F.col("m") >= F.col("g"))  # a row for each piece length
-    q = q.withColumn("at", F.explode(F.expr("sequence(0, m - g)"))).select("label", "m", "at", F.expr("substring(label, at + 1, g)").alias("gram"))
-    near = q.join(i, "gram").where("abs(at - start) <= d and abs(m - n) <= d").select("label", "m", "norm", "concept_id", "n").distinct()
+    """The most similar index label of each distinct label: 1 - levenshtein / longer length, at least the threshold (over 0.5)."""
+    near = fuzzy_candidates(labels, index, threshold)
     near = near.withColumn("score", 1 - F.levenshtein("label", "norm") / F.greatest("m", "n")).where(F.col("score") >= threshold)
     return near.groupBy("label").agg(F.max_by(F.struct("norm", "concept_id", "score"), F.struct("score", F.expr("-n"), "norm")).alias("hit")).select("label", "hit.norm", "hit.concept_id", F.round("hit.score", 6).alias("score"))
 

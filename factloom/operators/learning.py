@@ -222,16 +222,14 @@ def text_classifier(train: DataFrame, label: str):
     return Pipeline(stages=[*tfidf_pipeline(), LogisticRegression(featuresCol="tfidf", labelCol=label, maxIter=30, regParam=0.01)]).fit(train)
 
 
-def layout_grid(boxes: DataFrame, h: int = 64, w: int = 48) -> DataFrame:
-    """Cells of a grid that each page's boxes cover. boxes: page_id, kind, x0, y0, x1, y1 as shares of the page."""
+def layout_rows(boxes: DataFrame, h: int = 64, w: int = 48) -> DataFrame:
+    """Cells of a grid that each page's boxes cover, a row of cells as one bit mask (w <= 63). boxes: page_id, kind, x0, y0, x1, y1 as shares of the page.
+    A box is a row for each row of cells that it covers, and its mask there is arithmetic; masks are combined before the one shuffle."""
     cell = lambda c, n, up: F.least(F.greatest((F.ceil(F.col(c) * n) - 1 if up else F.floor(F.col(c) * n)).cast("int"), F.lit(0)), F.lit(n - 1))
-    b = boxes.select("page_id", "kind", F.explode(F.sequence(cell("y0", h, False), F.greatest(cell("y0", h, False), cell("y1", h, True)))).alias("gy"), cell("x0", w, False).alias("xa"), F.greatest(cell("x0", w, False), cell("x1", w, True)).alias("xb"))
-    return b.select("page_id", "kind", "gy", F.explode(F.sequence("xa", "xb")).alias("gx")).distinct()
-
-
-def layout_rows(grid: DataFrame) -> DataFrame:
-    """J10's grid with a row of cells as one bit mask (w <= 63), so that a page takes at most h rows for each kind."""
-    return grid.groupBy("page_id", "kind", "gy").agg(F.count(F.lit(1)).alias("n_cells"), F.expr("bit_or(shiftleft(1L, gx))").alias("cells"))
+    b = boxes.select("page_id", "kind", cell("y0", h, False).alias("ya"), cell("y1", h, True).alias("yb"), cell("x0", w, False).alias("xa"), cell("x1", w, True).alias("xb"))
+    mask = F.expr("shiftleft(shiftleft(1L, greatest(xa, xb) - xa + 1) - 1L, xa)")
+    rows = b.select("page_id", "kind", F.explode(F.sequence("ya", F.greatest("ya", "yb"))).alias("gy"), mask.alias("mask"))
+    return rows.groupBy("page_id", "kind", "gy").agg(F.bit_or("mask").alias("cells")).select("page_id", "kind", "gy", F.bit_count("cells").cast("long").alias("n_cells"), "cells")
 
 
 def feature_separation(df: DataFrame, features: list[str], label: str) -> DataFrame:

@@ -210,7 +210,7 @@ c AS (SELECT DISTINCT page_id, kind, least(greatest(floor(x0 * 48)::INT, 0), 47)
 r AS (SELECT page_id, kind, xa, greatest(xa, xb) AS xb, unnest(range(ya, greatest(ya, yb) + 1))::INT AS gy FROM c), u AS (SELECT DISTINCT page_id, kind, gy, unnest(range(xa, xb + 1))::INT AS gx FROM r)
 SELECT page_id, kind, gy, count(*) AS n_cells, bit_or((1::BIGINT << gx)) AS cells FROM u GROUP BY 1, 2, 3""")
 def layout_grid(t):
-    return M.layout_rows(M.layout_grid(boxes(t.lineitem)))
+    return M.layout_rows(boxes(t.lineitem))
 
 
 def boxes(lines):

@@ -211,12 +211,26 @@ def neighborhood(t):
     return G.neighborhood(brand_members(t), "Brand#4", 2)
 
 
-@query("c15_context_tree", """
-WITH RECURSIVE e AS (SELECT DISTINCT r_name AS concept_id, n_name AS member FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT DISTINCT 'WORLD', r_name FROM region),
-tr(concept_id, depth, path) AS (SELECT 'WORLD', 0, 'WORLD' UNION ALL SELECT e.member, depth + 1, path || '/' || e.member FROM tr JOIN e ON e.concept_id = tr.concept_id WHERE depth < 5) SELECT * FROM tr""")
+FOREST = """cn AS (SELECT DISTINCT CASE WHEN r_regionkey % 2 = 0 THEN 'PNL' ELSE 'SFP' END AS context, n_name AS concept_id FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT CASE WHEN r_regionkey % 2 = 0 THEN 'PNL' ELSE 'SFP' END, r_name FROM region
+  UNION SELECT context, 'WORLD' FROM (VALUES ('PNL'), ('SFP')) v(context) UNION SELECT DISTINCT 'PNL', concept_id FROM mem UNION SELECT DISTINCT 'OCI', concept_id FROM mem WHERE concept_id LIKE 'Brand%'),
+tr AS (SELECT DISTINCT r_name AS concept_id, n_name AS member FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT 'WORLD', r_name FROM region UNION SELECT edge_name, concept_id FROM mem UNION SELECT 'Brand#' || (i + 1), 'Brand#' || i FROM (VALUES (1), (2), (3), (4)) v(i))"""
+
+
+@query("c15_context_tree", f"""
+WITH RECURSIVE {MEM}, {FOREST}, ar AS (SELECT DISTINCT a.context, t.concept_id, t.member FROM tr t JOIN cn a ON a.concept_id = t.concept_id JOIN cn b ON b.concept_id = t.member AND b.context = a.context),
+w(context, concept_id, depth, path) AS (SELECT context, concept_id, 0, [concept_id] FROM cn WHERE (context, concept_id) NOT IN (SELECT (context, member) FROM ar)
+  UNION ALL SELECT w.context, ar.member, depth + 1, list_append(path, ar.member) FROM w JOIN ar ON ar.context = w.context AND ar.concept_id = w.concept_id WHERE NOT list_contains(path, ar.member))
+SELECT w.context, w.concept_id, depth, array_to_string(path, '/') AS path, coalesce(n, 0)::BIGINT AS n_edges FROM w LEFT JOIN (SELECT concept_id, count(DISTINCT edge_name) AS n FROM mem GROUP BY 1) e ON e.concept_id = w.concept_id""")
 def context_tree(t):
-    e = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("concept_id"), F.col("n_name").alias("member")).unionByName(t.region.select(F.lit("WORLD").alias("concept_id"), F.col("r_name").alias("member"))).distinct()
-    return G.context_tree(e, "WORLD")
+    m = brand_members(t)
+    statement = F.when(F.col("r_regionkey") % 2 == 0, "PNL").otherwise("SFP").alias("context")
+    both = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    brands = m.where("concept_id like 'Brand%'").select(F.lit("OCI").alias("context"), "concept_id")
+    concepts = both.select(statement, F.col("n_name").alias("concept_id")).unionByName(t.region.select(statement, F.col("r_name").alias("concept_id")))
+    concepts = concepts.unionByName(t.spark.createDataFrame([("PNL", "WORLD"), ("SFP", "WORLD")], "context string, concept_id string")).unionByName(m.select(F.lit("PNL").alias("context"), "concept_id")).unionByName(brands)
+    tree = both.select(F.col("r_name").alias("concept_id"), F.col("n_name").alias("member")).unionByName(t.region.select(F.lit("WORLD").alias("concept_id"), F.col("r_name").alias("member")))
+    tree = tree.unionByName(m.select(F.col("edge_name").alias("concept_id"), F.col("concept_id").alias("member"))).unionByName(t.spark.createDataFrame([(f"Brand#{i + 1}", f"Brand#{i}") for i in range(1, 5)], "concept_id string, member string"))
+    return G.context_forest(concepts, tree, m)
 
 
 @query("c17_edge_links", f"""
