@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 VOTE_WEIGHTS = {"human": 3, "mlp": 2}
@@ -221,17 +222,43 @@ def latest(df: DataFrame, order: str, tie: str, limit: int, offset: int = 0) ->
     return df.orderBy(F.desc(order), F.desc(tie)).offset(offset).limit(limit)
 
 
+class Pages:
+    """Pages of the newest rows at any depth. Rows are written once by ranges of their order, and the ranges counted; a page reads the ranges that
+    hold it and sorts only these, so the ten-thousandth page costs what the first does."""
+
+    def __init__(self, df: DataFrame, order: str, tie: str, ranges: int | None = None):
+        from .tagging import shared_path
+
+        self.order = [F.desc(order), F.desc(tie)]
+        self.path, self.schema, self.spark = shared_path(df.sparkSession, "pages"), df.schema, df.sparkSession
+        dealt = df.repartitionByRange(ranges, *self.order) if ranges else df.repartitionByRange(*self.order)
+        dealt.withColumn("__range", F.spark_partition_id()).write.partitionBy("__range").parquet(self.path)
+        self.sizes = sorted(self._all().groupBy("__range").count().collect())  # a row for each range
+
+    def _all(self) -> DataFrame:
+        return self.spark.read.schema(StructType([*self.schema.fields, StructField("__range", IntegerType())])).parquet(self.path)
+
+    def page(self, limit: int, offset: int = 0) -> DataFrame:
+        before, held, skip = 0, [], None
+        for r, n in self.sizes:
+            if before < offset + limit and before + n > offset:
+                skip = offset - before if skip is None else skip
+                held.append(r)
+            before += n
+        rows = self._all().where(F.col("__range").isin(held) if held else F.lit(False)).drop("__range")
+        return rows.orderBy(*self.order).offset(skip or 0).limit(limit)
+
+
 def cumulative_tiers(core: DataFrame, pool: DataFrame, n: int) -> DataFrame:
     """G1: an ordered distinct union, core first, cut at n. core, pool: doc_id, ord. min_by combines; only n rows are ordered in the end."""
     both = core.select("doc_id", F.struct(F.lit(0).alias("src"), "ord").alias("o")).unionByName(pool.select("doc_id", F.struct(F.lit(1).alias("src"), "ord").alias("o")))
     return both.groupBy("doc_id").agg(F.min("o").alias("o")).orderBy("o", "doc_id").limit(n).select("doc_id", F.col("o.src").alias("src"))
 
 
-def upsert_snapshot(base: DataFrame, delta: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """A10: the newest row of delta for each key, and the rows of base that delta doesn't replace."""
-    cols = [c for c in base.columns if c not in keys]
-    new = delta.groupBy(*keys).agg(F.max_by(F.struct(*cols), order).alias("newest")).select(*keys, "newest.*")
-    return base.join(new, keys, "left_anti").unionByName(new)
+def newest(delta: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The newest row of each key, without the column it is newest by."""
+    cols = [c for c in delta.columns if c not in keys and c != order]
+    return delta.groupBy(*keys).agg(F.max_by(F.struct(*cols), order).alias("newest")).select(*keys, "newest.*")
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
@@ -251,11 +278,6 @@ def pending_work(source: DataFrame, done: DataFrame, key: str, shards: int, size
     return numbered(left, size, key).withColumn("shard", (F.col("place") % shards).cast("int")).drop("place")
 
 
-def replace_rows(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The rows of base whose key has no new rows, and all new rows: a document's sections, a set's members."""
-    return base.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
-
-
 def concept_set_algebra(all_: DataFrame, *others: DataFrame) -> DataFrame:
     """What is in the first set and in none of the others: all less confirmed less contradicted."""
     out = all_.distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -96,18 +96,22 @@ def best_tag_per_row(candidates: DataFrame) -> DataFrame:
     return ranked.groupBy("row_id").agg(best.alias("best_tag")).select("best_tag.*")
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
-    """df written under spark.checkpoint.dir and read again; a temporary folder serves only in local mode."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path under spark.checkpoint.dir; in a temporary folder only in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="factloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def shared_table(df: DataFrame, name: str) -> DataFrame:
+    """df written under spark.checkpoint.dir and read again."""
+    path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 PRIMARY = ["PNL", "SFP", "OCI", "CFS", "SOCIE"]

@@ -33,23 +33,28 @@ p AS (SELECT dimension, target_id, value, sum(w)::BIGINT AS weight, count(*) AS
 s AS (SELECT dimension, target_id, count(*) FILTER (action = 'dissent') AS dissent FROM v GROUP BY ALL), b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY dimension, target_id ORDER BY weight DESC, n DESC, latest DESC, value DESC) = 1)
 SELECT dimension, target_id, value, weight, n AS agree, dissent FROM b JOIN s USING (dimension, target_id)""")
 def consensus_stream(t):
-    return K.winners(K.drained(K.vote_sums(vote_stream(t)), checkpoint(t)))
+    return K.winners(K.consensus_stream(vote_stream(t).withColumn("ts", F.col("ts").cast("timestamp")), checkpoint(t), 16).read())
 
 
-@query("k2_maintain_counts", "SELECT user_id AS doc_id, event_type AS kind, greatest(sum(CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END), 0)::BIGINT AS n FROM events GROUP BY 1, 2")
+@query("k2_maintain_counts", """
+WITH c AS (SELECT user_id AS doc_id, event_type AS kind, event_id, CASE WHEN event_id % 3 > 0 THEN -1 ELSE 1 END AS delta FROM events), r AS (SELECT *, sum(delta) OVER (PARTITION BY doc_id, kind ORDER BY event_id) AS so_far FROM c)
+SELECT doc_id, kind, (sum(delta) - least(0, min(so_far)))::BIGINT AS n FROM r GROUP BY 1, 2""")
 def maintain_counts(t):
-    changes = event_stream(t).select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("kind"), F.when(F.col("event_id") % 3 == 0, -1).otherwise(1).alias("delta"))
-    return K.drained(K.maintain_counts(changes), checkpoint(t))
+    changes = event_stream(t).select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("kind"), "event_id", F.when(F.col("event_id") % 3 > 0, -1).otherwise(1).alias("delta"))
+    return K.maintain_counts(changes, checkpoint(t), ["doc_id", "kind"], ["event_id"], 16).read()
 
 
-@query("k4_activity_stream", "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type AS action, count(*) AS n FROM events GROUP BY 1, 2")
+@query("k4_activity_stream", """
+SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type AS action, count(*) AS n, date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS closed FROM events GROUP BY 1, 2, 4""")
 def activity_stream(t):
-    return K.drained(K.activity_stream(event_stream(t).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("action"))), checkpoint(t))
+    closed, _, still = K.activity_stream(event_stream(t).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("action")), checkpoint(t))
+    return closed.withColumn("closed", F.lit(True)).unionByName(still.withColumn("closed", F.lit(False)))
 
 
 @query("k6_progress_stream", "SELECT user_id % 10 AS run_id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status, count(*) AS n FROM events GROUP BY 1, 2")
 def progress_stream(t):
-    return K.drained(K.progress_stream(event_stream(t).select((F.col("user_id") % 10).alias("run_id"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"))), checkpoint(t))
+    results = event_stream(t).select((F.col("user_id") % 10).alias("run_id"), F.when(F.col("event_type") == "error", "error").otherwise("ok").alias("status"))
+    return K.progress_stream(results, checkpoint(t), 4).read()
 
 
 WORDS = {"toc": ["cold plate"], "pnl": ["hot rod", "gear"], "sfp": ["bolt"], "oci": ["wheel"], "cfs": ["plate"], "socie": ["see note"], "notes": ["thereof"], "audit": ["31.12"], "report": ["erträge"]}

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import rollups as R
 from ..operators import structure as S
+from ..operators.tagging import shared_path
+from ..sources.snapshots import Snapshot, replaced
 from .registry import query
 from .timelines import RSEC, report_sections
 
@@ -182,6 +184,14 @@ def latest_actions(t):
     return R.latest(t.v_log, "ts", "event_id", 200, 40)
 
 
+@query("a11_deep_page", """
+WITH n AS (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS nth, count(*) OVER () AS total FROM v_log)
+SELECT * EXCLUDE (nth, total) FROM n WHERE nth > total // 2 AND nth <= total // 2 + 200""")
+def deep_page(t):
+    pages = R.Pages(t.v_log, "ts", "event_id", 16)
+    return pages.page(200, sum(n for _, n in pages.sizes) // 2)
+
+
 @query("g1_cumulative_tiers", """
 WITH u AS (SELECT doc_id, 0 AS src, n_pages AS ord FROM r_documents WHERE gaap = 'UGB' AND doc_id % 10 = 0 UNION ALL SELECT doc_id, 1, n_pages FROM r_documents),
 m AS (SELECT doc_id, min((src, ord)) AS o, min(src) AS src FROM u GROUP BY doc_id) SELECT doc_id, src FROM m ORDER BY o, doc_id LIMIT 150""")
@@ -198,7 +208,7 @@ def in_all_documents(t):
 @query("g3_exact_membership", "SELECT * FROM (SELECT c_nationkey AS set_id, c_custkey AS doc_id FROM customer WHERE c_nationkey <> 4) UNION ALL SELECT 4, c_custkey FROM customer WHERE c_custkey % 11 = 0")
 def exact_membership(t):
     base = t.customer.select(F.col("c_nationkey").alias("set_id"), F.col("c_custkey").alias("doc_id"))
-    return R.replace_rows(base, t.customer.where("c_custkey % 11 = 0").select(F.lit(4).alias("set_id"), F.col("c_custkey").alias("doc_id")), "set_id")
+    return merged(t, base, t.customer.where("c_custkey % 11 = 0").select(F.lit(4).cast("int").alias("set_id"), F.col("c_custkey").alias("doc_id")), "set_id")
 
 
 @query("a10_upsert_snapshot", """
@@ -206,7 +216,15 @@ WITH delta AS (SELECT target_id AS doc_id, value AS entity, event_id FROM v_vote
 SELECT doc_id, entity FROM r_documents WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT doc_id, entity FROM n""")
 def upsert_snapshot(t):
     delta = t.v_votes.where("event_id % 2 = 0").select(F.col("target_id").alias("doc_id"), F.col("value").alias("entity"), "event_id")
-    return R.upsert_snapshot(t.r_documents.select("doc_id", "entity"), delta, ["doc_id"], "event_id")
+    return merged(t, t.r_documents.select("doc_id", "entity"), R.newest(delta, ["doc_id"], "event_id"), "doc_id")
+
+
+def merged(t, base, changes, key):
+    """base as a snapshot, and what an update makes of the buckets that it touches."""
+    s = Snapshot(t.spark, shared_path(t.spark, "snapshot"), base.schema, [key], 16)
+    s.update(base, lambda _, new: new)
+    s.update(changes, lambda rows, new: replaced(rows, new, key))
+    return s.read()
 
 
 @query("a12_pending_work", """
@@ -221,7 +239,7 @@ def pending_work(t):
 WITH {RSEC}, n AS (SELECT doc_id, 'OCI' AS section_type, 1::BIGINT AS start_page, 2::BIGINT AS end_page FROM r_documents WHERE doc_id % 6 = 0) SELECT * FROM rs WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT * FROM n""")
 def replace_sections(t):
     new = t.r_documents.where("doc_id % 6 = 0").select("doc_id", F.lit("OCI").alias("section_type"), F.lit(1).cast("long").alias("start_page"), F.lit(2).cast("long").alias("end_page"))
-    return R.replace_rows(report_sections(t), new, "doc_id")
+    return merged(t, report_sections(t), new, "doc_id")
 
 
 MAPPING = [("LARGE", 1995, "S1", 100, True), ("MEDIUM", 1995, "S1", 100, True), ("SMALL", 1996, "S2", 60, True), ("SMALL", 1996, "S3", 40, True), ("SMALL", 1998, "S4", 100, True), ("LARGE", 1999, "S9", 100, False), ("MEDIUM", 2000, "S2", 60, True), ("MEDIUM", 2000, "S5", 40, True)]

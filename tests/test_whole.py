@@ -81,21 +81,6 @@ def test_cascade_runs_every_rule_in_each_round(spark):
     ]
 
 
-def test_drained_streams_are_kept_in_files(spark, tmp_path):
-    from factloom.streaming import streams
-
-    schema = "doc_id long, kind string, delta int"
-    for part in ([(1, "a", 1), (2, "a", 1)], [(1, "a", 1), (2, "a", -1), (3, "b", 1)]):
-        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    (tmp_path / "none").mkdir()
-    result = lambda name: streams.drained(streams.maintain_counts(streams.read_event_log(spark, str(tmp_path / name), schema, max_files=1)), str(tmp_path / f"state-{name}"))
-    for _ in range(2):  # the second time the checkpoint is at the end already
-        out = result("in")
-        assert sorted(map(tuple, out.collect())) == [(1, "a", 2), (2, "a", 0), (3, "b", 1)] and out.inputFiles()
-    assert result("none").collect() == []
-    assert not [x.name for x in spark.catalog.listTables() if x.name.startswith("drained_")]
-
-
 @driver_tables
 def test_ties_and_ratios_agree_in_every_column(spark):
     from collections import defaultdict
