@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, Transformer
-from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import CountVectorizer, IDF, RegexTokenizer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -198,30 +198,6 @@ def top_k_predictions(pred: DataFrame, keys: list[str], k: int = 5) -> DataFrame
     return pred.select(*keys, F.posexplode(best).alias("rank", "top")).select(*keys, (F.col("rank") + 1).alias("rank"), (-F.col("top.o")).alias("cls"), F.round("top.score", 4).alias("score"))
 
 
-def leave_one_out(df: DataFrame, fold: str, trainer) -> DataFrame:
-    """Out-of-fold predictions: the loop is over folds, each fit and prediction is a Spark job. trainer(df) -> model."""
-    out = None
-    for row in df.select(fold).distinct().orderBy(fold).collect():
-        pred = trainer(df.where(F.col(fold) != row[0])).transform(df.where(F.col(fold) == row[0]))
-        out = pred if out is None else out.unionByName(pred)
-    return out
-
-
-def embedding_classifier(vectors: DataFrame, label: str, more: list[str], trees: int = 20, depth: int = 6, seed: int = 42):
-    """A forest on given vectors joined with handcrafted features (columns `more`)."""
-    return RandomForestClassifier(featuresCol="x", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed).fit(joined_vectors(vectors, more))
-
-
-def joined_vectors(vectors: DataFrame, more: list[str]) -> DataFrame:
-    wide = F.concat(F.transform("embedding", lambda v: v.cast("double")), F.array(*[F.col(c).cast("double") for c in more]))
-    return vectors.withColumn("x", array_to_vector(wide))
-
-
-def text_classifier(train: DataFrame, label: str):
-    """J5 and J7 on texts: tf-idf and a logistic regression."""
-    return Pipeline(stages=[*tfidf_pipeline(), LogisticRegression(featuresCol="tfidf", labelCol=label, maxIter=30, regParam=0.01)]).fit(train)
-
-
 def layout_rows(boxes: DataFrame, h: int = 64, w: int = 48) -> DataFrame:
     """Cells of a grid that each page's boxes cover, a row of cells as one bit mask (w <= 63). boxes: page_id, kind, x0, y0, x1, y1 as shares of the page.
     A box is a row for each row of cells that it covers, and its mask there is arithmetic; masks are combined before the one shuffle."""

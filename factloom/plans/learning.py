@@ -175,12 +175,20 @@ def held_out(key: str):
     return F.crc32(F.col(key).cast("string")) % 3 == 0
 
 
+def page_classes(t):
+    """J2's features of every page, with the class of its tables (a page without any is "none")."""
+    cls = t.p_tables.groupBy("doc_id", "page").agg(F.max("context").alias("cls"))
+    return M.features(sums(t), ["doc_id", "page"], M.PAGE_FEATURES).join(cls, ["doc_id", "page"], "left").withColumn("cls", F.coalesce("cls", F.lit("none")))
+
+
 @query("j7_page_classifier")
 def page_classifier(t):
-    """Languages of documents from the features of their texts: trained on two thirds, the three best classes of the others."""
-    d = M.text_features(t.documents).join(t.documents.select("doc_id", "lang"), "doc_id").where("lang is not null")
-    model = M.train_page_classifier(d.where(~held_out("doc_id")), ["n_chars", "n_words", "n_lines", "digit_share", "capital_share"], "lang")
-    return M.top_k_predictions(model.transform(d.where(held_out("doc_id"))), ["doc_id"], 3)
+    """The class of every page from J2's features: trained on two thirds of the documents, classes balanced (J6); the three best classes of all pages."""
+    from ..operators.tagging import shared_table
+
+    pages = shared_table(page_classes(t).withColumnRenamed("cls", "label").withColumn("held_out", held_out("doc_id")), "pages")
+    model = M.train_page_classifier(M.balance_classes(pages.where("not held_out"), "label"), list(M.PAGE_FEATURES), "label")
+    return M.top_k_predictions(model.transform(pages), ["doc_id", "page", "held_out", "label"], 3)
 
 
 @query("e11_top_k_predictions", """
@@ -192,21 +200,38 @@ def top_k_predictions(t):
     return M.top_k_predictions(t.orders.select("o_orderkey", p.alias("probability")), ["o_orderkey"], 5)
 
 
-@query("j8_leave_one_out")
+OUT_OF_FOLD = ["page_le5", "page_le15", "rel_position", "table_count", "total_rows", "total_value_cols", "has_note_col", "has_currency", "pct_small_ints", "pct_monotonic", "pct_rows_with_label", "text_element_count", "kw_pnl", "kw_sfp"]
+
+
+@query("j8_leave_one_out", f"""
+WITH {PAGE_SUMS}, f AS (SELECT doc_id, page, {made({k: M.PAGE_FEATURES[k] for k in OUT_OF_FOLD})} FROM ps), lab AS (SELECT doc_id, page, max(context) AS cls FROM p_tables GROUP BY 1, 2),
+x AS (SELECT f.doc_id, f.page, coalesce(cls, 'none') AS cls, unnest([{", ".join(f"{k}::DOUBLE" for k in OUT_OF_FOLD)}]) AS v, unnest(range({len(OUT_OF_FOLD)})) AS i FROM f LEFT JOIN lab ON lab.doc_id = f.doc_id AND lab.page = f.page),
+own AS (SELECT doc_id, cls, i, count(*)::DOUBLE AS n, sum(v) AS s, sum(v * v) AS q FROM x GROUP BY ALL), tot AS (SELECT cls, i, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM own GROUP BY ALL),
+m AS (SELECT d.doc_id, t.cls, t.i, t.n - coalesce(o.n, 0) AS n, (t.s - coalesce(o.s, 0)) / (t.n - coalesce(o.n, 0)) AS mean, (t.q - coalesce(o.q, 0)) / (t.n - coalesce(o.n, 0)) AS sq FROM (SELECT DISTINCT doc_id FROM x) d CROSS JOIN tot t LEFT JOIN own o ON o.doc_id = d.doc_id AND o.cls = t.cls AND o.i = t.i),
+g AS (SELECT *, greatest(sq - mean * mean, 0.001) AS var FROM m WHERE n > 0),
+sc AS (SELECT x.doc_id, x.page, x.cls, g.cls AS c, ln(any_value(g.n) / (SELECT sum(n) FROM tot WHERE i = 0)) + sum(-0.5 * (ln(var) + (v - mean) * (v - mean) / var)) AS score FROM x JOIN g ON g.doc_id = x.doc_id AND g.i = x.i GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY score DESC, c) AS nth, score - lead(score) OVER (PARTITION BY doc_id, page ORDER BY score DESC, c) AS margin FROM sc)
+SELECT doc_id, page, cls, c AS predicted, round(margin, 3) AS margin FROM r WHERE nth = 1""")
 def leave_one_out(t):
-    """Quality of documents, out of fold: the folds are whole sources, four groups of them."""
-    d = t.documents.select("doc_id", "text", F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(4)).alias("fold")).join(t.labels.where("quality is not null").select("doc_id", "quality"), "doc_id").withColumn("text", F.coalesce("text", F.lit("")))
-    return M.leave_one_out(d, "fold", lambda x: M.text_classifier(x, "quality")).select("doc_id", "fold", "quality", F.col("prediction").cast("int").alias("predicted"))
+    """The class of every page by a model that has not seen its document."""
+    from ..operators.boosting import out_of_fold
+
+    return out_of_fold(page_classes(t).select("doc_id", "page", "cls", *OUT_OF_FOLD), "doc_id", "cls", OUT_OF_FOLD).select("doc_id", "page", "cls", "predicted", F.round("margin", 3).alias("margin"))
 
 
 @query("j9_embedding_classifier")
 def embedding_classifier(t):
-    """Classes of vectors, joined with their length and mean: trained on two thirds, predicted for the others."""
+    """Classes of vectors, joined with their length and mean, by boosted trees: trained on two thirds, predicted for all."""
+    from ..operators.boosting import predict_boosted, train_boosted
+    from ..operators.tagging import shared_table
+
     total = lambda f: F.aggregate(F.transform("embedding", f), F.lit(0.0), lambda a, x: a + x)
-    e = t.embeddings.where("label is not null").select("vec_id", "embedding", F.col("label").cast("double").alias("label"))
-    e = e.withColumns({"norm": F.sqrt(total(lambda v: v.cast("double") * v)), "mean": total(lambda v: v.cast("double")) / F.size("embedding")})
-    model = M.embedding_classifier(e.where(~held_out("vec_id")), "label", ["norm", "mean"])
-    return model.transform(M.joined_vectors(e.where(held_out("vec_id")), ["norm", "mean"])).select("vec_id", "label", "prediction")
+    n = 64
+    e = t.embeddings.where("label is not null and embedding is not null").select("vec_id", F.col("label").cast("long").alias("label"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(n)],
+        F.sqrt(total(lambda v: v.cast("double") * v)).alias("norm"), (total(lambda v: v.cast("double")) / F.size("embedding")).alias("mean"), held_out("vec_id").alias("held_out"))
+    e, names = shared_table(e, "vectors"), [*[f"e{i}" for i in range(n)], "norm", "mean"]
+    model = train_boosted(e.where("not held_out"), names, "label")
+    return predict_boosted(e, names, model).select("vec_id", "held_out", "label", "predicted", F.transform("probability", lambda p: F.round(p, 6)).alias("probability"))
 
 
 @query("j10_layout_grid", """
