@@ -90,4 +90,6 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = C
 def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """df.mapInArrow, also where names of columns have dots or backticks in them."""
     names = df.columns
+    if not any(c in name for name in names for c in ".`"):
+        return df.mapInArrow(run, schema)
     return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(lambda batches: run(x.rename_columns(names) for x in batches), schema)
