@@ -7,8 +7,9 @@ overlap by half and cover the whole text; a document's score is its highest wind
 the number of windows.
 
 Training reads at most about `FIT_TOXIC` toxic and `FIT_CLEAN` other labelled rows and `FIT_BYTES` bytes of each kind (drawn by a digest of the
-key; rows of over `FIT_TEXT` bytes aren't drawn), in whole texts. Toxic rows are labelled as wholes, so each lends its highest window, chosen anew between
-epochs; other rows lend their highest and some random windows. Scores are calibrated by cross-fitting, at every size: each of
+key; rows of over `FIT_TEXT` bytes aren't drawn), in whole texts. Weights begin at random; the vocabulary keeps the most frequent words of the drawn rows, whatever their labels. Rows are
+labelled as wholes: the first `WARM` epochs read random windows of either kind, then the network itself chooses, anew each epoch, the window of each row that it scores highest, and some random
+windows of rows that aren't toxic. Scores are calibrated by cross-fitting, at every size: each of
 `FOLDS` networks scores the rows that it wasn't trained on, and the network that is kept is trained on all drawn rows; the networks are
 trained in tasks of their own. Scoring runs over all rows with the trained weights broadcast, whose size is fixed.
 
@@ -38,7 +39,9 @@ MAX_WORDS = 50_000  # the vocabulary keeps its most frequent words
 FIT_TOXIC, FIT_CLEAN = 1500, 2500
 FIT_BYTES, FIT_TEXT = 1 << 25, 1 << 20
 FOLDS = 3
-EPOCHS, BATCH, RATE = 6, 256, 0.02
+EPOCHS, BATCH, RATE = 8, 256, 0.02
+#: Epochs that train on any windows, and windows of each kind in one of them (the sample of documents is bounded already).
+WARM, WARM_WINDOWS = 2, 12_000
 CHUNK = 1 << 20
 
 #: A-Z becomes a-z, other ASCII that isn't a digit or letter becomes a blank.
@@ -282,31 +285,25 @@ def learn(texts: list[str], label: np.ndarray, seed: int) -> dict[str, np.ndarra
     start, row = windows(t.before)
     if not len(start):
         return None
-    # the first unit of a word starts as its log odds over toxic and other documents
     doc = np.repeat(np.arange(len(texts)), np.diff(t.before))
-    pairs = np.unique(doc * np.int64(len(t.word)) + t.ids)
-    of, word = pairs // len(t.word), pairs % len(t.word)
-    hit, miss = (np.bincount(word[label[of] == v], minlength=len(t.word)) for v in (1, 0))
-    odds = np.log((hit + 1) / (label.sum() + 2)) - np.log((miss + 1) / (len(label) - label.sum() + 2))
-    known = np.flatnonzero(hit + miss >= MIN_DOCS)
-    known = np.sort(known[np.argsort(-(hit + miss)[known], kind="stable")][:MAX_WORDS])  # distinct words stand in the order of their hashes
-    odds = np.clip(odds, -3, 3) * np.isin(np.arange(len(t.word)), known)
+    held = np.bincount(np.unique(doc * np.int64(len(t.word)) + t.ids) % len(t.word), minlength=len(t.word))  # documents of each word, whatever their labels
+    known = np.flatnonzero(held >= MIN_DOCS)
+    known = np.sort(known[np.argsort(-held[known], kind="stable")][:MAX_WORDS])  # distinct words stand in the order of their hashes
     rng, net = np.random.default_rng(seed), new_network(t.word[known], seed)
-    net["word"][:-1, 0] += odds[known].astype(np.float32)
-    net["in_f"][2 * HIDDEN, 0] = net["in_b"][2 * HIDDEN, 0] = 1
-    sums = np.concatenate([[0], np.cumsum(np.maximum(odds[t.ids], 0))])
-    rank = sums[np.minimum(start + WIDTH, t.before[row + 1])] - sums[start]
     state = {"step": 0, "word": np.full_like(net["word"], 1e-4), "gram": np.full_like(net["gram"], 1e-4)}
     at = np.searchsorted(row, np.arange(len(texts)))
     has = np.flatnonzero(np.diff([*at, len(row)]) > 0)
+    other = np.flatnonzero(label[row] == 0)
     for epoch in range(EPOCHS):
-        if epoch in (2, 4):
-            rank = block_logits(net, t, start, row)
-        order = np.lexsort((-rank, row))
-        best = order[at[has]]
-        toxic, clean = best[label[has] == 1], best[label[has] == 0]
-        other = np.flatnonzero(label[row] == 0)
-        clean = np.concatenate([clean, rng.choice(other, min(len(other), 2 * len(clean)), replace=False)])
+        if epoch < WARM:  # any windows of either kind
+            toxic = np.flatnonzero(label[row] == 1)
+            toxic = rng.choice(toxic, min(len(toxic), WARM_WINDOWS), replace=False)
+            clean = rng.choice(other, min(len(other), len(toxic)), replace=False)
+        else:  # each document's window that the network thinks worst, and other clean ones
+            order = np.lexsort((-block_logits(net, t, start, row), row))
+            best = order[at[has]]
+            toxic, clean = best[label[has] == 1], best[label[has] == 0]
+            clean = np.concatenate([clean, rng.choice(other, min(len(other), 2 * len(clean)), replace=False)])
         pick = rng.permutation(np.concatenate([toxic, clean]))
         size = int(np.clip(len(pick) // 24, 16, BATCH))  # some 24 steps an epoch, however few rows there are
         for i in range(0, len(pick), size):
