@@ -21,11 +21,16 @@ def clean_label(c: Column) -> Column:
     return F.struct(squeeze(text).alias("clean"), F.array_join(F.filter(F.array(foot, letter), lambda x: x != ""), ",").alias("footnotes"), F.nullif(note, F.lit("")).try_cast("int").alias("note_number"))
 
 
+#: What is taken off a label, in this order: note and number in brackets, a trailing "n)", superscripts, stars, a leading "a) ", a category in front. Fixed values.
+PRETAG = (r"\(note\s*[0-9]+\)", r"\([0-9]+\)", r"[0-9]+\)\s*$", r"\s*[¹²³⁴⁵⁶⁷⁸⁹⁰]+\s*$", r"\s*[*]+\s*$", r"^[a-z]\)\s*", r"^category\s+[0-9]+[.][0-9]+\s+")
+
+
 def norm_label_pretag(c: Column) -> Column:
-    """Lower case without note references, a leading "a) ", a category number and a trailing colon."""
-    t = F.regexp_replace(F.lower(c), r"\(?(?:see )?note [0-9]{1,3}\)?", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"^\s*[a-z]\)\s*", ""), r"category [0-9]+[.][0-9]+", "")
-    return squeeze(F.regexp_replace(t, r":\s*$", ""))
+    """Lower case without note references, footnotes, a leading "a) " or category, and trailing colons."""
+    t = F.regexp_replace(F.lower(c), r"^\s+|\s+$", "")
+    for pattern in PRETAG:
+        t = F.regexp_replace(t, pattern, "")
+    return F.rtrim(squeeze(t), F.lit(":"))
 
 
 def norm_label_index(c: Column) -> Column:

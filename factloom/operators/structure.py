@@ -108,7 +108,7 @@ def best_sum(values: np.ndarray, min_rows: int, min_rate: float) -> tuple[int, l
 def additive_columns(cells: DataFrame, min_rows: int = 3, min_rate: float = 0.6) -> DataFrame:
     """For each table the column and the set of two or more others that adds up to it in the largest share of rows. A table's rows meet in
     one row, so cells are shuffled once, by table. All sets are tried, of tables of any width: the sums of all sets of the last twelve columns are doubled up
-    once and serve every set of the others, so memory stays small; the time doubles with each column (20 columns of 30 rows: about 3 s)."""
+    once and serve every set of the others, so memory stays small; the time doubles with each column (20 columns of 12 rows: about 3 s)."""
     c = cells.select("table_id", "row_id", "col_idx", "value").repartition("table_id")
     wide = c.groupBy("table_id", "row_id").agg(F.map_from_entries(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("col_idx", "value")))).alias("v"), F.collect_set("col_idx").alias("c"))
     t = wide.groupBy("table_id").agg(F.collect_list("v").alias("rows"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("c")))).alias("cols")).where("size(cols) >= 3")

@@ -10,7 +10,7 @@ from .registry import query
 
 @query("c10_parent_child", """
 SELECT r.doc_id, r.table_id, r.parent_id, r.row_id, c.col_idx, c.value, p.value AS parent_value
-FROM r_rows r JOIN r_cells c ON c.row_id = r.row_id JOIN r_cells p ON p.row_id = r.parent_id AND p.col_idx = c.col_idx""")
+FROM r_rows r JOIN r_cells c ON c.table_id = r.table_id AND c.row_id = r.row_id JOIN r_cells p ON p.table_id = r.table_id AND p.row_id = r.parent_id AND p.col_idx = c.col_idx""")
 def parent_child(t):
     return S.parent_child(t.r_rows, t.r_cells)
 
@@ -72,10 +72,10 @@ def additive_columns(t):
     return S.additive_columns(t.r_tree_cells)
 
 
-CHAINS = """sig AS (SELECT table_id, string_agg(header, '|' ORDER BY col_idx) AS signature FROM r_columns WHERE role = 'VALUE' AND col_idx IN (1, 4) GROUP BY table_id),
-e AS (SELECT table_id, arg_max(lower(label) LIKE '%plate%', row_idx) AS ends_total FROM r_rows GROUP BY table_id),
+CHAINS = """sig AS (SELECT table_id, string_agg(header, '|' ORDER BY col_idx) AS signature FROM c_columns WHERE role = 'VALUE' GROUP BY table_id),
+e AS (SELECT table_id, arg_max(lower(label) LIKE '%plate%', row_idx) AS ends_total FROM c_rows GROUP BY table_id),
 x AS (SELECT t.*, signature, ends_total, lag(signature) OVER o AS ps, lag(page_no) OVER o AS pp, lag(context) OVER o AS pc, lag(ends_total) OVER o AS pe
-      FROM r_tables t JOIN sig USING (table_id) LEFT JOIN e USING (table_id) WINDOW o AS (PARTITION BY doc_id ORDER BY table_ord)),
+      FROM c_tables t JOIN sig USING (table_id) LEFT JOIN e USING (table_id) WINDOW o AS (PARTITION BY doc_id ORDER BY table_ord)),
 b AS (SELECT *, CASE WHEN ps = signature AND signature <> '' AND page_no - pp BETWEEN 0 AND 1 AND NOT coalesce(pe, false) AND (context IS NULL OR pc IS NULL OR context = pc) THEN 0 ELSE 1 END AS br FROM x),
 c AS (SELECT *, sum(br) OVER (PARTITION BY doc_id ORDER BY table_ord) AS chain FROM b),
 ch AS (SELECT doc_id, chain::BIGINT AS chain, arg_min(table_id, table_ord) AS table_id, min(page_no) AS first_page, max(page_no) AS last_page, count(*) AS n_tables,
@@ -84,24 +84,24 @@ ch AS (SELECT doc_id, chain::BIGINT AS chain, arg_min(table_id, table_ord) AS ta
 
 @query("e2_stitch_tables", f"WITH {CHAINS} SELECT * FROM ch")
 def stitch_tables(t):
-    cols = t.r_columns.where("role = 'VALUE' and col_idx in (1, 4)")
+    cols = t.c_columns.where("role = 'VALUE'")
     signature = cols.groupBy("table_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col_idx", "header"))), lambda x: x["header"]), "|").alias("signature"))
-    ends = t.r_rows.groupBy("table_id").agg(F.max_by(F.lower("label").contains("plate"), "row_idx").alias("ends_total"))
-    return S.stitch_tables(t.r_tables, signature, ends)
+    ends = t.c_rows.groupBy("table_id").agg(F.max_by(F.lower("label").contains("plate"), "row_idx").alias("ends_total"))
+    return S.stitch_tables(t.c_tables, signature, ends)
 
 
 @query("e2_stitch_rows", f"""
-WITH {CHAINS}, p AS (SELECT table_id AS logical, unnest(string_split(stitched_from, ','))::BIGINT AS table_id FROM ch), n AS (SELECT r.doc_id, p.logical, row_number() OVER (PARTITION BY logical ORDER BY t.table_ord, r.row_idx, r.row_id) - 1 AS i, r.label, r.table_id, r.row_id FROM r_rows r JOIN p USING (table_id) JOIN r_tables t ON t.table_id = r.table_id)
+WITH {CHAINS}, p AS (SELECT table_id AS logical, unnest(string_split(stitched_from, ','))::BIGINT AS table_id FROM ch), n AS (SELECT r.doc_id, p.logical, row_number() OVER (PARTITION BY logical ORDER BY t.table_ord, r.row_idx, r.row_id) - 1 AS i, r.label, r.table_id, r.row_id FROM c_rows r JOIN p USING (table_id) JOIN c_tables t ON t.table_id = r.table_id)
 SELECT doc_id, logical AS table_id, i AS row_idx, logical || '_' || i AS row_id, label, NULL::VARCHAR AS parent_id, table_id AS stitched_from, row_id AS old_row_id FROM n""")
 def stitch_rows(t):
-    return S.stitch_rows(stitch_tables(t), t.r_tables, t.r_rows)
+    return S.stitch_rows(stitch_tables(t), t.c_tables, t.c_rows)
 
 
 @query("e2_stitch_boxes", f"""
 WITH {CHAINS}, p AS (SELECT table_id AS logical, unnest(string_split(stitched_from, ','))::BIGINT AS table_id FROM ch) SELECT logical AS table_id, min(table_id % 50)::DOUBLE AS l, max(400 + table_id % 300)::DOUBLE AS t, max(300 + table_id % 200)::DOUBLE AS r, min(table_id % 90)::DOUBLE AS b FROM p GROUP BY 1""")
 def stitch_boxes(t):
     k = F.col("table_id")
-    boxes = t.r_tables.select("table_id", (k % 50).cast("double").alias("l"), (400 + k % 300).cast("double").alias("t"), (300 + k % 200).cast("double").alias("r"), (k % 90).cast("double").alias("b"))
+    boxes = t.c_tables.select("table_id", (k % 50).cast("double").alias("l"), (400 + k % 300).cast("double").alias("t"), (300 + k % 200).cast("double").alias("r"), (k % 90).cast("double").alias("b"))
     return S.stitch_boxes(stitch_tables(t), boxes)
 
 

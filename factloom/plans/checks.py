@@ -82,9 +82,9 @@ def check_summation(t):
 
 
 @query("c8_cross_statement", f"""
-WITH {BEST.replace("best AS (", "best AS MATERIALIZED (")}, j AS (SELECT a.doc_id, e.edge_name, a.concept_id, b.concept_id AS other_concept, a.period_key, a.amount AS expected, b.amount AS actual, e.tol, round(CASE WHEN rule = 'opposite' THEN a.amount + b.amount ELSE a.amount - b.amount END, 2) AS delta
-FROM best a JOIN r_edges e ON e.edge_type = 'CROSS_STATEMENT_TIE' AND e.concept_id = a.concept_id AND e.context = a.context
-JOIN best b ON b.doc_id = a.doc_id AND b.concept_id = coalesce(e.other_concept, e.concept_id) AND b.period_key = a.period_key AND b.context = e.other_context)
+WITH {BEST.replace("best AS (", "best AS MATERIALIZED (")}, a AS MATERIALIZED (SELECT b.doc_id, b.period_key, b.concept_id, b.amount, e.edge_name, e.tol, e.rule, coalesce(e.other_concept, e.concept_id) AS other, e.other_context FROM best b JOIN r_edges e ON e.concept_id = b.concept_id AND e.context = b.context WHERE e.edge_type = 'CROSS_STATEMENT_TIE'),
+j AS (SELECT a.doc_id, a.edge_name, a.concept_id, b.concept_id AS other_concept, a.period_key, a.amount AS expected, b.amount AS actual, a.tol, round(CASE WHEN rule = 'opposite' THEN a.amount + b.amount ELSE a.amount - b.amount END, 2) AS delta
+FROM a JOIN best b ON b.doc_id = a.doc_id AND b.period_key = a.period_key AND b.concept_id = a.other AND b.context = a.other_context)
 SELECT doc_id, edge_name, concept_id, other_concept, period_key, expected, actual, delta, CASE WHEN abs(delta) <= tol THEN 'valid' WHEN expected <> 0 AND actual <> 0 AND {SCALE.format(a='expected', b='actual')} THEN 'scale' ELSE 'broken' END AS status FROM j""")
 def check_cross_statement(t):
     return C.check_cross_statement(X.best_fact(t.r_facts), t.r_edges)

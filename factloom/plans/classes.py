@@ -11,7 +11,7 @@ from ..operators import facts as X
 from ..operators import labels as O
 from ..operators import timelines as T
 from .checks import BEST
-from .labels import NORM, TOPIC, UNTAG
+from .labels import NORM, PRETAG, TOPIC, UNTAG
 from .registry import query
 from .reviews import NOTES, REFS, notes, refs
 from .timelines import RSEC, report_sections
@@ -230,7 +230,7 @@ def ratio_inputs(t):
 
 CLEAN = r"""cl AS (SELECT r.doc_id, r.table_id, l.row_id, r.row_type, l.raw, r.tag, try_cast(nullif(regexp_extract(lower(l.raw), '(see )?note ([0-9]{1,3})', 2), '') AS INT) AS note_number,
   trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(l.raw, '\(?\s*(see )?note [0-9]{1,3}\s*\)?', '', 'gi'), '\s*\([0-9]{1,2}\)\s*$', ''), '[*¹²³⁴⁵⁶⁷⁸⁹]+', '', 'g'), '\s[a-o]\)$', ''), '\s+', ' ', 'g')) AS cleaned FROM l_labels l JOIN r_rows r ON r.row_id = l.row_id AND r.table_id = l.table_id)"""
-PRENORM = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({0}), '\(?(see )?note [0-9]{{1,3}}\)?', '', 'g'), '^\s*[a-z]\)\s*', ''), 'category [0-9]+[.][0-9]+', '', 'g'), ':\s*$', ''), '\s+', ' ', 'g'))"
+PRENORM = PRETAG
 
 
 @query("i7_pretag", f"""

@@ -16,6 +16,16 @@ INDEX = f"""idx AS (SELECT norm, arg_min(concept_id, (precedence, concept_id)) A
   WHERE length(norm) >= 4 AND norm NOT IN {AMBIG} GROUP BY norm)"""
 
 
+def pretag_sql() -> str:
+    t = r"regexp_replace(lower({0}), '^\s+|\s+$', '', 'g')"
+    for pattern in L.PRETAG:
+        t = f"regexp_replace({t}, '{pattern}', '', 'g')"
+    return f"rtrim(trim(regexp_replace({t}, '\\s+', ' ', 'g')), ':')"
+
+
+PRETAG = pretag_sql()
+
+
 @query("b1_clean_label", r"""
 WITH a AS (SELECT row_id, raw, regexp_extract(lower(raw), '(see )?note ([0-9]{1,3})', 2) AS note, regexp_replace(raw, '\(?\s*(see )?note [0-9]{1,3}\s*\)?', '', 'gi') AS t FROM l_labels),
 b AS (SELECT *, regexp_extract(t, '\(([0-9]{1,2})\)\s*$', 1) AS foot, regexp_replace(regexp_replace(t, '\s*\([0-9]{1,2}\)\s*$', ''), '[*¹²³⁴⁵⁶⁷⁸⁹]+', '', 'g') AS u FROM a),
@@ -26,7 +36,7 @@ def clean_label(t):
 
 
 @query("b2_norm_labels", rf"""
-SELECT row_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(raw), '\(?(see )?note [0-9]{{1,3}}\)?', '', 'g'), '^\s*[a-z]\)\s*', ''), 'category [0-9]+[.][0-9]+', '', 'g'), ':\s*$', ''), '\s+', ' ', 'g')) AS pretag,
+SELECT row_id, {PRETAG.format('raw')} AS pretag,
        {NORM.format('raw')} AS norm FROM l_labels""")
 def norm_labels(t):
     return t.l_labels.select("row_id", L.norm_label_pretag(F.col("raw")).alias("pretag"), L.norm_label_index(F.col("raw")).alias("norm"))

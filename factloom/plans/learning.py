@@ -65,13 +65,13 @@ def depths(t):
 
 
 @query("j1_page_text", r"""
-WITH c AS (SELECT table_id, row_idx, col_idx, CASE WHEN col_idx = 1 THEN 'about ' || row_idx WHEN col_idx = 2 THEN '1.234 %' END AS text FROM r_cells WHERE col_idx < 3),
+WITH c AS (SELECT table_id, (row_id - table_id * 100) AS row_idx, col_idx, text FROM l_amounts),
 p AS (SELECT t.doc_id, t.page, 1 AS src, t.table_ord::BIGINT AS o, k.col_idx::BIGINT AS a, k.col_idx::BIGINT AS b, header AS x FROM r_columns k JOIN p_tables t USING (table_id) WHERE header IS NOT NULL
   UNION ALL SELECT t.doc_id, t.page, 2, t.table_ord, r.row_idx, r.row_idx, r.label FROM r_rows r JOIN p_tables t USING (table_id) UNION ALL SELECT t.doc_id, t.page, 3, t.table_ord, c.row_idx, c.col_idx, c.text FROM c JOIN p_tables t USING (table_id) WHERE NOT regexp_matches(c.text, '^[0-9.,\s()%+-]*$')
   UNION ALL SELECT doc_id, page, 4, 0, ord, ord, text FROM p_elements)
 SELECT doc_id, page, left(string_agg(x, ' ' ORDER BY src, o, a, b, x), 2000) AS text FROM p GROUP BY 1, 2""")
 def page_text(t):
-    cells = t.r_cells.where("col_idx < 3").select("table_id", "row_idx", "col_idx", F.when(F.col("col_idx") == 1, F.concat(F.lit("about "), F.col("row_idx").cast("string"))).otherwise("1.234 %").alias("text"))
+    cells = t.l_amounts.select("table_id", (F.col("row_id") - F.col("table_id") * 100).cast("int").alias("row_idx"), "col_idx", "text")
     return M.page_text(t.r_rows.select("table_id", "row_idx", "label"), t.p_tables, t.r_columns.drop("doc_id"), t.p_elements, cells)
 
 

@@ -116,7 +116,7 @@ def apply_overrides(t):
 
 
 @query("i11_tagging_worklist", """
-WITH v AS (SELECT DISTINCT row_id FROM r_cells WHERE value IS NOT NULL AND col_idx = 3), r AS (SELECT r.*, CASE WHEN row_id % 6 = 0 THEN 'DISC.PPE' END AS hint FROM r_rows r WHERE tag IS NULL AND row_type = 'DATA' AND row_id IN (SELECT row_id FROM v)),
+WITH v AS (SELECT DISTINCT row_id FROM r_cells WHERE value IS NOT NULL), r AS (SELECT r.*, CASE WHEN row_id % 6 = 0 THEN 'DISC.PPE' END AS hint FROM r_rows r WHERE tag IS NULL AND row_type = 'DATA' AND row_id IN (SELECT row_id FROM v)),
 o AS (SELECT doc_id, table_id, count(*) AS n_open, string_agg(label || coalesce(' @' || hint, ''), '|' ORDER BY row_idx) AS labels FROM r GROUP BY 1, 2),
 c AS (SELECT t.table_id, string_agg(k.concept_id, ',' ORDER BY k.concept_id) AS candidates FROM r_tables t JOIN r_concepts k ON k.valid_context = t.context GROUP BY 1),
 j AS (SELECT o.*, t.context, c.candidates, n_open < 3 AS is_small, row_number() OVER (PARTITION BY o.doc_id, n_open < 3 ORDER BY table_id) AS n FROM o JOIN r_tables t USING (table_id) LEFT JOIN c USING (table_id) WHERE t.context IS NOT NULL)
@@ -125,7 +125,7 @@ def tagging_worklist(t):
     from ..operators.labels import candidate_concepts
 
     notes = t.r_rows.where("row_id % 6 = 0").select("row_id", F.lit("DISC.PPE").alias("context"))
-    return A.tagging_worklist(t.r_rows, t.r_cells.where("col_idx = 3"), t.r_tables, candidate_concepts(t.r_tables, t.r_concepts, t.r_documents), notes, small=3)
+    return A.tagging_worklist(t.r_rows, t.r_cells, t.r_tables, candidate_concepts(t.r_tables, t.r_concepts, t.r_documents), notes, small=3)
 
 
 @query("i12_emit_votes", f"WITH {LABEL_MATCH} SELECT 'row_concept' AS dimension, row_id AS target_id, concept_id AS value, 'rule' AS source, confidence FROM lm")

@@ -35,9 +35,9 @@ def document_stats(t):
     return R.document_stats(t.r_tables, t.r_rows)
 
 
-@query("d36_tag_coverage", "SELECT r.doc_id, count(*) AS n_rows, count(tag) AS n_tagged, round(count(tag) / count(*), 4) AS coverage FROM r_rows r JOIN r_tables t USING (table_id) WHERE t.context IS NOT NULL AND r.row_id IN (SELECT row_id FROM r_cells WHERE value IS NOT NULL AND col_idx = 3) GROUP BY r.doc_id")
+@query("d36_tag_coverage", "SELECT r.doc_id, count(*) AS n_rows, count(tag) AS n_tagged, round(count(tag) / count(*), 4) AS coverage FROM r_rows r JOIN r_tables t USING (table_id) WHERE t.context IS NOT NULL AND r.row_id IN (SELECT row_id FROM r_cells WHERE value IS NOT NULL) GROUP BY r.doc_id")
 def tag_coverage(t):
-    return R.tag_coverage(t.r_tables, t.r_rows, t.r_cells.where("col_idx = 3"))  # a column with gaps
+    return R.tag_coverage(t.r_tables, t.r_rows, t.r_cells)
 
 
 PROFILE = """prof AS (SELECT t.doc_id, n_tables, n_unclassified, n_rows, n_data, n_tagged, concepts, coalesce(n_facts, 0) AS n_facts, coalesce(n_primary, 0) AS n_primary

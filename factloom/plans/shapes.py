@@ -118,6 +118,12 @@ SELECT * FROM (VALUES ('rev_sum', 1, 'REV.A'), ('rev_sum', 2, 'REV.R'), ('rev_su
     "s_concepts": """
 SELECT * FROM (VALUES ('GOODWILL', 'monetary', NULL, 2, 'SFP'), ('SHARES', 'monetary', 'shares', 0, 'SFP'), ('LOANS', 'monetary', NULL, 0, 'SFP'), ('ASSOC', 'monetary', NULL, 0, 'SFP'), ('REVENUE', 'monetary', NULL, 0, 'PNL'),
   ('CASH', 'monetary', NULL, 0, 'SFP'), ('MARGIN', 'percentage', NULL, 0, 'SFP'), ('STAFF', 'monetary', NULL, 0, 'SFP')) AS c(concept_id, unit_type, note_unit_type, n_variants, valid_context)""",
+    # tables as they are printed: longer ones are broken after their third row and go on, with the same headers, on the next page
+    "c_rows": "SELECT doc_id, table_id * 2 + CASE WHEN row_idx > 3 THEN 1 ELSE 0 END AS table_id, row_idx, row_id, label, parent_id FROM {r_rows}",
+    "c_tables": """
+SELECT t.doc_id, p.table_id, CAST(t.table_ord * 2 + p.table_id % 2 AS INT) AS table_ord, CAST(t.page_no + p.table_id % 2 AS INT) AS page_no, t.context
+FROM {r_tables} t JOIN (SELECT DISTINCT table_id, CAST((table_id - table_id % 2) / 2 AS BIGINT) AS whole FROM {c_rows}) p ON p.whole = t.table_id""",
+    "c_columns": "SELECT p.table_id, k.col_idx, k.role, k.header FROM {r_columns} k JOIN (SELECT DISTINCT table_id, CAST((table_id - table_id % 2) / 2 AS BIGINT) AS whole FROM {c_rows}) p ON p.whole = k.table_id",
     # labels as reports print them, and amounts as text
     "l_labels": """
 SELECT table_id, row_id, row_idx, doc_id, label,
@@ -130,7 +136,7 @@ SELECT table_id, row_id, col_idx, value, CASE (row_id + col_idx) % 9 WHEN 0 THEN
          WHEN 7 THEN '-1.' || CAST(CAST(floor(value) AS BIGINT) % 900 + 100 AS STRING) || ',75' ELSE 'text' END AS text
 FROM {r_cells} WHERE value IS NOT NULL""",
     "l_index": """
-SELECT DISTINCT p_type || '.' || p_name AS concept_id, lower(p_name) AS label, 1 AS precedence FROM {part} WHERE p_partkey % 3 = 0
+SELECT DISTINCT p_type || '.' || p_name AS concept_id, lower(p_name) AS label, 1 AS precedence FROM {part}
 UNION ALL SELECT DISTINCT 'ACC.' || p_name, lower(p_name), 2 FROM {part}""",
     # pages: 600 by 800 points, with tables and text elements in boxes
     "p_pages": "SELECT doc_id, n_pages, CAST(page AS INT) AS page, CAST(600 AS DOUBLE) AS width, CAST(800 AS DOUBLE) AS height FROM (SELECT doc_id, n_pages, explode(sequence(1, n_pages)) AS page FROM {r_documents})",
