@@ -10,6 +10,7 @@ from ..operators import classify as C
 from ..operators import facts as X
 from ..operators import labels as O
 from ..operators import timelines as T
+from ..sources.reports import pack_table_graphs, read_packed_graphs, shred_table_graphs
 from .checks import BEST
 from .labels import NORM, PRETAG, TOPIC, UNTAG
 from .registry import query
@@ -52,16 +53,28 @@ def keyword_blocks(t):
     return C.keyword_blocks(worded(t))
 
 
+HEADINGS = {"PNL": "Consolidated income statement", "SFP": "Notes balance sheet", "OCI": "Statement of comprehensive income, profit or loss"}
+
+
 @query("i8_classify_tables", f"""
-WITH {TEXT}, {RSEC}, toc AS (SELECT t.table_id, arg_min(section_type, start_page) AS c FROM r_tables t JOIN rs ON rs.doc_id = t.doc_id AND t.page_no BETWEEN start_page AND end_page WHERE t.table_id % 3 = 0 AND section_type <> 'NOTES' GROUP BY 1),
-j AS (SELECT t.doc_id, t.table_id, context, toc.c AS a, CASE WHEN t.table_id % 7 = 0 THEN 'DISC.PPE' END AS b, CASE WHEN t.table_id % 5 = 0 THEN 'OCI' END AS d, {RULE_SQL} AS e FROM r_tables t LEFT JOIN toc USING (table_id) LEFT JOIN tx USING (table_id))
+WITH {REFS} {NOTES}, {TEXT}, {RSEC}, se AS (SELECT t.table_id, arg_min(section_type, start_page) AS c FROM r_tables t JOIN rs ON rs.doc_id = t.doc_id AND t.page_no BETWEEN start_page AND end_page GROUP BY 1), toc AS (SELECT * FROM se WHERE table_id % 3 = 0 AND c <> 'NOTES'),
+vt AS (SELECT r.table_id, n.context, count(*) AS votes FROM en r JOIN notes n USING (doc_id, note_number) WHERE n.context IS NOT NULL GROUP BY 1, 2), vw AS (SELECT *, sum(votes) OVER (PARTITION BY table_id) AS total, row_number() OVER (PARTITION BY table_id ORDER BY votes DESC, context DESC) AS k FROM vt),
+j AS (SELECT t.doc_id, t.table_id, t.context, toc.c AS a, vw.context AS b, CASE WHEN se.c IN ('PNL', 'SFP', 'OCI') THEN se.c END AS d, {RULE_SQL} AS e FROM r_tables t LEFT JOIN toc USING (table_id) LEFT JOIN se ON se.table_id = t.table_id
+  LEFT JOIN vw ON vw.table_id = t.table_id AND k = 1 AND votes >= 2 AND votes >= 0.5 * total LEFT JOIN tx ON tx.table_id = t.table_id)
 SELECT doc_id, table_id, coalesce(context, a, b, d, e) AS context, CASE WHEN context IS NOT NULL THEN 'existing' WHEN a IS NOT NULL THEN 'toc' WHEN b IS NOT NULL THEN 'notes' WHEN d IS NOT NULL THEN 'path' WHEN e IS NOT NULL THEN 'keywords' ELSE 'unclassified' END AS method,
   CASE WHEN context IS NOT NULL OR a IS NOT NULL THEN 'high' WHEN coalesce(b, d, e) IS NULL THEN 'none' ELSE 'medium' END AS confidence FROM j""")
 def classify_tables(t):
-    pages = t.r_tables.where("table_id % 3 = 0").select("doc_id", "table_id", F.col("page_no").alias("page"))
-    toc = T.interval_join(pages, report_sections(t).where("section_type <> 'NOTES'")).select("table_id", F.col("section_type").alias("context"))
-    votes = t.r_tables.where("table_id % 7 = 0").select("table_id", F.lit("DISC.PPE").alias("context"))
-    paths = t.r_tables.where("table_id % 5 = 0").select("table_id", F.lit("OCI").alias("context"))
+    """Classes from a contents list (C5), votes of notes (C7), headings of sections (B14) and keywords, each from the operator that makes it."""
+    from ..functions.labels import infer_table_context
+    from ..operators.reviews import classify_by_note_votes
+
+    sections = T.interval_join(t.r_tables.select("doc_id", "table_id", F.col("page_no").alias("page")), report_sections(t)).select("table_id", "section_type")
+    toc = sections.where("table_id % 3 = 0 and section_type <> 'NOTES'").select("table_id", F.col("section_type").alias("context"))  # every third table's pages are listed
+    votes = classify_by_note_votes(refs(t).select("doc_id", "table_id", "note_number"), notes(t)).select("table_id", "context")
+    heading = F.lit(None).cast("string")
+    for kind, text in HEADINGS.items():
+        heading = F.when(F.col("section_type") == kind, text).otherwise(heading)
+    paths = sections.select("table_id", infer_table_context(F.lit(None).cast("string"), heading).alias("context")).where("context is not null")
     return C.classify_tables(t.r_tables, toc, votes, paths, texts(t), RULES)
 
 
@@ -301,7 +314,7 @@ def scratch(t, name: str) -> str:
 
 
 def graph_files(t) -> str:
-    """A nested JSON file for each document (a customer), as extraction writes them."""
+    """Nested documents (customers) as extraction writes them, packed by size into files of many."""
     text = F.col("value").cast("string")
     cells = t.r_cells.groupBy("table_id", "row_id").agg(F.array_sort(F.collect_list(F.struct(F.col("col_idx").alias("colIdx"), text.alias("text"), F.col("value").alias("parsedValue"), (F.col("value") < 0).alias("isNegative")))).alias("cells"))
     tag = F.when(F.col("tag").isNotNull(), F.struct(F.col("tag").alias("conceptId"), F.lit("label").alias("method"), F.lit(0.8).alias("confidence")))
@@ -311,16 +324,13 @@ def graph_files(t) -> str:
     meta = F.struct(F.col("context").alias("statementComponent"), F.col("unit").alias("detectedUnit"), F.col("sign_convention").alias("signConvention"))
     tables = t.r_tables.join(rows, "table_id").join(columns, "table_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("table_ord", F.col("table_id").cast("string").alias("tableId"), F.col("page_no").alias("pageNo"), meta.alias("metadata"), "columns", "rows"))).alias("tables"))
     path = scratch(t, "graphs")
-    docs = t.r_documents.select("doc_id", "gaap").join(tables, "doc_id").withColumnRenamed("doc_id", "doc")
-    docs.repartition("doc").write.partitionBy("doc").json(path)
+    pack_table_graphs(t.r_documents.select(F.col("doc_id").cast("string").alias("docId"), "doc_id", "gaap").join(tables, "doc_id").drop("doc_id"), path)
     return path
 
 
 def shredded(t):
-    from ..sources.reports import read_table_graphs, shred_table_graphs
-
-    nested = read_table_graphs(t.spark, graph_files(t) + "/*")
-    return nested.withColumn("doc_id", F.regexp_replace("doc_id", "^doc=", "").cast("long")), shred_table_graphs
+    nested = read_packed_graphs(t.spark, graph_files(t))
+    return nested.withColumn("doc_id", F.col("doc_id").cast("long")), shred_table_graphs
 
 
 @query("a1_read_table_graphs", "SELECT d.doc_id, gaap, count(*)::INT AS n_tables FROM r_documents d JOIN r_tables t USING (doc_id) GROUP BY 1, 2")

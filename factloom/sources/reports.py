@@ -19,6 +19,17 @@ def read_table_graphs(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("doc_id", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1))
 
 
+def pack_table_graphs(nested: DataFrame, path: str) -> None:
+    """A1: documents (docId and the fields of an extraction file) as lines of JSON, in files that Spark sizes, however many documents there are."""
+    nested.hint("rebalance").write.json(path)
+
+
+def read_packed_graphs(spark: SparkSession, path: str) -> DataFrame:
+    """A1: packed documents, as read_table_graphs gives them; a large file is read by several tasks."""
+    df = spark.read.schema(f"docId string, {TABLE_GRAPHS}").json(path)
+    return df.withColumnRenamed("docId", "doc_id")
+
+
 def shred_table_graphs(nested: DataFrame) -> dict[str, DataFrame]:
     """A2: pages, tables, columns, rows, cells and tags of A1's documents, with ordinals."""
     t = nested.select("doc_id", F.posexplode_outer("tables").alias("table_ord", "t"))
