@@ -59,15 +59,17 @@ def structural_quality(t):
     return S.structural_quality(t.r_rows.where("table_id % 13 <> 5"), cells, t.r_tables)
 
 
-@query("d28_additive_columns", """
-WITH w AS (SELECT table_id, row_id, max(value) FILTER (col_idx = 1) AS a, max(value) FILTER (col_idx = 2) AS b, max(value) FILTER (col_idx = 3) AS c, max(value) FILTER (col_idx = 4) AS d
+ADDITIVE = """w AS (SELECT table_id, row_id, max(value) FILTER (col_idx = 1) AS a, max(value) FILTER (col_idx = 2) AS b, max(value) FILTER (col_idx = 3) AS c, max(value) FILTER (col_idx = 4) AS d
            FROM r_cells WHERE value IS NOT NULL GROUP BY ALL),
 m AS (SELECT * FROM (VALUES (1, '2,3'), (1, '2,4'), (1, '3,4'), (1, '2,3,4'), (2, '1,3'), (2, '1,4'), (2, '3,4'), (2, '1,3,4'), (3, '1,2'), (3, '1,4'), (3, '2,4'), (3, '1,2,4'),
       (4, '1,2'), (4, '1,3'), (4, '2,3'), (4, '1,2,3')) v(total, parts)),
 r AS (SELECT table_id, total, parts, [a, b, c, d][total] AS t, list_sum([[a, b, c, d][p::INT] FOR p IN string_split(parts, ',')]) AS s,
              len(list_filter(string_split(parts, ','), lambda p: [a, b, c, d][p::INT] IS NULL)) AS gaps FROM w, m),
-g AS (SELECT table_id, total, parts, count(*) AS n, avg((abs(s - t) <= greatest(1, 0.02 * abs(t)))::INT) AS rate FROM r WHERE t IS NOT NULL AND gaps = 0 GROUP BY ALL HAVING n >= 3 AND rate >= 0.6)
-SELECT table_id, total, parts, n, round(rate, 4) AS rate FROM g QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY rate DESC, total, length(parts), parts) = 1""")
+g AS (SELECT table_id, total, parts, count(*) AS n, avg((abs(s - t) <= greatest(1, 0.02 * abs(t)))::INT) AS rate FROM r WHERE t IS NOT NULL AND gaps = 0 GROUP BY ALL HAVING n >= 3 AND rate >= 0.6),
+ad AS (SELECT table_id, total, parts, n, round(rate, 4) AS rate FROM g QUALIFY row_number() OVER (PARTITION BY table_id ORDER BY rate DESC, total, length(parts), parts) = 1)"""
+
+
+@query("d28_additive_columns", f"WITH {ADDITIVE} SELECT * FROM ad")
 def additive_columns(t):
     return S.additive_columns(t.r_tree_cells)
 

@@ -11,6 +11,7 @@ from ..operators import facts as X
 from ..operators import labels as O
 from ..operators import timelines as T
 from ..sources.reports import pack_table_graphs, read_packed_graphs, shred_table_graphs
+from .arithmetic import ADDITIVE
 from .checks import BEST
 from .labels import NORM, PRETAG, TOPIC, UNTAG
 from .registry import query
@@ -210,14 +211,14 @@ def ic_decomposition(t):
     return C.check_ic_decomposition(X.best_fact(t.r_facts), "PNL", "LARGE", "SMALL", "PROMO")
 
 
-@query("d28b_filter_axis_members", """
-WITH a AS (SELECT table_id, unnest([2, 3]) AS col_idx FROM r_tables WHERE table_id % 2 = 0), n AS (SELECT doc_id, c.table_id, c.col_idx, c.header, a.col_idx IS NOT NULL AS add FROM r_columns c LEFT JOIN a ON a.table_id = c.table_id AND a.col_idx = c.col_idx WHERE c.role = 'VALUE')
+@query("d28b_filter_axis_members", f"""
+WITH {ADDITIVE}, a AS (SELECT table_id, unnest(string_split(parts, ','))::INT AS col_idx FROM ad), n AS (SELECT doc_id, c.table_id, c.col_idx, c.header, a.col_idx IS NOT NULL AS add FROM r_columns c LEFT JOIN a ON a.table_id = c.table_id AND a.col_idx = c.col_idx WHERE c.role = 'VALUE')
 SELECT doc_id, table_id, col_idx, header FROM n QUALIFY add OR NOT bool_or(add) OVER (PARTITION BY doc_id)""")
 def filter_axis_members(t):
+    from ..operators.structure import additive_columns
     from ..operators.structure import filter_axis_members as kept
 
-    additive = t.r_tables.where("table_id % 2 = 0").select("table_id", F.lit("2,3").alias("parts"))
-    return kept(t.r_columns.where("role = 'VALUE'").select("doc_id", "table_id", "col_idx", "header"), additive)
+    return kept(t.r_columns.where("role = 'VALUE'").select("doc_id", "table_id", "col_idx", "header"), additive_columns(t.r_tree_cells))
 
 
 @query("i5_tag_ratio", """
