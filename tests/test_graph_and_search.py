@@ -38,10 +38,10 @@ def test_fuzzy_labels_against_all_pairs(spark, threshold):
 
 
 def test_few_candidates_per_label(spark):
-    """20,000 labels of financial words against 20,000: under a hundred pairs each come to the edit distance."""
+    """8,000 labels of financial words against 8,000: under a hundred pairs each come to the edit distance."""
     r = random.Random(6)
     words = "revenue cost sales assets total other income expense tax deferred current liabilities trade receivables provisions interest lease equity capital reserves inventories depreciation amortisation impairment goodwill financial operating result share".split()
-    names = sorted({" ".join(r.sample(words, r.randrange(2, 5))) + f" {r.randrange(90)}" for _ in range(20_500)})[:20_000]
+    names = sorted({" ".join(r.sample(words, r.randrange(2, 5))) + f" {r.randrange(90)}" for _ in range(8_300)})[:8_000]
     index = spark.createDataFrame([(x, "c") for x in names], "norm string, concept_id string").repartition(4)
     n = labels.fuzzy_candidates(index.withColumnRenamed("norm", "label"), index, 0.85).count()
     assert n / len(names) < 100
