@@ -167,7 +167,7 @@ s AS (SELECT DISTINCT p.doc_id, p.concept_id FROM a p JOIN a q ON q.doc_id = p.d
 r AS (SELECT doc_id, concept_id, period_key, CASE WHEN any_value(note_unit_type) = 'shares' THEN 'SHARE_COUNT_VS_MONETARY' WHEN any_value(n_variants) > 0 THEN 'GROSS_VS_NET' WHEN bool_or((doc_id, concept_id) IN (SELECT (doc_id, concept_id) FROM s)) THEN 'UNIT_SCALE' END AS pattern_id, count(*)::INT AS n_facts FROM a GROUP BY 1, 2, 3)
 SELECT * FROM r WHERE pattern_id IS NOT NULL""")
 def explain_mismatches(t):
-    return C.explain_mismatches(C.concept_mismatches(t.r_facts), t.r_facts, t.r_concepts, seen(t))
+    return C.explain_mismatches(C.first_mismatches(t.r_facts), t.r_facts, t.r_concepts, seen(t))
 
 
 COARSE = "cf AS (SELECT doc_id, table_id, CASE concept_id WHEN 'LARGE' THEN 'L' ELSE concept_id END AS concept_id, context, label, round(amount / 20000) * 20000 AS amount FROM r_facts)"
@@ -179,7 +179,7 @@ SELECT f.doc_id, f.amount, string_agg(DISTINCT f.concept_id, ',' ORDER BY f.conc
 GROUP BY 1, 2 HAVING bool_or(f.context = 'DISC.SEGMENTS') AND NOT bool_or(regexp_matches(lower(label), 'other|total|thereof|davon|summe|gesamt|sonstige')) AND count(s.doc_id) = 0""")
 def explain_collisions(t):
     f = t.r_facts.withColumns({"amount": F.round(F.col("amount") / 20000) * 20000, "concept_id": F.when(F.col("concept_id") == "LARGE", "L").otherwise(F.col("concept_id"))})
-    return C.explain_collisions(C.amount_collisions(f), f, seen(t), "DISC.SEGMENTS")
+    return C.explain_collisions(C.collided(f), f, seen(t), "DISC.SEGMENTS")
 
 
 @query("d14_context_violations", f"""

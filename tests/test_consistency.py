@@ -2,6 +2,7 @@
 
 import pytest
 
+from factloom.operators import checks
 from factloom.plans import consistency, shapes
 
 NAMES = {1: "PNL", 2: "SFP", 3: "OCI", 4: "DISC.SEGMENTS", 5: "DISC.REVENUE"}
@@ -67,3 +68,19 @@ def test_named_concepts_count_everywhere(runs):
     assert named[3, 3111, "REVENUE"][0] == part[3, 3111, "REVENUE"][0] == "CONTRADICTED" and named[3, 3101, "REVENUE"][0] == "CONFIRMED"
     note = (3, 3115, "NOTE.REV1")  # of a sum of notes only the face is named
     assert part[note][1] == 1 and named[note][1] == 0
+
+
+def test_findings_stay_dealt_by_document(runs):
+    """What the run writes lies in buckets of doc_id: grouping it by document and more takes no shuffle."""
+    plan = runs[0].found.groupBy("doc_id", "edge_name").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_keys_of_mismatches_and_collisions(spark):
+    """The keys that the run works with are those of D11 and D12, nulls included."""
+    rows = [(1, 1, "A", "Y1", 100.0), (1, 2, "A", "Y1", 200.0), (1, 2, "B", "Y1", 200.0), (1, 3, "B", "Y1", 200.0), (1, 3, "A", "Y0", 100.0), (1, 4, "A", "Y0", None), (2, 1, "A", "Y1", 100.0), (2, 1, "B", "Y1", 100.0), (2, 3, "A", "Y2", 500.0), (2, 4, "A", "Y2", 500.0)]
+    facts = spark.createDataFrame(rows, "doc_id long, table_id long, concept_id string, period_key string, amount double")
+    pairs = ((checks.first_mismatches(facts), checks.concept_mismatches(facts), ["doc_id", "concept_id", "period_key"]), (checks.collided(facts), checks.amount_collisions(facts), ["doc_id", "amount"]))
+    for keys, full, by in pairs:
+        got, want = (sorted(map(tuple, df.select(by).collect())) for df in (keys, full))
+        assert got == want and got
