@@ -82,11 +82,12 @@ def flagged_ranges(flagged: DataFrame, gap: int = 3, min_span: int = 3) -> DataF
 
 
 def interval_join(pages: DataFrame, sections: DataFrame, policy: str = "first") -> DataFrame:
-    """The first (or last) section that holds a page: sections are unrolled to pages, so the join is an equi-join."""
-    s = sections.select("doc_id", "section_type", "start_page", F.explode(F.sequence(F.col("start_page"), F.greatest("start_page", "end_page"))).alias("page"))
+    """The first (or last) section that holds a page: sections are unrolled to pages, so the join is an equi-join. Their bytes tell nothing about
+    how many pages they unroll to: they are dealt by document before, and the join is never a broadcast."""
+    s = sections.repartition("doc_id").select("doc_id", "section_type", "start_page", F.explode(F.sequence(F.col("start_page"), F.greatest("start_page", "end_page"))).alias("page"))
     pick = F.min_by if policy == "first" else F.max_by
     s = s.groupBy("doc_id", "page").agg(pick("section_type", F.struct("start_page", "section_type")).alias("section_type"))
-    return pages.join(s, ["doc_id", "page"], "left")
+    return pages.join(s.hint("merge"), ["doc_id", "page"], "left")
 
 
 def asof_section(tables: DataFrame, starts: DataFrame, max_tail: int = 20) -> DataFrame:
