@@ -111,9 +111,12 @@ def transition_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def page_coverage(documents: DataFrame, sections: DataFrame) -> DataFrame:
-    """Per cent of a document's pages that sections cover."""
-    pages = sections.select("doc_id", F.explode(F.sequence(F.col("start_page"), F.greatest("start_page", "end_page"))).alias("page")).groupBy("doc_id").agg(F.count_distinct("page").alias("covered"))
-    d = documents.join(pages, "doc_id", "left").fillna(0, ["covered"])
+    """Per cent of a document's pages that sections cover. In order of its start, each section adds the pages behind the furthest end so far: none is unrolled."""
+    along = Window.partitionBy("doc_id").orderBy("start_page").rowsBetween(Window.unboundedPreceding, -1)
+    s = sections.where("start_page is not null").select("doc_id", F.col("start_page").cast("long").alias("start_page"), F.greatest("start_page", "end_page").cast("long").alias("end_page"))
+    before = F.greatest(F.max("end_page").over(along), F.col("start_page") - 1)
+    pages = s.withColumn("more", F.greatest(F.col("end_page") - before, F.lit(0))).groupBy("doc_id").agg(F.sum("more").alias("covered"))
+    d = documents.join(pages.hint("merge"), "doc_id", "left").fillna(0, ["covered"])
     return d.select("doc_id", "n_pages", "covered", F.least(F.floor(100 * F.col("covered") / F.col("n_pages")), F.lit(100)).alias("coverage"))
 
 
