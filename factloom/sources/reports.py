@@ -19,13 +19,14 @@ def read_table_graphs(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("doc_id", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1))
 
 
-def pack_table_graphs(nested: DataFrame, path: str) -> None:
-    """A1: documents (docId and the fields of an extraction file) as lines of JSON, in files that Spark sizes, however many documents there are."""
-    nested.hint("rebalance").write.json(path)
+def pack_table_graphs(nested: DataFrame, path: str, dealt: bool = False) -> None:
+    """A1: documents (docId and the fields of an extraction file) as compressed lines of JSON, in files that Spark sizes, however many documents there are.
+    dealt: a shuffle that made the documents has sized their partitions already, so they aren't shuffled once more."""
+    (nested if dealt else nested.hint("rebalance")).write.option("compression", "gzip").json(path)
 
 
 def read_packed_graphs(spark: SparkSession, path: str) -> DataFrame:
-    """A1: packed documents, as read_table_graphs gives them; a large file is read by several tasks."""
+    """A1: packed documents, as read_table_graphs gives them; a file is read line by line."""
     df = spark.read.schema(f"docId string, {TABLE_GRAPHS}").json(path)
     return df.withColumnRenamed("docId", "doc_id")
 

@@ -33,3 +33,13 @@ def test_ledger_log_and_runs(spark, tmp_path):
     assert sorted((r["run_id"], r["count"]) for r in spark.read.parquet(f"{tmp_path}/runs").groupBy("run_id").count().collect()) == [("a", 1), ("b", 2)]
     more = spark.createDataFrame([(5, "x")], "id long, s string")
     assert reports.chunk_union([spark.range(2).toDF("id"), more]).where("s is null").count() == 2
+
+
+def test_packed_documents_are_compressed(spark, tmp_path):
+    """Documents come back as they were, from compressed files, dealt anew or not."""
+    docs = spark.range(50).selectExpr("cast(id as string) as docId", "'IFRS' as gaap", "array(struct('t' || id as tableId, cast(id as int) as pageNo)) as tables")
+    for dealt in (False, True):
+        reports.pack_table_graphs(docs, f"{tmp_path}/{dealt}", dealt)
+        back = reports.read_packed_graphs(spark, f"{tmp_path}/{dealt}")
+        assert sorted(r["tables"][0]["tableId"] for r in back.collect()) == sorted(f"t{i}" for i in range(50))
+        assert all(x.name.endswith(".json.gz") for x in (tmp_path / str(dealt)).glob("part-*"))
