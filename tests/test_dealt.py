@@ -24,6 +24,6 @@ def test_dealt_shapes_hold_the_same_rows_and_join_without_a_shuffle(spark):
     assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
 
 
-@pytest.mark.parametrize("name", ["d1_index_facts"])
+@pytest.mark.parametrize("name", ["d1_index_facts", "i2_tag_top_down", "i3_tag_bottom_up"])
 def test_results_are_made_from_dealt_shapes(spark, name):
     assert "Exchange" not in registry.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
