@@ -27,3 +27,18 @@ def test_dealt_shapes_hold_the_same_rows_and_join_without_a_shuffle(spark):
 @pytest.mark.parametrize("name", ["d1_index_facts", "i2_tag_top_down", "i3_tag_bottom_up"])
 def test_results_are_made_from_dealt_shapes(spark, name):
     assert "Exchange" not in registry.QUERIES[name](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_cascade_joins_tags_and_rows_without_a_shuffle(spark, monkeypatch):
+    """Each round's rows, which are the rows before with new tags, are made without an exchange of more than tags."""
+    plans, keep = [], A.bucketed_table
+
+    def seen(df, name, key, n):
+        if name == "cascade-rows":
+            with A.one_key(spark):
+                plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name, key, n)
+
+    monkeypatch.setattr(A, "bucketed_table", seen)
+    registry.QUERIES["i6_cascade"](spark, DIR)
+    assert plans and all("hashpartitioning" not in p for p in plans)
