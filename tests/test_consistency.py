@@ -1,6 +1,7 @@
 """The run of all passes on statements written by hand."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.operators import checks
 from factloom.plans import consistency, shapes
@@ -84,3 +85,25 @@ def test_keys_of_mismatches_and_collisions(spark):
     for keys, full, by in pairs:
         got, want = (sorted(map(tuple, df.select(by).collect())) for df in (keys, full))
         assert got == want and got
+
+
+def test_scores_join_dealt_checks_without_a_shuffle(spark):
+    """Sets of checks given apart count as their union does, and facts and checks in buckets of doc_id stay in them."""
+    from factloom.operators import consistency as K
+    from factloom.operators import tagging as A
+
+    facts = A.bucketed_table(spark.createDataFrame([(d, 1, r, c, 2, p) for d in range(9) for r, (c, p) in enumerate((("A", "Y1"), ("B", "Y1"), ("A", "Y2")))], "doc_id long, table_id long, row_id long, concept_id string, col_idx int, period_key string"), "facts", "doc_id", 4)
+    found = [(d, 1, 1, ["VALID_TIE", "BROKEN_RELATIONSHIP"][d % 2], "SUM", "e", "Y1", ["A", "B"]) for d in range(9)] + [(d, 3, 1, "UNEXPLAINED_INCONSISTENCY", "U", "U", None, ["A"]) for d in range(5)]
+    found = A.bucketed_table(spark.createDataFrame(found, "doc_id long, pass_no int, nth int, category string, check_type string, edge_name string, period_key string, concepts array<string>"), "found", "doc_id", 4)
+    more = A.bucketed_table(K.checks_by_concept(found, facts).where("concept_id = 'B'").withColumn("check_type", F.lit("MORE")), "more", "doc_id", 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with A.one_key(spark):
+            plan = checks.score_facts(facts, K.checks_by_concept(found, facts), more)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    apart, union = (sorted(map(tuple, df.collect())) for df in (checks.score_facts(facts, K.checks_by_concept(found, facts), more), checks.score_facts(facts, K.checks_by_concept(found, facts).unionByName(more))))
+    assert apart == union and {r[-1] for r in apart} == {"CONTRADICTED", "CONFIRMED", "CORROBORATED"}
+    assert [r[5:8] for r in apart if r[0] == 0 and r[2] == "A"] == [(1, 0, 1)]
