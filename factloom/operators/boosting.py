@@ -17,32 +17,45 @@ def fold_statistics(df: DataFrame, fold: str, label: str, features: list[str]) -
     return g.select(fold, label, "n", *[F.array(*[F.col(f"{x}{i}") for i in range(len(features))]).alias(x) for x in "sq"])
 
 
-def discriminant(total: Row, own: Column, k: int, rows: float, floor: float) -> Column:
-    """The log density of `__x` under a class whose sums are the totals less a fold's own; null where nothing is left."""
+def discriminant(total: Row, own: Column, k: int, rows: float, floor: float, nth: int, label: str) -> Column:
+    """A class whose sums are the totals less a fold's own, as its weight and each feature's mean, variance and log variance; null where nothing is left."""
     left = lambda name, i: F.get(F.lit(list(total[name])), i) - F.coalesce(F.get(own[name], i), F.lit(0.0))
     n = F.lit(total["n"]) - F.coalesce(own["n"], F.lit(0.0))
-    moments = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct(F.get("__x", i).alias("x"), (left("s", i) / n).alias("m"), (left("q", i) / n).alias("e")))
-    spread = F.transform(moments, lambda t: F.struct((t["x"] - t["m"]).alias("d"), F.greatest(t["e"] - t["m"] * t["m"], F.lit(floor)).alias("v")))
-    fit = F.aggregate(spread, F.lit(0.0), lambda a, t: a - 0.5 * (F.log(t["v"]) + t["d"] * t["d"] / t["v"]))
-    return F.when(n > 0, F.log(n / rows) + fit)
+    moments = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.struct((left("s", i) / n).alias("m"), (left("q", i) / n).alias("e")))
+    spread = F.transform(moments, lambda t: F.struct(t["m"].alias("m"), F.greatest(t["e"] - t["m"] * t["m"], F.lit(floor)).alias("v")))
+    parts = F.transform(spread, lambda t: F.struct(t["m"].alias("m"), t["v"].alias("v"), F.log(t["v"]).alias("l")))
+    return F.when(n > 0, F.struct(F.log(n / rows).alias("w"), F.lit(-nth).alias("o"), F.lit(total[label]).alias("cls"), parts.alias("parts")))
+
+
+def density(model: Column, k: int) -> Column:
+    """The log density of `__x` under a class."""
+    fit = F.lit(0.0)
+    for i in range(k):
+        part = F.get(model["parts"], F.lit(i))
+        d = F.get("__x", F.lit(i)) - part["m"]
+        fit = fit - 0.5 * (part["l"] + d * d / part["v"])
+    return model["w"] + fit
 
 
 def out_of_fold(df: DataFrame, fold: str, label: str, features: list[str], floor: float = 1e-3) -> DataFrame:
     """Df with `predicted`, the class of each row by a model that has not seen its fold, and its `margin` over the second. The model is a Gaussian discriminant with a variance
     for each class and feature (at least `floor`), so a fold's model is the totals less the fold's own sums: one pass gives all of them, a million documents
-    as easily as four. Rows whose label is null are predicted, and teach nothing; ties go to the first class; the totals (classes times features) are one small row."""
+    as easily as four, and a model is worked out once for each fold. Rows whose label is null are predicted, and teach nothing; ties go to the first class; the totals (classes times
+    features) are one small row. df is read three times; in buckets of the fold it is not shuffled."""
     stats = fold_statistics(df, fold, label, features)
     k = len(features)
     total = stats.groupBy(label).agg(F.sum("n").alias("n"), *[F.array(*[F.sum(F.col(x)[i]) for i in range(k)]).alias(x) for x in "sq"]).orderBy(label).collect()
+    if not total:
+        return df.withColumns({"predicted": F.lit(None).cast(df.schema[label].dataType), "margin": F.lit(None).cast("double")})
     own = stats.groupBy(fold).agg(F.map_from_entries(F.collect_list(F.struct(F.col(label), F.struct("n", "s", "q")))).alias("own"))  # classes at most
-    out = df.withColumn("__x", F.array(*[F.col(c).cast("double") for c in features])).join(own, fold, "left")
     all_n = sum(r["n"] for r in total)
-    scores = [F.struct(discriminant(r, F.col("own")[F.lit(r[label])], k, all_n, floor).alias("score"), F.lit(-i).alias("o"), F.lit(r[label]).alias("cls")) for i, r in enumerate(total)]
-    if not scores:
-        return df.withColumns({"predicted": F.lit(None).cast(df.schema[label].dataType), "margin": F.lit(None).cast("double")})
-    ranked = F.reverse(F.array_sort(F.filter(F.array(*scores), lambda s: s["score"].isNotNull())))
-    out = out.withColumn("__best", ranked)
-    return out.withColumns({"predicted": F.get("__best", F.lit(0))["cls"], "margin": F.get("__best", F.lit(0))["score"] - F.get("__best", F.lit(1))["score"]}).drop("__x", "__best", "own")
+    models = lambda sums: F.array(*[discriminant(r, sums(r[label]), k, all_n, floor, i, label) for i, r in enumerate(total)])
+    none = F.lit(None).cast("struct<n: double, s: array<double>, q: array<double>>")
+    out = df.withColumn("__x", F.array(*[F.col(c).cast("double") for c in features])).join(own.select(fold, models(lambda c: F.col("own")[F.lit(c)]).alias("__own")), fold, "left")
+    known = F.filter(F.coalesce("__own", models(lambda c: none)), lambda m: m.isNotNull())
+    scores = F.filter(F.transform(known, lambda m: F.struct(density(m, k).alias("score"), m["o"].alias("o"), m["cls"].alias("cls"))), lambda s: s["score"].isNotNull())
+    out = out.withColumn("__best", F.slice(F.reverse(F.array_sort(scores)), 1, 2))
+    return out.withColumns({"predicted": F.get("__best", F.lit(0))["cls"], "margin": F.get("__best", F.lit(0))["score"] - F.get("__best", F.lit(1))["score"]}).drop("__x", "__best", "__own")
 
 
 #: Gradients are summed as whole multiples of this, so that sums don't depend on their order.

@@ -42,3 +42,10 @@ def test_the_cascade_joins_tags_and_rows_without_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(A, "bucketed_table", seen)
     registry.QUERIES["i6_cascade"](spark, DIR)
     assert plans and all("hashpartitioning" not in p for p in plans)
+
+
+def test_pages_are_made_once_and_models_meet_them_in_buckets(spark):
+    """Page features are written once, by document: neither models nor pages are shuffled again, and a model is worked out for a fold, not for each page."""
+    df = registry.QUERIES["j8_leave_one_out"](spark, DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "factloom_pages" in plan and "Exchange hashpartitioning" not in plan
