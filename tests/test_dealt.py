@@ -49,3 +49,29 @@ def test_pages_are_made_once_and_models_meet_them_in_buckets(spark):
     df = registry.QUERIES["j8_leave_one_out"](spark, DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "factloom_pages" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_parts_of_a_table_are_written_to_one_without_a_shuffle(spark):
+    """Parts dealt alike, of any column order, are appended as they lie; what is read has all rows and is dealt by the key."""
+    a = A.bucketed_table(spark.range(100).selectExpr("id as doc_id", "'a' as kind"), "part-a", "doc_id", 5)
+    b = A.bucketed_table(spark.range(50, 150).selectExpr("'b' as kind", "id as doc_id"), "part-b", "doc_id", 5)
+    both = A.bucketed_table([a, b], "both", "doc_id", 5)
+    assert sorted(map(tuple, both.collect())) == sorted([(i, "a") for i in range(100)] + [(i, "b") for i in range(50, 150)])
+    assert "Exchange" not in both.groupBy("doc_id").count()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_shuffle_no_findings_and_hold_one_set_of_checks_at_a_time(spark, monkeypatch):
+    """Findings are made, and met with facts, where the facts lie; the last step joins sums that are written."""
+    plans, keep = {}, A.bucketed_table
+
+    def seen(df, name, key, n):
+        with A.one_key(spark):
+            for one in df if isinstance(df, list) else [df]:
+                plans.setdefault(name, []).append(one._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name, key, n)
+
+    monkeypatch.setattr(A, "bucketed_table", seen)
+    registry.QUERIES["d17_score_facts"](spark, DIR)
+    assert len(plans["declared"]) == 6 and len(plans["findings"]) == 3 and len(plans["sums"]) == 2
+    assert [name for name in ("findings", "sums", "scores") for p in plans[name] if "Exchange hashpartitioning(doc_id" in p] == []
+    assert plans["scores"][0].count("Aggregate(") <= 2
