@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import checks as C
 from ..operators import facts as X
-from .dealt import by_table, small
+from .dealt import by_table, facts, small
 from .registry import query
 
 BEST = """best AS (SELECT * FROM r_facts QUALIFY row_number() OVER (PARTITION BY doc_id, context, concept_id, period_key
@@ -213,7 +213,7 @@ def rule_violations(t):
 
 @query("d42_fact_uniqueness", "SELECT doc_id, context, concept_id, period_key, count(*) AS n FROM r_facts GROUP BY ALL HAVING count(*) > 1")
 def fact_uniqueness(t):
-    return C.fact_uniqueness(t.r_facts, ["doc_id", "context", "concept_id", "period_key"])
+    return C.fact_uniqueness(facts(t), ["doc_id", "context", "concept_id", "period_key"])
 
 
 @query("d43_completeness_tier", """

@@ -75,3 +75,13 @@ def test_scores_shuffle_no_findings_and_hold_one_set_of_checks_at_a_time(spark,
     assert len(plans["declared"]) == 6 and len(plans["findings"]) == 3 and len(plans["sums"]) == 2
     assert [name for name in ("findings", "sums", "scores") for p in plans[name] if "Exchange hashpartitioning(doc_id" in p] == []
     assert plans["scores"][0].count("Aggregate(") <= 2
+
+
+def test_facts_are_grouped_in_as_many_partitions_as_the_orders_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(dealt, "BUCKET", 100)
+    df = registry.QUERIES["d42_fact_uniqueness"](spark, DIR)
+    n = spark.read.parquet(f"{DIR}/orders.parquet").count() // 100 + 8
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1 and f", {n}), REPARTITION_BY_NUM" in plan
+    plain = shapes.Inputs(spark, DIR).r_facts.groupBy("doc_id", "context", "concept_id", "period_key").count().where("count > 1")
+    assert df.exceptAll(plain).isEmpty() and plain.exceptAll(df).isEmpty()
