@@ -85,3 +85,25 @@ def test_facts_are_grouped_in_as_many_partitions_as_the_orders_ask_for(spark, mo
     assert plan.count("Exchange hashpartitioning(doc_id") == 1 and f", {n}), REPARTITION_BY_NUM" in plan
     plain = shapes.Inputs(spark, DIR).r_facts.groupBy("doc_id", "context", "concept_id", "period_key").count().where("count > 1")
     assert df.exceptAll(plain).isEmpty() and plain.exceptAll(df).isEmpty()
+
+
+def test_lineage_sorts_and_shuffles_neither_facts_nor_findings(spark, monkeypatch):
+    """Declared relations come to the findings, not findings to the relations; lineage is written in parts that stay dealt by document, and facts are looked up, not sorted."""
+    plans, keep = {}, A.bucketed_table
+
+    def seen(df, name, key, n):
+        with A.one_key(spark):
+            for one in df if isinstance(df, list) else [df]:
+                plans.setdefault(name, []).append(one._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name, key, n)
+
+    monkeypatch.setattr(A, "bucketed_table", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "200k")
+    try:
+        registry.QUERIES["d17_score_by_lineage"](spark, DIR)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans["best"]) == 1 and len(plans["lineage"]) == 2
+    assert [p for p in plans["lineage"] + plans["sums"] + plans["scores"] if "Sort " in p or "Exchange hashpartitioning(doc_id" in p] == []
+    assert [p for p in plans["declared"] if "SortMergeJoin [edge_name" in p or "SortMergeJoin [concept_id" in p or "NestedLoopJoin BuildLeft" in p] == []
