@@ -32,15 +32,16 @@ def read_packed_graphs(spark: SparkSession, path: str) -> DataFrame:
 
 
 def shred_table_graphs(nested: DataFrame) -> dict[str, DataFrame]:
-    """A2: pages, tables, columns, rows, cells and tags of A1's documents, with ordinals."""
+    """A2: pages, tables, columns, rows, cells and tags of A1's documents, with ordinals. A row has its table's place and context and its own tag beside it, as it lies
+    in them: nobody needs to join them again."""
     t = nested.select("doc_id", F.posexplode_outer("tables").alias("table_ord", "t"))
-    r = t.select("doc_id", F.col("t.tableId").alias("table_id"), F.posexplode_outer("t.rows").alias("row_ord", "r"))
+    r = t.select("doc_id", F.col("t.tableId").alias("table_id"), "table_ord", F.col("t.metadata.statementComponent").alias("context"), F.posexplode_outer("t.rows").alias("row_ord", "r"))
     key = ["doc_id", "table_id", F.col("r.rowId").alias("row_id")]
     return {
         "pages": nested.select("doc_id", F.explode_outer("pages").alias("page_no", "size")).select("doc_id", F.col("page_no").cast("int").alias("page_no"), "size.*"),
         "tables": t.select("doc_id", F.col("t.tableId").alias("table_id"), "table_ord", F.col("t.pageNo").alias("page_no"), F.col("t.metadata").alias("metadata")),
         "columns": t.select("doc_id", F.col("t.tableId").alias("table_id"), F.explode_outer("t.columns").alias("c")).select("doc_id", "table_id", F.col("c.colIdx").alias("col_idx"), F.col("c.role").alias("role"), F.col("c.headerLabel").alias("header"), F.col("c.detectedAxes").alias("axes")),
-        "rows": r.select(*key, F.col("r.rowIdx").alias("row_idx"), F.col("r.label").alias("label"), F.col("r.rowType").alias("row_type"), F.col("r.parentId").alias("parent_id"), F.col("r.childIds").alias("child_ids")),
+        "rows": r.select(*key, F.col("r.rowIdx").alias("row_idx"), F.col("r.label").alias("label"), F.col("r.rowType").alias("row_type"), F.col("r.parentId").alias("parent_id"), F.col("r.childIds").alias("child_ids"), "table_ord", "context", F.col("r.preTagged.conceptId").alias("tag")),
         "cells": r.select(*key, F.explode_outer("r.cells").alias("c")).select("doc_id", "table_id", "row_id", F.col("c.colIdx").alias("col_idx"), F.col("c.text").alias("text"), F.col("c.parsedValue").alias("parsed_value")),
         "tags": r.where("r.preTagged.conceptId is not null").select(*key, F.col("r.preTagged.conceptId").alias("concept_id"), F.col("r.preTagged.method").alias("method"), F.col("r.preTagged.confidence").alias("confidence")),
     }

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.operators import tagging as A
 from factloom.plans import dealt, shapes
@@ -107,3 +108,24 @@ def test_lineage_sorts_and_shuffles_neither_facts_nor_findings(spark, monkeypatc
     assert len(plans["best"]) == 1 and len(plans["lineage"]) == 2
     assert [p for p in plans["lineage"] + plans["sums"] + plans["scores"] if "Sort " in p or "Exchange hashpartitioning(doc_id" in p] == []
     assert [p for p in plans["declared"] if "SortMergeJoin [edge_name" in p or "SortMergeJoin [concept_id" in p or "NestedLoopJoin BuildLeft" in p] == []
+
+
+def test_nested_documents_are_made_without_shuffling_cells(spark, monkeypatch):
+    """Lines go to their documents once; rows come out of the files with what stands beside them. A table without lines keeps its total, without cells."""
+    from factloom.plans import classes
+
+    plans, pack = [], classes.pack_table_graphs
+
+    def seen(df, *more, **named):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        pack(df, *more, **named)
+
+    monkeypatch.setattr(classes, "pack_table_graphs", seen)
+    t, plain = shapes.Inputs(spark, DIR), shapes.Inputs(spark, DIR)
+    for i in (t, plain):
+        i._made["orders"] = i.orders.unionByName(i.orders.limit(1).withColumn("o_orderkey", F.lit(10**9).cast("long")))
+    got = classes.shred_cells(t)
+    want = plain.r_rows.join(plain.r_cells.select("table_id", "row_id", "col_idx", "value"), ["table_id", "row_id"], "left").select("doc_id", "table_id", "row_id", "col_idx", "value")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.where("table_id = 1000000000 and col_idx is null").count() == 1
+    assert plans[0].count("Exchange hashpartitioning(") <= 3 and "Exchange hashpartitioning(table_id" not in plans[0]
+    assert "Exchange" not in registry.QUERIES["a2_shred_rows"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
