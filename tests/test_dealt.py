@@ -129,3 +129,20 @@ def test_nested_documents_are_made_without_shuffling_cells(spark, monkeypatch):
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.where("table_id = 1000000000 and col_idx is null").count() == 1
     assert plans[0].count("Exchange hashpartitioning(") <= 3 and "Exchange hashpartitioning(table_id" not in plans[0]
     assert "Exchange" not in registry.QUERIES["a2_shred_rows"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_stage_of_the_fit_reads_classes_balanced_once(spark, monkeypatch):
+    """Classes are balanced, and their rows repeated, when the training rows are written, not each time that a stage reads them."""
+    from factloom.operators import learning as M
+
+    class Read(Exception):
+        pass
+
+    def seen(train, features, label):
+        raise Read(train._jdf.queryExecution().executedPlan().toString(), train.columns == [label, *features])
+
+    monkeypatch.setattr(M, "train_page_classifier", seen)
+    with pytest.raises(Read) as got:
+        registry.QUERIES["j7_page_classifier"](spark, DIR)
+    plan, columns = got.value.args
+    assert columns and "FileScan" in plan and "Generate" not in plan and "Join" not in plan and "md5" not in plan
